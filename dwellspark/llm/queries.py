@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .quality_rules import quality_rules
 from .simhash import simhash_components
 from .substring import drop_repeats
 
@@ -18,10 +19,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op7_simhash": op7_simhash}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op7_simhash": op7_simhash}
 ORACLES: dict[str, str] = {}
