@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language import fit_language_model, identify_language
+from .quality_rank import GOOD, fit_quality_ranker, rank_quality
 from .quality_rules import quality_rules
+from .samples import remainder
 from .simhash import simhash_components
 from .substring import drop_repeats
 
@@ -14,6 +17,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_language_model(docs.where(remainder("doc_id", 5) != 0))
+    out = identify_language(docs, model)
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op6_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = rank_quality(docs, fit_quality_ranker(docs, labels.where(remainder("doc_id", 5) != 0)))
+    return out.select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,5 +46,5 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op7_simhash": op7_simhash}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op5_language": op5_language, "op6_quality_rank": op6_quality_rank, "op7_simhash": op7_simhash}
 ORACLES: dict[str, str] = {}
