@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language import fit_language_model, identify_language
+from .licenses import scan_licenses
 from .quality_rank import GOOD, fit_quality_ranker, rank_quality
 from .quality_rules import quality_rules
 from .samples import remainder
 from .simhash import simhash_components
 from .substring import drop_repeats
+from .warc import audit, damaged, warc_records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,5 +48,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op5_language": op5_language, "op6_quality_rank": op6_quality_rank, "op7_simhash": op7_simhash}
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of ``pages`` that was damaged at known places."""
+    records = warc_records(_table(spark, sf_dir, "pages"))
+    return audit(records, damaged(records)).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op5_language": op5_language, "op6_quality_rank": op6_quality_rank, "op7_simhash": op7_simhash,
+    "op9_licenses": op9_licenses, "op10_warc_fixity": op10_warc_fixity}
 ORACLES: dict[str, str] = {}
