@@ -13,8 +13,9 @@ from .store import cut
 from .text import as_binary, flat, gram_hashes, pieces, spans, word_hashes
 
 WINDOW = 20
-#: words of the runs whose least hash routes a window; WINDOW - GRAM + 1 is a power of two
-GRAM = 5
+#: words of the runs whose least hash routes a window: few enough for long runs of
+#: windows, too many to repeat by chance
+GRAM = 9
 #: words of one shard's index
 SHARD_WORDS = 400_000
 #: places of one routing hash beyond which its windows are routed one by one
@@ -109,12 +110,12 @@ def repeats_in_shard(parts: list[np.ndarray], window: int = WINDOW) -> list[np.n
 
 
 def _least_in(x: np.ndarray, span: int) -> np.ndarray:
-    """Least of each ``span`` (a power of two) neighbouring values."""
+    """Least of each ``span`` neighbouring values."""
     d = 1
-    while d < span:
+    while 2 * d <= span:
         x = np.minimum(x[:-d], x[d:])
         d *= 2
-    return x
+    return np.minimum(x[: len(x) - (span - d)], x[span - d :]) if span > d else x
 
 
 def _runs(column: pa.Array, window: int):
@@ -143,8 +144,26 @@ def _runs(column: pa.Array, window: int):
     return row[new], at[new], np.diff(np.r_[new, len(key)]), (key[new] >> np.uint64(24)).astype(np.int64), words, first
 
 
+def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, packed, size): texts compressed for the shuffle."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            raw = as_binary(b.column(1))
+            packed = pa.array([pa.compress(t.as_buffer(), "zstd", asbytes=True) for t in raw], pa.binary())
+            size = pa.array([len(t.as_buffer()) for t in raw], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), packed, size], [id_col, "packed", "size"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, packed binary, size long")
+
+
+def _unpacked(packed: pa.Array, size: pa.Array) -> list[bytes]:
+    return [pa.decompress(p.as_buffer(), n.as_py(), "zstd", asbytes=True) if n.as_py() else b"" for p, n in zip(packed, size)]
+
+
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """Anchors that may repeat: (route, id, starts of its runs, is it hot)."""
+    """All anchors: (route, id, first window of its run)."""
 
     def anchors(batches):
         for b in batches:
@@ -153,8 +172,7 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, window: int) -> Da
                 ids = b.column(0).slice(i, n).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(route), ids, pa.array(at.astype(np.int32))], ["route", "id", "at"])
 
-    places = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(anchors, "route long, id long, at int")
-    return places
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(anchors, "route long, id long, at int")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -171,22 +189,22 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     3. The different segments are dealt to shards by route. A shard builds its
        FM-index and runs its segments through it.
     """
-    places = _occurrences(docs, id_col, text_col, window)
-    places = cut(places)
+    places = cut(_occurrences(docs, id_col, text_col, window))
     often = places.groupBy("route").agg(F.count("*").alias("n")).where("n > 1")
     runs = places.join(often, "route").groupBy("id").agg(
         F.collect_list(F.struct("at", (F.col("n") > HOT_PLACES).alias("hot"))).alias("runs")
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(runs, "id")
+    texts = _packed(docs.select(F.col(id_col).cast("long").alias("id"), text_col), "id", text_col).join(runs, "id")
 
     def segments(batches):
         for b in batches:
-            for i, n in pieces(b.column(1)):
-                yield from cut_out(b.slice(i, n))
+            text = pa.array(_unpacked(b.column(1), b.column(2)), pa.large_binary())
+            for i, n in pieces(text):
+                yield from cut_out(b.slice(i, n), text.slice(i, n))
 
-    def cut_out(b):
-        row, at, size, route, words, first = _runs(b.column(1), window)
-        wanted = b.column(2)
+    def cut_out(b, text):
+        row, at, size, route, words, first = _runs(text, window)
+        wanted = b.column(3)
         inner = wanted.flatten()
         owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(wanted.offsets)))
         w_at, hot = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(2))
@@ -271,15 +289,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = repeated_windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, window)
     kind = docs.schema[id_col].dataType.simpleString()
-    both = docs.select(id_col, F.col(text_col).alias("text")).join(
-        found.select(F.col("id").cast(kind).alias(id_col), "runs"), id_col, "left"
-    )
+    both = _packed(docs, id_col, text_col).join(found.select(F.col("id").cast(kind).alias(id_col), "runs"), id_col, "left")
 
     def run(batches):
         for b in batches:
             kept, count, gone = [], [], []
-            for text, runs in zip(as_binary(b.column(1)), b.column(2)):
-                words = text.as_py().split()
+            for text, runs in zip(_unpacked(b.column(1), b.column(2)), b.column(3)):
+                words = text.split()
                 runs = runs.as_py()
                 count.append(len(words))
                 if runs:

@@ -37,7 +37,7 @@ def as_binary(column: pa.Array) -> pa.Array:
     """Texts as bytes; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    kind = pa.large_binary() if column.type in (pa.large_string(), pa.large_binary()) else pa.binary()
     return column.cast(kind).fill_null(b"")
 
 
