@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
 from .language import fit_language_model, identify_language
 from .licenses import scan_licenses
 from .quality_rank import GOOD, fit_quality_ranker, rank_quality
@@ -48,6 +49,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,6 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(records, damaged(records)).withColumnRenamed("id", "page_id")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op5_language": op5_language, "op6_quality_rank": op6_quality_rank, "op7_simhash": op7_simhash,
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op5_language": op5_language, "op6_quality_rank": op6_quality_rank, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate,
     "op9_licenses": op9_licenses, "op10_warc_fixity": op10_warc_fixity}
 ORACLES: dict[str, str] = {}
