@@ -41,6 +41,8 @@ def _tokens(column: pa.Array):
 class ItemIndex:
     """Inverted index of one part of the test items.
 
+    A test item longer than STRIDE words is indexed in sections of at most so many
+    (``owner``: whose), so that each fits in some passage.
     ``terms``: sorted word hashes; ``post`` (n + 1) points into ``item`` and
     ``weight`` (BM25 contributions); ``block_max``: term by block, the largest
     weight in it; ``need``: score that counts for each item, and its least in
@@ -58,6 +60,7 @@ class ItemIndex:
     questions: list[np.ndarray]
     answers: list[np.ndarray]
     table: np.ndarray
+    owner: np.ndarray
 
     def look_up(self, h: np.ndarray):
         """Number of each word's term; -1 where no item has it."""
@@ -76,14 +79,17 @@ def split_item(words: int, sentence_start: int | None) -> int:
 
 def build_index(items: list[tuple[object, str]], level: float = LEVEL) -> ItemIndex:
     """Index whole items; null and empty ones can't be found and are left out."""
-    kept, hashes, cuts = [], [], []
+    kept, hashes, cuts = [], [], []  # of items
     for i, text in items:
         h, _ = _tokens(pa.array([text], pa.string()))
         if len(h):
             last = text.rstrip().rstrip(".?!").rfind(". ")
             before = len(_tokens(pa.array([text[:last]], pa.string()))[0]) if last > 0 else None
             kept.append(i), hashes.append(h), cuts.append(split_item(len(h), before))
-    n = len(kept)
+    runs = [(_runs(h[:c]), _runs(h[c:])) for h, c in zip(hashes, cuts)]
+    owner = [k for k, h in enumerate(hashes) for _ in range(-(-len(h) // STRIDE))]
+    hashes = [part for h in hashes for part in np.array_split(h, -(-len(h) // STRIDE))]
+    n = len(hashes)
     item = np.repeat(np.arange(n), [len(h) for h in hashes])
     flat_words = np.concatenate(hashes) if n else np.zeros(0, np.uint64)
     terms, term = np.unique(flat_words, return_inverse=True)
@@ -99,10 +105,9 @@ def build_index(items: list[tuple[object, str]], level: float = LEVEL) -> ItemIn
     block_max = np.zeros((len(terms) + 1, blocks), np.float32)
     np.maximum.at(block_max, (t, d // BLOCK), weight)
     block_need = np.array([need[k * BLOCK : (k + 1) * BLOCK].min() for k in range(blocks)])
-    runs = [(_runs(h[:c]), _runs(h[c:])) for h, c in zip(hashes, cuts)]
     table = np.zeros(1 << 20, bool)
     table[(terms >> np.uint64(44)).astype(np.int64)] = True
-    return ItemIndex(kept, terms, np.searchsorted(t, np.arange(len(terms) + 1)), d, weight, block_max, need, block_need, [r[0] for r in runs], [r[1] for r in runs], table)
+    return ItemIndex(kept, terms, np.searchsorted(t, np.arange(len(terms) + 1)), d, weight, block_max, need, block_need, [r[0] for r in runs], [r[1] for r in runs], table, np.array(owner))
 
 
 def _runs(h: np.ndarray) -> np.ndarray:
@@ -123,7 +128,7 @@ def search(index: ItemIndex, term: np.ndarray, first: np.ndarray):
     row = np.repeat(np.arange(len(size)), halves)
     half_at = first[:-1][row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(halves) - halves, halves))
     hit = np.flatnonzero(term >= 0)
-    if not len(hit) or not len(index.ids):
+    if not len(hit):
         return
     lo = np.searchsorted(hit, half_at)
     some = np.flatnonzero(np.diff(np.r_[lo, len(hit)]))
@@ -144,7 +149,7 @@ def search(index: ItemIndex, term: np.ndarray, first: np.ndarray):
                 score[index.item[a:b] - k * BLOCK] += index.weight[a:b]
             need = index.need[k * BLOCK : (k + 1) * BLOCK]
             for j in np.flatnonzero(score[: len(need)] >= need * 0.9999):
-                yield int(row[p]), k * BLOCK + int(j), float(score[j])
+                yield int(row[p]), int(index.owner[k * BLOCK + j]), float(score[j])
 
 
 def _share(have: np.ndarray, runs: np.ndarray) -> float:
@@ -158,14 +163,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Every passage of PASSAGE words (a new one each STRIDE) of every whole text is
     a query; those that reach an item's need are verified: at least OVERLAP of
     the question's and of the answer's RUN-word runs must stand in the
-    document. Items are indexed in parts of bounded size, each part searched in
+    document. Words are compared in lower case. Items are indexed in parts of bounded size, each part searched in
     one pass over the documents. Null and empty texts and items match nothing;
     repeated items and documents each give their rows; no items, no rows.
     """
     ikind, kind = items.schema[item_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, {item_col} {ikind}, score double, question_overlap double, answer_overlap double"
     part, size, parts = [], 0, []
-    for r in items.select(F.col(item_col), F.col(item_text_col)).where(F.col(item_text_col).isNotNull()).toLocalIterator():
+    for r in items.select(F.col(item_col), F.lower(item_text_col).alias(item_text_col)).where(F.col(item_text_col).isNotNull()).toLocalIterator():
         part.append((r[0], r[1]))
         size += len(r[1]) // 4 + 1
         if size > MOST_WORDS:
@@ -174,7 +179,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     parts.append(part)
     found = None
     for p in parts:
-        one = docs.select(id_col, text_col).mapInArrow(_searcher(build_index(p), id_col, item_col, ikind), schema)
+        one = docs.select(id_col, F.lower(text_col).alias(text_col)).mapInArrow(_searcher(build_index(p), id_col, item_col, ikind), schema)
         found = one if found is None else found.unionByName(one)
     return found
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated
 from .language import fit_language_model, identify_language
 from .licenses import scan_licenses
+from .pieces import encode_pieces
 from .quality_rank import GOOD, fit_quality_ranker, rank_quality
 from .quality_rules import quality_rules
 from .samples import remainder
@@ -44,6 +45,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -63,6 +68,6 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(records, damaged(records)).withColumnRenamed("id", "page_id")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op5_language": op5_language, "op6_quality_rank": op6_quality_rank, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate,
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op3_substring_dedup": op3_substring_dedup, "op5_language": op5_language, "op6_quality_rank": op6_quality_rank, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate,
     "op9_licenses": op9_licenses, "op10_warc_fixity": op10_warc_fixity}
 ORACLES: dict[str, str] = {}
