@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated
 from .language import fit_language_model, identify_language
 from .licenses import scan_licenses
+from .mixing import lm_scores
 from .pieces import encode_pieces
 from .quality_rank import GOOD, fit_quality_ranker, rank_quality
 from .quality_rules import quality_rules
@@ -21,6 +22,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder("doc_id", 10) == 0
+    out = lm_scores(_table(spark, sf_dir, "documents"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_language_model(docs.where(remainder("doc_id", 5) != 0))
@@ -68,6 +75,6 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(records, damaged(records)).withColumnRenamed("id", "page_id")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op3_substring_dedup": op3_substring_dedup, "op5_language": op5_language, "op6_quality_rank": op6_quality_rank, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate,
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op3_substring_dedup": op3_substring_dedup, "op4_lm_mixing": op4_lm_mixing, "op5_language": op5_language, "op6_quality_rank": op6_quality_rank, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate,
     "op9_licenses": op9_licenses, "op10_warc_fixity": op10_warc_fixity}
 ORACLES: dict[str, str] = {}
