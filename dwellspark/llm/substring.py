@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -73,13 +73,16 @@ class FMIndex:
         base = self.before[symbol]
         return base + self.tree.rank(symbol, lo), base + self.tree.rank(symbol, hi)
 
-    def intervals(self, words: np.ndarray, ends: np.ndarray, length: int):
+    def intervals(self, words: np.ndarray, ends: np.ndarray, length: int, least: int = 1):
         """Matching statistics, cut at ``length``: for each end (exclusive) the
-        suffix interval of the ``length`` words before it; shorter matches and
-        those that meet a separator drop out on the way."""
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n)
+        suffix interval of the ``length`` words before it. A match that fewer
+        than ``least`` places share drops out on the way, its interval empty."""
+        lo, hi, live = np.zeros(len(ends), np.int64), np.full(len(ends), self.n), np.arange(len(ends))
         for step in range(1, length + 1):
-            lo, hi = self.extend(lo, hi, words[ends - step])
+            lo[live], hi[live] = self.extend(lo[live], hi[live], words[ends[live] - step])
+            out = hi[live] - lo[live] < least
+            hi[live[out]] = lo[live[out]]
+            live = live[~out]
         return lo, hi
 
 
@@ -101,11 +104,13 @@ def repeats_in_shard(parts: list[np.ndarray], window: int = WINDOW) -> list[np.n
     index = FMIndex(text, window)
     counts = np.maximum(sizes - window + 1, 0)
     at = np.repeat(starts[:-1], counts) + np.arange(counts.sum()) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
-    lo, hi = index.intervals(text, at + window, window)
-    kinds, which = np.unique(lo, return_inverse=True)
+    lo, hi = index.intervals(text, at + window, window, 2)
+    shared = np.flatnonzero(hi - lo > 1)
+    kinds, which = np.unique(lo[shared], return_inverse=True)
     least = np.full(len(kinds), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, at)
-    later = (hi - lo > 1) & (at > least[which])
+    np.minimum.at(least, which, at[shared])
+    later = np.zeros(len(at), bool)
+    later[shared] = at[shared] > least[which]
     return np.split(later, np.cumsum(counts)[:-1])
 
 
@@ -176,8 +181,9 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, window: int) -> Da
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``(id, runs array<struct<at int, flags binary>>)``: each document's windows
-    that also start earlier (a smaller id, or the same document), a byte each.
+    """``(id, runs array<struct<at int, size int, flags binary>>)``: each document's
+    windows that also start earlier (a smaller id, or the same document). A run
+    of ``size`` windows starts at ``at``; flags has a byte for each, null is all.
 
     1. Each document's anchors are shuffled by their hash. Equal windows have
        equal anchors at different places, so an anchor that stands once in the
@@ -189,7 +195,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     3. The different segments are dealt to shards by route. A shard builds its
        FM-index and runs its segments through it.
     """
-    places = cut(_occurrences(docs, id_col, text_col, window))
+    places = _occurrences(docs, id_col, text_col, window)
     often = places.groupBy("route").agg(F.count("*").alias("n")).where("n > 1")
     runs = places.join(often, "route").groupBy("id").agg(
         F.collect_list(F.struct("at", (F.col("n") > HOT_PLACES).alias("hot"))).alias("runs")
@@ -230,13 +236,15 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         blobs = [raw[8 * s : 8 * (s + n)] if f else None for s, n, f in zip(begin.tolist(), length.tolist(), is_first.tolist())]
         ids = b.column(0).take(pa.array(row))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(route), pa.array(seg), ids, pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(blobs, pa.binary())],
+            [pa.array(route, mask=~is_first), pa.array(seg), ids, pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(blobs, pa.binary())],
             ["route", "seg", "id", "at", "size", "words"],
         )
 
     occ = cut(texts.mapInArrow(segments, "route long, seg long, id long, at int, size int, words binary"))
     firsts = cut(
-        occ.groupBy("route", "seg").agg(F.min(F.struct("id", "at")).alias("place"), F.max("words").alias("words"))
+        occ.groupBy("seg").agg(
+            F.min(F.struct("id", "at")).alias("place"), F.max("words").alias("words"), F.max("route").alias("route"), F.count("*").alias("n")
+        )
     )
     total = firsts.agg(F.sum(F.length("words"))).first()[0] or 0
     shards = max(1, -(-total // 8 // SHARD_WORDS))
@@ -269,13 +277,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .sortWithinPartitions("shard", "place")
         .mapInArrow(search, "seg long, flags binary")
     )
-    known = firsts.select("seg", "place").join(known, "seg")
-    hit = occ.select("seg", "id", "at", "size").join(known, "seg").select(
-        "id", "at",
-        F.when((F.col("id") == F.col("place.id")) & (F.col("at") == F.col("place.at")), F.col("flags"))
-        .otherwise(F.unhex(F.expr("repeat('01', size)"))).alias("flags"),
-    )
-    return hit.groupBy("id").agg(F.collect_list(F.struct("at", "flags")).alias("runs"))
+    # a segment that stands once and repeats nothing decides nothing
+    known = firsts.select("seg", "place", "n").join(known, "seg").where("n > 1 OR instr(flags, unhex('01')) > 0")
+    first = (F.col("id") == F.col("place.id")) & (F.col("at") == F.col("place.at"))
+    hit = occ.select("seg", "id", "at", "size").join(known, "seg").select("id", "at", "size", F.when(first, F.col("flags")).alias("flags"))
+    hit = hit.where("flags IS NULL OR instr(flags, unhex('01')) > 0")
+    return hit.groupBy("id").agg(F.collect_list(F.struct("at", "size", "flags")).alias("runs"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -293,21 +300,26 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            kept, count, gone = [], [], []
-            for text, runs in zip(_unpacked(b.column(1), b.column(2)), b.column(3)):
-                words = text.split()
-                runs = runs.as_py()
-                count.append(len(words))
-                if runs:
-                    change = np.zeros(len(words) + 1, np.int64)
-                    for r in runs:
-                        at = r["at"] + np.flatnonzero(np.frombuffer(r["flags"], np.uint8))
-                        np.add.at(change, at, 1)
-                        np.add.at(change, at + window, -1)
-                    stay = np.cumsum(change)[:-1] == 0
-                    words = [w for w, s in zip(words, stay.tolist()) if s]
-                gone.append(count[-1] - len(words))
-                kept.append(b" ".join(words))
+            texts = [t.split() for t in _unpacked(b.column(1), b.column(2))]
+            count = np.array([len(t) for t in texts], np.int64)
+            edge = np.r_[0, np.cumsum(count + 1)]
+            runs = b.column(3)
+            at, size, flags = (runs.flatten().field(k) for k in range(3))
+            at, size = at.to_numpy(zero_copy_only=False).astype(np.int64), size.to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(texts)), np.asarray(runs.value_lengths().fill_null(0)))
+            begin = np.repeat(edge[row] + at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            whole = np.ones(len(begin), bool)
+            some = np.asarray(flags.is_valid())
+            whole[np.repeat(some, size)] = np.frombuffer(b"".join(flags.drop_null().to_pylist()), np.uint8).astype(bool)
+            begin = begin[whole]
+            change = np.bincount(begin, minlength=edge[-1] + 1) - np.bincount(begin + window, minlength=edge[-1] + 1)
+            stay = np.cumsum(change) == 0
+            gone = np.zeros(len(texts), np.int64)
+            kept = []
+            for k, words in enumerate(texts):
+                own = stay[edge[k] : edge[k + 1] - 1]
+                gone[k] = len(words) - int(own.sum())
+                kept.append(b" ".join(compress(words, own.tolist()) if gone[k] else words))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64())],
                 [id_col, "kept", "n_words", "n_removed"],
@@ -315,6 +327,3 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     return both.mapInArrow(run, f"{id_col} {kind}, kept string, n_words long, n_removed long")
 
-
-def sha256_of(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
