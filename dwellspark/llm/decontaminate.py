@@ -14,8 +14,10 @@ from .text import flat, gram_hashes, pieces, spans, word_hashes
 K1, B = 1.2, 0.75
 #: words of a passage, and how far the next one starts behind it
 PASSAGE, STRIDE = 128, 64
-#: items of one block of postings
-BLOCK = 8
+#: items (in order of the score they need) of one block of postings
+BLOCK = 2
+#: share of a block's need that its most frequent terms may bring unseen
+UNSEEN = 0.5
 #: share of an item's own score (its text as query) that a passage must reach
 LEVEL = 0.6
 #: words of the runs compared when verifying, and the share of the question's
@@ -43,24 +45,27 @@ class ItemIndex:
 
     A test item longer than STRIDE words is indexed in sections of at most so many
     (``owner``: whose), so that each fits in some passage.
-    ``terms``: sorted word hashes; ``post`` (n + 1) points into ``item`` and
-    ``weight`` (BM25 contributions); ``block_max``: term by block, the largest
-    weight in it; ``need``: score that counts for each item, and its least in
-    each block; question and answer runs of each item as sorted hashes.
+    Terms are sorted word hashes; ``post`` (n + 1) points into ``item`` and
+    ``weight`` (BM25 contributions). ``need`` is the score that counts for each
+    item. ``block_post`` points into ``block`` and ``block_max``, each term's
+    largest weight in each block of items, without the block's most frequent
+    terms; ``rest`` is what must come from the others for a block to matter.
     """
 
     ids: list
+    owner: np.ndarray
     terms: np.ndarray
+    table: np.ndarray
     post: np.ndarray
     item: np.ndarray
     weight: np.ndarray
-    block_max: np.ndarray
     need: np.ndarray
-    block_need: np.ndarray
+    block_post: np.ndarray
+    block: np.ndarray
+    block_max: np.ndarray
+    rest: np.ndarray
     questions: list[np.ndarray]
     answers: list[np.ndarray]
-    table: np.ndarray
-    owner: np.ndarray
 
     def look_up(self, h: np.ndarray):
         """Number of each word's term; -1 where no item has it."""
@@ -90,66 +95,106 @@ def build_index(items: list[tuple[object, str]], level: float = LEVEL) -> ItemIn
     owner = [k for k, h in enumerate(hashes) for _ in range(-(-len(h) // STRIDE))]
     hashes = [part for h in hashes for part in np.array_split(h, -(-len(h) // STRIDE))]
     n = len(hashes)
-    item = np.repeat(np.arange(n), [len(h) for h in hashes])
     flat_words = np.concatenate(hashes) if n else np.zeros(0, np.uint64)
     terms, term = np.unique(flat_words, return_inverse=True)
+    item = np.repeat(np.arange(n), [len(h) for h in hashes])
     pair, tf = np.unique(term * max(n, 1) + item, return_counts=True)
     t, d = pair // max(n, 1), pair % max(n, 1)
     df = np.bincount(t, minlength=len(terms))
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     size = np.array([len(h) for h in hashes], float)
     norm = K1 * (1 - B + B * size[d] / size.mean()) if n else np.zeros(0)
-    weight = (idf[t] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
+    weight = idf[t] * tf * (K1 + 1) / (tf + norm)
     need = level * np.bincount(d, weight, n)
-    blocks = -(-n // BLOCK)
-    block_max = np.zeros((len(terms) + 1, blocks), np.float32)
-    np.maximum.at(block_max, (t, d // BLOCK), weight)
-    block_need = np.array([need[k * BLOCK : (k + 1) * BLOCK].min() for k in range(blocks)])
+    # items in order of need, so that a block's items need about the same
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(need, kind="stable")] = np.arange(n)
+    d, owner, need = rank[d], np.array(owner, np.int64)[np.argsort(rank)], np.sort(need)
+    order = np.lexsort((d, t))
+    t, d, weight = t[order], d[order], weight[order]
+    # block maxima: each term's largest weight in each block that has it
+    key, where = np.unique(t * max(n, 1) + d // BLOCK, return_inverse=True)
+    top = np.zeros(len(key))
+    np.maximum.at(top, where, weight)
+    kt, kb = key // max(n, 1), key % max(n, 1)
+    block_need = need[::BLOCK]
+    # a block's most frequent terms, together under a share of its need, open nothing
+    order = np.lexsort((top, -df[kt], kb))
+    run = np.cumsum(top[order])
+    heads = np.r_[True, kb[order][1:] != kb[order][:-1]] if len(kb) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(heads, np.arange(len(run)), 0)) if len(run) else np.zeros(0, np.int64)
+    within = run - (run[start] - top[order][start]) if len(run) else run
+    unseen = np.zeros(len(key), bool)
+    unseen[order] = within <= UNSEEN * block_need[kb[order]]
+    rest = block_need - np.bincount(kb, top * unseen, len(block_need)) if len(key) else block_need
+    kt, kb, top = kt[~unseen], kb[~unseen], top[~unseen]
     table = np.zeros(1 << 20, bool)
     table[(terms >> np.uint64(44)).astype(np.int64)] = True
-    return ItemIndex(kept, terms, np.searchsorted(t, np.arange(len(terms) + 1)), d, weight, block_max, need, block_need, [r[0] for r in runs], [r[1] for r in runs], table, np.array(owner))
+    post = lambda x: np.searchsorted(x, np.arange(len(terms) + 1))
+    return ItemIndex(
+        kept, owner, terms, table, post(t), d, weight, need, post(kt), kb, top, rest, [r[0] for r in runs], [r[1] for r in runs]
+    )
 
 
 def _runs(h: np.ndarray) -> np.ndarray:
     return np.unique(gram_hashes(h, min(RUN, max(len(h), 1))))
 
 
+def _expand(lo: np.ndarray, hi: np.ndarray):
+    """(which range, index) of all indices of many ranges."""
+    many = hi - lo
+    return np.repeat(np.arange(len(lo)), many), np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
+
+
 def search(index: ItemIndex, term: np.ndarray, first: np.ndarray):
     """(row, item, score) of every passage and item whose BM25 score, each term
     of the passage counted once, reaches the item's need.
 
-    A passage's upper bound on a block is the sum of its terms' block maxima.
-    It is summed over STRIDE-long half passages first: only where the two
-    halves' bounds together reach a block's need is the block opened, its
-    postings walked and the exact scores taken; all else is skipped, safely.
+    A passage is two neighbouring halves of STRIDE words. Its upper bound on a
+    block is the sum of its terms' block maxima; a block's most frequent terms
+    are granted unseen. Only blocks whose bound reaches the least need in them
+    are opened, their postings walked and exact scores taken; all else is
+    skipped, safely.
     """
     size = np.diff(first)
     halves = -(-size // STRIDE)
+    begin = np.cumsum(halves) - halves
     row = np.repeat(np.arange(len(size)), halves)
-    half_at = first[:-1][row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(halves) - halves, halves))
+    half_at = first[:-1][row] + STRIDE * (np.arange(len(row)) - begin[row])
     hit = np.flatnonzero(term >= 0)
+    hit = hit[index.block_post[term[hit] + 1] > index.block_post[term[hit]]]
     if not len(hit):
         return
-    lo = np.searchsorted(hit, half_at)
-    some = np.flatnonzero(np.diff(np.r_[lo, len(hit)]))
-    last = np.r_[row[1:] != row[:-1], True]
-    for k in range(index.block_max.shape[1]):
-        bound = np.zeros(len(row), np.float32)
-        bound[some] = np.add.reduceat(index.block_max[term[hit], k], lo[some])
-        both = bound + np.where(last, 0, np.r_[bound[1:], np.float32(0)])
-        for p in np.flatnonzero(both >= index.block_need[k] * 0.999):
-            at = half_at[p]
-            own = np.unique(term[at : min(at + PASSAGE, first[row[p] + 1])])
-            own = own[own >= 0]
-            if index.block_max[own, k].sum() < index.block_need[k] * 0.999:
-                continue
-            score = np.zeros(BLOCK)
-            for t in own[index.block_max[own, k] > 0]:
-                a, b = np.searchsorted(index.item[index.post[t] : index.post[t + 1]], [k * BLOCK, (k + 1) * BLOCK]) + index.post[t]
-                score[index.item[a:b] - k * BLOCK] += index.weight[a:b]
-            need = index.need[k * BLOCK : (k + 1) * BLOCK]
-            for j in np.flatnonzero(score[: len(need)] >= need * 0.9999):
-                yield int(row[p]), int(index.owner[k * BLOCK + j]), float(score[j])
+    half = np.searchsorted(half_at, hit, "right") - 1
+    width = len(index.terms) + 1
+    once = np.unique(half * width + term[hit])
+    half, t = once // width, once % width
+    which, at = _expand(index.block_post[t], index.block_post[t + 1])
+    blocks = len(index.rest)
+    key, where = np.unique(half[which] * blocks + index.block[at], return_inverse=True)
+    bound = np.bincount(where, index.block_max[at], len(key))
+    # a passage starts at a half of its own or at the one before
+    own, back = key // blocks, key - blocks
+    back = back[(own > 0) & (row[np.maximum(own - 1, 0)] == row[own])]
+    starts = np.union1d(key, back)
+
+    def of(keys):
+        spot = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+        return np.where(key[spot] == keys, bound[spot], 0)
+
+    p = starts // blocks
+    joined = (p + 1 < len(row)) & (row[np.minimum(p + 1, len(row) - 1)] == row[p])
+    total = of(starts) + np.where(joined, of(starts + blocks), 0)
+    for x in starts[total >= index.rest[starts % blocks] * 0.9999].tolist():
+        p, k = x // blocks, x % blocks
+        words = np.unique(term[half_at[p] : min(half_at[p] + PASSAGE, first[row[p] + 1])])
+        words = words[words >= 0]
+        _, at = _expand(index.post[words], index.post[words + 1])
+        at = at[index.item[at] // BLOCK == k]
+        score = np.bincount(index.item[at] - k * BLOCK, index.weight[at], BLOCK)
+        need = index.need[k * BLOCK : (k + 1) * BLOCK]
+        for j in np.flatnonzero(score[: len(need)] >= need * 0.9999):
+            yield int(row[p]), int(index.owner[k * BLOCK + j]), float(score[j])
 
 
 def _share(have: np.ndarray, runs: np.ndarray) -> float:
