@@ -68,12 +68,12 @@ def log_file_order(files: DataFrame, name_col: str = "file") -> DataFrame:
     """Log files, newest first: by date, then by rotation number; other names go."""
     f = files.where(F.col(name_col).rlike(r"events-[0-9]{8}(\.[0-9]+)?\.jsonl$"))
     f = f.withColumns({"log_date": F.regexp_extract(name_col, r"events-([0-9]{8})", 1), "rotation": rotation_index(name_col)})
-    return f.withColumn("newest", F.row_number().over(Window.orderBy(F.desc("log_date"), F.desc("rotation"))))
+    return f.withColumn("newest", F.row_number().over(Window.orderBy(F.desc("log_date"), F.desc("rotation"), name_col)))
 
 
 def latest_log_file(files: DataFrame, name_col: str = "file") -> DataFrame:
     f = files.where(F.col(name_col).rlike(r"events-[0-9]{8}(\.[0-9]+)?\.jsonl$"))
-    return f.orderBy(F.desc(F.regexp_extract(name_col, r"events-([0-9]{8})", 1)), F.desc(rotation_index(name_col))).limit(1)
+    return f.orderBy(F.desc(F.regexp_extract(name_col, r"events-([0-9]{8})", 1)), F.desc(rotation_index(name_col)), name_col).limit(1)
 
 
 def audit_sequence(events: DataFrame, session: str = "session_id", require_zero_start: bool = True) -> DataFrame:

@@ -1,3 +1,491 @@
 """Queries of the activity operators: name -> (spark, sf_dir) -> DataFrame."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import timefns as T
+from .functions import titles as N
+from .functions.categories import RULES, categorize, with_category
+from .operators import audit, dwell, features, inputs, reports, semantic
+from .options import CATEGORIES, FeatureOptions
+from .plans import activity as A
+from .sources import logs, sinks
+from .streaming import streams
+
 QUERIES = {}
+KEYS = ["session_id"]
+_MS = [f"{c}_ms" for c in CATEGORIES]
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _features(s, d, **o):
+    return features.build_features(A.dwells(s, d), A.deltas(s, d), KEYS, FeatureOptions(**o))
+
+
+def _daily(s, d):
+    return reports.daily_totals(_features(s, d), KEYS)
+
+
+def _pages(s, d):
+    p = A.table(s, d, "pages")
+    title = F.concat(
+        F.lit("Visit "), F.col("url"), F.lit(" mail user"), F.col("page_id").cast("string"), F.lit("@site.org C:\\Users\\bob\\doc"),
+        F.col("page_id").cast("string"), F.lit(".txt in /var/log/app/"), F.col("page_id").cast("string"), F.lit(".log of /tmp"),
+    )
+    return p.select("page_id", title.alias("title"))
+
+
+def _titles(s, d):
+    p = A.table(s, d, "pages")
+    n = F.col("page_id").cast("string")
+    title = F.concat(
+        F.lit("("), n, F.lit(") Watch Later - "), F.regexp_extract("url", "//([^/]+)", 1), F.lit(" [HD] 12:30 "), n, F.lit(" views follow-up 0123456789abcdef012 - YouTube - Google Chrome")
+    )
+    return p.select("page_id", title.alias("title"), F.when(F.col("page_id") % 2 == 0, "Chrome").otherwise(" Safari ").alias("app"))
+
+
+def _stream(s: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
+    """A table as a stream: written as files, read back as they come."""
+    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(f"{folder}/in")
+    return s.readStream.schema(df.schema).parquet(f"{folder}/in"), folder
+
+
+# windows and dwell
+
+
+@query
+def assign_seq(s, d):
+    return A.active_windows(s, d).select("session_id", "event_id", "seq", "timestamp", "app_name", "timezone_offset")
+
+
+@query
+def window_changes(s, d):
+    w = A.active_windows(s, d).withColumn("app_name", F.when(F.col("n") % 13 != 0, F.col("app_name"))).withColumn("window_title", F.col("app_name"))
+    return dwell.window_changes(w, ["seq"]).select("session_id", "event_id", "app_name")
+
+
+@query
+def resolve_poll(s, d):
+    p = A.table(s, d, "pages").select("page_id", F.col("url").alias("title"), F.struct(
+        F.when(F.col("page_id") % 3 == 0, "  Chrome ").when(F.col("page_id") % 3 == 1, "  ").alias("name"), F.lit("").alias("processName"), F.lit(None).cast("string").alias("bundleId")).alias("owner"))
+    return dwell.resolve_poll(p).select("page_id", "app_name", "window_title", "process_name")
+
+
+_DW = ["session_id", "window_event_id", "app_name", "timezone_offset", "timestamp_ms", "start_monotonic_ms", "dwell_time_ms"]
+
+
+@query
+def dwell_from_windows(s, d):
+    return A.dwells(s, d).select(*_DW)
+
+
+@query
+def heartbeat_split(s, d):
+    return dwell.heartbeat_split(A.dwells(s, d)).select(*_DW)
+
+
+@query
+def dwell_time_range(s, d):
+    return dwell.dwell_time_range(A.dwells(s, d))
+
+
+@query
+def dwells_in_range(s, d):
+    return dwell.dwells_in_range(A.dwells(s, d), 1_704_500_000_000, 1_705_000_000_000).select(*_DW)
+
+
+@query
+def session_dwells(s, d):
+    return dwell.session_dwells(A.dwells(s, d), "1").select(*_DW)
+
+
+@query
+def confirm_labels(s, d):
+    w = A.active_windows(s, d)
+    seen = w.select("session_id", F.floor(F.col("seq") / 6).cast("string").alias("window_event_id"), F.col("monotonic_ms").alias("t"), F.when(F.col("n") % 3 == 0, "on_goal").otherwise("related").alias("label"))
+    return dwell.confirm_labels(seen, 20_000_000)
+
+
+# categories and titles
+
+
+@query
+def categorize_apps(s, d):
+    return A.active_windows(s, d).select("event_id", categorize("app_name").alias("category"))
+
+
+@query
+def categorize_join(s, d):
+    rules = s.createDataFrame([(i, p, c) for i, (p, c) in enumerate([("chrome", "video"), *RULES])], "rule_no long, pattern string, category string")
+    p = A.table(s, d, "pages").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("app_name"))
+    return with_category(p, "app_name", rules).select("page_id", "category")
+
+
+@query
+def sanitize_title(s, d):
+    return _pages(s, d).select("page_id", N.sanitize_title("title").alias("clean"))
+
+
+@query
+def normalize_title(s, d):
+    return _titles(s, d).select("page_id", N.normalize_title("app", "title").alias("normalized"), N.domain_hint("title").alias("hint"))
+
+
+@query
+def app_boost(s, d):
+    return A.active_windows(s, d).select("event_id", N.app_boost("app_name", F.when(F.col("n") % 2 == 0, "tube").when(F.col("n") % 3 == 0, "my slack app")).alias("boost"))
+
+
+@query
+def goal_text(s, d):
+    p = A.table(s, d, "part").select("p_partkey", F.concat(F.lit("  Read "), F.col("p_name"), F.lit("  ")).alias("todo"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("hint"))
+    return p.select("p_partkey", N.normalize_goal("todo").alias("goal"), N.goal_display("todo", "hint").alias("shown"))
+
+
+# inputs
+
+
+@query
+def inputs_asof_window(s, d):
+    w = A.active_windows(s, d).where("n % 4 = 0")
+    x = A.deltas(s, d)
+    return inputs.inputs_asof_window(x, w).select("session_id", "monotonic_ms", "active_window_id", "window_start_ms", "key_count")
+
+
+@query
+def input_summaries(s, d):
+    return inputs.input_summaries(A.deltas(s, d), A.active_windows(s, d).where("n % 4 = 0"), 3_600_000)
+
+
+@query
+def accumulate_inputs(s, d):
+    return inputs.accumulate(A.deltas(s, d), KEYS).where(inputs.is_dirty())
+
+
+@query
+def inputs_in_range(s, d):
+    return inputs.inputs_in_range(A.deltas(s, d), 1_704_500_000_000, 1_705_000_000_000).select("id", "session_id", "timestamp_ms", "key_count")
+
+
+# features
+
+
+@query
+def dwell_x_bucket(s, d):
+    return features.dwell_x_bucket(A.dwells(s, d)).select("session_id", "window_event_id", "window_start", "overlap_ms")
+
+
+@query
+def app_ms(s, d):
+    x = features.app_ms(features.dwell_x_bucket(A.dwells(s, d)), KEYS)
+    return x.select("session_id", "window_start", "app_name", "ms", F.col("rows").alias("n_rows"))
+
+
+@query
+def bucket_inputs(s, d):
+    return features.bucket_inputs(A.deltas(s, d), KEYS)
+
+
+@query
+def build_features(s, d):
+    f = _features(s, d)
+    rounded = [F.round(c, 6).alias(c) for c in ("key_rate", "click_rate", "scroll_rate", "mouse_speed", "idle_ratio")]
+    return f.select("session_id", "window_start", "window_start_utc", "window_start_local", "timezone_offset", *_MS, "context_switch_count", "top_app_name", "top_category", "deep_work_candidate_flag", *rounded)
+
+
+@query
+def top_key(s, d):
+    return _features(s, d).select("session_id", "window_start", "top_app_name", "top_category")
+
+
+@query
+def features_60s(s, d):
+    return _features(s, d, window_ms=60_000, count_mode="windows", extra_flags=True).select("session_id", "window_start", "context_switch_count", "code_ms", "video_like_flag", "night_flag", "weekday_flag")
+
+
+@query
+def features_on_local_day(s, d):
+    return features.features_on_local_day(_features(s, d), "2024-01-05").select("session_id", "window_start_local", "other_ms", "code_ms")
+
+
+@query
+def upsert_features(s, d):
+    f = _features(s, d).select("session_id", "window_start", "code_ms")
+    new = f.where("window_start % 7 = 0").withColumn("code_ms", F.lit(-1).cast("long"))
+    return sinks.upsert(new, f, ["session_id", "window_start"])
+
+
+# reports
+
+
+@query
+def daily_totals(s, d):
+    return _daily(s, d).drop("timezone_offset")
+
+
+@query
+def top_apps(s, d):
+    return reports.top_apps(A.dwells(s, d), KEYS, limit=2).select("session_id", "app_name", "total_ms", "rank")
+
+
+@query
+def top_distractions(s, d):
+    return reports.top_distractions(A.dwells(s, d).withColumn("category", categorize("app_name")), KEYS).select("session_id", "app_name", "total_ms", "rank")
+
+
+@query
+def day_bounds_join(s, d):
+    x = reports.day_bounds_join(A.dwells(s, d), _daily(s, d), KEYS)
+    return x.groupBy("session_id", "local_date").agg(F.count("*").alias("dwells"), F.sum("dwell_time_ms").cast("long").alias("total_ms"))
+
+
+@query
+def daily_report(s, d):
+    x = reports.daily_report(_features(s, d), A.dwells(s, d), KEYS, 3)
+    return x.select("session_id", "local_date", "deep_work_ms", F.explode("top_apps").alias("t")).select("session_id", "local_date", "deep_work_ms", "t.rank", "t.app_name", "t.total_ms")
+
+
+@query
+def weekly_report(s, d):
+    x = reports.weekly_report(_daily(s, d), KEYS, "2024-01-10")
+    return x.select("session_id", "first_day", "last_day", *_MS, "deep_work_ms", "context_switches", F.size("trend_data").alias("days"))
+
+
+@query
+def dense_days(s, d):
+    return reports.dense_days(_daily(s, d), KEYS, "2024-01-10").select("session_id", "local_date", "code_ms", "windows")
+
+
+@query
+def deep_work_blocks(s, d):
+    return reports.deep_work_blocks(_features(s, d), KEYS)
+
+
+@query
+def report_text(s, d):
+    return reports.report_text(_daily(s, d)).select("session_id", "local_date", "report")
+
+
+@query
+def report_json(s, d):
+    return reports.report_json(_daily(s, d).select("session_id", "local_date", "code_ms"))
+
+
+@query
+def fmt_duration(s, d):
+    return A.dwells(s, d).select("window_event_id", N.fmt_duration(F.col("dwell_time_ms") * 40).alias("text"))
+
+
+@query
+def time_functions(s, d):
+    w = A.active_windows(s, d)
+    day = F.substring(T.iso_local("timestamp", "timezone_offset"), 1, 10)
+    return w.select("event_id", T.iso_utc("timestamp").alias("utc"), T.iso_local("timestamp", "timezone_offset").alias("local"), T.bucket_start("timestamp", 30_000).alias("bucket"), T.date_key("timestamp", "timezone_offset").alias("day_key"), T.local_day_to_utc_ms(day, "timezone_offset").alias("day_start_ms"))
+
+
+# semantic scores
+
+
+def _scored(s, d, shift=0.0):
+    w = A.windows_of_goals(s, d)
+    if shift:
+        w = w.withColumn("vector", F.transform("vector", lambda x: x + shift))
+    g = A.goals(s, d).withColumn("app_hint", F.when(F.col("goal_label") % 2 == 0, "chrome")).drop("goal_label").withColumnRenamed("goal_id", "gid")
+    w = w.withColumnRenamed("goal_id", "key")
+    g = g.withColumn("key", F.col("gid")).withColumnRenamed("gid", "goal_id")
+    fixed = s.createDataFrame([], "goal_id string, day_utc string, t_on double, t_off double")
+    return semantic.score_windows(w, g, fixed, on=["key"])
+
+
+@query
+def score_windows(s, d):
+    x = _scored(s, d)
+    return x.select("vec_id", F.col("key").alias("goal"), "day_utc", F.round("sim_score", 6).alias("sim_score"), F.round("final_score", 6).alias("final_score"), "label", "confidence")
+
+
+@query
+def calibrate_thresholds(s, d):
+    shift = F.when(F.col("day_utc") == "2024-01-01", 0.1).otherwise(0.0)
+    raw = A.windows_of_goals(s, d).join(A.goals(s, d), "goal_id").withColumn("goal_vector", F.transform("goal_vector", lambda x: x + shift))
+    raw = raw.select("goal_id", "day_utc", semantic.cosine("vector", "goal_vector").alias("score"))
+    c = semantic.calibrate(raw)
+    return c.select("goal_id", "day_utc", F.round("t_on", 6).alias("t_on"), F.round("t_off", 6).alias("t_off"), "sample_count")
+
+
+@query
+def compare_models(s, d):
+    a = _scored(s, d).where("key = 'g1' AND day_utc = '2024-01-01'")
+    b = _scored(s, d, 0.05).where("key = 'g1' AND day_utc = '2024-01-01'")
+    return semantic.compare_models(a, b, "vec_id").select("vec_id", F.round("delta", 6).alias("delta"), "label_same")
+
+
+@query
+def on_goal_time(s, d):
+    return semantic.on_goal_time(_scored(s, d), []).withColumnRenamed("label", "label")
+
+
+@query
+def goal_table(s, d):
+    w = A.active_windows(s, d)
+    log = w.select(F.col("session_id").alias("user_id"), F.col("seq").alias("at_ms"), F.when(F.col("n") % 5 == 0, "clear").otherwise("set").alias("action"), F.concat(F.lit("Do "), F.col("event_id")).alias("todo_text"), F.when(F.col("n") % 2 == 0, F.col("app_name")).alias("app_hint"))
+    return semantic.apply_goal_log(log)
+
+
+@query
+def embed_distinct(s, d):
+    p = A.table(s, d, "part").select("p_partkey", F.col("p_brand").alias("text"))
+    length = lambda t: t.select("text", F.array(F.length("text").cast("double")).alias("vector"))
+    return semantic.embed_distinct(p, "text", length).select("p_partkey", F.col("vector")[0].alias("v0"))
+
+
+# logs
+
+
+@query
+def audit_log(s, d):
+    return audit.audit_log(A.log_lines(s, d))
+
+
+@query
+def log_tail_seq(s, d):
+    return audit.log_tail_seq(A.log_lines(s, d)).select("file", "tail_seq", "truncated_lines", "truncated")
+
+
+@query
+def audit_sequence(s, d):
+    return audit.audit_sequence(A.log_lines(s, d).withColumn("seq", F.col("seq").cast("long")))
+
+
+def _ckpt(s, d):
+    t = audit.log_tail_seq(A.log_lines(s, d)).select(F.col("file").alias("session_id"), F.col("tail_seq"))
+    n = F.regexp_extract("session_id", "([0-9]+)$", 1).cast("long") % 3
+    return t, t.select("session_id", (F.col("tail_seq") + n - 1).alias("last_flushed_seq"))
+
+
+@query
+def reconcile_checkpoint(s, d):
+    return audit.reconcile_checkpoint(*_ckpt(s, d))
+
+
+@query
+def audit_checkpoint(s, d):
+    return audit.audit_checkpoint(*_ckpt(s, d)).select("session_id", "tail_seq", "last_flushed_seq")
+
+
+@query
+def validate_events(s, d):
+    w = A.active_windows(s, d)
+    good = F.to_json(F.struct(F.lit("1.0.0").alias("schema_version"), F.when(F.col("n") % 11 != 0, F.col("event_id")).alias("event_id"), "session_id", F.when(F.col("n") % 13 == 0, -1).otherwise(F.col("seq")).alias("seq"),
+        F.when(F.col("n") % 17 == 0, "soon").otherwise(T.iso_utc("timestamp")).alias("created_at"), F.col("timestamp").alias("epoch_ms"), "monotonic_ms", "timezone_offset", F.lit("os").alias("source"), F.col("event_type").alias("type"),
+        F.struct("value").alias("payload")))
+    lines = w.select(F.col("event_id").alias("id"), F.when(F.col("n") % 19 == 0, "not json").otherwise(good).alias("line"))
+    return audit.validate_events(lines).select("id", "violation")
+
+
+@query
+def insert_or_ignore(s, d):
+    w = A.active_windows(s, d).withColumn("event_id", F.when(F.col("n") % 23 == 0, "dup").otherwise(F.col("event_id")))
+    old = w.where("n % 10 = 0 AND event_id <> 'dup'")
+    new = sinks.insert_or_ignore(w.withColumn("session_id", F.when(F.col("n") % 29 != 0, F.col("session_id"))), old, [["event_id"], ["session_id", "seq"]], ["session_id"], ["n"])
+    return new.select("event_id", "session_id", "seq")
+
+
+@query
+def events_raw(s, d):
+    return sinks.events_raw(A.active_windows(s, d).select("event_id", "session_id", "seq", F.lit("x").alias("created_at"), "timezone_offset", "timestamp", "monotonic_ms", F.col("event_type").alias("type"))).drop("payload_json")
+
+
+@query
+def merge_streams(s, d):
+    w = A.active_windows(s, d).select("session_id", "timestamp", F.lit("active_window").alias("type"))
+    i = A.deltas(s, d).select("session_id", F.col("timestamp_ms").alias("timestamp"), F.lit("input_summary").alias("type"), "key_count")
+    return logs.merge_streams(w, i).groupBy("session_id", "type").agg(F.count("*").alias("n"), F.sum("key_count").alias("keys_n"))
+
+
+@query
+def log_file_order(s, d):
+    o = A.table(s, d, "orders").select(F.concat(F.lit("events-"), F.date_format("o_orderdate", "yyyyMMdd"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("."), (F.col("o_orderkey") % 12).cast("string"))).otherwise(""), F.lit(".jsonl")).alias("file")).distinct()
+    return audit.log_file_order(o).select("file", "log_date", "rotation", "newest")
+
+
+@query
+def retention_purge(s, d):
+    o = A.table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("bytes"))
+    files = o.select(F.date_format("day", "yyyyMMdd").alias("file"), (F.unix_date("day").cast("long") * 86_400_000).alias("log_day_ms"), "bytes")
+    return audit.retention_purge(files, 900_000_000_000, 2_000, 500)
+
+
+# streams, each over what is there
+
+
+@query
+def stream_dwell(s, d):
+    sdf, folder = _stream(s, A.active_windows(s, d).select("session_id", "seq", "event_id", "app_name", "monotonic_ms"))
+    return streams.run_available(streams.stream_dwell(sdf), folder)
+
+
+@query
+def stream_window_changes(s, d):
+    w = A.active_windows(s, d).select("session_id", "seq", "monotonic_ms", "app_name", F.col("app_name").alias("window_title"))
+    sdf, folder = _stream(s, w)
+    return streams.run_available(streams.stream_window_changes(sdf), folder).select("session_id", "seq", "app_name")
+
+
+@query
+def stream_dedup(s, d):
+    w = A.active_windows(s, d).select("event_id", F.timestamp_millis("timestamp").alias("ts"))
+    sdf, folder = _stream(s, w.unionByName(w))
+    return streams.run_available(streams.stream_dedup(sdf, "60 days"), folder).select("event_id")
+
+
+@query
+def stream_confirm_label(s, d):
+    w = A.active_windows(s, d)
+    sdf, folder = _stream(s, w.select(F.concat_ws("-", "session_id", F.floor(F.col("seq") / 6).cast("string")).alias("window_event_id"), F.col("monotonic_ms").alias("t"), F.when(F.col("n") % 3 == 0, "on_goal").otherwise("related").alias("label")))
+    out = streams.run_available(streams.stream_confirm_label(sdf, 20_000_000), folder)
+    return out.groupBy("window_event_id").agg(F.max_by("semantic_label", "t").alias("semantic_label"))
+
+
+@query
+def stream_input_summary(s, d):
+    x = inputs.inputs_asof_window(A.deltas(s, d), A.active_windows(s, d)).where("active_window_id IS NOT NULL").withColumn("ts", F.timestamp_millis("monotonic_ms"))
+    sdf, folder = _stream(s, x)
+    out = streams.stream_input_summary(sdf, 3_600_000, "0 seconds")
+    return streams.run_available(out, folder)
+
+
+@query
+def stream_features(s, d):
+    sdf, folder = _stream(s, A.dwells(s, d))
+    return streams.run_available(streams.stream_features(sdf, late="0 seconds"), folder)
+
+
+@query
+def stream_fanout(s, d):
+    e = logs.merge_streams(
+        A.active_windows(s, d).select("event_id", "session_id", "seq", "timestamp", "monotonic_ms", "timezone_offset", F.lit("x").alias("created_at"), F.lit("active_window").alias("type")),
+        A.dwells(s, d).select(F.col("id").alias("event_id"), "session_id", "seq", F.col("timestamp_ms").alias("timestamp"), "timezone_offset", F.lit("window_dwell").alias("type"), "dwell_time_ms"),
+    )
+    sdf, folder = _stream(s, e)
+    streams.stream_fanout(sdf, f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{folder}/out/window_dwell").groupBy("session_id").agg(F.count("*").alias("n"), F.sum("dwell_time_ms").alias("total_ms"))
+
+
+@query
+def read_event_log(s, d):
+    """The events written as a log of JSON lines and read back."""
+    _, folder = _stream(s, A.active_windows(s, d).limit(0))
+    A.active_windows(s, d).select("event_id", "session_id", "seq", "timestamp", "app_name").write.mode("overwrite").json(f"{folder}/log")
+    df = s.read.schema(logs.EVENT).option("columnNameOfCorruptRecord", "_corrupt").json(f"{folder}/log")
+    return logs.read_all_versions(df).groupBy("session_id", "type").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))

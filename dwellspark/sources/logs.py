@@ -29,6 +29,12 @@ def read_log_lines(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
 
 
+def list_log_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, bytes) of each log file, empty ones too; contents aren't read."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", "events-*.jsonl").load(folder)
+    return df.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+
+
 def event_log_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     stream = spark.readStream.schema(EVENT).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "events-*.jsonl")
     return stream.option("maxFilesPerTrigger", files_per_trigger).json(folder)
