@@ -49,9 +49,9 @@ def merkle_levels(leaf: DataFrame, fanout: int = FANOUT, archive: int = ARCHIVE)
     A node covers a fixed range of ids, so the same record has the same path in
     every replica and a lost record changes its own branch only. Level 0 hashes
     each id range's records with their offsets; above, a node's hash covers its
-    children's numbers and hashes.
+    children's numbers and hashes. Null and negative ids count in the first range.
     """
-    ranged = leaf.withColumn("node", F.floor(F.coalesce("id", F.lit(-1)) / fanout).cast("long"))
+    ranged = leaf.withColumn("node", F.floor(F.greatest(F.coalesce("id", F.lit(0)), F.lit(0)) / fanout).cast("long"))
     parts = F.sort_array(F.collect_list(F.struct("id", "copy", "offset", "length", "hash")))
     text = F.array_join(F.transform(parts, lambda p: F.concat_ws(":", F.coalesce(p["id"].cast("string"), F.lit("")), p["length"], p["hash"])), "|")
     span = [F.min("offset").alias("low"), F.max(F.col("offset") + F.col("length")).alias("high")]
@@ -86,7 +86,7 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT, archive: int
             x, y = (t.join(open_nodes, F.floor(t["node"] / fanout) == open_nodes["open"], "left_semi") for t in (x, y))
         both = x.select("node", F.col("hash").alias("h1")).join(y.select("node", F.col("hash").alias("h2")), "node", "full")
         open_nodes = cut(both.where("NOT (h1 <=> h2)").select(F.col("node").alias("open")))
-    a, b = (t.join(open_nodes, F.floor(F.coalesce(t["id"], F.lit(-1)) / fanout) == open_nodes["open"], "left_semi") for t in (a, b))
+    a, b = (t.join(open_nodes, F.floor(F.greatest(F.coalesce(t["id"], F.lit(0)), F.lit(0)) / fanout) == open_nodes["open"], "left_semi") for t in (a, b))
     a, b = (t.select(F.coalesce("id", F.lit(-1)).alias("_id"), "copy", *(F.col(c).alias(f"{side}_{c}") for c in ("offset", "length", "hash"))) for t, side in ((a, "left"), (b, "right")))
     kind = F.when(F.col("left_hash").isNull(), "extra").when(F.col("right_hash").isNull(), "missing").otherwise("changed")
     out = a.join(b, ["_id", "copy"], "full").where("NOT (left_hash <=> right_hash)")
