@@ -77,4 +77,22 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op3_substring_dedup": op3_substring_dedup, "op4_lm_mixing": op4_lm_mixing, "op5_language": op5_language, "op6_quality_rank": op6_quality_rank, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate,
     "op9_licenses": op9_licenses, "op10_warc_fixity": op10_warc_fixity}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": r"""
+      WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+      p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
+      k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(ws[s:s + 19], ' ') ORDER BY doc_id, s) AS rn FROM p),
+      gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS pos FROM k WHERE rn > 1),
+      words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+      kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+      SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+      FROM w LEFT JOIN kept USING (doc_id)""",
+    "op10_warc_fixity": r"""
+      WITH r AS (SELECT page_id AS id, encode(E'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' || page_id || E'>\r\nWARC-Target-URI: ' || coalesce(url, '')
+          || E'\r\nContent-Type: text/html\r\nContent-Length: ' || octet_length(encode(coalesce(html, ''))) || E'\r\n\r\n' || coalesce(html, '') || E'\r\n\r\n') AS rec FROM pages),
+      b AS (SELECT id, CASE WHEN id % 97 = 0 THEN rec[:octet_length(rec) - 6] || encode(E'??\r\n\r\n') WHEN id % 131 = 0 THEN rec[:octet_length(rec) // 2] ELSE rec END AS rec FROM r WHERE id % 211 <> 0),
+      la AS (SELECT id, octet_length(rec) AS length, sha256(rec) AS hash, CAST(sum(octet_length(rec)) OVER (PARTITION BY id // 1024 ORDER BY id) - octet_length(rec) AS BIGINT) AS off FROM r),
+      lb AS (SELECT id, octet_length(rec) AS length, sha256(rec) AS hash, CAST(sum(octet_length(rec)) OVER (PARTITION BY id // 1024 ORDER BY id) - octet_length(rec) AS BIGINT) AS off FROM b)
+      SELECT la.id AS page_id, 0 AS copy, CASE WHEN lb.id IS NULL THEN 'missing' ELSE 'changed' END AS kind, la.off AS left_offset, la.length AS left_length, la.hash AS left_hash,
+        lb.off AS right_offset, lb.length AS right_length, lb.hash AS right_hash FROM la LEFT JOIN lb USING (id) WHERE lb.id IS NULL OR la.hash <> lb.hash""",
+}
