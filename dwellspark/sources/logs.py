@@ -30,9 +30,12 @@ def read_log_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_log_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, bytes) of each log file, empty ones too; contents aren't read."""
+    """(file, bytes) of each log file; contents aren't read. Scans pass over empty
+    files, so names come from the scan's file listing and missing sizes are 0."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", "events-*.jsonl").load(folder)
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+    names = spark.createDataFrame([(path.rsplit("/", 1)[-1],) for path in df.inputFiles()], "file string")
+    sizes = df.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("_bytes"))
+    return names.join(sizes, "file", "left").select("file", F.coalesce("_bytes", F.lit(0).cast("long")).alias("bytes"))
 
 
 def event_log_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
