@@ -111,7 +111,7 @@ def test_mixer_is_a_distribution():
     rng = np.random.default_rng(1)
     from dwellspark.llm import mixing
 
-    model = Mixer([rng.integers(0, 9, 2 << b) for b in mixing.BITS])
+    model = Mixer([rng.integers(0, 9, 2 << b) for b in mixing.BITS], mixing.Code(rng.integers(0, 99, 256)))
     singles = pa.array([chr(i) for i in range(128)] + [""])
     p = 2.0 ** -model.log2_losses(singles)
     assert 0 < p.sum() < 1
@@ -119,6 +119,19 @@ def test_mixer_is_a_distribution():
     assert cost[0] == pytest.approx(model.log2_losses(pa.array(["zz", "abcabcabc" * 300, "q"]))[1])
 
 
+def test_mixer_codes_every_byte_value_once():
+    """Values of each group and the bytes behind the groups are a whole distribution."""
+    from dwellspark.llm import mixing
+
+    code = mixing.Code(np.arange(256))
+    first, second = code.digits(np.arange(256, dtype=np.uint8), 0), code.digits(np.arange(256, dtype=np.uint8)[code.rank >= mixing.MORE], 1)
+    assert np.bincount(first).tolist() == [1] * mixing.MORE + [256 - mixing.MORE] and np.bincount(second).tolist() == [1] * mixing.MORE + [256 - 2 * mixing.MORE]
+    assert (2.0 ** -code.rest[code.rank >= 2 * mixing.MORE]).sum() == pytest.approx(1) and not code.rest[code.rank < 2 * mixing.MORE].any()
+    data, offsets = mixing._ended(pa.array(["ab cab", "", None, "b cab"]))
+    one, _, three, _, word = mixing.contexts(data, offsets)
+    assert one.dtype == word.dtype == np.uint32 and word[5] == word[13] and word[4] != word[5] and three[5] == three[13] and one[0] == one[9]
+
+
 def test_lm_edges(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "The the " * 4000, 0), (4, "the", 0)], "doc_id long, text string, score int")
     got = {r.doc_id: r for r in lm_scores(df, remainder("doc_id", 10) >= 0).collect()}
