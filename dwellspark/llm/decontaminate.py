@@ -50,6 +50,7 @@ class ItemIndex:
     item. ``block_post`` points into ``block`` and ``block_max``, each term's
     largest weight in each block of items, without the block's most frequent
     terms; ``rest`` is what must come from the others for a block to matter.
+    ``questions`` and ``answers`` are each item's runs and their length.
     """
 
     ids: list
@@ -64,8 +65,8 @@ class ItemIndex:
     block: np.ndarray
     block_max: np.ndarray
     rest: np.ndarray
-    questions: list[np.ndarray]
-    answers: list[np.ndarray]
+    questions: list[tuple[int, np.ndarray]]
+    answers: list[tuple[int, np.ndarray]]
 
     def look_up(self, h: np.ndarray):
         """Number of each word's term; -1 where no item has it."""
@@ -136,8 +137,10 @@ def build_index(items: list[tuple[object, str]], level: float = LEVEL) -> ItemIn
     )
 
 
-def _runs(h: np.ndarray) -> np.ndarray:
-    return np.unique(gram_hashes(h, min(RUN, max(len(h), 1))))
+def _runs(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """Words of a run (RUN, or all of a shorter part), and a part's runs."""
+    k = min(RUN, max(len(h), 1))
+    return k, np.unique(gram_hashes(h, k))
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray):
@@ -197,8 +200,13 @@ def search(index: ItemIndex, term: np.ndarray, first: np.ndarray):
             yield int(row[p]), int(index.owner[k * BLOCK + j]), float(score[j])
 
 
-def _share(have: np.ndarray, runs: np.ndarray) -> float:
-    return float(np.isin(runs, have).mean()) if len(runs) else 1.0
+def _share(own: dict[int, np.ndarray], words: np.ndarray, part: tuple[int, np.ndarray]) -> float:
+    """Share of a part's runs that stand in a document's words; ``own`` keeps the
+    document's runs of each length."""
+    k, runs = part
+    if k not in own:
+        own[k] = gram_hashes(words, k)
+    return float(np.isin(runs, own[k]).mean()) if len(runs) else 1.0
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -208,7 +216,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Every passage of PASSAGE words (a new one each STRIDE) of every whole text is
     a query; those that reach an item's need are verified: at least OVERLAP of
     the question's and of the answer's RUN-word runs must stand in the
-    document. Words are compared in lower case. Items are indexed in parts of bounded size, each part searched in
+    document; a question or answer of fewer words is one run of all its words,
+    and an item of one word is all answer. Words are compared in lower case. Items are indexed in parts of bounded size, each part searched in
     one pass over the documents. Null and empty texts and items match nothing;
     repeated items and documents each give their rows; no items, no rows.
     """
@@ -238,9 +247,12 @@ def _searcher(index: ItemIndex, id_col: str, item_col: str, ikind: str):
                 for row, item, score in search(index, index.look_up(h), first):
                     best[row, item] = max(score, best.get((row, item), 0))
                 out = []
+                last, own = -1, {}
                 for (row, item), score in sorted(best.items()):
-                    own = gram_hashes(h[first[row] : first[row + 1]], RUN)
-                    q, a = _share(own, index.questions[item]), _share(own, index.answers[item])
+                    if row != last:
+                        last, own = row, {}
+                    words = h[first[row] : first[row + 1]]
+                    q, a = _share(own, words, index.questions[item]), _share(own, words, index.answers[item])
                     if q >= OVERLAP and a >= OVERLAP:
                         out.append((row, index.ids[item], round(score, 6), q, a))
                 rows = pa.array([r[0] for r in out], pa.int64())

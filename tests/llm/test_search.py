@@ -59,6 +59,14 @@ def test_decontamination_edges(spark, monkeypatch):
     assert contaminated(df.limit(0), items).count() == 0 and contaminated(df, items.limit(0)).count() == 0
 
 
+def test_short_items_are_found(spark):
+    word = lambda n, m: " ".join(f"{m}{j}" for j in range(n))
+    items = {n: word(n, f"i{n}x") for n in (1, 2, 4, 9, 10)} | {16: "Who is it. " + word(13, "s"), 19: "Name all four now. " + word(15, "t")}
+    docs = {n: word(70, "a") + " " + x.upper() + ", " + word(70, "b") for n, x in items.items()} | {90: word(300, "c"), 91: "i4x0 other i4x1 other i4x2", 92: "who is it " + word(60, "d"), 93: items[1]}
+    got = contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(n, n) for n in sorted(items)] + [(93, 1)]
+
+
 def brute(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
