@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from .text import flat, mix, pieces, word_hashes
 
 SEED, DROPOUT = 20_240_501, 0.1
-#: how many different segmentations of a word one seed can give
-VARIANTS = 4
 #: characters of a unit from which its agenda is a heap
 LONG = 256
+#: occurrences with a skipped candidate that are segmented at once
+SLAB = 1 << 15
 SPACE, MARK = 0x20, "▁"
 
 
@@ -140,12 +140,13 @@ def segment_one(model: PieceModel, symbols: list[int], key: int, dropout: float)
     return [(piece[i], end[i]) for i in range(n) if alive[i]]
 
 
-def segment(model: PieceModel, symbol: np.ndarray, unit: np.ndarray, keys: np.ndarray, dropout: float):
+def segment(model: PieceModel, symbol: np.ndarray, unit: np.ndarray, keys: np.ndarray, dropout: float, offered: list | None = None):
     """Pieces of many units at once: (unit, first symbol, piece), in order.
 
     Each round takes the top candidate of every unit's agenda (best score, then
     leftmost) that its hash doesn't skip, and merges it, until no unit has one.
-    Units of LONG or more symbols are done one by one with a heap.
+    Units of LONG or more symbols are done one by one with a heap. ``offered``
+    takes the candidates of the others: (unit, start, middle, end).
     """
     done = []
     sizes = np.bincount(unit, minlength=len(keys))
@@ -157,7 +158,7 @@ def segment(model: PieceModel, symbol: np.ndarray, unit: np.ndarray, keys: np.nd
         done.append((np.full(len(got), u), begin, np.array([p for p, _ in got], np.int32)))
     live = sizes[unit] < LONG
     u, s, p, e = unit[live], start[live], symbol[live].astype(np.int32), start[live] + 1
-    merged = _candidates(model, u, s, p, e, keys, dropout, np.arange(len(u)), np.full(len(u), -1, np.int32))
+    merged = _candidates(model, u, s, p, e, keys, dropout, np.arange(len(u)), np.full(len(u), -1, np.int32), offered)
     while len(u):
         rank = np.where(merged >= 0, model.score[merged], -np.inf)
         heads = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
@@ -178,20 +179,23 @@ def segment(model: PieceModel, symbol: np.ndarray, unit: np.ndarray, keys: np.nd
         moved[before] = True
         u, s, p, e, merged, moved = (x[stay] for x in (u, s, p, e, merged, moved))
         if len(u):
-            merged = _candidates(model, u, s, p, e, keys, dropout, np.flatnonzero(moved), merged)
+            merged = _candidates(model, u, s, p, e, keys, dropout, np.flatnonzero(moved), merged, offered)
     u, s, p = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(3))
     order = np.lexsort((s, u))
     return u[order], s[order], p[order].astype(np.int32)
 
 
-def _candidates(model, u, s, p, e, keys, dropout, at, merged):
+def _candidates(model, u, s, p, e, keys, dropout, at, merged, offered=None):
     """Renew what the symbols at ``at`` merge to with their right neighbours."""
     last = at == len(u) - 1
     nxt = np.where(last, at, at + 1)
     m = model.merge(p[at], p[nxt])
     m[last | (u[nxt] != u[at])] = -1
     ok = np.flatnonzero(m >= 0)
-    m[ok[skipped(keys[u[at[ok]]], s[at[ok]], s[nxt[ok]], e[nxt[ok]], dropout)]] = -1
+    if offered is not None:
+        offered.append((u[at[ok]], s[at[ok]], s[nxt[ok]], e[nxt[ok]]))
+    if dropout > 0:
+        m[ok[skipped(keys[u[at[ok]]], s[at[ok]], s[nxt[ok]], e[nxt[ok]], dropout)]] = -1
     merged[at] = m
     return merged
 
@@ -202,14 +206,33 @@ def _gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - length), length)
 
 
-def encode(model: PieceModel, column: pa.Array, id_hash: np.ndarray, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS):
+def _varied(keys: np.ndarray, which: np.ndarray, long: np.ndarray, offered: list, dropout: float) -> np.ndarray:
+    """Occurrences (by their units ``which``) with a key that skips any candidate
+    offered to their unit without dropout; all of long units."""
+    u, start, middle, end = (np.concatenate(x) for x in zip(*offered))
+    order = np.argsort(u, kind="stable")
+    start, middle, end = start[order], middle[order], end[order]
+    many = np.bincount(u, minlength=len(long))
+    first = np.cumsum(many) - many
+    found, left = [np.flatnonzero(long[which])], np.flatnonzero(~long[which])
+    for c in range(int(many.max(initial=0))):
+        left = left[many[which[left]] > c]
+        at = first[which[left]] + c
+        hit = skipped(keys[left], start[at], middle[at], end[at], dropout)
+        found.append(left[hit])
+        left = left[~hit]
+    return np.sort(np.concatenate(found))
+
+
+def encode(model: PieceModel, column: pa.Array, id_hash: np.ndarray, seed: int = SEED, dropout: float = DROPOUT):
     """Ids of all texts of one piece, and where each text's begin (n + 1).
 
     A text gets one blank in front and is cut into units (blanks, then what
     follows up to the next blank); no piece of the vocabulary crosses units.
-    Equal units of one variant are segmented once; an occurrence's variant is a
-    hash of its text's id and its number in the text. Characters without a piece
-    become byte pieces.
+    An occurrence's key is a hash of its text's id, its number in the text and
+    its unit. Equal units are segmented once without dropout; an occurrence with a key
+    that skips none of the candidates of that run has the same pieces, each other
+    one is segmented by itself. Characters without a piece become byte pieces.
     """
     data, offsets = flat(column)
     rows = len(column)
@@ -227,10 +250,8 @@ def encode(model: PieceModel, column: pa.Array, id_hash: np.ndarray, seed: int =
     first = np.searchsorted(starts, offsets)
     row = np.repeat(np.arange(rows), np.diff(first))
     number = np.arange(len(starts)) - first[row]
-    variant = mix(id_hash[row] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(variants) if dropout > 0 else np.zeros(len(row), np.uint64)
     h = word_hashes(data, starts, ends)
-    key = mix(h ^ mix(variant + np.uint64(seed)))
-    _, one, which = np.unique(key, return_index=True, return_inverse=True)
+    _, one, which = np.unique(h, return_index=True, return_inverse=True)
     # symbols of the different units
     size = (ends - starts)[one]
     raw = data[_gather(starts[one], size)]
@@ -245,18 +266,36 @@ def encode(model: PieceModel, column: pa.Array, id_hash: np.ndarray, seed: int =
     )
     symbol = np.where(code == SPACE, model.space, model.of_char[np.minimum(code, 0x10FFFF)])
     unit = np.searchsorted(edge, lead, "right") - 1
-    u, s, p = segment(model, symbol, unit, key[one], dropout)
-    # a symbol without a piece becomes its bytes
     char0 = np.searchsorted(lead, edge[:-1])
-    spot = lead[char0[u] + s]
-    many = np.where(p < 0, width[char0[u] + s], 1)
+    symbols = np.diff(np.r_[char0, len(lead)])
+    if dropout > 0:
+        key = mix(h ^ mix(mix(id_hash[row] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(seed)))
+        offered, long = [], symbols >= LONG
+        short = ~long[unit]
+        parts = [segment(model, symbol[short], unit[short], h[one], 0, offered)]
+        varied = _varied(key, which, long, offered, dropout)
+        for i in range(0, len(varied), SLAB):
+            some = varied[i : i + SLAB]
+            own = symbols[which[some]]
+            u, s, p = segment(model, symbol[_gather(char0[which[some]], own)], np.repeat(np.arange(len(some)), own), key[some], dropout)
+            parts.append((u + len(one) + i, s, p))
+        u, s, p = (np.concatenate(x) for x in zip(*parts))
+    else:
+        varied = np.zeros(0, np.int64)
+        u, s, p = segment(model, symbol, unit, h[one], 0)
+    # forms: units without a skipped candidate, then single occurrences
+    of, form = np.r_[np.arange(len(one)), which[varied]], which.copy()
+    form[varied] = len(one) + np.arange(len(varied))
+    # a symbol without a piece becomes its bytes
+    place = char0[of[u]] + s
+    many = np.where(p < 0, width[place], 1)
     flat_p = np.repeat(p, many)
     byte = np.flatnonzero(flat_p < 0)
-    flat_p[byte] = model.of_byte[raw[_gather(spot, many)[byte]]]
-    per_unit = np.bincount(u, many, len(one)).astype(np.int64)
-    unit_at = np.r_[0, np.cumsum(per_unit)]
-    count = per_unit[which]
-    ids = flat_p[_gather(unit_at[which], count)]
+    flat_p[byte] = model.of_byte[raw[_gather(lead[place], many)[byte]]]
+    per_form = np.bincount(u, many, len(of)).astype(np.int64)
+    form_at = np.r_[0, np.cumsum(per_form)]
+    count = per_form[form]
+    ids = flat_p[_gather(form_at[form], count)]
     total = np.r_[0, np.cumsum(count)]
     return ids, total[first], data, offsets
 
@@ -274,7 +313,7 @@ def decode(model: PieceModel, ids: np.ndarray, bounds: np.ndarray):
 
 def encode_pieces(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None,
-    seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS,
+    seed: int = SEED, dropout: float = DROPOUT,
 ) -> DataFrame:
     """``(id, ids array<int>, n_pieces, lossless)``: each whole text's piece ids, and
     whether decoding them gives back its very bytes.
@@ -293,7 +332,7 @@ def encode_pieces(
             for i, n in pieces(b.column(1), 2 << 20):
                 part = b.column(1).slice(i, n)
                 hashed = b.column(2).slice(i, n).to_numpy(zero_copy_only=False).view(np.uint64)
-                ids, bounds, _, _ = encode(model, part, hashed, seed, dropout, variants)
+                ids, bounds, _, _ = encode(model, part, hashed, seed, dropout)
                 back, at = decode(model, ids, bounds)
                 data, offsets = flat(part)
                 same = np.diff(at) == np.diff(offsets)

@@ -41,6 +41,32 @@ def test_dropout_varies_and_decodes(spark):
     assert (again == ids).all() and not len(ids) == len(encode(model, texts, np.arange(len(texts), dtype=np.uint64), dropout=0.3, seed=5)[0])
 
 
+def test_frequent_words_split_at_the_dropout_rate():
+    """A word of one merge is split in a share of its occurrences near the rate, and
+    a longer one has many segmentations."""
+    model, n = load(default_model()), 400
+    ids, bounds, _, _ = encode(model, pa.array(["a " * 50] * n), np.random.default_rng(7).integers(0, 2**63, n, dtype=np.uint64), dropout=0.1)
+    # 50 times " a", each one piece or two, and the blank at the end
+    split = (np.diff(bounds) - 51) / 50
+    assert abs(split.mean() - 0.1) < 0.01 and (split > 0).mean() > 0.95
+    ids, bounds, _, _ = encode(model, pa.array([" ".join(["international"] * 2000)]), np.zeros(1, np.uint64), dropout=0.1)
+    spelled = [bytes(model.bytes[model.start[i] : model.start[i] + model.length[i]]).decode() for i in ids]
+    at = [k for k, x in enumerate(spelled) if x.startswith(" ")] + [len(spelled)]
+    assert len({tuple(spelled[a:b]) for a, b in zip(at, at[1:])}) > 20
+
+
+def test_occurrences_equal_their_own_agenda(monkeypatch):
+    """The shortcut for occurrences without a skipped candidate changes nothing."""
+    from dwellspark.llm import pieces
+
+    model, texts = load(default_model()), pa.array(["the thinking another international café " * 60] * 5 + TEXTS)
+    ids = np.arange(len(texts), dtype=np.uint64)
+    some = encode(model, texts, ids, dropout=0.1)
+    monkeypatch.setattr(pieces, "_varied", lambda keys, *_: np.arange(len(keys)))
+    each = encode(model, texts, ids, dropout=0.1)
+    assert (some[0] == each[0]).all() and (some[1] == each[1]).all()
+
+
 def test_encode_edges(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(90, None, "x"), (None, "null id", "y"), (5, "", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
