@@ -17,13 +17,14 @@ CUT = 30.86
 #: rows below which a group borrows the estimate of its language, then of all
 LEAST_ROWS = 60
 STEPS = 3
-#: transformed statistics, and the least spread that counts for each
+#: transformed statistics, and the least spread (given those before it) that counts
+#: for each: a floor under the estimate, so small that the last two reach CUT alone
 STATS = {
     "x0": ("ln(n_words + 1)", 0.8),
     "x1": ("word_chars / greatest(n_words, 1)", 0.3),
     "x2": ("sqrt(100 * n_symbols / greatest(n_words, 1))", 0.5),
-    "x3": ("sqrt(100 * n_dup_lines / greatest(n_lines, 1))", 2.0),
-    "x4": ("ln(1 + 100 * n_repeat_words / greatest(n_words, 1))", 1.0),
+    "x3": ("sqrt(100 * n_dup_lines / greatest(n_lines, 1))", 1.0),
+    "x4": ("ln(1 + 100 * n_repeat_words / greatest(n_words, 1))", 0.65),
 }
 _X = list(STATS)
 _PAIRS = [(i, j) for i in range(len(_X)) for j in range(i + 1)]
@@ -68,12 +69,13 @@ def _with_distance(rows: DataFrame) -> DataFrame:
 
 
 def _factored(table: DataFrame) -> DataFrame:
-    """Cholesky factor l of covariance v (columns vij), row by row."""
+    """Cholesky factor l of covariance v (columns vij), row by row; what is left
+    on the diagonal counts as the statistic's least spread, squared, at least."""
     for i, j in _PAIRS:
         rest = F.col(f"v{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        floor = (0.1 * STATS[_X[i]][1]) ** 2
+        floor = STATS[_X[i]][1] ** 2
         table = table.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floor))) if i == j else rest / F.col(f"l{j}{j}"))
     return table
 
@@ -120,7 +122,7 @@ def outlier_distances(rows: DataFrame, keys: list[str], fit: F.Column) -> DataFr
         centre = model.select("grp", *(f"c{i}" for i in dev)).join(table, "grp")
         model = centre.select(
             "grp", *((F.col(f"c{i}") + mean[i]).alias(f"c{i}") for i in dev),
-            *((cov[i, j] + F.lit(STATS[_X[i]][1] ** 2) if i == j else cov[i, j]).alias(f"v{i}{j}") for i, j in _PAIRS),
+            *(cov[i, j].alias(f"v{i}{j}") for i, j in _PAIRS),
         )
         model = cut(_factored(model).drop(*(f"v{i}{j}" for i, j in _PAIRS)))
     return _with_distance(rows.join(model, "grp", "left")).drop("grp", "_fit", *(f"y{i}" for i in range(len(_X))), *(f"c{i}" for i in range(len(_X))), *(f"l{i}{j}" for i, j in _PAIRS))

@@ -46,6 +46,20 @@ def test_rules_reject_junk_and_keep_clean(spark, sf):
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept) for r in got.values())
 
 
+def test_repeats_alone_are_rejected(spark):
+    """Half the lines, or much of the words, repeated: out by distance, whatever else."""
+    rng = np.random.default_rng(6)
+    body = lambda: [" ".join(f"{w:x}" for w in rng.integers(4096, 65536, 10)) for _ in range(int(rng.integers(18, 24)))]
+    clean = {i: "\n".join(body()) for i in range(200)}
+    lines = {1000 + i: "\n".join(f"{x}\nmenu" for x in body()) for i in range(3)}
+    words = {2000 + i: "\n".join(b + [" ".join(b[:6])]) for i, b in enumerate(body() for _ in range(3))}
+    rows = [(i, t, "en", "s") for i, t in {**clean, **lines, **words}.items()]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in got.values()) and sum(got[i].kept for i in clean) >= 198
+    assert all(got[i].n_repeat_words == 0 < got[i].n_dup_lines for i in lines) and all(got[i].n_dup_lines == 0 < got[i].n_repeat_words for i in words)
+    assert not any(got[i].kept for i in (*lines, *words))
+
+
 def test_rules_edges(spark):
     df = spark.createDataFrame([(*r, 1) for r in EDGE], SCHEMA + ", kept int")
     assert len(quality_rules(df).collect()) == len(EDGE) and quality_rules(df.limit(0)).count() == 0
