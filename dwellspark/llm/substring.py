@@ -9,18 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
-from .text import as_binary, flat, gram_hashes, pieces, spans, word_hashes
+from .sieve import sieve
+from .store import cut, drop
+from .text import as_binary, flat, gram_hashes, mix, pieces, run_hashes, spans, word_hashes
 
 WINDOW = 20
 #: words of the runs whose least hash routes a window: few enough for long runs of
 #: windows, too many to repeat by chance
 GRAM = 9
-#: words of one shard's index
-SHARD_WORDS = 400_000
+#: bytes of one shard's segments
+SHARD_BYTES = 3_000_000
 #: places of one routing hash beyond which its windows are routed one by one
 HOT_PLACES = 20_000
-_PLACE = np.uint64((1 << 24) - 1)
 
 
 class Wavelet:
@@ -32,14 +32,14 @@ class Wavelet:
         for level in range(levels - 1, -1, -1):
             bit = (v >> level & 1).astype(bool)
             packed = np.packbits(np.r_[bit, np.zeros(64 + -len(bit) % 64, bool)], bitorder="little").view(np.uint64)
-            ones = np.r_[0, np.cumsum(np.bitwise_count(packed), dtype=np.int64)]
+            ones = np.r_[0, np.cumsum(np.bitwise_count(packed), dtype=np.int64)].astype(np.uint32)
             self.rows.append((packed, ones, int((~bit).sum())))
             v = np.concatenate([v[~bit], v[bit]])
 
     @staticmethod
     def _ones(packed, ones, at):
         low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return ones[at >> 6] + np.bitwise_count(packed[at >> 6] & low)
+        return ones[at >> 6].astype(np.int64) + np.bitwise_count(packed[at >> 6] & low)
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before its place."""
@@ -54,7 +54,8 @@ class Wavelet:
 class FMIndex:
     """FM-index over integer words (1..), with backward search for many
     patterns at once. Suffixes are ordered by their first ``depth`` words, which
-    is all that patterns of up to ``depth`` words need."""
+    is all that patterns of up to ``depth`` words need; only the wavelet rows of
+    the transform are kept, neither suffixes nor words."""
 
     def __init__(self, words: np.ndarray, depth: int):
         rank, h = words.astype(np.int64), 1
@@ -62,10 +63,9 @@ class FMIndex:
             after = np.r_[rank[h:], np.full(min(h, len(rank)), -1)][: len(rank)] + 1
             _, rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + after, return_inverse=True)
             h *= 2
-        self.suffix = np.argsort(rank, kind="stable")
         top = int(words.max(initial=0))
         self.before = np.r_[0, np.cumsum(np.bincount(words, minlength=top + 1))]
-        bwt = words[self.suffix - 1]
+        bwt = words[np.argsort(rank, kind="stable") - 1]
         self.tree, self.n = Wavelet(bwt, max(1, top.bit_length())), len(words)
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray):
@@ -73,39 +73,44 @@ class FMIndex:
         base = self.before[symbol]
         return base + self.tree.rank(symbol, lo), base + self.tree.rank(symbol, hi)
 
-    def intervals(self, words: np.ndarray, ends: np.ndarray, length: int, least: int = 1):
-        """Matching statistics, cut at ``length``: for each end (exclusive) the
-        suffix interval of the ``length`` words before it. A match that fewer
-        than ``least`` places share drops out on the way, its interval empty."""
+    def matching(self, words: np.ndarray, ends: np.ndarray, longest: int, least: int = 1):
+        """Matching statistics of a streamed text: for each end (exclusive), how
+        many of the words before it, ``longest`` at most, stand together at
+        ``least`` places of the index, and the interval of that match."""
         lo, hi, live = np.zeros(len(ends), np.int64), np.full(len(ends), self.n), np.arange(len(ends))
-        for step in range(1, length + 1):
-            lo[live], hi[live] = self.extend(lo[live], hi[live], words[ends[live] - step])
-            out = hi[live] - lo[live] < least
-            hi[live[out]] = lo[live[out]]
-            live = live[~out]
-        return lo, hi
+        length = np.zeros(len(ends), np.int64)
+        for step in range(1, longest + 1):
+            live = live[ends[live] >= step]
+            a, b = self.extend(lo[live], hi[live], words[ends[live] - step])
+            on = b - a >= least
+            live = live[on]
+            lo[live], hi[live], length[live] = a[on], b[on], step
+        return length, lo, hi
 
 
-def repeats_in_shard(parts: list[np.ndarray], window: int = WINDOW) -> list[np.ndarray]:
+def repeats_in_shard(texts: pa.Array, window: int = WINDOW) -> list[np.ndarray]:
     """For segments in order of first place: which windows occur earlier.
 
     The segments' words are joined with a different separator behind each, so no
-    match leaves its segment. Backward search gives each window's interval; the
-    window at the least place of an interval stays, all others are repeats.
+    match leaves its segment. The segments are streamed against the index; a
+    window whose matching statistic reaches its whole length at two places or
+    more is at the least place of its interval, or a repeat.
     """
-    sizes = np.array([len(p) for p in parts])
-    starts = np.r_[0, np.cumsum(sizes + 1)]
-    hashes, own = np.unique(np.concatenate(parts), return_inverse=True)
-    text = np.zeros(starts[-1], np.int64)
-    inside = np.ones(starts[-1], bool)
-    inside[starts[1:] - 1] = False
-    text[inside] = own + len(parts)
-    text[~inside] = np.arange(len(parts))
+    data, offsets = flat(texts)
+    starts, ends, first = spans(data, offsets)
+    words, sizes = word_hashes(data, starts, ends), np.diff(first)
+    edges = np.r_[0, np.cumsum(sizes + 1)]
+    _, own = np.unique(words, return_inverse=True)
+    text = np.zeros(edges[-1], np.int64)
+    inside = np.ones(edges[-1], bool)
+    inside[edges[1:] - 1] = False
+    text[inside] = own + len(sizes)
+    text[~inside] = np.arange(len(sizes))
     index = FMIndex(text, window)
     counts = np.maximum(sizes - window + 1, 0)
-    at = np.repeat(starts[:-1], counts) + np.arange(counts.sum()) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
-    lo, hi = index.intervals(text, at + window, window, 2)
-    shared = np.flatnonzero(hi - lo > 1)
+    at = np.repeat(edges[:-1], counts) + np.arange(counts.sum()) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
+    length, lo, _ = index.matching(text, at + window, window, 2)
+    shared = np.flatnonzero(length == window)
     kinds, which = np.unique(lo[shared], return_inverse=True)
     least = np.full(len(kinds), np.iinfo(np.int64).max)
     np.minimum.at(least, which, at[shared])
@@ -114,140 +119,138 @@ def repeats_in_shard(parts: list[np.ndarray], window: int = WINDOW) -> list[np.n
     return np.split(later, np.cumsum(counts)[:-1])
 
 
-def _least_in(x: np.ndarray, span: int) -> np.ndarray:
-    """Least of each ``span`` neighbouring values."""
-    d = 1
+def _least_at(x: np.ndarray, span: int) -> np.ndarray:
+    """Where the least of each ``span`` neighbouring values stands, the first of equal ones."""
+    at, d = np.arange(len(x)), 1
     while 2 * d <= span:
-        x = np.minimum(x[:-d], x[d:])
-        d *= 2
-    return np.minimum(x[: len(x) - (span - d)], x[span - d :]) if span > d else x
+        later = x[d:] < x[:-d]
+        x, at, d = np.where(later, x[d:], x[:-d]), np.where(later, at[d:], at[:-d]), 2 * d
+    rest = span - d
+    return np.where(x[rest:] < x[: len(x) - rest], at[rest:], at[: len(x) - rest]) if rest else at
+
+
+class _Runs:
+    """Anchors of all rows of one piece. An anchor is the place of the least-hashed
+    GRAM words of a window; windows that follow each other with the same anchor
+    make one run: ``row``, first window ``at``, windows ``size`` and ``route``."""
+
+    def __init__(self, column: pa.Array, window: int):
+        self.window = window
+        self.data, offsets = flat(column)
+        self.starts, self.ends, self.first = spans(self.data, offsets)
+        self.words = word_hashes(self.data, self.starts, self.ends)
+        counts = np.maximum(np.diff(self.first) - window + 1, 0)
+        row = np.repeat(np.arange(len(counts)), counts)
+        if not len(row):
+            self.row = self.at = self.size = np.zeros(0, np.int64)
+            self.route = np.zeros(0, np.uint64)
+            return
+        grams = gram_hashes(self.words, GRAM)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        anchor = _least_at(grams, window - GRAM + 1)[self.first[row] + at]
+        new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        self.row, self.at, self.size, self.route = row[new], at[new], np.diff(np.r_[new, len(row)]), grams[anchor[new]]
+
+    def keep(self, which: np.ndarray) -> None:
+        self.row, self.at, self.size, self.route = self.row[which], self.at[which], self.size[which], self.route[which]
+
+    def split(self, hot: np.ndarray) -> np.ndarray:
+        """Turn each hot run into runs of one window; returns which runs are hot."""
+        many = np.where(hot, self.size, 1)
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        hot, self.row, self.route = np.repeat(hot, many), np.repeat(self.row, many), np.repeat(self.route, many)
+        self.at, self.size = np.repeat(self.at, many) + step, np.where(hot, 1, np.repeat(self.size, many))
+        return hot
 
+    def edges(self):
+        """First and last (exclusive) word of each run's segment."""
+        begin = self.first[self.row] + self.at
+        return begin, begin + self.size + self.window - 1
 
-def _runs(column: pa.Array, window: int):
-    """Anchors of all rows of one piece: row, first window, windows, route and
-    the piece's word hashes with each row's first word.
+    def segments(self) -> np.ndarray:
+        return run_hashes(self.words, *self.edges())
 
-    An anchor is the place of the least-hashed GRAM words of a window; windows
-    that follow each other with the same anchor make one run.
-    """
-    data, offsets = flat(column)
-    starts, ends, first = spans(data, offsets)
-    words = word_hashes(data, starts, ends)
-    n, span = len(words), window - GRAM + 1
-    counts = np.maximum(np.diff(first) - window + 1, 0)
-    empty = np.zeros(0, np.int64)
-    if not counts.sum():
-        return empty, empty, empty, empty, words, first
-    grams = gram_hashes(words, GRAM)
-    place = np.arange(len(grams)) - np.repeat(first[:-1], np.diff(first))[: len(grams)]
-    keyed = grams & ~_PLACE | place.astype(np.uint64) & _PLACE
-    least = _least_in(keyed, span)
-    row = np.repeat(np.arange(len(counts)), counts)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    key = least[first[row] + at]
-    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])])
-    return row[new], at[new], np.diff(np.r_[new, len(key)]), (key[new] >> np.uint64(24)).astype(np.int64), words, first
-
-
-def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, packed, size): texts compressed for the shuffle."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    def again(self, seg: np.ndarray) -> np.ndarray:
+        """Whether the same segment stands earlier in its document."""
+        order = np.lexsort((seg, self.route, self.row))
+        same = np.ones(max(len(order) - 1, 0), bool)
+        for x in (seg, self.route, self.row):
+            same &= x[order[1:]] == x[order[:-1]]
+        out = np.zeros(len(order), bool)
+        out[order[1:]] = same
+        return out
 
-    def run(batches):
-        for b in batches:
-            raw = as_binary(b.column(1))
-            packed = pa.array([pa.compress(t.as_buffer(), "zstd", asbytes=True) for t in raw], pa.binary())
-            size = pa.array([len(t.as_buffer()) for t in raw], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), packed, size], [id_col, "packed", "size"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, packed binary, size long")
+def _place_keys(seg: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return seg ^ mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + at.astype(np.uint64))
 
 
-def _unpacked(packed: pa.Array, size: pa.Array) -> list[bytes]:
-    return [pa.decompress(p.as_buffer(), n.as_py(), "zstd", asbytes=True) if n.as_py() else b"" for p, n in zip(packed, size)]
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """All anchors: (route, id, first window of its run)."""
+def _routes(docs: DataFrame, window: int) -> DataFrame:
+    """(route, n): how many runs each anchor hash starts, summed by batch."""
 
-    def anchors(batches):
+    def run(batches):
         for b in batches:
-            for i, n in pieces(b.column(1)):
-                row, at, _, route, _, _ = _runs(b.column(1).slice(i, n), window)
-                ids = b.column(0).slice(i, n).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(route), ids, pa.array(at.astype(np.int32))], ["route", "id", "at"])
+            parts = [_Runs(b.column(0).slice(i, n), window).route for i, n in pieces(b.column(0))]
+            route, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([_long(route), pa.array(n)], ["route", "n"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(anchors, "route long, id long, at int")
+    return docs.select("text").mapInArrow(run, "route long, n long")
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``(id, runs array<struct<at int, size int, flags binary>>)``: each document's
-    windows that also start earlier (a smaller id, or the same document). A run
-    of ``size`` windows starts at ``at``; flags has a byte for each, null is all.
+def _places(docs: DataFrame, window: int, often, hot) -> DataFrame:
+    """(route, seg, id, part, at, size, hot, again): runs whose anchor may repeat."""
 
-    1. Each document's anchors are shuffled by their hash. Equal windows have
-       equal anchors at different places, so an anchor that stands once in the
-       corpus starts no repeat and is dropped.
-    2. The other runs of windows are cut out of the documents as segments of
-       word hashes. Equal segments are pre-aggregated to their first place, so
-       groups of copies don't gather anywhere; a hash with very many places is
-       routed on window by window.
-    3. The different segments are dealt to shards by route. A shard builds its
-       FM-index and runs its segments through it.
-    """
-    places = _occurrences(docs, id_col, text_col, window)
-    often = places.groupBy("route").agg(F.count("*").alias("n")).where("n > 1")
-    runs = places.join(often, "route").groupBy("id").agg(
-        F.collect_list(F.struct("at", (F.col("n") > HOT_PLACES).alias("hot"))).alias("runs")
-    )
-    texts = _packed(docs.select(F.col(id_col).cast("long").alias("id"), text_col), "id", text_col).join(runs, "id")
+    def run(batches):
+        for b in batches:
+            for i, n in pieces(b.column(2)):
+                runs = _Runs(b.column(2).slice(i, n), window)
+                runs.keep(often.value.passes(runs.route))
+                is_hot = runs.split(hot.value.passes(runs.route))
+                seg, own = runs.segments(), pa.array(runs.row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _long(runs.route), _long(seg), b.column(0).slice(i, n).take(own), b.column(1).slice(i, n).take(own),
+                        pa.array(runs.at.astype(np.int32)), pa.array(runs.size.astype(np.int32)), pa.array(is_hot), pa.array(runs.again(seg)),
+                    ],
+                    ["route", "seg", "id", "part", "at", "size", "hot", "again"],
+                )
+
+    return docs.mapInArrow(run, "route long, seg long, id long, part int, at int, size int, hot boolean, again boolean")
+
+
+def _texts_at(docs: DataFrame, window: int, often, wanted) -> DataFrame:
+    """(route, seg, id, part, at, words): the text of segments at wanted places."""
 
-    def segments(batches):
+    def run(batches):
         for b in batches:
-            text = pa.array(_unpacked(b.column(1), b.column(2)), pa.large_binary())
-            for i, n in pieces(text):
-                yield from cut_out(b.slice(i, n), text.slice(i, n))
-
-    def cut_out(b, text):
-        row, at, size, route, words, first = _runs(text, window)
-        wanted = b.column(3)
-        inner = wanted.flatten()
-        owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(wanted.offsets)))
-        w_at, hot = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-        span = int(max(at.max(initial=0), w_at.max(initial=0))) + 1
-        keys = row * span + at
-        where = np.searchsorted(keys, owner * span + w_at)
-        row, at, size, route = row[where], at[where], size[where], route[where]
-        # hot routes: one segment for each window, routed by the whole window
-        many = np.where(hot, size, 1)
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        row, route, hot = (np.repeat(x, many) for x in (row, route, hot))
-        at, size = np.repeat(at, many) + step, np.where(hot, 1, np.repeat(size, many))
-        begin, length = first[row] + at, size + window - 1
-        powers = np.multiply.accumulate(np.full(len(words) + 1, 0x9E3779B97F4A7C15, np.uint64))
-        back = np.multiply.accumulate(np.full(len(words) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
-        total = np.r_[np.zeros(1, np.uint64), np.cumsum(words * powers[: len(words)])]
-        seg = ((total[begin + length] - total[begin]) * back[begin] ^ length.astype(np.uint64)).view(np.int64)
-        route = np.where(hot, seg, route)
-        _, one = np.unique(seg, return_index=True)
-        is_first = np.zeros(len(seg), bool)
-        is_first[one] = True
-        raw = words.astype("<u8").tobytes()
-        blobs = [raw[8 * s : 8 * (s + n)] if f else None for s, n, f in zip(begin.tolist(), length.tolist(), is_first.tolist())]
-        ids = b.column(0).take(pa.array(row))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(route, mask=~is_first), pa.array(seg), ids, pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(blobs, pa.binary())],
-            ["route", "seg", "id", "at", "size", "words"],
-        )
-
-    occ = cut(texts.mapInArrow(segments, "route long, seg long, id long, at int, size int, words binary"))
-    firsts = cut(
-        occ.groupBy("seg").agg(
-            F.min(F.struct("id", "at")).alias("place"), F.max("words").alias("words"), F.max("route").alias("route"), F.count("*").alias("n")
-        )
-    )
-    total = firsts.agg(F.sum(F.length("words"))).first()[0] or 0
-    shards = max(1, -(-total // 8 // SHARD_WORDS))
+            for i, n in pieces(b.column(2)):
+                runs = _Runs(b.column(2).slice(i, n), window)
+                runs.keep(often.value.passes(runs.route))
+                seg, ids = runs.segments(), b.column(0).slice(i, n).to_numpy(zero_copy_only=False)
+                on = wanted.value.passes(_place_keys(seg, ids[runs.row], runs.at))
+                runs.keep(on)
+                begin, end = runs.edges()
+                raw, own = runs.data.tobytes(), pa.array(runs.row)
+                words = [raw[s:e] for s, e in zip(runs.starts[begin].tolist(), runs.ends[end - 1].tolist())] if len(begin) else []
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _long(runs.route), _long(seg[on]), b.column(0).slice(i, n).take(own), b.column(1).slice(i, n).take(own),
+                        pa.array(runs.at.astype(np.int32)), pa.array(words, pa.binary()),
+                    ],
+                    ["route", "seg", "id", "part", "at", "words"],
+                )
+
+    return docs.mapInArrow(run, "route long, seg long, id long, part int, at int, words binary")
+
+
+def _searched(texts: DataFrame, shards: int, window: int) -> DataFrame:
+    """(route, seg, flags): segments with windows that an earlier segment of their
+    shard holds. A shard's index is built from all its segments, and each is
+    streamed against it."""
 
     def search(batches):
         # rows come sorted by shard, then by first place
@@ -266,44 +269,115 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def flags(held):
         t = pa.Table.from_batches(held).combine_chunks()
-        later = repeats_in_shard([np.frombuffer(w.as_py(), "<u8") for w in t.column("words").chunk(0)], window)
-        return pa.RecordBatch.from_arrays(
-            [t.column("seg").chunk(0), pa.array([x.astype(np.uint8).tobytes() for x in later], pa.binary())], ["seg", "flags"]
-        )
-
-    known = (
-        firsts.select(F.pmod("route", F.lit(shards)).alias("shard"), "seg", "place", "words")
+        later = repeats_in_shard(t.column("words").chunk(0), window)
+        some = [k for k, x in enumerate(later) if x.any()]
+        blobs = pa.array([later[k].astype(np.uint8).tobytes() for k in some], pa.binary())
+        some = pa.array(some, pa.int64())
+        return pa.RecordBatch.from_arrays([t.column("route").chunk(0).take(some), t.column("seg").chunk(0).take(some), blobs], ["route", "seg", "flags"])
+
+    return (
+        texts.select(F.pmod("route", F.lit(shards)).alias("shard"), "route", "seg", "id", "part", "at", "words")
         .repartition(max(shards, 12), "shard")
-        .sortWithinPartitions("shard", "place")
-        .mapInArrow(search, "seg long, flags binary")
+        .sortWithinPartitions("shard", "id", "part", "at")
+        .mapInArrow(search, "route long, seg long, flags binary")
     )
-    # a segment that stands once and repeats nothing decides nothing
-    known = firsts.select("seg", "place", "n").join(known, "seg").where("n > 1 OR instr(flags, unhex('01')) > 0")
-    first = (F.col("id") == F.col("place.id")) & (F.col("at") == F.col("place.at"))
-    hit = occ.select("seg", "id", "at", "size").join(known, "seg").select("id", "at", "size", F.when(first, F.col("flags")).alias("flags"))
-    hit = hit.where("flags IS NULL OR instr(flags, unhex('01')) > 0")
-    return hit.groupBy("id").agg(F.collect_list(F.struct("at", "size", "flags")).alias("runs"))
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``(id, part, runs array<struct<at int, size int, flags binary>>)``: each document's
+    windows that also start earlier (a smaller id, or the same document). A run
+    of ``size`` windows starts at ``at``; flags has a byte for each, null is all.
+    ``part`` is the hash of the text: rows of one id follow each other by it, and
+    rows of one id and text are one document given twice.
+
+    1. Anchors are counted by hash. Equal windows have equal anchors at
+       different places, so an anchor that stands once starts no repeat.
+    2. The other anchors' runs of windows are segments, known by two hashes.
+       Equal segments are pre-aggregated to their first place, so groups of
+       copies don't gather anywhere; a hash with very many places is routed on
+       window by window. Equal segments repeat whole.
+    3. Where different segments share an anchor, the text at each one's first
+       place is dealt to shards by route. A shard builds its FM-index and
+       streams its segments against it.
+
+    Two broadcast sieves of a fixed greatest size save shuffled rows; they let
+    some needless rows pass, and decide nothing. The returned table is written.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("part"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    often = cut(_routes(docs, window).groupBy("route").agg(F.sum("n").alias("n")).where("n > 1"))
+    of_routes, of_hot = sieve(often.select("route")), sieve(often.where(F.col("n") > HOT_PLACES).select("route"))
+    drop(often)
+    places = cut(_places(docs, window, of_routes, of_hot))
+    single = places.where("NOT again")
+    firsts = cut(single.groupBy("route", "seg", "size", "hot").agg(F.min(F.struct("id", "part", "at")).alias("place"), F.count("*").alias("n")))
+    cold = firsts.where("NOT hot")
+    kinds = cold.groupBy("route").agg(F.count("*").alias("kinds")).where("kinds > 1").select("route")
+    mixed = cut(cold.join(kinds, "route", "left_semi").select("route", "seg", "place.*"))
+
+    def place_keys(batches):
+        for b in batches:
+            seg, ids, at = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            yield pa.RecordBatch.from_arrays([_long(_place_keys(seg.view(np.uint64), ids, at))], ["key"])
+
+    of_places = sieve(mixed.select("seg", "id", "at").mapInArrow(place_keys, "key long"))
+    at_places = _texts_at(docs, window, of_routes, of_places).join(mixed, ["route", "seg", "id", "part", "at"], "left_semi")
+    texts = cut(at_places.dropDuplicates(["route", "seg"]))
+    shards = max(1, -(-(texts.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // SHARD_BYTES))
+    later = cut(_searched(texts, shards, window))
+    known = firsts.drop("size", "hot").join(later, ["route", "seg"], "left").where("n > 1 OR flags IS NOT NULL").drop("n")
+    is_first = F.expr("id = place.id AND part = place.part AND at = place.at")
+    hit = single.join(known, ["route", "seg"]).select("id", "part", "at", "size", F.when(is_first, F.col("flags")).alias("flags"), is_first.alias("first"))
+    hit = hit.where("NOT first OR flags IS NOT NULL").drop("first")
+    inner = places.where("again").select("id", "part", "at", "size", F.lit(None).cast("binary").alias("flags"))
+    out = cut(hit.unionByName(inner).groupBy("id", "part").agg(F.collect_list(F.struct("at", "size", "flags")).alias("runs")))
+    drop(places, firsts, mixed, texts, later)
+    for shared in (of_routes, of_hot, of_places):
+        shared.unpersist()
+    return out
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(id, part, packed, size): texts compressed for the shuffle."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            raw = as_binary(b.column(2))
+            packed = pa.array([pa.compress(t.as_buffer(), "zstd", asbytes=True) for t in raw], pa.binary())
+            size = pa.array([len(t.as_buffer()) for t in raw], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed, size], ["id", "part", "packed", "size"])
+
+    return docs.mapInArrow(run, f"id {kind}, part int, packed binary, size long")
+
+
+def _unpacked(packed: pa.Array, size: pa.Array) -> list[bytes]:
+    return [pa.decompress(p.as_buffer(), n.as_py(), "zstd", asbytes=True) if n.as_py() else b"" for p, n in zip(packed, size)]
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``(id, kept string, n_words, n_removed)``: each text without its repeats.
+    """``(id, kept string, n_words, n_removed)``: each row's text without its repeats.
 
     A window is ``window`` consecutive words of one document; each word covered by
     a window whose words also start earlier goes, and the others are joined by
     one space. Null and empty texts have no words and give an empty text; texts
-    shorter than a window stay whole. Ids must be distinct integers; rows with
-    a null id are kept whole, since they stand before or after nothing.
+    shorter than a window stay whole, very long ones are handled whole. Ids are
+    integers. Rows of one id come in the order of their texts' hash; of rows
+    with one id and text each gets the same result, as one document. Rows with
+    a null id are kept whole, since they stand before or after nothing. Columns
+    other than the two named are not read, whatever their names; an empty
+    table gives no rows.
     """
-    found = repeated_windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, window)
+    found = repeated_windows(docs, id_col, text_col, window)
     kind = docs.schema[id_col].dataType.simpleString()
-    both = _packed(docs, id_col, text_col).join(found.select(F.col("id").cast(kind).alias(id_col), "runs"), id_col, "left")
+    rows = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("part"), F.col(text_col).alias("text"))
+    both = _packed(rows).join(found.withColumn("id", F.col("id").cast(kind)), ["id", "part"], "left")
 
     def run(batches):
         for b in batches:
-            texts = [t.split() for t in _unpacked(b.column(1), b.column(2))]
+            texts = [t.split() for t in _unpacked(b.column(2), b.column(3))]
             count = np.array([len(t) for t in texts], np.int64)
             edge = np.r_[0, np.cumsum(count + 1)]
-            runs = b.column(3)
+            runs = b.column(4)
             at, size, flags = (runs.flatten().field(k) for k in range(3))
             at, size = at.to_numpy(zero_copy_only=False).astype(np.int64), size.to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(texts)), np.asarray(runs.value_lengths().fill_null(0)))
@@ -325,5 +399,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [id_col, "kept", "n_words", "n_removed"],
             )
 
-    return both.mapInArrow(run, f"{id_col} {kind}, kept string, n_words long, n_removed long")
-
+    return both.mapInArrow(run, f"`{id_col}` {kind}, kept string, n_words long, n_removed long")

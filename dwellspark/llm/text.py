@@ -80,21 +80,32 @@ def spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = BLANKS):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span: a polynomial over its bytes, by prefix sums."""
-    n = len(data)
-    if len(_powers[0]) <= n:
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the hash base and of its inverse, n of each at least."""
+    if len(_powers[0]) < n:
         room = 1 << max(20, int(n).bit_length())
         for k, base in enumerate((_BASE, _INVERSE)):
             p = np.full(room, base, np.uint64)
             p[0] = 1
             _powers[k] = np.multiply.accumulate(p)
+    return _powers
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of ``values``: a polynomial, by prefix sums."""
+    n = len(values)
+    forth, back = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=total[1:])
-    h = (total[ends] - total[starts]) * _powers[1][starts]
+    np.cumsum(values * forth[:n], out=total[1:])
+    h = (total[ends] - total[starts]) * back[starts]
     return mix(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes."""
+    return run_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words, by where it starts (len - k + 1 values)."""
     n = len(words) - k + 1

@@ -110,10 +110,32 @@ def test_substring_edges(spark, monkeypatch):
     assert drop_repeats(df.limit(0)).count() == 0
 
 
-def test_backward_search_counts():
+def test_matching_statistics():
     rng = np.random.default_rng(4)
     text = rng.integers(1, 5, 400)
     index = FMIndex(np.r_[text, 0], 6)
-    lo, hi = index.intervals(text, np.arange(6, 401), 6)
-    grams = [tuple(text[i : i + 6]) for i in range(395)]
-    assert (hi - lo).tolist() == [grams.count(g) for g in grams]
+    query = rng.integers(1, 5, 200)
+    ends = np.arange(1, 201)
+    for least in (1, 2):
+        length, lo, hi = index.matching(query, ends, 6, least)
+        for e, n, size in zip(ends.tolist(), length.tolist(), (hi - lo).tolist()):
+            counts = [sum(text[i : i + k].tolist() == query[e - k : e].tolist() for i in range(401 - k)) for k in range(min(e, 6) + 1)]
+            want = max(k for k, c in enumerate(counts) if c >= least)
+            assert n == want and (not n or size == counts[n])
+
+
+def test_substring_repeated_and_null_ids(spark):
+    rng = random.Random(6)
+    a, b = (" ".join(f"w{rng.randrange(1000)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, a, 5), (1, a, 6), (1, b, 7), (2, b + " end", 8), (None, a, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in drop_repeats(df).collect())
+    assert got == [(0, 60, 0), (1, 60, 0), (1, 60, 0), (1, 60, 0), (2, 61, 60)]
+
+
+def test_substring_long_text(spark):
+    rng = random.Random(7)
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, "x " + long[: len(long) // 2])], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in drop_repeats(df).collect()}
+    assert got[1] == 0 and abs(got[2] - len(long[: len(long) // 2].split())) <= 1
