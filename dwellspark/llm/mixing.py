@@ -1,4 +1,4 @@
-"""LM scoring: hashed-context bit predictors under online logistic mixing."""
+"""LM scoring: hashed-context bit predictors under online, gated logistic mixing."""
 
 from __future__ import annotations
 
@@ -6,43 +6,54 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, drop
 from .text import BLANKS, flat, mix_int, pieces, spans, word_hashes
 
-#: log2 of the slots of each context's table: order 1 to 4 and the word so far
-BITS = (18, 20, 22, 22, 22)
-#: slots of one row of counts
-CHUNK = 1 << 16
-#: bytes over which weights and the order-0 predictor adapt before they start anew
-SEGMENT = 1024
-RATE, STATE_RATE = 0.008, 0.06
-#: texts that set the weights' start, and the characters of one of them
-WARM_TEXTS, WARM_CHARS = 96, 20_000
+#: contexts: the last 1, 2, 3, 4 and 6 bytes, and the word so far
+ORDERS = (1, 2, 3, 4, 6, 0)
+#: log2 of the most slots of each context's table, and of the least
+MOST_BITS, LEAST_BITS = (15, 20, 22, 23, 23, 23), 15
+#: a byte is coded in groups of DIGIT bits: the most frequent MORE bytes by their
+#: rank in the first group, the next MORE by MORE and their rank in the second, ...
+DIGIT, MORE = 4, 15
+#: values of one row of counts, and bytes of the tables that a task counts into at once
+CHUNK, COUNT_ROOM = 1 << 16, 160 << 20
+#: bytes over which weights adapt before they start anew, and between two moves of them
+SEGMENT, STEP = 1 << 15, 32
+RATE = 0.004
+#: one training text in so many sets the weights and is not counted
+DEVELOP, ROUNDS, RIDGE, START = 32, 5, 20.0, 0.3
 #: end of a text; no UTF-8 text holds this byte
 END = 0xFF
-#: a byte is coded in groups of DIGIT bits: the most frequent MORE bytes by their
-#: rank in the first, the next MORE by MORE and their rank in the second
-DIGIT, MORE, GROUPS = 5, 31, 2
 #: bytes of text handled at once when counting, when scoring, and in a block of words
-COUNT_PIECE, SCORE_PIECE, BLOCK_PIECE = 2 << 20, 4 << 20, 12 << 20
+COUNT_PIECE, SCORE_PIECE, BLOCK_PIECE = 2 << 20, 1 << 20, 12 << 20
+#: units of a predictor's log-odds, the bias's input, and visits that make a context known
+UNIT, BIAS, KNOWN = 16, 0.3, 3
+#: contexts whose being known picks the weights, and sets of weights
+GATES, SETS = (3, 4, 5), 16
+_N = len(ORDERS) + 1
 _HASH = np.uint32(0x9E3779B1)
 _WORD_HASH, _WORD_BACK = 0x01000193, pow(0x01000193, -1, 1 << 32)
-#: units of a predictor's log-odds
-UNIT = 16
-#: by place and value of a group: the node that leads to the bit there, and the
-#: bit's sign turned round, over UNIT
-_PATH = np.array([[1 << t | v >> DIGIT - t for v in range(1 << DIGIT)] for t in range(DIGIT)])
-_AGAINST = np.array([[1 - 2 * (v >> DIGIT - 1 - t & 1) for v in range(1 << DIGIT)] for t in range(DIGIT)], np.float32) / np.float32(UNIT)
+#: by value of a group and place: the node that leads to the bit there, and the
+#: bit's sign turned round
+_PATH = np.array([[1 << t | v >> DIGIT - t for t in range(DIGIT)] for v in range(1 << DIGIT)])
+_AGAINST = np.array([[1 - 2 * (v >> DIGIT - 1 - t & 1) for t in range(DIGIT)] for v in range(1 << DIGIT)], np.float32)
+#: adds up what the inputs give at each place
+_SUM = np.tile(np.eye(DIGIT, dtype=np.float32), (_N, 1))
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 32
+_STOP = np.uint64(mix_int(0x5AFE))
 _powers: list[np.ndarray] = [np.ones(1, np.uint32), np.ones(1, np.uint32)]
 
 
 def _ended(column: pa.Array):
-    """Texts with END behind each, and where each begins."""
+    """Lower-case texts with END behind each, and where each begins."""
     data, offsets = flat(column)
-    return np.insert(data, offsets[1:], END), offsets + np.arange(len(offsets))
+    return np.insert(_FOLD[data], offsets[1:], END), offsets + np.arange(len(offsets))
 
 
 def _so_far(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -56,198 +67,216 @@ def _so_far(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
             _powers[k] = np.multiply.accumulate(p, dtype=np.uint32)
     total = np.zeros(n + 1, np.uint32)
     np.cumsum((data.astype(np.uint32) + np.uint32(1)) * _powers[0][:n], dtype=np.uint32, out=total[1:])
-    at = np.zeros(n, np.int32)
+    at = np.zeros(n, np.int64)
     new = np.flatnonzero(BLANKS[data[:-1]]) + 1
     at[new], at[starts] = new, starts
     np.maximum.accumulate(at, out=at)
     return (total[:-1] - total[at]) * _powers[1][at]
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray):
+def contexts(data: np.ndarray, offsets: np.ndarray, which=range(len(ORDERS))):
     """Context hashes at each byte, of what stands before it in its text; one
     context after the other, as each is as large as four times the text."""
-    starts = offsets[:-1]
-    four = np.zeros(len(data), np.uint32)
-    for k in (1, 2, 3, 4):
-        four[k:] |= data[:-k].astype(np.uint32) << np.uint32(8 * k - 8)
-    for k in range(4):
-        at = starts + k
-        four[at[at < offsets[1:]]] &= np.uint32((1 << 8 * k) - 1)
-    for k in range(len(BITS)):
-        h = four & np.uint32((1 << 8 * k + 8) - 1) if k < 4 else _so_far(data, starts)
-        h += np.uint32(0x7F4A7C15)
-        h *= _HASH
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x846CA68B)
-        yield h
-
-
-def _row(context: np.ndarray, group: int, bits: int | np.ndarray) -> np.ndarray:
+    starts, h, order = offsets[:-1], np.full(len(data), 0x7F4A7C15, np.uint32), 0
+    for k in which:
+        while order < ORDERS[k]:
+            order += 1
+            back = np.zeros(len(data), np.uint8)
+            back[order:] = data[:-order]
+            for j in range(order):
+                at = starts + j
+                back[at[at < offsets[1:]]] = 0
+            h ^= back
+            h *= np.uint32(0x01000193)
+            h += np.uint32(order)
+        own = h * _HASH if ORDERS[k] else _so_far(data, starts) * _HASH
+        own ^= own >> np.uint32(15)
+        own *= np.uint32(0x846CA68B)
+        own ^= own >> np.uint32(13)
+        own *= _HASH
+        yield own
+
+
+def _rows(context: np.ndarray, group: np.ndarray, bits: int | np.ndarray) -> np.ndarray:
     """First of the slots that a context's predictors have for one group of bits.
     The slot of a node (1 and the group's bits so far) lies behind it."""
-    h = context
-    if group:
-        h = (h ^ h >> np.uint32(16) ^ np.uint32(0x2C1B3C6D * group & 0xFFFFFFFF)) * _HASH
-    return (h >> np.uint32(32 + DIGIT - bits)).astype(np.int64) << DIGIT
-
-
-def byte_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often each byte, and the end, stands in all texts."""
-
-    def count(batches):
-        n = np.zeros(256, np.int64)
-        for b in batches:
-            n += np.bincount(flat(b.column(0))[0], minlength=256)
-            n[END] += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(n)], ["byte", "n"])
-
-    out = np.zeros(256, np.int64)
-    for r in docs.select(text_col).mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        out[r.byte] = r.n
+    h, later = context.copy(), np.flatnonzero(group)
+    own, turn = context[later], (group[later] * 0x2C1B3C6D).astype(np.uint32)
+    h[later] = (own ^ own >> np.uint32(16) ^ (turn if own.ndim == 1 else turn[:, None])) * _HASH
+    h >>= np.uint32(32 + DIGIT - bits) if isinstance(bits, int) else (32 + DIGIT - bits).astype(np.uint32)
+    out = h.astype(np.int64)
+    out <<= DIGIT
     return out
 
 
 class Code:
-    """Ranks of the bytes by frequency, and what the ranks behind the groups cost
-    by their share of the counts alone."""
+    """Ranks of the bytes by frequency."""
 
     def __init__(self, counts: np.ndarray):
-        order = np.argsort(-counts, kind="stable")
         self.rank = np.empty(256, np.uint8)
-        self.rank[order] = np.arange(256)
-        rare = counts[order[MORE * GROUPS :]] + 0.5
-        self.rest = np.zeros(256)
-        self.rest[order[MORE * GROUPS :]] = -np.log2(rare / rare.sum())
+        self.rank[np.argsort(-counts, kind="stable")] = np.arange(256)
 
-    def digits(self, byte: np.ndarray, group: int) -> np.ndarray:
-        """The bytes' values in one group; MORE where a later group goes on."""
-        return np.minimum(self.rank[byte] - np.uint8(MORE * group), np.uint8(MORE))
+    def events(self, byte: np.ndarray):
+        """Groups of bits that code the bytes, in order: byte's place, group, value."""
+        rank = self.rank[byte].astype(np.int64)
+        many = rank // MORE + 1
+        own = np.repeat(np.arange(len(byte)), many)
+        group = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+        return own, group, np.minimum(rank[own] - MORE * group, MORE)
 
 
-def count_bits(docs: DataFrame, code: Code, text_col: str = "text") -> list[np.ndarray]:
-    """How often each slot saw a 0 and a 1 over all texts: two columns a context.
-
-    Each task counts whole texts into its own tables and gives their rows of
-    CHUNK slots, compressed; rows of one chunk are summed where they meet, one at
-    a time. The result has the tables' fixed size, whatever the corpus.
-    """
+def byte_counts(docs: DataFrame, learn: F.Column, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """How often each byte, and the end, stands in all texts to learn from; and the
+    bytes of all texts."""
 
     def count(batches):
-        tables = [np.zeros(2 << b, np.uint32) for b in BITS]
+        n = np.zeros(257, np.int64)
         for b in batches:
-            for i, n in pieces(b.column(0), COUNT_PIECE):
-                data, offsets = _ended(b.column(0).slice(i, n))
-                for k, context in enumerate(contexts(data, offsets)):
-                    # each pair of context and byte once, then its bits
-                    pair = np.sort(context.astype(np.uint64) << np.uint64(8) | data)
-                    new = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
-                    times = np.diff(np.r_[new, len(pair)]).astype(np.uint32)
-                    own, byte = (pair[new] >> np.uint64(8)).astype(np.uint32), (pair[new] & np.uint64(0xFF)).astype(np.uint8)
-                    for g in range(GROUPS):
-                        if g:
-                            on = code.rank[byte] >= MORE * g
-                            own, byte, times = own[on], byte[on], times[on]
-                        value, row = code.digits(byte, g).astype(np.int64), _row(own, g, BITS[k])
+            mine = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            n[256] += flat(b.column(0))[1][-1]
+            n[:256] += np.bincount(_FOLD[flat(b.column(0).filter(pa.array(mine)))[0]], minlength=256)
+            n[END] += mine.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(257, dtype=np.int32)), pa.array(n)], ["byte", "n"])
+
+    out = np.zeros(257, np.int64)
+    for r in docs.select(text_col, F.coalesce(learn, F.lit(False))).mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        out[r.byte] = r.n
+    return out[:256], int(out[256])
+
+
+def table_bits(n_bytes: int) -> tuple[int, ...]:
+    """Tables grow with the bytes learned from, to a bound of memory."""
+    want = max(LEAST_BITS, int(max(n_bytes, 1) - 1).bit_length())
+    return tuple(min(most, want) for most in MOST_BITS)
+
+
+def predictors(docs: DataFrame, code: Code, bits: tuple[int, ...], text_col: str = "text") -> np.ndarray:
+    """Log-odds of a 1 in each slot over all texts, in UNITs, one context's table
+    behind the other. A row's slot 1 is even, or odd where the row was visited KNOWN
+    times; its slot 0 has no use.
+
+    Each task counts whole texts into its own tables and gives their rows of
+    CHUNK values, compressed; rows of one chunk are summed where they meet, one at
+    a time. Contexts whose tables don't fit COUNT_ROOM together are counted in
+    turn. The driver sees one byte a slot.
+    """
+    out, first = np.zeros(sum(1 << b for b in bits), np.int8), np.cumsum((0, *(1 << b for b in bits)))
+    turns: list[list[int]] = [[]]
+    for k, b in enumerate(bits):
+        if turns[-1] and sum(8 << bits[j] for j in turns[-1]) + (8 << b) > COUNT_ROOM:
+            turns.append([])
+        turns[-1].append(k)
+
+    def count_of(which):
+        def count(batches):
+            tables = {k: np.zeros(2 << bits[k], np.uint32) for k in which}
+            for b in batches:
+                for i, n in pieces(b.column(0), COUNT_PIECE):
+                    data, offsets = _ended(b.column(0).slice(i, n))
+                    for k, context in zip(which, contexts(data, offsets, which)):
+                        # each pair of context and byte once, then its bits
+                        pair = np.sort(context.astype(np.uint64) << np.uint64(8) | data)
+                        new = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+                        times, pair = np.diff(np.r_[new, len(pair)]).astype(np.uint32), pair[new]
+                        own, group, value = code.events((pair & np.uint64(0xFF)).astype(np.uint8))
+                        row, times = _rows((pair >> np.uint64(8)).astype(np.uint32)[own], group, bits[k]), times[own]
                         for t in range(DIGIT):
-                            slot = row + (1 << t | value >> DIGIT - t)
-                            np.add.at(tables[k], slot * 2 + (value >> DIGIT - 1 - t & 1), times)
-        for k, table in enumerate(tables):
-            keys = [(k << 16) + c for c in range(len(table) // CHUNK)]
-            rows = [table[c * CHUNK : (c + 1) * CHUNK] for c in range(len(keys))]
-            full = [j for j, r in enumerate(rows) if r.any()]
-            blobs = [pa.compress(rows[j].tobytes(), "zstd", asbytes=True) for j in full]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in full], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "counts"])
+                            np.add.at(tables[k], (row + _PATH[value, t]) * 2 + (value >> DIGIT - 1 - t & 1), times)
+            for k, table in tables.items():
+                rows = table.reshape(-1, CHUNK) if len(table) >= CHUNK else table[None]
+                full = [j for j, r in enumerate(rows) if r.any()]
+                blobs = [pa.compress(rows[j].tobytes(), "zstd", asbytes=True) for j in full]
+                yield pa.RecordBatch.from_arrays([pa.array([(k << 16) + j for j in full], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "counts"])
+
+        return count
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for c, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 own = np.frombuffer(pa.decompress(blob.as_buffer(), CHUNK * 4, "zstd"), np.uint32)
-                total[c] = total[c] + own if c in total else own.astype(np.uint64)
-        blobs = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "counts"])
-
-    parts = docs.select(text_col).mapInArrow(count, "chunk int, counts binary")
-    summed = parts.repartition(24, "chunk").mapInArrow(add, "chunk int, counts binary")
-    out = [np.zeros(2 << b, np.uint64) for b in BITS]
-    for r in summed.toLocalIterator():
-        k, c = r.chunk >> 16, r.chunk & 0xFFFF
-        out[k][c * CHUNK : (c + 1) * CHUNK] += np.frombuffer(pa.decompress(r.counts, CHUNK * 8, "zstd"), np.uint64)
+                if c in total:
+                    total[c] += own
+                else:
+                    total[c] = own.astype(np.uint64)
+        for c, counts in total.items():
+            zero, one = counts[0::2].astype(np.float64), counts[1::2].astype(np.float64)
+            odds = np.clip(np.rint(UNIT * np.log((one + 0.3) / (zero + 0.3))), -127, 127).astype(np.int8).reshape(-1, 1 << DIGIT)
+            odds[:, 1] = odds[:, 1] & -2 | ((zero + one).reshape(-1, 1 << DIGIT)[:, 1] >= KNOWN)
+            blob = pa.compress(odds.tobytes(), "zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "odds"])
+
+    for which in turns:
+        parts = docs.select(text_col).mapInArrow(count_of(which), "chunk int, counts binary")
+        for r in parts.repartition(48, "chunk").mapInArrow(add, "chunk int, odds binary").toLocalIterator():
+            at = first[r.chunk >> 16] + (r.chunk & 0xFFFF) * (CHUNK // 2)
+            out[at : at + CHUNK // 2] = np.frombuffer(pa.decompress(r.odds, CHUNK // 2, "zstd"), np.int8)
     return out
 
 
 class Mixer:
-    """Predictors (log-odds of a 1 in each slot, in sixteenths) and the weights
-    that each segment starts from, one set for each place of a bit in its byte."""
-
-    def __init__(self, counts: list[np.ndarray], code: Code):
-        tables = []
-        for c in counts:
-            zero, one = c[0::2].astype(np.float64) + 0.3, c[1::2].astype(np.float64) + 0.3
-            tables.append(np.clip(np.rint(UNIT * np.log(one / zero)), -127, 127).astype(np.int8))
-        self.code, self.table = code, np.concatenate(tables)
-        size = np.array([len(x) for x in tables])
-        self.first, self.bits = (np.cumsum(size) - size)[:, None], np.array(BITS)[:, None]
-        n = len(tables) + 2
-        self.weights = np.full((GROUPS * DIGIT, n, 1), 0.3, np.float32)
-        self.weights[:, -1] = 0
+    """Predictors, and the sets of weights that each segment starts from: one for
+    each gate (first or later group, and which contexts are known). A set is flat:
+    each input's weights at the places of a group."""
+
+    def __init__(self, code: Code, bits: tuple[int, ...], table: np.ndarray):
+        self.code, self.bits, self.table = code, np.array(bits), table
+        self.first = np.cumsum((0, *(1 << b for b in bits)))[:-1]
+        self.weights = np.full((SETS, _N * DIGIT), START, np.float32)
 
     @cached_property
     def packed(self) -> np.ndarray:
         """For each row and value of a group, the predictions on the way to it, one
         byte each: one place to look at instead of DIGIT. Made in each worker."""
-        out = np.zeros((len(self.table) >> DIGIT, 1 << DIGIT, 8), np.int8)
         rows = self.table.reshape(-1, 1 << DIGIT)
+        out = np.empty((len(rows), 1 << DIGIT, DIGIT), np.int8)
         for t in range(DIGIT):
-            out[:, :, t] = rows[:, _PATH[t]]
-        return out.reshape(-1).view(np.uint64)
+            out[:, :, t] = rows.take(_PATH[:, t], 1)
+        return out.reshape(-1).view(np.uint32)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "packed"}
 
-    def _group(self, w: np.ndarray, value: np.ndarray, rows: np.ndarray, state: np.ndarray, base: np.ndarray, room: np.ndarray, lanes: int) -> np.ndarray:
-        """Codes one group of bits in every lane, moves the lanes' weights and order-0
-        predictors, and returns each value's chance."""
-        a, n = len(value), w.shape[1]
-        room = room[:, : n * a].reshape(2, n, a)
-        x, step = room[0], room[1]
-        found = self.packed.take(rows + value).view(np.int8).reshape(n - 2, a, 8)
-        own, against = (_PATH * lanes).take(value, 1) + base, _AGAINST.take(value, 1)
-        move, pull = against * np.float32(-RATE), against * np.float32(-5 * UNIT * UNIT * STATE_RATE)
-        x[-1] = 0.3 * UNIT
-        chance = np.ones(a, np.float32)
-        for t in range(DIGIT):
-            v = w[t]
-            x[:-2] = found[:, :, t]
-            x[-2] = state[own[t]]
-            z = np.einsum("kl,kl->l", v, x)
-            z *= against[t]
-            np.minimum(z, np.float32(11), out=z)
-            np.exp(z, out=z)
-            z += 1
-            p = np.reciprocal(z, out=z)
-            chance *= p
-            near = x[-2] * np.float32(1 - STATE_RATE)
-            near += pull[t]
-            state[own[t]] = near
-            np.subtract(1, p, out=p)
-            p *= move[t]
-            v += np.multiply(x, p, out=step)
-        return chance
-
-    def log2_losses(self, column: pa.Array, learn: bool = False) -> np.ndarray:
-        """Bits that each text (and its end) costs.
-
-        Texts are cut into segments that are coded side by side. In each, the
-        weights of a bit's place mix the predictors' log-odds, an order-0
-        predictor and a constant; after the bit, weights move along the gradient
-        of its cost and the order-0 predictor towards it. ``learn`` keeps the
-        mean of the weights that the segments end with.
-        """
+    def inputs(self, byte: np.ndarray, context: np.ndarray):
+        """What the groups of bits of some bytes are predicted from: byte's place,
+        value, set of weights, and the inputs, laid out like a set."""
+        own, group, value = self.code.events(byte)
+        row = _rows(context.take(own, 0), group, self.bits)
+        row += self.first
+        row += value[:, None]
+        found = self.packed.take(row)
+        gate = (found[:, GATES] & np.uint32(1)) @ np.array([1, 2, 4], np.uint32)
+        x = np.empty((len(own), _N * DIGIT), np.float32)
+        np.multiply(found.view(np.int8), np.float32(1 / UNIT), out=x[:, : -DIGIT])
+        x[:, -DIGIT:] = BIAS
+        return own, value, gate + 8 * (group > 0), x
+
+    @staticmethod
+    def chances(z: np.ndarray, against: np.ndarray) -> np.ndarray:
+        """Of each bit, from the log-odds of a 1, which are clipped on both sides so
+        that the chances of a 0 and of a 1 add up to 1."""
+        np.clip(z, np.float32(-11), np.float32(11), out=z)
+        z *= against
+        np.exp(z, out=z)
+        z += 1
+        return np.reciprocal(z, out=z)
+
+    def _contexts(self, column: pa.Array):
         data, offsets = _ended(column)
-        ctx = np.empty((len(data), len(BITS)), np.uint32)
+        ctx = np.empty((len(data), len(ORDERS)), np.uint32)
         for k, context in enumerate(contexts(data, offsets)):
             ctx[:, k] = context
+        return data, offsets, ctx
+
+    def log2_losses(self, column: pa.Array) -> np.ndarray:
+        """Bits that each text (and its end) costs.
+
+        Texts are cut into segments that are coded side by side, STEP bytes at a
+        time. The gate's weights, and what the segment has added to them, mix the
+        log-odds; after each step the segment's weights move along the gradient
+        of the step's cost.
+        """
+        data, offsets, ctx = self._contexts(column)
         size = np.diff(offsets)
         many = -(-size // SEGMENT)
         text = np.repeat(np.arange(len(size)), many)
@@ -255,46 +284,79 @@ class Mixer:
         length = np.minimum(begin + SEGMENT, offsets[1:][text]) - begin
         order = np.argsort(-length, kind="stable")
         text, begin, length = text[order], begin[order], length[order]
-        lanes = len(order)
-        w = np.repeat(self.weights[:DIGIT], lanes, axis=2)
-        later = np.repeat(self.weights[DIGIT:].reshape(GROUPS - 1, 1, -1), lanes, axis=1)
-        room = np.empty((2, w.shape[1] * lanes), np.float32)
-        state = np.zeros((GROUPS, lanes << DIGIT), np.float32)
-        base = np.arange(lanes)
-        cost = np.zeros(lanes)
-        active = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), "right")
-        for j, a in enumerate(active):
-            at = begin[:a] + j
-            byte, own = data[at], np.ascontiguousarray(ctx.take(at, 0).T)
-            value = self.code.digits(byte, 0).astype(np.int64)
-            chance = self._group(w[:, :, :a], value, _row(own, 0, self.bits) + self.first, state[0], base[:a], room, lanes)
-            cost[:a] -= np.log2(chance)
-            for g in range(1, GROUPS):
-                on = np.flatnonzero(self.code.rank[byte] >= MORE * g)
-                if not len(on):
-                    break
-                moved = np.ascontiguousarray(later[g - 1][on].T).reshape(DIGIT, w.shape[1], len(on))
-                value = self.code.digits(byte[on], g).astype(np.int64)
-                chance = self._group(moved, value, _row(own.take(on, 1), g, self.bits) + self.first, state[g], base[on], room, lanes)
-                later[g - 1][on] = moved.reshape(-1, len(on)).T
-                cost[on] -= np.log2(chance)
-            cost[:a] += self.code.rest[byte]
-        if learn and lanes:
-            full = length >= min(SEGMENT, int(length.max())) // 2
-            means = later[:, full].mean(axis=1).reshape(-1, w.shape[1], 1)
-            self.weights = np.concatenate([w[:, :, full].mean(axis=2, keepdims=True), means])
+        added = np.zeros((len(order), _N * DIGIT), np.float32)
+        cost, step = np.zeros(len(order)), np.arange(STEP)
+        for j in range(-(-int(length.max(initial=0)) // STEP)):
+            a = int(np.searchsorted(-length, -j * STEP, "left"))
+            inside = step < (length[:a] - j * STEP)[:, None]
+            at = ((begin[:a] + j * STEP)[:, None] + step)[inside]
+            own, value, gate, x = self.inputs(data[at], ctx.take(at, 0))
+            lane = np.repeat(np.arange(a), inside.sum(axis=1))[own]
+            w = self.weights.take(gate, 0)
+            w += added.take(lane, 0)
+            against = _AGAINST.take(value, 0)
+            w *= x
+            chance = self.chances(w @ _SUM, against)
+            cost[:a] -= np.bincount(lane, np.log2(chance[:, 0] * chance[:, 1] * chance[:, 2] * chance[:, 3]), a)
+            np.subtract(1, chance, out=chance)
+            chance *= against
+            chance *= np.float32(-RATE)
+            x *= chance @ _SUM.T
+            added[:a] += np.add.reduceat(x, np.flatnonzero(np.r_[True, lane[1:] != lane[:-1]]), axis=0)
         return np.bincount(text, cost, len(size))
 
-
-def fit_mixer(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mixer:
-    """Predictors counted over all whole texts of ``docs``; the start of the weights
-    from WARM_TEXTS texts, those with the least hash of their ids."""
-    code = Code(byte_counts(docs, text_col))
-    model = Mixer(count_bits(docs, code, text_col), code)
-    short = docs.where(F.length(text_col).between(1, WARM_CHARS)).select(F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"), F.md5(text_col).alias("m"))
-    warm = pa.array([r.text for r in short.orderBy("h", "m").limit(WARM_TEXTS).collect()], pa.string())
-    for _ in range(2 if len(warm) else 0):
-        model.log2_losses(warm, learn=True)
+    def sums(self, column: pa.Array) -> np.ndarray:
+        """Slope and curvature of the cost by the weights, over all bits of the texts."""
+        out = np.zeros((SETS, DIGIT, _N, _N + 1))
+        data, _, ctx = self._contexts(column)
+        for s in range(0, len(data), 1 << 16):
+            _, value, gate, x = self.inputs(data[s : s + (1 << 16)], ctx[s : s + (1 << 16)])
+            for g in np.unique(gate):
+                own, against = x[gate == g], _AGAINST[value[gate == g]]
+                chance = self.chances(own * self.weights[g] @ _SUM, against)
+                for t in range(DIGIT):
+                    v, p = own[:, t::DIGIT].astype(np.float64), chance[:, t].astype(np.float64)
+                    out[g, t, :, 0] += v.T @ (against[:, t] * (1 - p))
+                    out[g, t, :, 1:] += v.T @ (v * (p * (1 - p))[:, None])
+        return out
+
+    def move(self, sums: np.ndarray) -> None:
+        """One Newton step of all sets, held near their start by a ridge."""
+        weights = self.weights.reshape(SETS, _N, DIGIT).transpose(0, 2, 1).astype(np.float64)
+        slope = sums[..., 0] + RIDGE * (weights - START)
+        curve = sums[..., 1:] + RIDGE * np.eye(_N)
+        moved = weights - np.linalg.solve(curve, slope[..., None])[..., 0]
+        self.weights = moved.transpose(0, 2, 1).reshape(SETS, -1).astype(np.float32)
+
+
+def fit_mixer(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text") -> Mixer:
+    """Predictors counted over the whole texts where ``learn`` holds, but for one in
+    DEVELOP, by hash of its id: from those the weights are fitted, by Newton steps
+    whose sums are taken where the texts are."""
+    counts, _ = byte_counts(docs, learn, text_col)
+    code, bits = Code(counts), table_bits(int(counts.sum()))
+    learn = F.coalesce(learn, F.lit(False))
+    apart = F.pmod(F.xxhash64(id_col), F.lit(DEVELOP)) == 0
+    model = Mixer(code, bits, predictors(docs.where(learn & ~apart), code, bits, text_col))
+    develop = cut(docs.where(learn & apart).select(F.col(text_col).alias("text")))
+    table = docs.sparkSession.sparkContext.broadcast(model.table)  # of the tables' bounded size
+    for _ in range(ROUNDS):
+        weights, shape = model.weights, (SETS, DIGIT, _N, _N + 1)
+
+        def run(batches):
+            own = Mixer(code, bits, table.value)
+            own.weights, out = weights, np.zeros(shape)
+            for b in batches:
+                for i, n in pieces(b.column(0), SCORE_PIECE):
+                    out += own.sums(b.column(0).slice(i, n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out.ravel())], ["at", "x"])
+
+        sums = np.zeros(shape)
+        for r in develop.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            sums.flat[r["at"]] = r.x
+        model.move(sums)
+    table.unpersist()
+    drop(develop)
     return model
 
 
@@ -302,7 +364,7 @@ def bit_scores(docs: DataFrame, model: Mixer, id_col: str = "doc_id", text_col:
     """``(id, n_bytes, bits)``: total bits of each whole text and its end, whose
     quotient is bits per byte. A null text is scored as an empty one."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of the tables' fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of the tables' bounded size
 
     def run(batches):
         for b in batches:
@@ -312,15 +374,11 @@ def bit_scores(docs: DataFrame, model: Mixer, id_col: str = "doc_id", text_col:
                     [b.column(0).slice(i, n), pa.array(np.diff(flat(part)[1])), pa.array(shared.value.log2_losses(part))], [id_col, "n_bytes", "bits"]
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_bytes long, bits double")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, bits double")
 
 
 # words of the base score
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[0x41:0x5B] += 32
-_STOP = np.uint64(mix_int(0x5AFE))
-
 
 def _words(column: pa.Array):
     """Hashes of each text's lower-case words and its end, and each text's first."""
@@ -334,84 +392,135 @@ def _words(column: pa.Array):
     return (np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(counts))]) if parts else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
 
 
-def unigram_scores(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1) -> DataFrame:
-    """``(id, n_tokens, n_known, train_tokens, base_score)`` under a smoothed unigram
-    model of the rows where ``learn`` holds.
+def _zip(x: np.ndarray) -> bytes:
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
-    Texts are handled in blocks of BLOCK_PIECE bytes. A block gives each different
-    word once, with its count in learning rows, and its texts as numbers of
-    those words. Counts are summed by word, joined back to the blocks' words,
-    and each block's words are dealt to one place, in order, before its texts.
-    """
+
+def _unzip(blob: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd"), kind)
+
+
+def _blocks(docs: DataFrame, learn: F.Column, model: Mixer, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """Blocks of BLOCK_PIECE bytes: a row for each bucket of a block's different
+    words, with their counts in learning rows; and one row of its texts, as
+    numbers of those words, with what the mixer gives them."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"block long, number int, word long, n long, ids array<{kind}>, texts binary"
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def blocks(batches):
+    def run(batches):
+        block = TaskContext.get().partitionId() << 32
         for b in (b.slice(i, n) for b in batches for i, n in pieces(b.column(1), BLOCK_PIECE)):
+            cost = [shared.value.log2_losses(b.column(1).slice(i, n)) for i, n in pieces(b.column(1), SCORE_PIECE)]
             h, first = _words(b.column(1))
             words, which = np.unique(h, return_inverse=True)
             train = np.repeat(b.column(2).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-            n = np.bincount(which[train], minlength=len(words))
-            key = int(np.bitwise_xor.reduce(h * np.arange(1, len(h) + 1, dtype=np.uint64)) ^ np.uint64(b.column(3)[0].as_py() & (2**64 - 1)))
-            key = key - (1 << 64) if key >> 63 else key
-            blob = np.concatenate([[b.num_rows], np.diff(first), which]).astype("<u4").tobytes()
-            blob = len(blob).to_bytes(8, "little") + pa.compress(blob, "zstd", asbytes=True)
-            rows = len(words)
+            n = np.bincount(which[train], minlength=len(words)).astype("<u4")
+            bucket = (words >> np.uint64(64 - bits)).astype(np.int32)
+            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            rows = len(edge) - 1
+            size = np.diff(flat(b.column(1))[1])
+            texts = _zip(np.concatenate([[b.num_rows], np.diff(first), which]).astype("<u4"))
+            numbers = _zip(np.concatenate([size.astype("<f8"), np.concatenate(cost).astype("<f8")]))
+            ids = pa.ListArray.from_arrays(pa.array([0] * (rows + 1) + [b.num_rows], pa.int32()), b.column(0))
+            none = pa.nulls(1, pa.binary())
             out = [
-                pa.array(np.full(rows + 1, key)), pa.array(np.r_[np.arange(rows), rows].astype(np.int32)),
-                pa.array(np.r_[words.view(np.int64), 0], mask=np.r_[np.zeros(rows, bool), True]), pa.array(np.r_[n, 0]),
-                pa.array([None] * rows + [b.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([None] * rows + [blob], pa.binary()),
+                pa.array(np.full(rows + 1, block)), pa.array(np.r_[bucket[edge[:-1]], 1 << bits].astype(np.int32)),
+                pa.array([words[s:e].tobytes() for s, e in zip(edge[:-1], edge[1:])] + [None], pa.binary()),
+                pa.array([_zip(n[s:e]) for s, e in zip(edge[:-1], edge[1:])] + [None], pa.binary()), ids,
+                pa.concat_arrays([pa.nulls(rows, pa.binary()), pa.array([texts], pa.binary())]) if rows else none,
+                pa.concat_arrays([pa.nulls(rows, pa.binary()), pa.array([numbers], pa.binary())]) if rows else none,
             ]
-            yield pa.RecordBatch.from_arrays(out, ["block", "number", "word", "n", "ids", "texts"])
+            yield pa.RecordBatch.from_arrays(out, ["block", "bucket", "words", "n", "ids", "texts", "numbers"])
+            block += 1
+
+    schema = f"block long, bucket int, words binary, n binary, ids array<{kind}>, texts binary, numbers binary"
+    return docs.select(id_col, text_col, F.coalesce(learn, F.lit(False))).mapInArrow(run, schema)
+
+
+def _counted(words: DataFrame, parts: int) -> DataFrame:
+    """(block, bucket, counts, total, kinds): where a bucket's words meet, their
+    counts in all blocks, in each block's order; total and kinds once a bucket."""
+
+    def flush(held):
+        sizes = [len(h) for _, _, h, _ in held]
+        _, which = np.unique(np.concatenate([h for _, _, h, _ in held]), return_inverse=True)
+        c = np.bincount(which, np.concatenate([n for _, _, _, n in held]).astype(np.float64)).astype("<u8")
+        blobs = [_zip(c[w]) for w in np.split(which, np.cumsum(sizes)[:-1])]
+        rest = np.zeros(len(held) - 1, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([x[1] for x in held], pa.int64()), pa.array([x[0] for x in held], pa.int32()), pa.array(blobs, pa.binary()),
+                pa.array(np.r_[int(c.sum()), rest]), pa.array(np.r_[int((c > 0).sum()), rest]),
+            ],
+            ["block", "bucket", "counts", "total", "kinds"],
+        )
 
-    both = cut(docs.select(id_col, text_col, F.coalesce(learn, F.lit(False)), F.xxhash64(id_col)).mapInArrow(blocks, schema))
-    counts = cut(both.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")))
-    total, kinds = counts.where("c > 0").agg(F.sum("c"), F.count("*")).first()
+    def run(batches):
+        held = []
+        for b in batches:
+            for bucket, block, words, n in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if held and held[0][0] != bucket:
+                    yield flush(held)
+                    held = []
+                held.append((bucket, block, np.frombuffer(words, "<u8"), _unzip(n, "<u4")))
+        if held:
+            yield flush(held)
+
+    return words.select("bucket", "block", "words", "n").repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(
+        run, "block long, bucket int, counts binary, total long, kinds long"
+    )
+
+
+def lm_scores(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1) -> DataFrame:
+    """``(id, n_tokens, n_known, train_tokens, base_score, n_bytes, score, bits_per_byte)``
+    of each row: the smoothed unigram base and the mixer, both learned from the rows
+    where ``learn`` holds. Scores are log10 probabilities; the mixer's is of the
+    whole lower-case text, blanks included, and its end.
+
+    Texts are handled in blocks; the counts of a block's words come back to it by
+    bucket of the words' hash, so no task and no broadcast holds the vocabulary.
+    Null texts count as empty ones: one token, the end. Each row gets one row:
+    repeated ids and null ids too, and very long texts are scored whole. Where
+    ``learn`` is null a row is not learned from; with no learning rows both
+    models are flat. Columns other than the two named are not read, but by
+    ``learn``; an empty table gives no rows.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    model = fit_mixer(docs, learn, id_col, text_col)
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = max(5, (n_bytes >> 23).bit_length())
+    both = cut(_blocks(docs, learn, model, bits, id_col, text_col))
+    counted = cut(_counted(both.where("words IS NOT NULL"), min(1 << bits, 2048)))
+    total, kinds = counted.agg(F.sum("total"), F.sum("kinds")).first()
     total, kinds = total or 0, kinds or 0
-    words = both.where("word IS NOT NULL").select("block", "number", "word").join(counts, "word").select("block", "number", "c")
+    norm = total + add * (kinds + 1)
     none = F.lit(None)
-    rows = words.select("block", "number", "c", none.cast(f"array<{kind}>").alias("ids"), none.cast("binary").alias("texts")).unionByName(
-        both.where("word IS NULL").select("block", "number", F.lit(0).cast("long").alias("c"), "ids", "texts")
+    rows = counted.select("block", "bucket", "counts", none.cast(f"array<{kind}>").alias("ids"), none.cast("binary").alias("texts"), none.cast("binary").alias("numbers")).unionByName(
+        both.where("words IS NULL").select("block", "bucket", none.cast("binary").alias("counts"), "ids", "texts", "numbers")
     )
-    norm = total + add * (kinds + 1)
 
     def score(batches):
         held = []
         for b in batches:
-            seen = 0
-            for at in np.flatnonzero(np.asarray(b.column(4).is_valid())).tolist():
-                held.append(b.column(2).slice(seen, at - seen).to_numpy(zero_copy_only=False))
-                c = np.concatenate(held)
-                blob = b.column(4)[at].as_py()
-                nums = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd"), "<u4").astype(np.int64)
+            for k, (counts, texts) in enumerate(zip(b.column(2).to_pylist(), b.column(4).to_pylist())):
+                if texts is None:
+                    held.append(_unzip(counts, "<u8"))
+                    continue
+                c = np.concatenate(held).astype(np.float64)
+                nums = _unzip(texts, "<u4").astype(np.int64)
                 size, which = nums[1 : 1 + nums[0]], nums[1 + nums[0] :]
-                edges = (np.cumsum(size) - size).astype(np.int64)
-                logs = np.log10((c + add) / norm)
+                edges = np.cumsum(size) - size
+                octets, cost = np.split(_unzip(b.column(5)[k].as_py(), "<f8"), 2)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(3)[at].values, pa.array(size), pa.array(np.add.reduceat((c[which] > 0).astype(np.int64), edges)),
-                        pa.array(np.full(len(size), total)), pa.array(np.add.reduceat(logs[which], edges)),
+                        b.column(3)[k].values, pa.array(size), pa.array(np.add.reduceat((c[which] > 0).astype(np.int64), edges)), pa.array(np.full(len(size), total)),
+                        pa.array(np.add.reduceat(np.log10((c + add) / norm)[which], edges)), pa.array(octets.astype(np.int64)),
+                        pa.array(cost * -np.log10(2)), pa.array(cost / np.maximum(octets, 1)),
                     ],
-                    [id_col, "n_tokens", "n_known", "train_tokens", "base_score"],
+                    [id_col, "n_tokens", "n_known", "train_tokens", "base_score", "n_bytes", "score", "bits_per_byte"],
                 )
-                held, seen = [], at + 1
-            held.append(b.column(2).slice(seen).to_numpy(zero_copy_only=False))
-
-    return rows.repartition("block").sortWithinPartitions("block", "number").mapInArrow(
-        score, f"{id_col} {kind}, n_tokens long, n_known long, train_tokens long, base_score double"
-    )
+                held = []
 
-
-def lm_scores(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base and mixed scores of each whole text, both learned from the rows where
-    ``learn`` holds: ``(id, n_tokens, n_known, train_tokens, base_score, score,
-    bits_per_byte)``; scores are log10 probabilities of the text and its end.
-
-    Ids must be distinct; rows with a null id are left out. Null texts count as
-    empty ones: one token, the end. With no learning rows both models are flat.
-    """
-    docs = docs.where(F.col(id_col).isNotNull())
-    base = unigram_scores(docs, learn, id_col, text_col)
-    mixed = bit_scores(docs, fit_mixer(docs.where(learn), id_col, text_col), id_col, text_col)
-    bits = mixed.select(id_col, (-F.col("bits") * float(np.log10(2))).alias("score"), (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
-    return base.join(bits, id_col)
+    schema = f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, n_bytes long, score double, bits_per_byte double"
+    return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(score, schema)

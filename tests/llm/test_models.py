@@ -11,7 +11,8 @@ import pytest
 
 from dwellspark.llm import queries as Q
 from dwellspark.llm.language import fit_language_model, identify_language
-from dwellspark.llm.mixing import Mixer, lm_scores
+from dwellspark.llm import mixing
+from dwellspark.llm.mixing import lm_scores
 from dwellspark.llm.quality_rank import features, rank_quality, train
 from dwellspark.llm.quality_rules import base_counts, quality_rules
 from dwellspark.llm.samples import remainder
@@ -117,35 +118,90 @@ def test_lm_base_and_totals(spark, sf):
         assert abs(r.base_score - base) < 1e-6 * abs(base) and (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), total)
         assert r.score < 0 and r.held_out == (zlib.crc32(str(i).encode()) % 10 == 0)
     held = [r for r in got.values() if r.held_out]
-    assert np.mean([r.bits_per_byte for r in held]) < 3.5
+    assert np.mean([r.bits_per_byte for r in held]) < 3.5 and len(got) == len(docs)
 
 
-def test_mixer_is_a_distribution():
-    """Chances of all one-byte texts and the empty one add up to less than one."""
-    rng = np.random.default_rng(1)
-    from dwellspark.llm import mixing
+def extreme_mixer(seed, spread=127):
+    rng = np.random.default_rng(seed)
+    bits = mixing.table_bits(1)
+    model = mixing.Mixer(mixing.Code(rng.integers(0, 99, 256)), bits, rng.integers(-spread, spread + 1, sum(1 << b for b in bits)).astype(np.int8))
+    model.weights = rng.normal(0.5, 0.4, model.weights.shape).astype(np.float32)
+    return model
+
 
-    model = Mixer([rng.integers(0, 9, 2 << b) for b in mixing.BITS], mixing.Code(rng.integers(0, 99, 256)))
-    singles = pa.array([chr(i) for i in range(128)] + [""])
-    p = 2.0 ** -model.log2_losses(singles)
-    assert 0 < p.sum() < 1
-    cost = model.log2_losses(pa.array(["abcabcabc" * 300]))
-    assert cost[0] == pytest.approx(model.log2_losses(pa.array(["zz", "abcabcabc" * 300, "q"]))[1])
+def test_mixer_is_a_distribution():
+    """After any context the chances of all byte values (the end is one) add up to 1."""
+    for seed in range(5):
+        model = extreme_mixer(seed)
+        for context in np.random.default_rng(seed).integers(0, 2**32, (20, len(mixing.ORDERS)), dtype=np.uint32):
+            own, value, gate, x = model.inputs(np.arange(256, dtype=np.uint8), np.tile(context, (256, 1)))
+            chance = model.chances((model.weights.take(gate, 0) * x) @ mixing._SUM, mixing._AGAINST[value]).astype(float)
+            whole = np.ones(256)
+            np.multiply.at(whole, own, chance.prod(axis=1))
+            assert whole.sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_mixer_against_a_plain_one(monkeypatch):
+    """One text after the other, one byte, one bit and one input at a time."""
+    monkeypatch.setattr(mixing, "SEGMENT", 100)
+    model = extreme_mixer(7, 40)
+    texts = ["The cat. " * 30, "", None, "a", "\u00e9\u4e2d " * 40, "zzz qqq 123 " * 9]
+    want = []
+    for t in texts:
+        data, offsets = mixing._ended(pa.array([t]))
+        ctx = np.stack(list(mixing.contexts(data, offsets)), 1)
+        cost, added, moves = 0.0, np.zeros((4, 7)), []
+        for i, byte in enumerate(data):
+            if i % 100 == 0:
+                added, moves = np.zeros((4, 7)), []
+            elif i % 100 % mixing.STEP == 0:
+                added, moves = added + sum(moves), []
+            rank, group = int(model.code.rank[byte]), 0
+            while True:
+                value = min(rank - 15 * group, 15)
+                rows = [int(mixing._rows(ctx[i, k : k + 1], np.array([group]), int(model.bits[k]))[0] + model.first[k]) for k in range(6)]
+                known = [int(model.table[r + 1]) & 1 for r in rows]
+                gate = known[3] + 2 * known[4] + 4 * known[5] + 8 * (group > 0)
+                weights, move = model.weights[gate].reshape(7, 4).T.astype(float), np.zeros((4, 7))
+                for t in range(4):
+                    x = np.array([int(model.table[r + (1 << t | value >> 4 - t)]) / 16 for r in rows] + [mixing.BIAS])
+                    z = min(11.0, max(-11.0, float((weights[t] + added[t]) @ x)))
+                    bit = value >> 3 - t & 1
+                    p = 1 / (1 + math.exp(-z))
+                    cost -= math.log2(p if bit else 1 - p)
+                    move[t] = mixing.RATE * (bit - p) * x
+                moves.append(move)
+                if value < 15:
+                    break
+                group += 1
+        want.append(cost)
+    assert model.log2_losses(pa.array(texts)).tolist() == pytest.approx(want, rel=1e-4)
 
 
 def test_mixer_codes_every_byte_value_once():
-    """Values of each group and the bytes behind the groups are a whole distribution."""
-    from dwellspark.llm import mixing
-
     code = mixing.Code(np.arange(256))
-    first, second = code.digits(np.arange(256, dtype=np.uint8), 0), code.digits(np.arange(256, dtype=np.uint8)[code.rank >= mixing.MORE], 1)
-    assert np.bincount(first).tolist() == [1] * mixing.MORE + [256 - mixing.MORE] and np.bincount(second).tolist() == [1] * mixing.MORE + [256 - 2 * mixing.MORE]
-    assert (2.0 ** -code.rest[code.rank >= 2 * mixing.MORE]).sum() == pytest.approx(1) and not code.rest[code.rank < 2 * mixing.MORE].any()
+    own, group, value = code.events(np.arange(256, dtype=np.uint8))
+    paths = {}
+    for o, v in zip(own.tolist(), value.tolist()):
+        paths.setdefault(o, []).append(v)
+    assert len({tuple(p) for p in paths.values()}) == 256 and all(set(p[:-1]) <= {15} and p[-1] < 15 for p in paths.values())
     data, offsets = mixing._ended(pa.array(["ab cab", "", None, "b cab"]))
-    one, _, three, _, word = mixing.contexts(data, offsets)
+    one, _, three, _, _, word = mixing.contexts(data, offsets)
     assert one.dtype == word.dtype == np.uint32 and word[5] == word[13] and word[4] != word[5] and three[5] == three[13] and one[0] == one[9]
 
 
+def test_mixer_beats_the_base_on_held_out_texts(spark):
+    held = [r for r in Q.op4_lm_mixing(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in held) > 0.98 * sum(r.base_score for r in held)
+
+
+def test_lm_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "a"), (None, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in lm_scores(df, remainder("doc_id", 10) >= 0).collect())
+    assert got == [(0, 1, 1), (0, 2, 2), (1, 2, 2), (1, 3, 3), (1, 3, 3)]
+    assert {r.n_known for r in lm_scores(df, remainder("doc_id", 10) < 0).collect()} == {0}
+
+
 def test_lm_edges(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "The the " * 4000, 0), (4, "the", 0)], "doc_id long, text string, score int")
     got = {r.doc_id: r for r in lm_scores(df, remainder("doc_id", 10) >= 0).collect()}
