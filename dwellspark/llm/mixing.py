@@ -23,14 +23,14 @@ DIGIT, MORE = 4, 15
 #: values of one row of counts, and bytes of the tables that a task counts into at once
 CHUNK, COUNT_ROOM = 1 << 16, 160 << 20
 #: bytes over which weights adapt before they start anew, and between two moves of them
-SEGMENT, STEP = 1 << 15, 32
+SEGMENT, STEP = 1 << 13, 32
 RATE = 0.004
 #: one training text in so many sets the weights and is not counted
 DEVELOP, ROUNDS, RIDGE, START = 32, 5, 20.0, 0.3
 #: end of a text; no UTF-8 text holds this byte
 END = 0xFF
 #: bytes of text handled at once when counting, when scoring, and in a block of words
-COUNT_PIECE, SCORE_PIECE, BLOCK_PIECE = 2 << 20, 1 << 20, 12 << 20
+COUNT_PIECE, SCORE_PIECE, BLOCK_PIECE = 2 << 20, 2 << 20, 12 << 20
 #: units of a predictor's log-odds, the bias's input, and visits that make a context known
 UNIT, BIAS, KNOWN = 16, 0.3, 3
 #: contexts whose being known picks the weights, and sets of weights
@@ -208,7 +208,7 @@ def predictors(docs: DataFrame, code: Code, bits: tuple[int, ...], text_col: str
 
     for which in turns:
         parts = docs.select(text_col).mapInArrow(count_of(which), "chunk int, counts binary")
-        for r in parts.repartition(48, "chunk").mapInArrow(add, "chunk int, odds binary").toLocalIterator():
+        for r in parts.repartition(192, "chunk").mapInArrow(add, "chunk int, odds binary").toLocalIterator():
             at = first[r.chunk >> 16] + (r.chunk & 0xFFFF) * (CHUNK // 2)
             out[at : at + CHUNK // 2] = np.frombuffer(pa.decompress(r.odds, CHUNK // 2, "zstd"), np.int8)
     return out
