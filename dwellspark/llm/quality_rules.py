@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import cut
+from .store import cut, drop
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 #: share of a group's rows that an estimate rests on, and what makes the
@@ -16,7 +16,9 @@ SHARE, CONSISTENT = 0.75, 1.41
 CUT = 30.86
 #: rows below which a group borrows the estimate of its language, then of all
 LEAST_ROWS = 60
-STEPS = 3
+#: rows of one salt of a group, most concentration steps, and the change of every
+#: group's log spread at which they end
+SALT_ROWS, STEPS, SETTLED = 2000, 8, 0.01
 #: transformed statistics, and the least spread (given those before it) that counts
 #: for each: a floor under the estimate, so small that the last two reach CUT alone
 STATS = {
@@ -35,19 +37,24 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n_dup_lines and n_repeat_words of each whole text; null counts as empty.
 
     Repeats of three words are found inside the row: each window's hash shares
-    a long with its place, the sorted longs put equal windows side by side.
+    a long with its place, the sorted longs put equal windows side by side, and
+    the words of neighbours with one hash are compared.
     """
+    near = " OR ".join(
+        f"""(p.i + {d} BETWEEN 0 AND size(s) - 1 AND transform(array(s[least(greatest(p.i + {d}, 0), size(s) - 1)]), y ->
+            shiftright(p.x, k.b) = shiftright(y, k.b) AND transform(array(struct(cast(p.x & k.m AS int) AS g, cast(y & k.m AS int) AS h)), q ->
+              w[q.g] = w[q.h] AND w[q.g + 1] = w[q.h + 1] AND w[q.g + 2] = w[q.h + 2])[0])[0])"""
+        for d in (-1, 1, -2, 2)
+    )
     inner = f"""
       transform(array(regexp_extract_all(coalesce({text_col}, ''), '{WORD}', 0)), w ->
-        transform(array(struct(size(w) AS n, length(bin(size(w))) AS b)), k -> struct(
+        transform(array(struct(size(w) AS n, length(bin(size(w))) AS b, shiftleft(1L, length(bin(size(w)))) - 1 AS m)), k -> struct(
           cast(k.n AS long) AS n_words,
           cast(length(array_join(w, '')) AS long) AS word_chars,
           transform(array(if(k.n < 4, array(), sort_array(transform(sequence(0, k.n - 3), i ->
               shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), k.b) | cast(i AS long))))), s ->
-            transform(array(transform(filter(transform(s, (x, i) -> struct(x AS x, i AS i)), p ->
-                (p.i > 0 AND shiftright(p.x, k.b) = shiftright(s[greatest(p.i - 1, 0)], k.b))
-                OR (p.i < size(s) - 1 AND shiftright(p.x, k.b) = shiftright(s[least(p.i + 1, size(s) - 1)], k.b))),
-              p -> p.x & (shiftleft(1L, k.b) - 1))), r ->
+            transform(array(transform(filter(transform(s, (x, i) -> struct(x AS x, i AS i)), p -> {near}),
+              p -> p.x & k.m)), r ->
               cast(size(array_union(array_union(r, transform(r, x -> x + 1)), transform(r, x -> x + 2))) AS long))[0])[0]
             AS n_repeat_words))[0])[0]"""
     lines = f"""transform(array(filter(split(coalesce({text_col}, ''), '\\n'), l -> l rlike '{WORD}')), l ->
@@ -87,45 +94,58 @@ def outlier_distances(rows: DataFrame, keys: list[str], fit: F.Column) -> DataFr
     are the values of ``keys`` (null is a value); one with under LEAST_ROWS rows
     borrows. Starting from medians and quartiles, each concentration step takes
     the SHARE of rows nearest to the estimate and re-estimates centre and
-    covariance from them. A step is one aggregation by group and bin of
-    distance, with partial sums, so a hot group meets as a few hundred rows.
+    covariance from them, until no group's determinant shrinks further. A step
+    sums by group, salt and bin of distance (a group has a salt for SALT_ROWS
+    rows), then by group and bin, so a hot group's rows never meet and its bins
+    are 1001 at most.
     """
     named = [F.to_json(F.struct(*keys[:k])) if k else F.lit("{}") for k in range(len(keys), -1, -1)]
     rows = rows.withColumns({f"_g{k}": F.concat(F.lit(f"{k}"), g) for k, g in enumerate(named)}).withColumn("_fit", F.coalesce(fit, F.lit(False)))
     levels = [f"_g{k}" for k in range(len(named))]
-    sizes = rows.where("_fit").groupBy(*levels).agg(F.count("*").alias("n"))
+    sizes = rows.where("_fit").groupBy(*levels).agg(F.count("*").alias("n_g0"))
     of = rows.select(*levels).distinct().join(sizes, levels, "left")
-    for g in levels:
-        of = of.withColumn(f"n{g}", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(g)))
+    for g in levels[1:-1]:
+        of = of.join(sizes.groupBy(g).agg(F.sum("n_g0").alias(f"n{g}")), g, "left")
     grp = F.coalesce(*(F.when(F.col(f"n{g}") >= LEAST_ROWS, F.col(g)) for g in levels[:-1]), F.col(levels[-1]))
-    rows = cut(rows.join(of.select(levels[0], grp.alias("grp")).distinct(), levels[0]).drop(*levels))
+    of = of.select(levels[0], grp.alias("grp"), "n_g0")
+    salts = of.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n_g0") / SALT_ROWS).cast("int"), F.lit(1)).alias("salts"))
+    of = of.join(salts, "grp").select(levels[0], "grp", F.coalesce("salts", F.lit(1)).alias("salts"))
+    salt = F.pmod(F.hash(*_X, "id"), F.col("salts")).alias("salt")
+    rows = cut(rows.join(of, levels[0]).select("*", salt).drop(*levels))
     fitted = rows.where("_fit")
 
     bins = [F.percentile(F.round(F.col(x) * 64) / 64, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"q{i}") for i, x in enumerate(_X)]
-    start = fitted.groupBy("grp").agg(*bins)
+    start = fitted.groupBy("grp", "salts").agg(*bins)
     model = start.select(
-        "grp", *(F.col(f"q{i}")[1].alias(f"c{i}") for i in range(len(_X))),
+        "grp", "salts", *(F.col(f"q{i}")[1].alias(f"c{i}") for i in range(len(_X))),
         *(F.pow(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(STATS[_X[i]][1])), 2).alias(f"v{i}{i}") if i == j else F.lit(0.0).alias(f"v{i}{j}") for i, j in _PAIRS),
     )
     model = cut(_factored(model).drop(*(f"v{i}{j}" for i, j in _PAIRS)))
+    dev = {i: F.col(_X[i]) - F.col(f"c{i}") for i in range(len(_X))}
+    sums = {"n": F.count("*"), **{f"s{i}": F.sum(dev[i]) for i in dev}, **{f"p{i}{j}": F.sum(dev[i] * dev[j]) for i, j in _PAIRS}}
+    upto = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    mean = {i: F.col(f"s{i}") / F.col("n") for i in dev}
+    cov = {(i, j): CONSISTENT * (F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) for i, j in _PAIRS}
     for _ in range(STEPS):
-        near = _with_distance(fitted.join(model, "grp")).withColumn("bin", F.least(F.floor(16 * F.log2(F.col("d2") + 1)), F.lit(1000)))
-        dev = {i: F.col(_X[i]) - F.col(f"c{i}") for i in range(len(_X))}
-        sums = {"n": F.count("*"), **{f"s{i}": F.sum(dev[i]) for i in dev}, **{f"p{i}{j}": F.sum(dev[i] * dev[j]) for i, j in _PAIRS}}
-        table = near.groupBy("grp", "bin").agg(*(v.alias(k) for k, v in sums.items()))
-        upto = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        dealt = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        near = _with_distance(fitted.join(dealt, ["grp", "salt"])).withColumn("bin", F.least(F.floor(16 * F.log2(F.col("d2") + 1)), F.lit(1000)))
+        table = near.groupBy("grp", "salt", "bin").agg(*(v.alias(k) for k, v in sums.items()))
+        table = table.groupBy("grp", "bin").agg(*(F.sum(k).alias(k) for k in sums))
         table = table.withColumn("all", F.sum("n").over(Window.partitionBy("grp")))
         table = table.select("grp", "all", "bin", *(F.sum(k).over(upto).alias(k) for k in sums)).where(F.col("n") >= SHARE * F.col("all"))
         table = table.groupBy("grp").agg(*(F.min_by(k, "bin").alias(k) for k in sums))
-        mean = {i: F.col(f"s{i}") / F.col("n") for i in dev}
-        cov = {(i, j): CONSISTENT * (F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) for i, j in _PAIRS}
-        centre = model.select("grp", *(f"c{i}" for i in dev)).join(table, "grp")
-        model = centre.select(
-            "grp", *((F.col(f"c{i}") + mean[i]).alias(f"c{i}") for i in dev),
-            *(cov[i, j].alias(f"v{i}{j}") for i, j in _PAIRS),
-        )
-        model = cut(_factored(model).drop(*(f"v{i}{j}" for i, j in _PAIRS)))
-    return _with_distance(rows.join(model, "grp", "left")).drop("grp", "_fit", *(f"y{i}" for i in range(len(_X))), *(f"c{i}" for i in range(len(_X))), *(f"l{i}{j}" for i, j in _PAIRS))
+        size = sum((F.log(f"l{i}{i}") for i in dev), F.lit(0.0))
+        centre = model.select("grp", "salts", size.alias("before"), *(f"c{i}" for i in dev)).join(table, "grp")
+        moved = centre.select("grp", "salts", "before", *((F.col(f"c{i}") + mean[i]).alias(f"c{i}") for i in dev), *(cov[i, j].alias(f"v{i}{j}") for i, j in _PAIRS))
+        moved = cut(_factored(moved).withColumn("shrunk", F.col("before") - size).drop(*(f"v{i}{j}" for i, j in _PAIRS), "before"))
+        drop(model)
+        model = moved.drop("shrunk")
+        model.cut_path = moved.cut_path
+        if not (moved.agg(F.max(F.abs("shrunk"))).first()[0] or 0) > SETTLED:
+            break
+    dealt = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    out = _with_distance(rows.join(dealt, ["grp", "salt"], "left"))
+    return out.drop("grp", "salt", "salts", "_fit", *(f"y{i}" for i in range(len(_X))), *(f"c{i}" for i in range(len(_X))), *(f"l{i}{j}" for i, j in _PAIRS))
 
 
 def quality_rules(
@@ -138,7 +158,10 @@ def quality_rules(
     3-word windows, fails the base rule (null and empty texts too). Of the
     others, those whose squared distance from their language's and source's
     estimate exceeds ``most`` are rejected. Null languages and sources are groups
-    of their own; repeated rows are judged alike; an empty table gives no rows.
+    of their own; repeated rows are judged alike, and each gets its row, null and
+    repeated ids too; very long texts are counted whole; an empty table gives no
+    rows. Columns other than the four named are not read, whatever their names.
+    Rows at the cut itself are kept.
     """
     named = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")

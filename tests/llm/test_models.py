@@ -12,6 +12,7 @@ import pytest
 from dwellspark.llm import queries as Q
 from dwellspark.llm.language import fit_language_model, identify_language
 from dwellspark.llm import mixing
+from dwellspark.llm import quality_rules as quality
 from dwellspark.llm.mixing import lm_scores
 from dwellspark.llm.quality_rank import features, rank_quality, train
 from dwellspark.llm.quality_rules import base_counts, quality_rules
@@ -61,6 +62,67 @@ def test_repeats_alone_are_rejected(spark):
     assert not any(got[i].kept for i in (*lines, *words))
 
 
+def plain_estimate(x, share=quality.SHARE):
+    """Centre and factor of one group, from all its rows at once."""
+    spread = np.array([v[1] for v in quality.STATS.values()])
+
+    def factor(cov):
+        low = np.zeros((5, 5))
+        for i in range(5):
+            for j in range(i + 1):
+                rest = cov[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = math.sqrt(max(rest, spread[i] ** 2)) if i == j else rest / low[j, j]
+        return low
+
+    rounded = np.floor(x * 64 + 0.5) / 64
+    q = np.percentile(rounded, [25, 50, 75], axis=0)
+    centre, low = q[1], factor(np.diag(np.maximum((q[2] - q[0]) / 1.349, spread) ** 2))
+    for _ in range(quality.STEPS):
+        d2 = (np.linalg.solve(low, (x - centre).T) ** 2).sum(axis=0)
+        bins = np.minimum(np.floor(16 * np.log2(d2 + 1)), 1000)
+        last = next(b for b in np.unique(bins) if (bins <= b).sum() >= share * len(x))
+        own, before = x[bins <= last], np.log(np.diag(low)).sum()
+        centre, low = own.mean(axis=0), factor(quality.CONSISTENT * np.cov(own.T, bias=True))
+        if abs(np.log(np.diag(low)).sum() - before) <= quality.SETTLED:
+            break
+    return centre, low
+
+
+def test_distances_against_numpy(spark, sf, monkeypatch):
+    """The whole query's kept and d2, one language and source after the other."""
+    monkeypatch.setattr(quality, "SETTLED", 0.0)
+    monkeypatch.setattr(quality, "STEPS", 2)
+    monkeypatch.setattr(quality, "SALT_ROWS", 7)
+    monkeypatch.setattr(quality, "LEAST_ROWS", 3)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    groups, stats = {}, {}
+    for r in docs.select("doc_id", "text", "lang", "source").collect():
+        n, chars, symbols, dup, rep = counts(r.text)
+        lines = sum(bool(x.encode().split()) for x in (r.text or "").split("\n"))
+        failed = n < 50 or 100 * rep > 50 * n
+        assert got[r.doc_id].base_failed == failed
+        if not failed:
+            stats[r.doc_id] = [math.log(n + 1), chars / n, math.sqrt(100 * symbols / n), math.sqrt(100 * dup / max(lines, 1)), math.log(1 + 100 * rep / n)]
+            groups.setdefault((r.lang, r.source), []).append(r.doc_id)
+    checked = 0
+    for ids in groups.values():
+        if len(ids) >= 3:
+            x = np.array([stats[i] for i in ids])
+            centre, low = plain_estimate(x)
+            d2 = (np.linalg.solve(low, (x - centre).T) ** 2).sum(axis=0)
+            assert [got[i].d2 for i in ids] == pytest.approx(d2.tolist(), rel=1e-4, abs=1e-5)
+            assert [got[i].kept for i in ids] == [d <= quality.CUT for d in d2]
+            checked += len(ids)
+    assert checked > 100
+
+
+def test_repeats_of_a_very_long_text(spark):
+    text = " ".join(f"{i:x}" for i in range(2_000_000))
+    df = spark.createDataFrame([(1, text), (2, text[:500_000] + " 0 1 2 3")], "doc_id long, text string")
+    assert {r.doc_id: r.n_repeat_words for r in base_counts(df).select("doc_id", "n_repeat_words").collect()} == {1: 0, 2: 8}
+
+
 def test_rules_edges(spark):
     df = spark.createDataFrame([(*r, 1) for r in EDGE], SCHEMA + ", kept int")
     assert len(quality_rules(df).collect()) == len(EDGE) and quality_rules(df.limit(0)).count() == 0
