@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, drop
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` of longs -> ``(node, component)``, component = least node.
 
     Each round points every neighbour at the least one (first those above a
@@ -21,14 +21,16 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         up = up.where("u <> v").distinct()
         least = up.groupBy("u").agg(F.min("v").alias("m"))
         down = up.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(down.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        moved = cut(down.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        drop(edges)
+        edges = moved
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .text import flat, gram_hashes, pieces, spans, word_hashes
 
@@ -233,12 +234,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     parts.append(part)
     found = None
     for p in parts:
-        one = docs.select(id_col, F.lower(text_col).alias(text_col)).mapInArrow(_searcher(build_index(p), id_col, item_col, ikind), schema)
+        one = docs.select(id_col, F.lower(text_col).alias(text_col)).mapInArrow(_searcher(build_index(p), id_col, item_col, to_arrow_type(items.schema[item_col].dataType)), schema)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _searcher(index: ItemIndex, id_col: str, item_col: str, ikind: str):
+def _searcher(index: ItemIndex, id_col: str, item_col: str, ikind: pa.DataType):
     def run(batches):
         for b in batches:
             for i, n in pieces(b.column(1)):
@@ -256,9 +257,8 @@ def _searcher(index: ItemIndex, id_col: str, item_col: str, ikind: str):
                     if q >= OVERLAP and a >= OVERLAP:
                         out.append((row, index.ids[item], round(score, 6), q, a))
                 rows = pa.array([r[0] for r in out], pa.int64())
-                kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[ikind]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, n).take(rows), pa.array([r[1] for r in out], kind), *(pa.array([r[k] for r in out], pa.float64()) for k in (2, 3, 4))],
+                    [b.column(0).slice(i, n).take(rows), pa.array([r[1] for r in out], ikind), *(pa.array([r[k] for r in out], pa.float64()) for k in (2, 3, 4))],
                     [id_col, item_col, "score", "question_overlap", "answer_overlap"],
                 )
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import cut, drop
-from .text import BLANKS, flat, mix_int, pieces, spans, word_hashes
+from .text import BLANKS, FOLD, flat, mix_int, pieces, spans, word_hashes
 
 #: contexts: the last 1, 2, 3, 4 and 6 bytes, and the word so far
 ORDERS = (1, 2, 3, 4, 6, 0)
@@ -44,8 +44,6 @@ _PATH = np.array([[1 << t | v >> DIGIT - t for t in range(DIGIT)] for v in range
 _AGAINST = np.array([[1 - 2 * (v >> DIGIT - 1 - t & 1) for t in range(DIGIT)] for v in range(1 << DIGIT)], np.float32)
 #: adds up what the inputs give at each place
 _SUM = np.tile(np.eye(DIGIT, dtype=np.float32), (_N, 1))
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[0x41:0x5B] += 32
 _STOP = np.uint64(mix_int(0x5AFE))
 _powers: list[np.ndarray] = [np.ones(1, np.uint32), np.ones(1, np.uint32)]
 
@@ -53,7 +51,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint32), np.ones(1, np.uint32)]
 def _ended(column: pa.Array):
     """Lower-case texts with END behind each, and where each begins."""
     data, offsets = flat(column)
-    return np.insert(_FOLD[data], offsets[1:], END), offsets + np.arange(len(offsets))
+    return np.insert(FOLD[data], offsets[1:], END), offsets + np.arange(len(offsets))
 
 
 def _so_far(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -134,7 +132,7 @@ def byte_counts(docs: DataFrame, learn: F.Column, text_col: str = "text") -> tup
         for b in batches:
             mine = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             n[256] += flat(b.column(0))[1][-1]
-            n[:256] += np.bincount(_FOLD[flat(b.column(0).filter(pa.array(mine)))[0]], minlength=256)
+            n[:256] += np.bincount(FOLD[flat(b.column(0).filter(pa.array(mine)))[0]], minlength=256)
             n[END] += mine.sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(257, dtype=np.int32)), pa.array(n)], ["byte", "n"])
 
@@ -385,7 +383,7 @@ def _words(column: pa.Array):
     parts, counts = [], []
     for i, n in pieces(column):
         data, offsets = flat(column.slice(i, n))
-        data = _FOLD[data]
+        data = FOLD[data]
         starts, ends, first = spans(data, offsets)
         parts.append(np.insert(word_hashes(data, starts, ends), first[1:], _STOP))
         counts.append(np.diff(first) + 1)

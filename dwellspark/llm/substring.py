@@ -337,47 +337,51 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(id, part, packed, size): texts compressed for the shuffle."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """(id, part, packed, size, ...): texts compressed for the shuffle; null stays null."""
+    schema = docs.schema.simpleString()[7:-1].replace("text:string", "packed:binary,size:bigint", 1)
 
     def run(batches):
         for b in batches:
-            raw = as_binary(b.column(2))
-            packed = pa.array([pa.compress(t.as_buffer(), "zstd", asbytes=True) for t in raw], pa.binary())
+            raw, valid = as_binary(b.column(2)), b.column(2).is_valid().to_pylist()
+            packed = pa.array([pa.compress(t.as_buffer(), "zstd", asbytes=True) if v else None for t, v in zip(raw, valid)], pa.binary())
             size = pa.array([len(t.as_buffer()) for t in raw], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed, size], ["id", "part", "packed", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed, size, *b.columns[3:]], ["id", "part", "packed", "size", *b.schema.names[3:]])
 
-    return docs.mapInArrow(run, f"id {kind}, part int, packed binary, size long")
+    return docs.mapInArrow(run, schema)
 
 
 def _unpacked(packed: pa.Array, size: pa.Array) -> list[bytes]:
     return [pa.decompress(p.as_buffer(), n.as_py(), "zstd", asbytes=True) if n.as_py() else b"" for p, n in zip(packed, size)]
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``(id, kept string, n_words, n_removed)``: each row's text without its repeats.
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, kept string, n_words, n_removed, text, *carry)``: each row's text without
+    its repeats; text is as it was where nothing was removed, else ``kept``.
 
     A window is ``window`` consecutive words of one document; each word covered by
     a window whose words also start earlier goes, and the others are joined by
-    one space. Null and empty texts have no words and give an empty text; texts
-    shorter than a window stay whole, very long ones are handled whole. Ids are
-    integers. Rows of one id come in the order of their texts' hash; of rows
-    with one id and text each gets the same result, as one document. Rows with
-    a null id are kept whole, since they stand before or after nothing. Columns
-    other than the two named are not read, whatever their names; an empty
-    table gives no rows.
+    one space. Null and empty texts have no words and give an empty ``kept``;
+    texts shorter than a window stay whole, very long ones are handled whole.
+    Ids are integers. Rows of one id come in the order of their texts' hash; of
+    rows with one id and text each gets the same result, as one document. Rows
+    with a null id are kept whole, since they stand before or after nothing.
+    Columns in ``carry`` go along with their row; others are not read, whatever
+    their names; an empty table gives no rows.
     """
     found = repeated_windows(docs, id_col, text_col, window)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("part"), F.col(text_col).alias("text"))
-    both = _packed(rows).join(found.withColumn("id", F.col("id").cast(kind)), ["id", "part"], "left")
+    more = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
+    rows = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("part"), F.col(text_col).cast("string").alias("text"), *more)
+    found = found.withColumn("id", F.col("id").cast(kind))
+    both = _packed(rows).join(found, ["id", "part"], "left").select("id", "packed", "size", "runs", *(f"c{k}" for k in range(len(carry))))
 
     def run(batches):
         for b in batches:
-            texts = [t.split() for t in _unpacked(b.column(2), b.column(3))]
-            count = np.array([len(t) for t in texts], np.int64)
+            texts = _unpacked(b.column(1), b.column(2))
+            words_of = [t.split() for t in texts]
+            count = np.array([len(t) for t in words_of], np.int64)
             edge = np.r_[0, np.cumsum(count + 1)]
-            runs = b.column(4)
+            runs = b.column(3)
             at, size, flags = (runs.flatten().field(k) for k in range(3))
             at, size = at.to_numpy(zero_copy_only=False).astype(np.int64), size.to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(texts)), np.asarray(runs.value_lengths().fill_null(0)))
@@ -389,14 +393,21 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             change = np.bincount(begin, minlength=edge[-1] + 1) - np.bincount(begin + window, minlength=edge[-1] + 1)
             stay = np.cumsum(change) == 0
             gone = np.zeros(len(texts), np.int64)
-            kept = []
-            for k, words in enumerate(texts):
+            kept, valid = [], b.column(1).is_valid().to_pylist()
+            for k, words in enumerate(words_of):
                 own = stay[edge[k] : edge[k + 1] - 1]
                 gone[k] = len(words) - int(own.sum())
                 kept.append(b" ".join(compress(words, own.tolist()) if gone[k] else words))
+            after = [(x if g else t) if v else None for x, t, g, v in zip(kept, texts, gone.tolist(), valid)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64())],
-                [id_col, "kept", "n_words", "n_removed"],
-            )
-
-    return both.mapInArrow(run, f"`{id_col}` {kind}, kept string, n_words long, n_removed long")
+                [
+                    b.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64()),
+                    pa.array(after, pa.binary()).cast(pa.string()), *b.columns[4:],
+                ],
+                ["id", "kept", "n_words", "n_removed", "after", *(f"c{k}" for k in range(len(carry)))],
+            )
+
+    schema = f"id {kind}, kept string, n_words long, n_removed long, after string"
+    schema += "".join(f", c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    named = [F.col("id").alias(id_col), "kept", "n_words", "n_removed", F.col("after").alias("text"), *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry))]
+    return both.mapInArrow(run, schema).select(*named)

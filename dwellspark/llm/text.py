@@ -13,6 +13,10 @@ import pyarrow as pa
 BLANKS = np.zeros(256, dtype=bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 
+#: lower case of A-Z, other bytes as they are
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[0x41:0x5B] += 32
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

@@ -8,7 +8,7 @@ import xxhash
 
 from dwellspark.llm import queries as Q
 from dwellspark.llm.components import connected_components
-from dwellspark.llm.simhash import near, near_links, simhash_components
+from dwellspark.llm.simhash import near, near_copies, near_links, simhash_components
 from dwellspark.llm.substring import FMIndex, drop_repeats
 
 
@@ -139,3 +139,27 @@ def test_substring_long_text(spark):
     df = spark.createDataFrame([(1, long), (2, "x " + long[: len(long) // 2])], "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in drop_repeats(df).collect()}
     assert got[1] == 0 and abs(got[2] - len(long[: len(long) // 2].split())) <= 1
+
+
+def test_near_copies_by_similarity(spark):
+    """Copies with replaced words, by similarity of their five-word shingles."""
+    rng = random.Random(8)
+    grams = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    rows, want = [], []
+    for k in range(150):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(150, 500))]
+        edits = max(1, round(len(words) * (0.005, 0.01, 0.02)[k % 3]))
+        other = list(words)
+        for j in rng.sample(range(len(words)), edits):
+            other[j] = "new"
+        a, b = grams(words), grams(other)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other).upper())]
+        want.append(len(a & b) / len(a | b))
+    rows += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "one two"), (10**6 + 3, "one two"), (10**6 + 4, "x " * 100_000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int")
+    got = {r.doc_id: r.component_id for r in near_copies(df).collect()}
+    assert len(got) == len(rows) and all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(150))
+    for least, share in ((0.95, 1.0), (0.9, 0.95), (0.8, 0.85)):
+        found = [got[2 * k + 1] == 2 * k for k in range(150) if want[k] >= least]
+        assert sum(found) >= share * len(found) and len(found) > 20
+    assert [got[10**6 + j] - 10**6 for j in range(5)] == [0, 0, 2, 2, 4] and near_copies(df.limit(0)).count() == 0

@@ -125,3 +125,28 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in got} == texts and all(r.lossless for r in got)
     assert corpus_pipeline.run(spark, sf).count() == len(texts)
     assert all(stage(spark, docs.limit(0), sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_pipeline_rows(spark, sf):
+    """Rows with null and shared ids, equal rows and extra columns, stage by stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(3)
+    text = lambda n=200: " ".join(f"w{x}" for x in rng.integers(0, 5000, n)) + "."
+    one, two, three, four = (text() for _ in range(4))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(1, one, "en", "a"), (1, one, "en", "a"), (1, two, "en", "a"), (None, three, None, None), (None, three, None, None), (5, None, "en", "a"), (6, "", "en", "a"),
+            (7, one + " more", "en", "a"), (8, four + " " + " ".join(two.split()[:60]), "en", "b"), (None, text() + " " + item, "en", "b")]
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row_key int")
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda d: sorted((r.doc_id or 0, len((r.text or "").split())) for r in d.collect())
+    out = stage["quality rules"](spark, df, sf)
+    n_item = len(item.split())
+    assert ids(out) == sorted([(0, 200), (0, 200), (0, 200 + n_item), (1, 200), (1, 200), (1, 200), (7, 201), (8, 260)]) and out.columns == corpus_pipeline.COLUMNS
+    out = stage["SimHash near-dedup"](spark, df, sf)
+    assert ids(out) == sorted([(0, 200), (0, 200 + n_item), (1, 200), (1, 200), (5, 0), (8, 260)])
+    out = stage["substring dedup"](spark, df, sf)
+    assert ids(out) == sorted([(0, 200), (0, 200), (0, 200 + n_item), (1, 200), (1, 200), (1, 200), (5, 0), (6, 0), (7, 1), (8, 200)])
+    assert {r.text for r in out.collect() if r.doc_id == 5} == {None}
+    out = stage["benchmark decontamination"](spark, df, sf)
+    assert len(out.collect()) == 9 and ids(out) == sorted((r[0] or 0, len((r[1] or "").split())) for r in rows[:-1])
+    assert sorted(r.doc_id or 0 for r in stage["SentencePiece encoding"](spark, df, sf).collect()) == sorted(r[0] or 0 for r in rows)
