@@ -1,4 +1,11 @@
-"""Corpus pipeline: five operators, each working on what the one before kept."""
+"""Corpus pipeline: five operators, each working on what the one before kept.
+
+Rows are told apart by a hash of all their columns, not by doc_id, so rows with a
+null id or a shared one are rows like any other. Where a stage doesn't say
+otherwise, equal rows fare alike, null and empty texts are texts without words,
+very long texts are handled whole, columns other than those of ``documents`` are
+left out, and an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +15,7 @@ from pyspark.sql import functions as F
 from dwellspark.llm.decontaminate import contaminated
 from dwellspark.llm.pieces import encode_pieces
 from dwellspark.llm.quality_rules import quality_rules
-from dwellspark.llm.simhash import simhash_components
+from dwellspark.llm.simhash import near_copies
 from dwellspark.llm.store import cut
 from dwellspark.llm.substring import drop_repeats
 
@@ -16,33 +23,44 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    kept = quality_rules(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Rows that the quality rules keep; texts of fewer than 50 words go, null and
+    empty ones among them. A verdict depends on text, language and source, and
+    comes back to rows by a 128-bit hash of these."""
+    of = ["text", "lang", "source"]
+    keyed = docs.select(*COLUMNS, F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(F.lit(1), *of).alias("b")).alias("row_key"))
+    kept = quality_rules(keyed, "row_key").where("kept").select("row_key")
+    return keyed.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the least id) of each group of near copies."""
-    kept = simhash_components(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each class of near copies (five-word shingles, similarity 0.8 or
+    more): that of the least id, one without an id only where no other has one.
+    Of equal rows one stays. Texts without words are one class."""
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_key"))
+    classes = near_copies(keyed, "row_key").join(keyed.select("row_key", "doc_id").distinct(), "row_key")
+    first = F.min_by("row_key", F.struct(F.isnull("doc_id"), "doc_id", "row_key")).alias("row_key")
+    kept = classes.groupBy("component_id").agg(first).select("row_key")
+    return keyed.join(kept, "row_key").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand earlier; those with no word left go."""
-    found = drop_repeats(docs).where("n_removed > 0").select("doc_id", "kept", "n_words", "n_removed")
-    out = docs.join(found, "doc_id", "left").where("n_removed IS NULL OR n_removed < n_words")
-    text = F.when(F.col("n_removed").isNull(), F.col("text")).otherwise(F.col("kept"))
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    """Rows without passages that stand earlier; those with no word left go, but not
+    those that had none. Rows without an id lose nothing; of rows with one id
+    the text's hash gives the order."""
+    out = drop_repeats(docs, carry=("lang", "source", "n_chars")).where("n_removed = 0 OR n_removed < n_words")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return out.select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    hits = cut(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
-    return docs.join(hits, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows in whose text no benchmark item is found."""
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("row_key"))
+    hits = cut(contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_key").select("row_key").distinct())
+    return keyed.join(hits, "row_key", "left_anti").select(*COLUMNS)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, checked to decode to its very text."""
+    """Piece ids of each row's text, checked to decode to that very text."""
     return encode_pieces(docs)
 
 
