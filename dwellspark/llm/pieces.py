@@ -329,7 +329,7 @@ def encode_pieces(
     def run(batches):
         model = load(path)
         for b in batches:
-            for i, n in pieces(b.column(1), 2 << 20):
+            for i, n in pieces(b.column(1), 1 << 20):
                 part = b.column(1).slice(i, n)
                 hashed = b.column(2).slice(i, n).to_numpy(zero_copy_only=False).view(np.uint64)
                 ids, bounds, _, _ = encode(model, part, hashed, seed, dropout)

@@ -354,6 +354,15 @@ def _unpacked(packed: pa.Array, size: pa.Array) -> list[bytes]:
     return [pa.decompress(p.as_buffer(), n.as_py(), "zstd", asbytes=True) if n.as_py() else b"" for p, n in zip(packed, size)]
 
 
+def _portions(size: pa.Array, at_most: int = 2 << 20):
+    """Slices (first row, rows) of about ``at_most`` bytes of text, one row at least."""
+    edge, i = np.r_[0, np.cumsum(size.to_numpy(zero_copy_only=False))], 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + at_most, "right")) - 1)
+        yield i, j - i
+        i = j
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(id, kept string, n_words, n_removed, text, *carry)``: each row's text without
     its repeats; text is as it was where nothing was removed, else ``kept``.
@@ -376,7 +385,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both = _packed(rows).join(found, ["id", "part"], "left").select("id", "packed", "size", "runs", *(f"c{k}" for k in range(len(carry))))
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(i, n) for b in batches for i, n in _portions(b.column(2))):
             texts = _unpacked(b.column(1), b.column(2))
             words_of = [t.split() for t in texts]
             count = np.array([len(t) for t in words_of], np.int64)
