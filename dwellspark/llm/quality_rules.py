@@ -40,12 +40,13 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     a long with its place, the sorted longs put equal windows side by side, and
     the words of neighbours with one hash are compared.
     """
-    near = " OR ".join(
-        f"""(p.i + {d} BETWEEN 0 AND size(s) - 1 AND transform(array(s[least(greatest(p.i + {d}, 0), size(s) - 1)]), y ->
-            shiftright(p.x, k.b) = shiftright(y, k.b) AND transform(array(struct(cast(p.x & k.m AS int) AS g, cast(y & k.m AS int) AS h)), q ->
-              w[q.g] = w[q.h] AND w[q.g + 1] = w[q.h + 1] AND w[q.g + 2] = w[q.h + 2])[0])[0])"""
-        for d in (-1, 1, -2, 2)
-    )
+    place = lambda y, k: f"w[cast({y} & k.m AS int) + {k}]"
+    near = []
+    for d in (-1, 1, -2, 2):
+        other = f"s[least(greatest(p.i + {d}, 0), size(s) - 1)]"
+        same = [f"shiftright(p.x, k.b) = shiftright({other}, k.b)", *(f"{place('p.x', k)} = {place(other, k)}" for k in range(3))]
+        near.append(f"(p.i + {d} BETWEEN 0 AND size(s) - 1 AND {' AND '.join(same)})")
+    near = " OR ".join(near)
     inner = f"""
       transform(array(regexp_extract_all(coalesce({text_col}, ''), '{WORD}', 0)), w ->
         transform(array(struct(size(w) AS n, length(bin(size(w))) AS b, shiftleft(1L, length(bin(size(w)))) - 1 AS m)), k -> struct(

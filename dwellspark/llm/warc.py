@@ -10,6 +10,8 @@ from .store import cut
 
 #: ids of one archive file, and children of one tree node
 ARCHIVE, FANOUT = 1024, 16
+#: nodes of ids that are null or negative, and what stands for a null id in joins
+STRAY, LONE = 4096, -(1 << 63)
 
 
 def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
@@ -43,27 +45,42 @@ def leaves(records: DataFrame, archive: int = ARCHIVE) -> DataFrame:
     )
 
 
+def _node(fanout: int) -> F.Column:
+    """Lowest node of a leaf: its id range, behind the STRAY nodes to which null and
+    negative ids are dealt by hash, so that none of them holds them all."""
+    stray = F.pmod(F.xxhash64("id", "hash"), F.lit(STRAY))
+    return F.coalesce(F.when(F.col("id") >= 0, F.floor(F.col("id") / fanout) + STRAY), stray).cast("long")
+
+
 def merkle_levels(leaf: DataFrame, fanout: int = FANOUT, archive: int = ARCHIVE) -> list[DataFrame]:
-    """Tree levels ``(node, hash, low, high)``, leaf nodes' parents first, one root last.
+    """Levels ``(node, hash, ranges, low, high)`` of two trees of one shape, leaf nodes'
+    parents first, one root last: ``hash`` covers records, ``ranges`` their ordered
+    byte ranges.
 
     A node covers a fixed range of ids, so the same record has the same path in
-    every replica and a lost record changes its own branch only. Level 0 hashes
-    each id range's records with their offsets; above, a node's hash covers its
-    children's numbers and hashes. Null and negative ids count in the first range.
+    every replica and a lost record changes its own branch only. At level 0
+    ``hash`` is of the records' ids, copies and hashes in order; ``ranges`` of where
+    each begins within the node, and its length. Above, a node's hashes cover
+    its children's numbers and hashes, and how long each child is. Null and
+    negative ids are dealt to STRAY nodes of their own by hash.
     """
-    ranged = leaf.withColumn("node", F.floor(F.greatest(F.coalesce("id", F.lit(0)), F.lit(0)) / fanout).cast("long"))
-    parts = F.sort_array(F.collect_list(F.struct("id", "copy", "offset", "length", "hash")))
-    text = F.array_join(F.transform(parts, lambda p: F.concat_ws(":", F.coalesce(p["id"].cast("string"), F.lit("")), p["length"], p["hash"])), "|")
+    parts = F.sort_array(F.collect_list(F.struct("archive", "offset", "id", "copy", "length", "hash")))
+    text = lambda of: F.sha2(F.array_join(F.transform(F.col("parts"), of), "|"), 256)
+    whole = lambda p: F.concat_ws(":", F.coalesce(p["id"].cast("string"), F.lit("")), p["copy"], p["hash"])
+    placed = lambda p: F.concat_ws(":", F.coalesce(p["id"].cast("string"), F.lit("")), p["copy"], p["offset"] - F.col("low"), p["length"])
     span = [F.min("offset").alias("low"), F.max(F.col("offset") + F.col("length")).alias("high")]
-    levels = [cut(ranged.groupBy("archive", "node").agg(F.sha2(text, 256).alias("hash"), *span))]
+    level = leaf.withColumn("node", _node(fanout)).groupBy("archive", "node").agg(parts.alias("parts"), *span)
+    levels = [cut(level.select("archive", "node", text(whole).alias("hash"), text(placed).alias("ranges"), "low", "high"))]
+    # a node's archive is part of its place, as offsets start anew in each
     top = levels[0].agg(F.max("node"), F.min("node")).first()
     high, low = top[0] or 0, top[1] or 0
     while high != low:
         high, low = high // fanout, low // fanout
-        up = levels[-1].select(F.floor(F.col("node") / fanout).cast("long").alias("up"), F.col("node").alias("n"), "hash", "low", "high")
-        child = F.sort_array(F.collect_list(F.struct("n", "hash")))
-        text = F.array_join(F.transform(child, lambda p: F.concat_ws(":", p["n"].cast("string"), p["hash"])), "|")
-        levels.append(cut(up.groupBy(F.col("up").alias("node")).agg(F.sha2(text, 256).alias("hash"), F.min("low").alias("low"), F.max("high").alias("high"))))
+        up = levels[-1].select(F.floor(F.col("node") / fanout).cast("long").alias("node"), F.col("node").alias("n"), "hash", "ranges", (F.col("high") - F.col("low")).alias("size"), "low", "high")
+        child = F.sort_array(F.collect_list(F.struct("n", "hash", "ranges", "size", "low")))
+        level = up.groupBy("node").agg(child.alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"))
+        records, spans = (lambda p: F.concat_ws(":", p["n"], p["hash"])), (lambda p: F.concat_ws(":", p["n"], p["ranges"], p["size"]))
+        levels.append(cut(level.select("node", text(records).alias("hash"), text(spans).alias("ranges"), "low", "high")))
     return levels
 
 
@@ -72,9 +89,11 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT, archive: int
     left/right offset, length, hash)``; kind is changed, missing (only left) or
     extra (only right).
 
-    Roots are compared first; each level then looks only at children of nodes
-    that differ, so equal branches are never opened and two equal replicas end
-    at their roots. Empty replicas have no root and differ in all rows.
+    Roots of both trees are compared first; each level then looks only at children
+    of nodes whose records or ranges differ, so equal branches are never opened
+    and two equal replicas end at their roots. Empty replicas have no root and
+    differ in all rows. Equal ids are matched in the order of their hashes; columns
+    other than ``id`` and ``record`` are not read.
     """
     a, b = cut(leaves(left, archive)), cut(leaves(right, archive))
     ta, tb = merkle_levels(a, fanout, archive), merkle_levels(b, fanout, archive)
@@ -84,13 +103,15 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT, archive: int
     for x, y in zip(reversed(ta), reversed(tb)):
         if open_nodes is not None:
             x, y = (t.join(open_nodes, F.floor(t["node"] / fanout) == open_nodes["open"], "left_semi") for t in (x, y))
-        both = x.select("node", F.col("hash").alias("h1")).join(y.select("node", F.col("hash").alias("h2")), "node", "full")
-        open_nodes = cut(both.where("NOT (h1 <=> h2)").select(F.col("node").alias("open")))
-    a, b = (t.join(open_nodes, F.floor(F.greatest(F.coalesce(t["id"], F.lit(0)), F.lit(0)) / fanout) == open_nodes["open"], "left_semi") for t in (a, b))
-    a, b = (t.select(F.coalesce("id", F.lit(-1)).alias("_id"), "copy", *(F.col(c).alias(f"{side}_{c}") for c in ("offset", "length", "hash"))) for t, side in ((a, "left"), (b, "right")))
+        at = ["archive", "node"] if "archive" in x.columns else ["node"]
+        x, y = (t.select(*at, F.struct("hash", "ranges").alias(h)) for t, h in ((x, "h1"), (y, "h2")))
+        both = x.join(y, at, "full").where("NOT (h1 <=> h2)")
+        open_nodes = cut(both.select(F.col("node").alias("open")).distinct())
+    a, b = (t.withColumn("node", _node(fanout)).join(open_nodes, F.col("node") == F.col("open"), "left_semi") for t in (a, b))
+    a, b = (t.select(F.coalesce("id", F.lit(LONE)).alias("_id"), "copy", *(F.col(c).alias(f"{side}_{c}") for c in ("offset", "length", "hash"))) for t, side in ((a, "left"), (b, "right")))
     kind = F.when(F.col("left_hash").isNull(), "extra").when(F.col("right_hash").isNull(), "missing").otherwise("changed")
     out = a.join(b, ["_id", "copy"], "full").where("NOT (left_hash <=> right_hash)")
-    return out.select(F.nullif("_id", F.lit(-1)).alias("id"), "copy", kind.alias("kind"), *(f"{s}_{c}" for s in ("left", "right") for c in ("offset", "length", "hash")))
+    return out.select(F.nullif("_id", F.lit(LONE)).alias("id"), "copy", kind.alias("kind"), *(f"{s}_{c}" for s in ("left", "right") for c in ("offset", "length", "hash")))
 
 
 def damaged(records: DataFrame, lose: int = 211, flip: int = 97, cut_short: int = 131) -> DataFrame:
