@@ -132,4 +132,4 @@ def fmt_duration(ms) -> Column:
 
 def bar(ms, total, width: int = 20) -> Column:
     n = F.when(_c(total) > 0, F.floor(_c(ms) / _c(total) * width + 0.5)).otherwise(0).cast("int")
-    return F.rpad(F.repeat(F.lit("█"), n), width, " ")
+    return F.when(_c(total) > 0, F.rpad(F.repeat(F.lit("█"), n), width, "░")).otherwise(" " * width)

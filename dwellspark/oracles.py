@@ -158,7 +158,7 @@ SQL = {
     "deep_work_blocks": f"""WITH {_features()}, r AS (SELECT session_id, window_start, window_start - row_number() OVER (PARTITION BY session_id ORDER BY window_start) * 30000 AS run FROM g WHERE deep_work_candidate_flag = 1)
       SELECT session_id, min(window_start) AS block_start, max(window_start) + 30000 AS block_end, count(*) AS windows FROM r GROUP BY session_id, run""",
     "report_text": f"""WITH {_DAILY} SELECT session_id, local_date, concat_ws(chr(10), 'Date ' || local_date || ': ' || {_FMT.format(x='total_tracked_ms')} || ', deep work ' || {_FMT.format(x='deep_work_ms')},
-      {', '.join(f"CASE WHEN {m} > 0 THEN rpad('{m[:-3]}', 8, ' ') || rpad(repeat('█', CAST(floor({m} / total_tracked_ms * 20 + 0.5) AS INT)), 20, ' ') || ' ' || {_FMT.format(x=m)} END" for m in _MS)},
+      {', '.join(f"CASE WHEN {m} > 0 THEN rpad('{m[:-3]}', 8, ' ') || rpad(repeat('█', CAST(floor({m} / total_tracked_ms * 20 + 0.5) AS INT)), 20, '░') || ' ' || {_FMT.format(x=m)} END" for m in _MS)},
       'switches ' || context_switches) AS report FROM daily""",
     "report_json": f"""WITH {_DAILY} SELECT '{{"session_id":"' || session_id || '","local_date":"' || local_date || '","code_ms":' || code_ms || '}}' AS json FROM daily""",
     "fmt_duration": f"WITH {_D} SELECT window_event_id, {_FMT.format(x='(dwell_time_ms * 40)')} AS text FROM d",

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .logs import normalize_envelope
+
 
 def write_event_log(events: DataFrame, folder: str, max_records: int = 100_000) -> None:
     """Append as JSON lines, a folder for each date, a new file past a size."""
@@ -27,11 +29,14 @@ def insert_or_ignore(new: DataFrame, old: DataFrame | None, key_sets: list[list[
 
 
 def events_raw(events: DataFrame) -> DataFrame:
-    """Envelope columns and the whole event as JSON."""
-    return events.select(
-        F.col("event_id").alias("id"), "session_id", "seq", "created_at", "timezone_offset", F.coalesce("timestamp", F.lit(0)).alias("timestamp_ms"),
-        F.coalesce(F.nullif(F.col("monotonic_ms").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("monotonic_ms"), "type", F.to_json(F.struct("*")).alias("payload_json"),
-    )
+    """Envelope columns and the whole event as JSON; an event without ``monotonic_ms``
+    takes ``end_monotonic_ms``."""
+    whole = events.withColumn("payload_json", F.to_json(F.struct(*events.columns)))
+    if "end_monotonic_ms" not in whole.columns:
+        whole = whole.withColumn("end_monotonic_ms", F.lit(None).cast("double"))
+    return normalize_envelope(whole).select(
+        F.col("event_id").alias("id"), "session_id", "seq", "created_at", "timezone_offset", "timestamp_ms", "monotonic_ms", "type", "payload_json"
+    )
 
 
 def upsert(new: DataFrame, old: DataFrame | None, keys: list[str]) -> DataFrame:

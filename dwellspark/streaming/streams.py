@@ -124,7 +124,14 @@ def stream_features(dwells: DataFrame, window_ms: int = 30_000, late: str = "10
 def stream_fanout(events: DataFrame, folder: str, checkpoint: str):
     """Start a query that writes each micro-batch to the raw and derived tables; a
     batch that runs again replaces its own folders, and the checkpoint resumes."""
-    put = lambda batch, number: fanout(batch.persist(), folder, number)
+
+    def put(batch, number):
+        batch.persist()
+        try:
+            fanout(batch, folder, number)
+        finally:
+            batch.unpersist()
+
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
