@@ -30,7 +30,7 @@ DEVELOP, ROUNDS, RIDGE, START = 32, 5, 20.0, 0.3
 #: end of a text; no UTF-8 text holds this byte
 END = 0xFF
 #: bytes of text handled at once when counting, when scoring, and in a block of words
-COUNT_PIECE, SCORE_PIECE, BLOCK_PIECE = 2 << 20, 2 << 20, 12 << 20
+COUNT_PIECE, SCORE_PIECE, BLOCK_PIECE = 2 << 20, 2 << 20, 8 << 20
 #: units of a predictor's log-odds, the bias's input, and visits that make a context known
 UNIT, BIAS, KNOWN = 16, 0.3, 3
 #: contexts whose being known picks the weights, and sets of weights
