@@ -36,27 +36,26 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines (lines with a word),
     n_dup_lines and n_repeat_words of each whole text; null counts as empty.
 
-    Repeats of three words are found inside the row: each window's hash shares
-    a long with its place, the sorted longs put equal windows side by side, and
-    the words of neighbours with one hash are compared.
+    Repeats of three words are found inside the row. A text whose windows all
+    hash apart has none. In others each hash shares a long with its place, the
+    sorted longs put equal windows side by side, and the words of neighbours with
+    one hash are compared.
     """
+    at = lambda d: f"s[least(greatest(i + {d}, 0), size(s) - 1)]"
     place = lambda y, k: f"w[cast({y} & k.m AS int) + {k}]"
-    near = []
-    for d in (-1, 1, -2, 2):
-        other = f"s[least(greatest(p.i + {d}, 0), size(s) - 1)]"
-        same = [f"shiftright(p.x, k.b) = shiftright({other}, k.b)", *(f"{place('p.x', k)} = {place(other, k)}" for k in range(3))]
-        near.append(f"(p.i + {d} BETWEEN 0 AND size(s) - 1 AND {' AND '.join(same)})")
-    near = " OR ".join(near)
+    alike = lambda d: f"(i + {d} BETWEEN 0 AND size(s) - 1 AND shiftright(x, k.b) = shiftright({at(d)}, k.b))"
+    equal = lambda d: f"({alike(d)} AND {' AND '.join(f'{place("x", k)} = {place(at(d), k)}' for k in range(3))})"
+    near = f"({alike(-1)} OR {alike(1)}) AND ({' OR '.join(map(equal, (-1, 1, -2, 2)))})"
     inner = f"""
       transform(array(regexp_extract_all(coalesce({text_col}, ''), '{WORD}', 0)), w ->
         transform(array(struct(size(w) AS n, length(bin(size(w))) AS b, shiftleft(1L, length(bin(size(w)))) - 1 AS m)), k -> struct(
           cast(k.n AS long) AS n_words,
           cast(length(array_join(w, '')) AS long) AS word_chars,
-          transform(array(if(k.n < 4, array(), sort_array(transform(sequence(0, k.n - 3), i ->
-              shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), k.b) | cast(i AS long))))), s ->
-            transform(array(transform(filter(transform(s, (x, i) -> struct(x AS x, i AS i)), p -> {near}),
-              p -> p.x & k.m)), r ->
-              cast(size(array_union(array_union(r, transform(r, x -> x + 1)), transform(r, x -> x + 2))) AS long))[0])[0]
+          transform(array(if(k.n < 4, array(), transform(sequence(0, k.n - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))), h ->
+            if(size(array_distinct(h)) = size(h), 0L,
+              transform(array(sort_array(transform(h, (x, i) -> shiftleft(x, k.b) | cast(i AS long)))), s ->
+                transform(array(transform(filter(s, (x, i) -> {near}), x -> x & k.m)), r ->
+                  cast(size(array_union(array_union(r, transform(r, x -> x + 1)), transform(r, x -> x + 2))) AS long))[0])[0]))[0]
             AS n_repeat_words))[0])[0]"""
     lines = f"""transform(array(filter(split(coalesce({text_col}, ''), '\\n'), l -> l rlike '{WORD}')), l ->
         struct(cast(size(l) AS long) AS n_lines, cast(size(l) - size(array_distinct(l)) AS long) AS n_dup_lines))[0]"""
