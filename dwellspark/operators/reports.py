@@ -93,13 +93,45 @@ def report_json(report: DataFrame) -> DataFrame:
     return report.select(F.to_json(F.struct("*")).alias("json"))
 
 
+def _padded(text, width: int, left: bool = False):
+    blank = F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(text), F.lit(0)))
+    return F.concat(blank, text) if left else F.concat(text, blank)
+
+
+def _boxed(width: int, *inside) -> F.Column:
+    rule = "═" * width
+    return F.concat(F.lit(f"\n╔{rule}╗\n║"), *inside, F.lit(f"║\n╚{rule}╝\n"))
+
+
 def report_text(daily: DataFrame) -> DataFrame:
-    """``daily`` with ``report``: a line for each category with time, with its bar."""
-    name = lambda c: F.rpad(F.lit(c), 8, " ")
+    """``daily`` with ``report``: the day as text, a bar for each category with time;
+    where there is a column ``top_apps`` (of ``daily_report``), these at the end."""
     total = F.col("total_tracked_ms")
-    lines = [F.when(F.col(m) > 0, F.concat(name(c), bar(m, total), F.lit(" "), fmt_duration(m))) for c, m in zip(CATEGORIES, _MS)]
-    head = F.concat(F.lit("Date "), F.col("local_date"), F.lit(": "), fmt_duration(total), F.lit(", deep work "), fmt_duration("deep_work_ms"))
-    return daily.withColumn("report", F.concat_ws("\n", head, *lines, F.concat(F.lit("switches "), F.col("context_switches").cast("string"))))
+    lines = [F.when(F.col(m) != 0, F.concat(F.lit(f"  {c:7} "), bar(m, total), F.lit(" "), _padded(fmt_duration(m), 8, left=True))) for c, m in zip(CATEGORIES, _MS)]
+    sums = (("\n  Total tracked:   ", fmt_duration(total)), ("  Deep work:       ", fmt_duration("deep_work_ms")), ("  Context switches: ", F.col("context_switches").cast("string")))
+    apps = F.lit(None).cast("string")
+    if "top_apps" in daily.columns:
+        row = lambda a: F.concat(F.lit("  "), _padded(F.substring(a["app_name"], 1, 32), 33), F.lit(" "), fmt_duration(a["total_ms"]))
+        apps = F.when(F.size("top_apps") > 0, F.concat(F.lit("\nTop Apps:\n"), F.array_join(F.transform("top_apps", row), "\n")))
+    head = _boxed(34, F.lit("   Daily Report — "), F.col("local_date"), F.lit("    "))
+    return daily.withColumn("report", F.concat_ws("\n", head, F.lit("Category Breakdown:"), *lines, *(F.concat(F.lit(k), v) for k, v in sums), apps, F.lit("")))
+
+
+def weekly_text(weekly: DataFrame) -> DataFrame:
+    """``weekly`` (of ``weekly_report``) with ``report``: the week as text, a line a day."""
+    head = _boxed(46, F.lit("  Weekly Report — "), F.col("first_day"), F.lit(" to "), F.col("last_day"), F.lit("  "))
+    of = lambda c: fmt_duration(f"{c}_ms")
+    day = lambda d: F.concat(
+        F.lit("  "), d["local_date"], F.lit("  "), _padded(fmt_duration(d["deep_work_ms"]), 9), F.lit("  "), _padded(fmt_duration(d["code_ms"]), 9),
+        F.lit("  "), _padded(d["context_switches"].cast("string"), 4, left=True),
+    )
+    return weekly.withColumn("report", F.concat_ws(
+        "\n", head, F.concat(F.lit("  Total deep work:      "), of("deep_work")), F.concat(F.lit("  Total ctx switches:   "), F.col("context_switches").cast("string")),
+        F.concat(F.lit("\n  code:   "), of("code"), F.lit("   docs: "), of("docs"), F.lit("   video: "), of("video")),
+        F.concat(F.lit("  social: "), of("social"), F.lit("   game: "), of("game"), F.lit("   other: "), of("other")),
+        F.lit("\nDaily Trend:"), F.lit("  Date        Deep Work  Code       Ctx±"), F.lit("  ──────────  ─────────  ─────────  ────"),
+        F.array_join(F.transform("trend_data", day), "\n"), F.lit(""),
+    ))
 
 
 def deep_work_blocks(features: DataFrame, keys: list[str], window_ms: int = 30_000) -> DataFrame:

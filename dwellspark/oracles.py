@@ -94,6 +94,11 @@ _SCORE = """m AS (SELECT *, dwell_ms >= 2000 AS known, CASE WHEN goal_label % 2
 m2 AS (SELECT *, CASE WHEN known THEN score ELSE 0 END AS sim, CASE WHEN known THEN least(greatest(score + boost, 0.0), 1.0) ELSE 0 END AS fin FROM m),
 m3 AS (SELECT *, CASE WHEN NOT known THEN 'unknown' WHEN fin >= 0.5 THEN 'on_goal' WHEN fin >= 0.3 THEN 'related' ELSE 'off_goal' END AS label,
   CASE WHEN NOT known OR dwell_ms < 10000 THEN 'low' WHEN dwell_ms <= 30000 THEN 'medium' ELSE 'high' END AS confidence FROM m2)"""
+_CAL = """kc AS (SELECT goal_id, day_utc, score, row_number() OVER (PARTITION BY goal_id ORDER BY score) - 1 AS r, count(*) OVER (PARTITION BY goal_id) AS n FROM sc WHERE day_utc = '2024-01-01'),
+cal AS (SELECT goal_id, day_utc, greatest(max(score) FILTER (r = least(floor(0.8::DOUBLE * n), n - 1)), 0.45::DOUBLE) AS t_on, max(score) FILTER (r = least(floor(0.5::DOUBLE * n), n - 1)) AS t_off, max(n) AS sample_count
+  FROM kc WHERE n >= 5 GROUP BY goal_id, day_utc HAVING avg(score) >= -1),
+th AS (SELECT * FROM cal UNION ALL SELECT goal_id, day_utc, 0.2::DOUBLE, 0.1::DOUBLE, 0 FROM goal, (VALUES ('2024-01-01'), ('2024-01-02')) o(day_utc)
+  WHERE label % 2 = 0 AND NOT EXISTS (SELECT 1 FROM cal WHERE cal.goal_id = goal.goal_id AND cal.day_utc = o.day_utc))"""
 _LOG = f"""{_W}, j AS (SELECT 'events-' || session_id AS file, seq AS pos, session_id, n, CASE WHEN n % 101 = 0 THEN greatest(seq - 1, 0) ELSE seq END AS s FROM w),
 l AS (SELECT *, n % 97 <> 0 AS ok FROM j)"""
 _TAIL = f"""{_LOG}, tl AS (SELECT file, coalesce(arg_max(s, pos) FILTER (ok), -1) AS tail_seq, coalesce(max(pos) FILTER (ok), -1) AS lastok FROM l GROUP BY file),
@@ -157,9 +162,21 @@ SQL = {
     "dense_days": f"WITH {_DAILY}, {_WEEK} SELECT session_id, local_date, coalesce(code_ms, 0) AS code_ms, coalesce(windows, 0) AS windows FROM dense",
     "deep_work_blocks": f"""WITH {_features()}, r AS (SELECT session_id, window_start, window_start - row_number() OVER (PARTITION BY session_id ORDER BY window_start) * 30000 AS run FROM g WHERE deep_work_candidate_flag = 1)
       SELECT session_id, min(window_start) AS block_start, max(window_start) + 30000 AS block_end, count(*) AS windows FROM r GROUP BY session_id, run""",
-    "report_text": f"""WITH {_DAILY} SELECT session_id, local_date, concat_ws(chr(10), 'Date ' || local_date || ': ' || {_FMT.format(x='total_tracked_ms')} || ', deep work ' || {_FMT.format(x='deep_work_ms')},
-      {', '.join(f"CASE WHEN {m} > 0 THEN rpad('{m[:-3]}', 8, ' ') || rpad(repeat('█', CAST(floor({m} / total_tracked_ms * 20 + 0.5) AS INT)), 20, '░') || ' ' || {_FMT.format(x=m)} END" for m in _MS)},
-      'switches ' || context_switches) AS report FROM daily""",
+    "report_text": f"""WITH {_DAILY}, {_BOUNDS}, tops AS ({_TOPN.format(k='session_id, local_date', t='dd')}),
+      ta AS (SELECT session_id, local_date, string_agg('  ' || rpad(app_name[1:32], 33, ' ') || ' ' || {_FMT.format(x='total_ms')}, chr(10) ORDER BY rank) AS apps FROM tops WHERE rank <= 3 GROUP BY ALL)
+      SELECT session_id, local_date, concat_ws(chr(10), '', '╔══════════════════════════════════╗', '║   Daily Report — ' || local_date || '    ║', '╚══════════════════════════════════╝', '', 'Category Breakdown:',
+      {', '.join(f"CASE WHEN {m} > 0 THEN '  ' || rpad('{m[:-3]}', 7, ' ') || ' ' || rpad(repeat('█', CAST(floor({m} / total_tracked_ms * 20 + 0.5) AS INT)), 20, '░') || ' ' || lpad({_FMT.format(x=m)}, 8, ' ') END" for m in _MS)},
+      '', '  Total tracked:   ' || {_FMT.format(x='total_tracked_ms')}, '  Deep work:       ' || {_FMT.format(x='deep_work_ms')}, '  Context switches: ' || context_switches,
+      chr(10) || 'Top Apps:' || chr(10) || apps, '') AS report FROM daily LEFT JOIN ta USING (session_id, local_date)""",
+    "report_text_weekly": f"""WITH {_DAILY}, {_WEEK}, z AS (SELECT session_id, local_date, {', '.join(f'coalesce({m}, 0) AS {m}' for m in [*_MS, 'deep_work_ms', 'context_switches'])} FROM dense),
+      y AS (SELECT session_id, {', '.join(f'CAST(sum({m}) AS BIGINT) AS {m}' for m in [*_MS, 'deep_work_ms', 'context_switches'])}, min(local_date) AS d0, max(local_date) AS d1,
+        string_agg('  ' || local_date || '  ' || rpad({_FMT.format(x='deep_work_ms')}, 9, ' ') || '  ' || rpad({_FMT.format(x='code_ms')}, 9, ' ') || '  ' || lpad(CAST(context_switches AS VARCHAR), 4, ' '), chr(10) ORDER BY local_date) AS days FROM z GROUP BY session_id)
+      SELECT session_id, concat_ws(chr(10), '', '╔══════════════════════════════════════════════╗', '║  Weekly Report — ' || d0 || ' to ' || d1 || '  ║', '╚══════════════════════════════════════════════╝', '',
+        '  Total deep work:      ' || {_FMT.format(x='deep_work_ms')}, '  Total ctx switches:   ' || context_switches, '',
+        '  code:   ' || {_FMT.format(x='code_ms')} || '   docs: ' || {_FMT.format(x='docs_ms')} || '   video: ' || {_FMT.format(x='video_ms')},
+        '  social: ' || {_FMT.format(x='social_ms')} || '   game: ' || {_FMT.format(x='game_ms')} || '   other: ' || {_FMT.format(x='other_ms')}, '',
+        'Daily Trend:', '  Date        Deep Work  Code       Ctx±', '  ──────────  ─────────  ─────────  ────', days, '') AS report FROM y""",
+    "weekly_trend": f"WITH {_DAILY}, {_WEEK} SELECT session_id, local_date, {', '.join(f'coalesce({m}, 0) AS {m}' for m in [*_MS, 'deep_work_ms', 'context_switches'])} FROM dense",
     "report_json": f"""WITH {_DAILY} SELECT '{{"session_id":"' || session_id || '","local_date":"' || local_date || '","code_ms":' || code_ms || '}}' AS json FROM daily""",
     "fmt_duration": f"WITH {_D} SELECT window_event_id, {_FMT.format(x='(dwell_time_ms * 40)')} AS text FROM d",
     "time_functions": f"""WITH {_W} SELECT event_id, {_iso('t')} || 'Z' AS utc, {_iso('t + timezone_offset * 60000')} AS local, t // 30000 * 30000 AS bucket,
@@ -168,6 +185,10 @@ SQL = {
     "calibrate_thresholds": f"""WITH {_v('+ sh')}, k AS (SELECT goal_id, day_utc, score, row_number() OVER (PARTITION BY goal_id, day_utc ORDER BY score) - 1 AS r, count(*) OVER p AS n, avg(score) OVER p AS mean FROM sc WINDOW p AS (PARTITION BY goal_id, day_utc))
       SELECT goal_id, day_utc, round(greatest(max(score) FILTER (r = least(floor(0.8::DOUBLE * n), n - 1)), 0.45), 6) AS t_on, round(max(score) FILTER (r = least(floor(0.5::DOUBLE * n), n - 1)), 6) AS t_off, max(n) AS sample_count
       FROM k WHERE n >= 100 AND mean >= 0.3 GROUP BY goal_id, day_utc""",
+    "upsert_calibration": f"WITH {_v()}, {_CAL} SELECT goal_id, day_utc, round(t_on, 6) AS t_on, round(t_off, 6) AS t_off, sample_count FROM th",
+    "score_calibrated": f"""WITH {_v()}, {_SCORE}, {_CAL}, u AS (SELECT m3.*, t_on IS NOT NULL AS has, coalesce(t_on, 0.5) AS t_on, coalesce(t_off, 0.3) AS t_off FROM m3 LEFT JOIN th USING (goal_id, day_utc))
+      SELECT vec_id, goal_id AS goal, day_utc, CASE WHEN has THEN 'calibrated' ELSE 'fixed' END AS threshold_mode, CASE WHEN known THEN round(t_on, 6) END AS t_on, CASE WHEN known THEN round(t_off, 6) END AS t_off,
+        CASE WHEN NOT known THEN 'unknown' WHEN fin >= t_on THEN 'on_goal' WHEN fin >= t_off THEN 'related' ELSE 'off_goal' END AS label FROM u""",
     "compare_models": f"""WITH {_v()}, {_SCORE}, s05 AS (SELECT * REPLACE (list_transform(a, lambda x: x + 0.05) AS a) FROM c), q AS (SELECT vec_id, goal_id, day_utc, dwell_ms, least(greatest(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 0.0), 1.0) AS f FROM s05),
       y AS (SELECT vec_id, CASE WHEN dwell_ms < 2000 THEN 0 ELSE f END AS f, CASE WHEN dwell_ms < 2000 THEN 'unknown' WHEN f >= 0.5 THEN 'on_goal' WHEN f >= 0.3 THEN 'related' ELSE 'off_goal' END AS lb FROM q WHERE goal_id = 'g1' AND day_utc = '2024-01-01')
       SELECT vec_id, round(f - fin, 6) AS delta, lb = label AS label_same FROM m3 JOIN y USING (vec_id) WHERE goal_id = 'g1' AND day_utc = '2024-01-01'""",
@@ -190,7 +211,8 @@ SQL = {
       a AS (SELECT * FROM e WHERE n % 29 <> 0 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY n) = 1), b AS (SELECT * FROM a WHERE event_id NOT IN (SELECT event_id FROM o)),
       c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY n) = 1)
       SELECT event_id, session_id, seq FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.session_id = c.session_id AND o.seq = c.seq)""",
-    "events_raw": f"WITH {_W} SELECT event_id AS id, session_id, seq, 'x' AS created_at, timezone_offset, t AS timestamp_ms, CAST(t AS DOUBLE) AS monotonic_ms, event_type AS type FROM w",
+    "events_raw": f"""WITH {_W} SELECT event_id AS id, session_id, seq, 'x' AS created_at, timezone_offset, t AS timestamp_ms, CAST(t AS DOUBLE) AS monotonic_ms, event_type AS type,
+      '{{"event_id":"' || event_id || '","session_id":"' || session_id || '","seq":' || seq || ',"created_at":"x","timezone_offset":' || timezone_offset || ',"timestamp":' || t || ',"monotonic_ms":' || t || ',"type":"' || event_type || '"}}' AS payload_json FROM w""",
     "merge_streams": f"""WITH {_I} SELECT session_id, 'active_window' AS type, count(*) AS n, NULL::BIGINT AS keys_n FROM i GROUP BY session_id UNION ALL
       SELECT session_id, 'input_summary', count(*), CAST(sum(key_count) AS BIGINT) FROM i GROUP BY session_id""",
     "log_file_order": """WITH o AS (SELECT DISTINCT strftime(CAST(o_orderdate AS DATE), '%Y%m%d') AS log_date, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 12 AS INT) END AS r FROM orders)
@@ -207,5 +229,10 @@ SQL = {
       SELECT session_id, active_window_id, t // 3600000 * 3600000 AS slot_ms, {_CSUM} FROM y WHERE t // 3600000 * 3600000 + 3600000 <= top GROUP BY ALL HAVING {_DIRTY}""",
     "stream_features": f"WITH {_D}, {_x()} SELECT session_id, window_start, {_SUMS}, count(*) AS context_switch_count FROM x WHERE window_start + 30000 <= (SELECT max(window_start) FROM x) GROUP BY ALL",
     "stream_fanout": f"WITH {_D} SELECT session_id, count(*) AS n, CAST(sum(dwell_time_ms) AS BIGINT) AS total_ms FROM d GROUP BY session_id",
-    "read_event_log": f"WITH {_W} SELECT session_id, 'active_window' AS type, count(*) AS n, max(seq) AS last_seq FROM w GROUP BY session_id",
+    "read_event_log": f"""WITH {_W} SELECT CASE WHEN n % 19 <> 0 THEN session_id END AS session_id, 'active_window' AS type, count(*) AS n, max(CASE WHEN n % 19 <> 0 THEN seq END) AS last_seq,
+      count(*) FILTER (n % 19 = 0) AS corrupt FROM w GROUP BY 1""",
+    "route_events": f"""WITH {_D} SELECT session_id, event_id, 'active_window' AS type, t AS timestamp_ms, CAST(t AS DOUBLE) AS monotonic_ms FROM w
+      UNION ALL SELECT session_id, id, 'window_dwell', timestamp_ms, CAST(timestamp_ms AS DOUBLE) FROM d""",
+    "event_ids": f"""WITH {_W}, h AS (SELECT *, 'myhost' || session_id || '-' || t AS hd, md5(session_id || '|' || seq) AS m FROM w)
+      SELECT event_id, hd || '-' || sha256(hd)[1:8] AS made_session, m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] AS made_event FROM h""",
 }

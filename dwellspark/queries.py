@@ -12,7 +12,7 @@ from .functions import timefns as T
 from .functions import titles as N
 from .functions.categories import RULES, categorize, with_category
 from .operators import audit, dwell, features, inputs, reports, semantic
-from .options import CATEGORIES, FeatureOptions
+from .options import CATEGORIES, FeatureOptions, SemanticOptions
 from .plans import activity as A
 from .sources import logs, sinks
 from .streaming import streams
@@ -274,7 +274,19 @@ def deep_work_blocks(s, d):
 
 @query
 def report_text(s, d):
-    return reports.report_text(_daily(s, d)).select("session_id", "local_date", "report")
+    x = reports.daily_report(_features(s, d), A.dwells(s, d), KEYS, 3)
+    return reports.report_text(x).select("session_id", "local_date", "report")
+
+
+@query
+def report_text_weekly(s, d):
+    return reports.weekly_text(reports.weekly_report(_daily(s, d), KEYS, "2024-01-10")).select("session_id", "report")
+
+
+@query
+def weekly_trend(s, d):
+    x = reports.weekly_report(_daily(s, d), KEYS, "2024-01-10").select("session_id", F.explode("trend_data").alias("t"))
+    return x.select("session_id", "t.*")
 
 
 @query
@@ -297,7 +309,7 @@ def time_functions(s, d):
 # semantic scores
 
 
-def _scored(s, d, shift=0.0):
+def _scored(s, d, shift=0.0, calibration=None):
     w = A.windows_of_goals(s, d)
     if shift:
         w = w.withColumn("vector", F.transform("vector", lambda x: x + shift))
@@ -305,7 +317,7 @@ def _scored(s, d, shift=0.0):
     w = w.withColumnRenamed("goal_id", "key")
     g = g.withColumn("key", F.col("gid")).withColumnRenamed("gid", "goal_id")
     fixed = s.createDataFrame([], "goal_id string, day_utc string, t_on double, t_off double")
-    return semantic.score_windows(w, g, fixed, on=["key"])
+    return semantic.score_windows(w, g, fixed if calibration is None else calibration, on=["key"])
 
 
 @query
@@ -323,6 +335,27 @@ def calibrate_thresholds(s, d):
     return c.select("goal_id", "day_utc", F.round("t_on", 6).alias("t_on"), F.round("t_off", 6).alias("t_off"), "sample_count")
 
 
+def _calibration(s, d):
+    """Pairs measured on the first day over older ones of both days and of every second goal."""
+    raw = A.windows_of_goals(s, d).where("day_utc = '2024-01-01'").join(A.goals(s, d), "goal_id")
+    raw = raw.select("goal_id", "day_utc", semantic.cosine("vector", "goal_vector").alias("score"))
+    new = semantic.calibrate(raw, SemanticOptions(min_samples=5, min_mean=-1.0))
+    day = F.explode(F.array(F.lit("2024-01-01"), F.lit("2024-01-02"))).alias("day_utc")
+    old = A.goals(s, d).where("goal_label % 2 = 0").select("goal_id", day, F.lit(0.2).alias("t_on"), F.lit(0.1).alias("t_off"), F.lit(0).cast("long").alias("sample_count"))
+    return sinks.upsert(new, old, ["goal_id", "day_utc"])
+
+
+@query
+def upsert_calibration(s, d):
+    return _calibration(s, d).select("goal_id", "day_utc", F.round("t_on", 6).alias("t_on"), F.round("t_off", 6).alias("t_off"), "sample_count")
+
+
+@query
+def score_calibrated(s, d):
+    x = _scored(s, d, calibration=_calibration(s, d))
+    return x.select("vec_id", F.col("key").alias("goal"), "day_utc", "threshold_mode", F.round("t_on", 6).alias("t_on"), F.round("t_off", 6).alias("t_off"), "label")
+
+
 @query
 def compare_models(s, d):
     a = _scored(s, d).where("key = 'g1' AND day_utc = '2024-01-01'")
@@ -403,7 +436,7 @@ def insert_or_ignore(s, d):
 
 @query
 def events_raw(s, d):
-    return sinks.events_raw(A.active_windows(s, d).select("event_id", "session_id", "seq", F.lit("x").alias("created_at"), "timezone_offset", "timestamp", "monotonic_ms", F.col("event_type").alias("type"))).drop("payload_json")
+    return sinks.events_raw(A.active_windows(s, d).select("event_id", "session_id", "seq", F.lit("x").alias("created_at"), "timezone_offset", "timestamp", "monotonic_ms", F.col("event_type").alias("type")))
 
 
 @query
@@ -484,8 +517,30 @@ def stream_fanout(s, d):
 
 @query
 def read_event_log(s, d):
-    """The events written as a log of JSON lines and read back."""
+    """The events written as JSON lines, some of them broken, and read back."""
     _, folder = _stream(s, A.active_windows(s, d).limit(0))
-    A.active_windows(s, d).select("event_id", "session_id", "seq", "timestamp", "app_name").write.mode("overwrite").json(f"{folder}/log")
-    df = s.read.schema(logs.EVENT).option("columnNameOfCorruptRecord", "_corrupt").json(f"{folder}/log")
-    return logs.read_all_versions(df).groupBy("session_id", "type").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
+    line = F.to_json(F.struct("event_id", "session_id", "seq", "timestamp", "app_name"))
+    A.active_windows(s, d).select(F.when(F.col("n") % 19 == 0, "not json").otherwise(line)).write.mode("overwrite").text(f"{folder}/log")
+    e = logs.read_all_versions(logs.read_event_log(s, f"{folder}/log", "part-*"))
+    return e.groupBy("session_id", "type").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"), F.count("_corrupt").alias("corrupt"))
+
+
+def _mixed(s, d):
+    w = A.active_windows(s, d).select("session_id", "event_id", "timestamp", "monotonic_ms", F.lit("active_window").alias("type"))
+    x = A.dwells(s, d).select("session_id", F.col("id").alias("event_id"), F.col("timestamp_ms").alias("timestamp"), "end_monotonic_ms", F.lit("window_dwell").alias("type"))
+    return logs.normalize_envelope(logs.merge_streams(w, x))
+
+
+@query
+def route_events(s, d):
+    """Windows by ``monotonic_ms``, dwells by ``end_monotonic_ms``, each by its route."""
+    e = _mixed(s, d)
+    parts = [logs.route_by_type(e, k) for k in ("window_dwell", "active_window")]
+    return logs.merge_streams(*parts).select("session_id", "event_id", "type", "timestamp_ms", "monotonic_ms")
+
+
+@query
+def event_ids(s, d):
+    w = A.active_windows(s, d)
+    host = F.concat(F.lit("my host."), "session_id")
+    return w.select("event_id", N.session_id(host, F.col("timestamp")).alias("made_session"), N.event_id("session_id", "seq").alias("made_event"))

@@ -17,9 +17,9 @@ EVENT = (
 )
 
 
-def read_event_log(spark: SparkSession, folder: str) -> DataFrame:
+def read_event_log(spark: SparkSession, folder: str, names: str = "events-*.jsonl") -> DataFrame:
     """All records of a folder's logs, with ``file``; bad lines fill ``_corrupt``."""
-    df = spark.read.schema(EVENT).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "events-*.jsonl").json(folder)
+    df = spark.read.schema(EVENT).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", names).json(folder)
     return df.withColumn("file", F.col("_metadata.file_name"))
 
 
