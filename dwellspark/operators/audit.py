@@ -58,10 +58,10 @@ def log_tail_seq(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Per file: seq of the last valid line (-1 without one) and how many lines
     behind it are cut off or broken."""
     x = lines.where(F.trim(line_col) != "").withColumn("_seq", _seq(line_col))
-    tail = F.max(F.when(F.col("_seq").isNotNull(), F.struct("pos", "_seq")))
-    per = x.groupBy("file").agg(tail.alias("t"), F.max("pos").alias("_last"), F.collect_list(F.when(F.col("_seq").isNull(), F.col("pos"))).alias("_bad"))
-    behind = F.size(F.filter("_bad", lambda p: p > F.coalesce(F.col("t")["pos"], F.lit(-1))))
-    return per.select("file", F.coalesce(F.col("t")["_seq"], F.lit(-1)).alias("tail_seq"), behind.alias("truncated_lines"), (behind > 0).alias("truncated"))
+    last = x.where("_seq IS NOT NULL").groupBy("file").agg(F.max(F.struct("pos", "_seq")).alias("t")).select("file", "t.pos", F.col("t._seq").alias("tail_seq"))
+    lines = x.select("file", F.col("pos").alias("_pos")).join(last, "file", "left")
+    per = lines.groupBy("file").agg(F.coalesce(F.max("tail_seq"), F.lit(-1)).alias("tail_seq"), F.count_if(F.col("_pos") > F.coalesce("pos", F.lit(-1))).cast("int").alias("truncated_lines"))
+    return per.withColumn("truncated", F.col("truncated_lines") > 0)
 
 
 def log_file_order(files: DataFrame, name_col: str = "file") -> DataFrame:
