@@ -1,4 +1,4 @@
-"""License scans: base phrases, and templates found by a positional rare-word index."""
+"""License scans: base phrases, and licences found by a positional rare-word index."""
 
 from __future__ import annotations
 
@@ -14,26 +14,64 @@ from .text import by_row, flat, pieces, spans, word_hashes
 #: fixed values: base phrases and their labels
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: fixed values: sentences of well-known licences, and the phrase each must hold
+#: fixed values: label, mandatory key phrases, and the text of a licence or, where that
+#: is long, of the notice that puts a file under it
 TEMPLATES = [
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "free of charge"),
-    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
-    ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
+    ("mit", ["mit license"], "released under the mit license"),
+    ("mit", ["granted free of charge"], """permission is hereby granted free of charge to any person obtaining a copy of
+        this software and associated documentation files the software to deal in the software without restriction"""),
+    ("mit", ["granted free of charge", "without warranty of any kind"], """permission is hereby granted free of charge to any person
+        obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including
+        without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit
+        persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission
+        notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any
+        kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and
+        noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an
+        action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"""),
+    ("apache-2", ["apache license version 2"], "licensed under the apache license version 2 0"),
+    ("apache-2", ["except in compliance with the license"], """you may not use this file except in compliance with the license you may obtain a copy of
+        the license at"""),
+    ("apache-2", ["apache license version 2 0", "limitations under the license"], """licensed under the apache license version 2 0 the license you may not use
+        this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless
+        required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without
+        warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and
+        limitations under the license"""),
+    ("cc-by-nc", ["cc by nc"], "licensed under cc by nc 4 0"),
+    ("cc-by", ["creative commons attribution 4 0"], "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc", ["creative commons attribution noncommercial"], "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-sa", ["creative commons attribution sharealike"], "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("gpl-3", ["gnu general public license version 3"], "this work is licensed under the gnu general public license version 3"),
+    ("gpl", ["gnu general public license"], "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", ["gnu general public license", "free software foundation"], """this program is free software you can redistribute it and or modify it under the
+        terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any
+        later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
+        merchantability or fitness for a particular purpose see the gnu general public license for more details"""),
+    ("lgpl", ["gnu lesser general public license"], "under the terms of the gnu lesser general public license"),
+    ("agpl-3", ["gnu affero general public license"], "licensed under the gnu affero general public license version 3"),
+    ("bsd", ["source and binary forms"], "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-2", ["source and binary forms", "binary form must reproduce"], """redistribution and use in source and binary forms with or without modification are
+        permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list
+        of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of
+        conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""),
+    ("bsd-3", ["endorse or promote products"], """neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission"""),
+    ("mpl-2", ["mozilla public license"], """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not
+        distributed with this file you can obtain one at"""),
+    ("mpl-2", ["mozilla public license"], "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("isc", ["with or without fee"], """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"""),
+    ("isc", ["with or without fee", "in all copies"], """permission to use copy modify and or distribute this software for any purpose with or without fee is
+        hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and
+        the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no
+        event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of
+        use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or
+        performance of this software"""),
+    ("unlicense", ["unencumbered software"], "this is free and unencumbered software released into the public domain"),
+    ("zlib", ["any express or implied warranty"], """this software is provided as is without any express or implied warranty in no event will the authors be held
+        liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including
+        commercial applications and to alter it and redistribute it freely"""),
 ]
-#: rarest words of a template that vote for a place, and the share of them and of
-#: all its words that must stand where the template has them
-ANCHORS, VOTES, MATCH = 4, 0.6, 0.75
+#: share of a template's words that must stand about where the template has them
+MATCH = 0.75
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -54,36 +92,45 @@ def _hashes(phrase: str) -> np.ndarray:
 
 @dataclass
 class LicenseIndex:
-    """Postings of each template's rarest words: ``word`` (sorted hashes) with the
-    template and the place in it; idf comes from counts over the corpus."""
+    """Positional postings of the licence words: ``words`` (sorted hashes), their
+    ``idf`` over the corpus, and for each template the word at each place, how
+    often it has each word (``times``, words by templates), and its key phrases."""
 
-    word: np.ndarray
-    template: np.ndarray
-    place: np.ndarray
-    anchors: np.ndarray
+    words: np.ndarray
+    idf: np.ndarray
     texts: list[np.ndarray]
-    keys: list[np.ndarray]
+    times: np.ndarray
+    keys: list[list[np.ndarray]]
+
+
+def slack(words: int) -> int:
+    """How far a word may stand from its place in a template of so many words."""
+    return 2 + words // 20
 
 
 def vocabulary() -> np.ndarray:
-    return np.unique(np.concatenate([_hashes(t) for _, t, _ in TEMPLATES]))
+    return np.unique(np.concatenate([_hashes(t) for *_, t in TEMPLATES]))
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
-    """In how many texts each licence word stands; the vocabulary is fixed."""
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[int, int]]:
+    """How many texts there are, and in how many each licence word stands; the
+    vocabulary is fixed."""
     words = vocabulary()
 
     def run(batches):
-        total = np.zeros(len(words), np.int64)
+        total, texts = np.zeros(len(words), np.int64), 0
         for b in batches:
+            texts += b.num_rows
             for i, n in pieces(b.column(0)):
                 h, first = _tokens(b.column(0).slice(i, n))
                 at, ok = _look_up(words, h)
                 total += np.bincount(np.unique(at[ok] * n + by_row(first)[ok]) // n, minlength=len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(total)], ["word", "n"])
+        out = [pa.array([*words.view(np.int64).tolist(), None], pa.int64()), pa.array(np.r_[total, texts])]
+        yield pa.RecordBatch.from_arrays(out, ["word", "n"])
 
     rows = docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {r.word & (2**64 - 1): r.n for r in rows}
+    counts = {None if r.word is None else r.word & (2**64 - 1): r.n for r in rows}
+    return counts.pop(None, 0), counts
 
 
 def _look_up(sorted_words: np.ndarray, h: np.ndarray):
@@ -100,20 +147,13 @@ def _look_up(sorted_words: np.ndarray, h: np.ndarray):
     return at, ok
 
 
-def build_index(frequency: dict[int, int]) -> LicenseIndex:
-    """Take each template's ANCHORS rarest different words by corpus frequency."""
-    word, template, place, anchors = [], [], [], []
-    texts = [_hashes(t) for _, t, _ in TEMPLATES]
-    for k, h in enumerate(texts):
-        rare = sorted({int(x) for x in h}, key=lambda x: (frequency.get(x, 0), x))[:ANCHORS]
-        spots = [(x, k, j) for x in rare for j in np.flatnonzero(h == np.uint64(x))]
-        anchors.append(len(spots))
-        for x, t, j in spots:
-            word.append(x), template.append(t), place.append(j)
-    order = np.argsort(np.array(word, np.uint64), kind="stable")
-    return LicenseIndex(
-        np.array(word, np.uint64)[order], np.array(template)[order], np.array(place)[order], np.array(anchors), texts, [_hashes(k) for *_, k in TEMPLATES]
-    )
+def build_index(texts: int, frequency: dict[int, int]) -> LicenseIndex:
+    """Index all words of all templates, with idf from ``document_frequencies``."""
+    words = vocabulary()
+    df = np.array([frequency.get(int(x), 0) for x in words], float)
+    places = [np.searchsorted(words, _hashes(t)) for *_, t in TEMPLATES]
+    times = np.stack([np.bincount(p, minlength=len(words)) for p in places], axis=1)
+    return LicenseIndex(words, np.log((texts + 1) / (df + 1)), places, times, [[_hashes(k) for k in keys] for _, keys, _ in TEMPLATES])
 
 
 def _phrase_places(h: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -126,33 +166,65 @@ def _phrase_places(h: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> np.nda
     return at
 
 
-def _template_hits(h: np.ndarray, first: np.ndarray, row: np.ndarray, index: LicenseIndex):
-    """(row, template, share of words matched) of verified templates.
+def _starts(text: np.ndarray, word: np.ndarray, place: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Where in a file (words and places of its licence words) a template may start,
+    on a grid of its slack.
 
-    Occurrences of anchor words vote for where their template would start; a
-    start with enough votes is checked word by word, then for its key phrase.
+    The file's highest-idf words of the template vote, each for the starts that put
+    it within the slack of its place in the template. So many words are looked up
+    that a start of share MATCH can't miss the votes asked for.
     """
-    words = np.unique(index.word)
-    at, ok = _look_up(words, h)
+    step, miss = slack(len(text)), len(text) - int(np.ceil(MATCH * len(text)))
+    held = np.isin(text, word)
+    spots = np.flatnonzero(held)
+    spots = spots[np.argsort(-idf[text[spots]], kind="stable")][: 2 * miss + 2]
+    least = len(spots) - (miss - int((~held).sum()))
+    spots = spots[np.argsort(text[spots], kind="stable")]
+    lo, hi = np.searchsorted(text[spots], word), np.searchsorted(text[spots], word, "right")
+    which = np.repeat(np.arange(len(word)), hi - lo)
+    j = spots[np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+    start = place[which] - j
+    up = -(-start // step)
+    even = start % step == 0
+    grid, j = np.r_[up - 1, up, up[even] + 1], np.r_[j, j, j[even]]
+    votes = np.unique(grid * len(text) + j) // len(text)
+    grid, count = np.unique(votes, return_counts=True)
+    return grid[count >= least] * step
+
+
+def _fit(own: np.ndarray, start: int, text: np.ndarray, keys: list[np.ndarray]) -> float:
+    """Share of a template's words that stand within the slack of their place when it
+    starts at ``start``; 0 where a key phrase is missing."""
+    wide = slack(len(text))
+    a = max(0, start - wide)
+    part = own[a : max(0, start + len(text) + wide)]
+    off = a - start + np.arange(len(part))[:, None] - np.arange(len(text))
+    share = float(((part[:, None] == text) & (np.abs(off) <= wide)).any(axis=0).mean()) if len(part) else 0.0
+    if share >= MATCH and all(len(_phrase_places(part, np.zeros(len(part), int), k)) for k in keys):
+        return share
+    return 0.0
+
+
+def _template_hits(h: np.ndarray, first: np.ndarray, row: np.ndarray, index: LicenseIndex):
+    """(row, template, share of words matched) of verified templates. Only files that
+    hold enough of a template's words at all are looked at."""
+    at, ok = _look_up(index.words, h)
     spot = np.flatnonzero(ok)
-    lo = np.searchsorted(index.word, words[at[spot]])
-    many = np.searchsorted(index.word, words[at[spot]], "right") - lo
-    spot = np.repeat(spot, many)
-    posting = np.repeat(lo, many) + np.arange(len(spot)) - np.repeat(np.cumsum(many) - many, many)
-    start, kind = spot - index.place[posting], index.template[posting]
-    ok = start >= first[row[spot]]
-    votes, count = np.unique(np.stack([start[ok], kind[ok]]), axis=1, return_counts=True) if ok.any() else (np.zeros((2, 0), int), np.zeros(0))
-    enough = count >= np.ceil(VOTES * index.anchors[votes[1]])
+    word, of = at[spot], row[spot]
+    held = np.zeros((len(first) - 1, len(index.words)), np.float32)
+    held[of, word] = 1
+    need = np.ceil(MATCH * np.array([len(t) for t in index.texts]))
     out = []
-    for s, k in votes[:, enough].T:
-        r = row[s]
-        own = h[s : min(s + len(index.texts[k]) + 4, first[r + 1])]
-        want = index.texts[k]
-        share = float((own[: len(want)] == want[: len(own)]).sum()) / len(want)
-        key = index.keys[k]
-        held = any((own[j : j + len(key)] == key).all() for j in range(len(own) - len(key) + 1))
-        if share >= MATCH and held:
-            out.append((r, k, share))
+    for r, k in np.argwhere(held @ index.times.astype(np.float32) >= need).tolist():
+        text, best = index.texts[k], 0.0
+        lo, hi = np.searchsorted(of, [r, r + 1])
+        own = h[first[r] : first[r + 1]]
+        for s in _starts(text, word[lo:hi], spot[lo:hi] - first[r], index.idf).tolist():
+            best = max(best, _fit(own, s, index.words[text], index.keys[k]))
+            if best == 1:
+                break
+        if best:
+            out.append((r, k, best))
     return out
 
 
@@ -162,10 +234,12 @@ def scan_licenses(docs: DataFrame, index: LicenseIndex | None = None, id_col: st
     Base labels come from places where a base phrase's words stand in a row;
     the method adds the labels of verified templates. ``score`` is 1 with a base
     label, else the best template's share of matched words, else 0. Null and
-    empty texts have no words, empty labels and null places.
+    empty texts have no words, empty labels and null places. Very long texts are
+    scanned whole; repeated rows each give theirs; other columns are not read;
+    an empty table gives no rows.
     """
     if index is None:
-        index = build_index(document_frequencies(docs, text_col))
+        index = build_index(*document_frequencies(docs, text_col))
     base = [(_hashes(p), label) for p, label in BASE.items()]
     kind = docs.schema[id_col].dataType.simpleString()
 
