@@ -6,10 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .store import cut
 from .text import flat, gram_hashes, pieces, spans, word_hashes
 
 K1, B = 1.2, 0.75
@@ -218,29 +220,44 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     a query; those that reach an item's need are verified: at least OVERLAP of
     the question's and of the answer's RUN-word runs must stand in the
     document; a question or answer of fewer words is one run of all its words,
-    and an item of one word is all answer. Words are compared in lower case. Items are indexed in parts of bounded size, each part searched in
-    one pass over the documents. Null and empty texts and items match nothing;
-    repeated items and documents each give their rows; no items, no rows.
+    and an item of one word is all answer. Words are compared in lower case. Items are indexed in
+    parts of bounded size, one at a time on the driver and broadcast; each part is
+    one pass over the documents, whose rows are written before the next part is
+    built. Null and empty texts and items match nothing; repeated items and
+    documents each give their rows; very long texts are searched whole; columns
+    other than the four named are not read; no items, no rows.
     """
     ikind, kind = items.schema[item_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, {item_col} {ikind}, score double, question_overlap double, answer_overlap double"
-    part, size, parts = [], 0, []
-    for r in items.select(F.col(item_col), F.lower(item_text_col).alias(item_text_col)).where(F.col(item_text_col).isNotNull()).toLocalIterator():
+    spark, own = docs.sparkSession, docs.select(id_col, F.lower(text_col).alias(text_col))
+    parts = _parts(items, item_col, item_text_col)
+    part, found = next(parts, []), None
+    while part is not None:
+        sent, part = spark.sparkContext.broadcast(build_index(part)), next(parts, None)
+        one = own.mapInArrow(_searcher(sent, id_col, item_col, to_arrow_type(items.schema[item_col].dataType)), schema)
+        if part is not None:
+            one = cut(one)
+            sent.destroy()
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _parts(items: DataFrame, item_col: str, item_text_col: str):
+    """Test items as lists of some MOST_WORDS words, read from the table as they are asked for."""
+    part, size = [], 0
+    for r in items.select(F.col(item_col), F.lower(item_text_col)).where(F.col(item_text_col).isNotNull()).toLocalIterator():
         part.append((r[0], r[1]))
         size += len(r[1]) // 4 + 1
         if size > MOST_WORDS:
-            parts.append(part)
+            yield part
             part, size = [], 0
-    parts.append(part)
-    found = None
-    for p in parts:
-        one = docs.select(id_col, F.lower(text_col).alias(text_col)).mapInArrow(_searcher(build_index(p), id_col, item_col, to_arrow_type(items.schema[item_col].dataType)), schema)
-        found = one if found is None else found.unionByName(one)
-    return found
+    if part:
+        yield part
 
 
-def _searcher(index: ItemIndex, id_col: str, item_col: str, ikind: pa.DataType):
+def _searcher(sent: Broadcast, id_col: str, item_col: str, ikind: pa.DataType):
     def run(batches):
+        index = sent.value
         for b in batches:
             for i, n in pieces(b.column(1)):
                 h, first = _tokens(b.column(1).slice(i, n))
