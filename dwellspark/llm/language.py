@@ -14,8 +14,8 @@ from .text import flat, pieces
 
 BUCKETS = 1 << 15
 DIM = 16
-#: bounds of the training sample: texts per language, languages, characters
-PER_LANG, MOST_LANGS, MOST_CHARS = 800, 200, 20_000
+#: bounds of the training sample: texts per language, characters of a text
+PER_LANG, MOST_CHARS = 800, 20_000
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -128,7 +128,7 @@ def scores(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarr
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Train on a sample of at most PER_LANG whole texts of each language."""
-    return train(labelled_texts(docs, docs, id_col, text_col, lang_col, PER_LANG, MOST_LANGS, MOST_CHARS))
+    return train(labelled_texts(docs, docs, id_col, text_col, lang_col, PER_LANG, MOST_CHARS))
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +136,10 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
     Null texts, texts without a letter and a model without languages give
     ``und`` with score 0. ``accepted`` is false below the model's rejection
-    threshold; callers who want ``und`` there replace lang_pred by it.
+    threshold; callers who want ``und`` there replace lang_pred by it. Very long
+    texts are read whole; of equally likely languages the first by name is taken;
+    repeated rows fare alike and each gives its row; other columns are not read;
+    an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: characters of all sampled texts, and parts in which a label's rows meet
+MOST_TOTAL, PARTS = 256_000_000, 64
 
 
 def remainder(id_col: str, parts: int) -> F.Column:
@@ -12,30 +16,33 @@ def remainder(id_col: str, parts: int) -> F.Column:
 
 
 def labelled_texts(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, most_labels: int, most_chars: int
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, most_chars: int, most_total: int = MOST_TOTAL
 ) -> list[tuple[int, str, object]]:
-    """At most ``per_label`` whole texts of each of the ``most_labels`` most
-    frequent labels, as (id, text, label) on the driver.
+    """At most ``per_label`` whole texts of each label, as (id, text, label) on the driver.
 
-    The rows with the least hash of the id are taken, so a sample doesn't depend
-    on how rows are dealt out. Texts over ``most_chars`` are not sampled (none
-    is cut), which bounds the driver at per_label * most_labels * most_chars.
+    Of the texts that may be learned from (not null, of ``most_chars`` at most; none
+    is cut) those with the least hash of the id are taken, so a sample doesn't
+    depend on how rows are dealt out. With many labels each gets fewer texts, one
+    at least, so that all together have at most ``most_total`` characters.
     """
-    fit = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= most_chars)).select(F.col(id_col).alias("id"))
-    named = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
-    kinds = [r.label for r in named.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels).collect()]
-    chosen = None
-    for kind in sorted(kinds):
-        own = named.where(F.col("label") == kind).join(fit, "id", "left_semi") if labels is not docs else named.where(F.col("label") == kind)
-        own = own.select("id", "label", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(per_label)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    if chosen is None:
-        return []
-    wanted = [(r.id, r.label) for r in chosen.select("id", "label").distinct().collect()]
-    if not wanted:
+    fit = docs.where(F.length(text_col) <= most_chars)
+    if labels is docs:
+        named = fit.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    else:
+        named = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).join(fit.select(F.col(id_col).alias("id")), "id", "left_semi")
+    named = named.where("id IS NOT NULL AND label IS NOT NULL")
+    kinds = named.agg(F.count_distinct("label")).first()[0]
+    if not kinds:
         return []
-    small = docs.sparkSession.createDataFrame(wanted, chosen.select("id", "label").schema)
-    # bounded by per_label * most_labels rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= most_chars)
-    got = rows.join(F.broadcast(small), "id").collect()
+    per_label = max(1, min(per_label, most_total // (kinds * most_chars)))
+    # a label's rows meet in parts first, so that a hot one is no single task's work
+    rows = named.select("id", "label", F.xxhash64("id").alias("h")).withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for by in (["label", "part"], ["label"]):
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))
+        rows = rows.withColumn("nth", nth).where(F.col("nth") <= per_label).drop("nth")
+    wanted = [(r.id, r.label) for r in rows.select("id", "label").distinct().collect()]
+    small = docs.sparkSession.createDataFrame(wanted, named.select("id", "label").schema)
+    # bounded by per_label rows a label
+    texts = fit.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    got = texts.join(F.broadcast(small), "id").collect()
     return sorted((r.id, r.text, r.label) for r in got)
