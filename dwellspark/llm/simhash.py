@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,7 +15,7 @@ from .store import cut
 from .text import FOLD, as_binary, flat, mix, pieces, run_hashes, spans, word_hashes
 
 RADIUS = 3
-BLOCKS = 4
+BLOCKS = 5
 SHINGLE = 3
 SEED = 42
 #: rows of one side of a tile
@@ -117,18 +119,19 @@ def _links_of(keys: np.ndarray, x: np.ndarray, nodes: np.ndarray, radius: int):
 def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, most: int = MOST) -> DataFrame:
     """Links (a, b) that join all fingerprints of ``(fp, node)`` within the radius.
 
-    Two fingerprints that differ in at most ``radius`` bits agree in one of
-    ``blocks`` > radius blocks of bits, so a bucket per block and value holds
-    every such pair; a bucket's tiles are then compared exactly.
+    Two fingerprints that differ in at most ``radius`` bits agree in
+    ``blocks - radius`` of ``blocks`` blocks of bits, so a bucket per choice of
+    so many blocks and their value holds every such pair; a bucket's tiles are
+    then compared exactly. More blocks give more but smaller buckets: by default
+    ten of 25 or 26 bits.
     """
     if not blocks > radius:
         raise ValueError("blocks must exceed the radius")
-    width = 64 // blocks
-    value = [F.shiftrightunsigned(F.col("fp"), width * k).bitwiseAND((1 << width) - 1) for k in range(blocks)]
-    rows = distinct.select(
-        "fp", "node",
-        F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in enumerate(value)))).alias("b"),
-    ).select("fp", "node", (F.col("b.k") * (1 << width) + F.col("b.v")).alias("bucket"))
+    edge = [64 * k // blocks for k in range(blocks + 1)]
+    value = [F.shiftrightunsigned(F.col("fp"), a).bitwiseAND((1 << (b - a)) - 1) for a, b in pairwise(edge)]
+    chosen = combinations(range(blocks), blocks - radius)
+    keys = F.array(*(F.xxhash64(F.lit(n), *(value[k] for k in of)) for n, of in enumerate(chosen)))
+    rows = distinct.select("fp", "node", F.explode(keys).alias("bucket"))
     return bucket_links(rows, radius, most)
 
 
