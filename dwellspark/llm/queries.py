@@ -12,6 +12,7 @@ from .mixing import lm_scores
 from .pieces import encode_pieces
 from .quality_rank import GOOD, fit_quality_ranker, rank_quality
 from .quality_rules import quality_rules
+from .runs import periodic_runs, with_planted_runs
 from .samples import remainder
 from .simhash import simhash_components
 from .substring import drop_repeats
@@ -75,8 +76,17 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(records, damaged(records)).withColumnRenamed("id", "page_id")
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words"
+    )
+
+
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op3_substring_dedup": op3_substring_dedup, "op4_lm_mixing": op4_lm_mixing, "op5_language": op5_language, "op6_quality_rank": op6_quality_rank, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate,
-    "op9_licenses": op9_licenses, "op10_warc_fixity": op10_warc_fixity}
+    "op9_licenses": op9_licenses, "op10_warc_fixity": op10_warc_fixity,
+    "op13_runs": op13_runs}
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": r"""
       WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
