@@ -1,43 +1,5 @@
 """Cutting lineage: intermediate tables in the folder all executors share."""
 
-from __future__ import annotations
+from ..scratch import cut, drop, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``. A folder of this machine stands in
-    for it only where driver and executors are one process."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Later jobs start from the files, so a lost executor costs one task's
-    re-read and not the whole lineage.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote, after their last reader has run."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.cut_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["cut", "drop", "shared_dir"]
