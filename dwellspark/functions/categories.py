@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import exists
+
 #: fixed values: patterns in order, with their category
 RULES = [
     ("code|vscode|vs code|visual studio code", "code"),
@@ -51,9 +55,12 @@ def categorize(app, custom: list[tuple[str, str]] | None = None) -> Column:
 
 def load_category_rules(spark: SparkSession, path: str | None) -> DataFrame:
     """(rule_no, pattern, category): a JSON array's rules in front of the built-in
-    ones. What isn't a list of rules with both parts gives the built-in ones alone."""
+    ones. A file that isn't there (with a warning), or what isn't a list of rules with
+    both parts, gives the built-in ones alone."""
     built_in = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(RULES)], "rule_no long, pattern string, category string")
-    if not path:
+    if path and not exists(spark, path):
+        warnings.warn(f"no category rules at {path}: built-in ones are used", stacklevel=2)
+    if not path or not exists(spark, path):
         return built_in
     raw = spark.read.text(path, wholetext=True)
     custom = raw.select(F.posexplode(F.from_json("value", "array<struct<pattern:string,category:string>>")).alias("i", "r"))

@@ -9,30 +9,43 @@ from pyspark.sql.window import Window
 from ..functions.timefns import parses_as_time
 from ..functions.titles import rotation_index, trim_all
 
-ENVELOPE = (
-    "schema_version string, event_id string, session_id string, seq double, created_at string, epoch_ms double,"
-    " monotonic_ms double, timezone_offset double, source string, type string, payload string"
-)
+#: fields of the envelope in the order they are checked
+ENVELOPE = ["schema_version", "event_id", "session_id", "seq", "created_at", "epoch_ms", "monotonic_ms", "timezone_offset", "source", "type", "payload"]
+_NUMBERS = {"seq", "epoch_ms", "monotonic_ms", "timezone_offset"}
+
+
+def _field(c: str) -> Column:
+    return F.try_variant_get("_v", f"$.{c}", "variant")
+
+
+def _kind(v: Column) -> Column:
+    """What a JSON value is: STRING, BIGINT, DECIMAL(…), OBJECT<…>, ARRAY<…>, VOID, …;
+    empty where there is none."""
+    return F.coalesce(F.schema_of_variant(v), F.lit(""))
 
 
 def violation() -> Column:
-    """Name of the first field of an envelope that breaks its rule, or null."""
-    blank = lambda c: F.coalesce(trim_all(F.col(c)), F.lit("")) == ""
-    whole = lambda c: F.coalesce(F.col(c) == F.floor(F.col(c)), F.lit(False))
+    """Name of the first field of the record ``_v`` that breaks its rule, or null. Types
+    are JSON's: a number in quotes is no number, and only an object is a payload."""
+    text = lambda c: F.when(_kind(_field(c)) == "STRING", F.try_variant_get("_v", f"$.{c}", "string"))
+    number = lambda c: F.when(_kind(_field(c)).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("_v", f"$.{c}", "double"))
+    blank = lambda c: F.coalesce(trim_all(text(c)), F.lit("")) == ""
+    whole = lambda c: F.coalesce(number(c) == F.floor(number(c)), F.lit(False))
     rules = [
-        ("record", ~F.coalesce(F.col("is_object"), F.lit(False))), ("schema_version", blank("schema_version")), ("event_id", blank("event_id")),
-        ("session_id", blank("session_id")), ("seq", ~(whole("seq") & (F.col("seq") >= 0))), ("created_at", ~F.coalesce(parses_as_time("created_at"), F.lit(False))),
-        ("epoch_ms", ~whole("epoch_ms")), ("monotonic_ms", ~F.coalesce(F.col("monotonic_ms") >= 0, F.lit(False))), ("timezone_offset", ~whole("timezone_offset")),
-        ("source", blank("source")), ("type", blank("type")), ("payload", ~F.coalesce(F.col("payload").rlike(r"^\s*\{"), F.lit(False))),
+        ("record", ~_kind(F.col("_v")).rlike("^(OBJECT|ARRAY)")), ("schema_version", blank("schema_version")), ("event_id", blank("event_id")),
+        ("session_id", blank("session_id")), ("seq", ~(whole("seq") & (number("seq") >= 0))), ("created_at", ~F.coalesce(parses_as_time(text("created_at")), F.lit(False))),
+        ("epoch_ms", ~whole("epoch_ms")), ("monotonic_ms", ~F.coalesce(number("monotonic_ms") >= 0, F.lit(False))), ("timezone_offset", ~whole("timezone_offset")),
+        ("source", blank("source")), ("type", blank("type")), ("payload", ~_kind(_field("payload")).startswith("OBJECT")),
     ]
     return F.coalesce(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules))
 
 
 def validate_events(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """``lines`` with the parsed envelope and ``violation``."""
-    parsed = F.from_json(F.col(line_col), ENVELOPE, {"mode": "PERMISSIVE"})
-    out = lines.withColumn("_e", parsed).withColumn("is_object", F.col(line_col).rlike(r"^\s*\{") & F.get_json_object(line_col, "$").isNotNull())
-    return out.select(*lines.columns, "_e.*", "is_object").withColumn("violation", violation())
+    """``lines`` with the envelope's fields (numbers as double, ``payload`` as JSON),
+    ``is_object`` and ``violation``. A line that isn't JSON is no record."""
+    out = lines.withColumn("_v", F.try_parse_json(line_col))
+    get = lambda c: F.to_json(_field(c)) if c == "payload" else F.try_variant_get("_v", f"$.{c}", "double" if c in _NUMBERS else "string")
+    return out.select(*lines.columns, *(get(c).alias(c) for c in ENVELOPE), _kind(F.col("_v")).startswith("OBJECT").alias("is_object"), violation().alias("violation"))
 
 
 def _seq(line_col: str) -> Column:

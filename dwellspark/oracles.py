@@ -228,7 +228,18 @@ SQL = {
     "stream_input_summary": f"""WITH {_W}, {_I}, {_ASOF.format(where='true')}, y AS (SELECT *, max(t) OVER () AS top FROM a WHERE active_window_id IS NOT NULL)
       SELECT session_id, active_window_id, t // 3600000 * 3600000 AS slot_ms, {_CSUM} FROM y WHERE t // 3600000 * 3600000 + 3600000 <= top GROUP BY ALL HAVING {_DIRTY}""",
     "stream_features": f"WITH {_D}, {_x()} SELECT session_id, window_start, {_SUMS}, count(*) AS context_switch_count FROM x WHERE window_start + 30000 <= (SELECT max(window_start) FROM x) GROUP BY ALL",
-    "stream_fanout": f"WITH {_D} SELECT session_id, count(*) AS n, CAST(sum(dwell_time_ms) AS BIGINT) AS total_ms FROM d GROUP BY session_id",
+    "stream_heartbeats": f"""WITH {_W}, z AS (SELECT *, least(coalesce(lead(t) OVER (PARTITION BY session_id ORDER BY seq), t + 36000000), t + 36000000) AS nxt FROM w),
+      p AS (SELECT *, unnest(generate_series(t, greatest(t, nxt - 1), 7200000)) AS s FROM z)
+      SELECT session_id, event_id AS window_event_id, app_name, s AS start_monotonic_ms, least(s + 7200000, nxt) AS end_monotonic_ms, least(s + 7200000, nxt) - s AS dwell_time_ms FROM p""",
+    "stream_fanout": f"""WITH {_D}, {_I}, e AS (SELECT 'active_window' AS kind, n, 'w' || n AS id, session_id, seq * 2 AS seq, t FROM w UNION ALL
+        SELECT 'window_dwell', CAST(window_event_id AS BIGINT), 'd' || window_event_id, session_id, seq * 2 + 1, timestamp_ms FROM d UNION ALL SELECT 'input_summary', n, 'i' || n, session_id, n + 1000000000, t FROM i),
+      v AS (SELECT * FROM e WHERE n % 29 <> 0), x AS (SELECT * FROM v UNION ALL SELECT * REPLACE ('x' || id AS id) FROM v WHERE t < 1705276800000 AND n % 15 = 0)
+      SELECT 'events_raw' AS sink, id, session_id, seq, t AS timestamp_ms FROM v UNION ALL SELECT kind, id, session_id, seq, t FROM x WHERE kind <> 'active_window'""",
+    "read_generations": f"""WITH {_W} SELECT event_id, session_id, seq, CASE WHEN n % 3 = 1 THEN 'window_dwell' WHEN n % 3 = 2 AND n % 2 = 0 THEN 'input_summary' ELSE 'active_window' END AS type, t AS timestamp,
+      CASE WHEN n % 3 <> 0 OR (n % 21 <> 0 AND n % 33 <> 0 AND n % 15 <> 0) THEN app_name END AS app_name,
+      CASE WHEN n % 2 = 0 AND (n % 3 = 2 OR n % 3 = 0 AND n % 21 <> 0 AND n % 33 <> 0 AND n % 15 <> 0) THEN n END AS key_count FROM w""",
+    "validate_types": f"""WITH {_W} SELECT event_id AS id, CASE WHEN n % 31 = 0 THEN 'schema_version' WHEN n % 37 = 0 THEN 'record' WHEN n % 17 = 0 THEN 'schema_version' WHEN n % 19 = 0 OR n % 23 = 0 THEN 'seq'
+      WHEN n % 29 = 0 THEN 'monotonic_ms' WHEN n % 7 = 0 OR n % 11 = 0 OR n % 13 = 0 THEN 'payload' END AS violation FROM w""",
     "read_event_log": f"""WITH {_W} SELECT CASE WHEN n % 19 <> 0 THEN session_id END AS session_id, 'active_window' AS type, count(*) AS n, max(CASE WHEN n % 19 <> 0 THEN seq END) AS last_seq,
       count(*) FILTER (n % 19 = 0) AS corrupt FROM w GROUP BY 1""",
     "route_events": f"""WITH {_D} SELECT session_id, event_id, 'active_window' AS type, t AS timestamp_ms, CAST(t AS DOUBLE) AS monotonic_ms FROM w

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from .functions.categories import RULES, categorize, with_category
 from .operators import audit, dwell, features, inputs, reports, semantic
 from .options import CATEGORIES, FeatureOptions, SemanticOptions
 from .plans import activity as A
+from .scratch import shared_dir
 from .sources import logs, sinks
 from .streaming import streams
 
@@ -53,10 +53,20 @@ def _titles(s, d):
     return p.select("page_id", title.alias("title"), F.when(F.col("page_id") % 2 == 0, "Chrome").otherwise(" Safari ").alias("app"))
 
 
+def _end(df, days: int):
+    """One row of session 'end' so many days behind the last, other columns null."""
+    ts = df.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.make_dt_interval(F.lit(days))).alias("ts"))
+    given = {"session_id": F.lit("end"), "event_id": F.lit(f"end{days}"), "seq": F.lit(days).cast("long"), "ts": F.col("ts"), "monotonic_ms": F.unix_millis("ts")}
+    return ts.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema))
+
+
+def _scratch(s: SparkSession) -> str:
+    return f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+
+
 def _stream(s: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
     """A table as a stream: written as files, read back as they come."""
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = _scratch(s)
     df.write.mode("overwrite").parquet(f"{folder}/in")
     return s.readStream.schema(df.schema).parquet(f"{folder}/in"), folder
 
@@ -468,6 +478,16 @@ def stream_dwell(s, d):
     return streams.run_available(streams.stream_dwell(sdf), folder)
 
 
+@query
+def stream_heartbeats(s, d):
+    """Windows in four runs of one query that is stopped in between; events of a session
+    of its own, days behind the others, move time on until every session is closed."""
+    w = A.active_windows(s, d).select("session_id", "seq", "event_id", "app_name", "monotonic_ms", F.timestamp_millis("timestamp").alias("ts"))
+    slices = [w.where("ts < '2024-01-10'"), w.where("ts >= '2024-01-10' AND ts < '2024-01-20'"), w.where("ts >= '2024-01-20'")]
+    slices[2:] = [slices[2].unionByName(_end(w, 2)), _end(w, 3)]
+    return streams.run_slices(slices, lambda x: streams.stream_dwell(x, 7_200_000, 36_000_000), _scratch(s)).where("session_id <> 'end'")
+
+
 @query
 def stream_window_changes(s, d):
     w = A.active_windows(s, d).select("session_id", "seq", "monotonic_ms", "app_name", F.col("app_name").alias("window_title"))
@@ -504,15 +524,64 @@ def stream_features(s, d):
     return streams.run_available(streams.stream_features(sdf, late="0 seconds"), folder)
 
 
-@query
-def stream_fanout(s, d):
+def _events(s, d):
+    """Windows, dwells and inputs as one event table with ``n``; some lack ``created_at``."""
+    w, x, i = A.active_windows(s, d), A.dwells(s, d), A.deltas(s, d)
     e = logs.merge_streams(
-        A.active_windows(s, d).select("event_id", "session_id", "seq", "timestamp", "monotonic_ms", "timezone_offset", F.lit("x").alias("created_at"), F.lit("active_window").alias("type")),
-        A.dwells(s, d).select(F.col("id").alias("event_id"), "session_id", "seq", F.col("timestamp_ms").alias("timestamp"), "timezone_offset", F.lit("window_dwell").alias("type"), "dwell_time_ms"),
+        w.select("n", F.concat(F.lit("w"), "event_id").alias("event_id"), "session_id", (F.col("seq") * 2).alias("seq"), "timestamp", "monotonic_ms", "timezone_offset", F.lit("active_window").alias("type"), "app_name"),
+        x.select(F.col("window_event_id").cast("long").alias("n"), F.concat(F.lit("d"), "window_event_id").alias("event_id"), "session_id", (F.col("seq") * 2 + 1).alias("seq"), F.col("timestamp_ms").alias("timestamp"), "timezone_offset",
+            F.lit("window_dwell").alias("type"), "window_event_id", "app_name", "normalized_window_title", "start_monotonic_ms", "end_monotonic_ms", "dwell_time_ms"),
+        i.select(F.col("id").cast("long").alias("n"), F.concat(F.lit("i"), "id").alias("event_id"), "session_id", (F.col("id").cast("long") + 1_000_000_000).alias("seq"), F.col("timestamp_ms").alias("timestamp"), "monotonic_ms", F.lit(0).alias("timezone_offset"),
+            F.lit("input_summary").alias("type"), F.col("id").alias("active_window_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in inputs.COUNTERS), F.lit(0).cast("long").alias("dwell_time_ms")),
     )
-    sdf, folder = _stream(s, e)
-    streams.stream_fanout(sdf, f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(f"{folder}/out/window_dwell").groupBy("session_id").agg(F.count("*").alias("n"), F.sum("dwell_time_ms").alias("total_ms"))
+    return e.withColumn("created_at", F.when(F.col("n") % 29 != 0, T.iso_utc("timestamp")))
+
+
+@query
+def stream_fanout(s, d):
+    """Two runs of one stream. The second brings events of the first again, some under
+    new ids; then the first batch is written once more. Rows of all three outputs."""
+    e, folder = _events(s, d), _scratch(s)
+    early = e.where("timestamp < 1705276800000")
+    again = early.where("n % 10 = 0").unionByName(early.where("n % 15 = 0").withColumn("event_id", F.concat(F.lit("x"), "event_id")))
+    for part in (early, e.where("timestamp >= 1705276800000").unionByName(again)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        sdf = s.readStream.schema(part.schema).parquet(f"{folder}/in")
+        streams.stream_fanout(sdf, f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    sinks.fanout(early, f"{folder}/out", 0)
+    out = [sinks.stored_rows(s, f"{folder}/out/{name}").select(F.lit(name).alias("sink"), "id", "session_id", "seq", "timestamp_ms") for name in ("events_raw", *sinks.DERIVED)]
+    return logs.merge_streams(*out)
+
+
+@query
+def read_generations(s, d):
+    """Three generations of records in one log: typed payloads (some of them no object),
+    flat ones, and flat ones without a type."""
+    _, folder = _stream(s, A.active_windows(s, d).limit(0))
+    w = A.active_windows(s, d)
+    n = F.col("n")
+    inner = F.to_json(F.struct("app_name", F.when(n % 2 == 0, n).alias("key_count")))
+    payload = F.when(n % 21 == 0, '"{not an object"').when(n % 33 == 0, "[1]").when(n % 15 == 0, "null").otherwise(inner)
+    head = F.concat(F.lit('{"event_id":"'), "event_id", F.lit('","session_id":"'), "session_id", F.lit('","seq":'), F.col("seq").cast("string"))
+    t = F.col("timestamp").cast("string")
+    first = F.concat(head, F.lit(',"schema_version":"1.0.0","type":"active_window","epoch_ms":'), t, F.lit(',"payload":'), payload, F.lit("}"))
+    flat = F.concat(head, F.lit(',"timestamp":'), t, F.lit(',"app_name":"'), "app_name", F.lit('"'))
+    typed = F.concat(flat, F.lit(',"schema_version":"1.1.0","type":"window_dwell"}'))
+    bare = F.concat(flat, F.when(n % 2 == 0, F.concat(F.lit(',"key_count":'), n.cast("string"))).otherwise(""), F.lit("}"))
+    w.select(F.when(n % 3 == 0, first).when(n % 3 == 1, typed).otherwise(bare)).write.mode("overwrite").text(f"{folder}/log")
+    return logs.read_all_versions(logs.read_event_log(s, f"{folder}/log", "part-*")).select("event_id", "session_id", "seq", "type", "timestamp", "app_name", "key_count")
+
+
+@query
+def validate_types(s, d):
+    """Envelopes whose values have the wrong JSON type."""
+    w, n = A.active_windows(s, d), F.col("n")
+    payload = F.when(n % 7 == 0, '"{not an object"').when(n % 11 == 0, "[{}]").when(n % 13 == 0, "null").otherwise("{}")
+    line = F.concat(F.lit('{"schema_version":'), F.when(n % 17 == 0, "1").otherwise('"1.0.0"'), F.lit(',"event_id":"'), "event_id", F.lit('","session_id":"'), "session_id", F.lit('","seq":'),
+        F.when(n % 19 == 0, '"5"').when(n % 23 == 0, "1.5").otherwise(F.col("seq").cast("string")), F.lit(',"created_at":"'), T.iso_utc("timestamp"), F.lit('","epoch_ms":'), F.col("timestamp").cast("string"), F.lit(',"monotonic_ms":'),
+        F.when(n % 29 == 0, "true").otherwise("12.5"), F.lit(',"timezone_offset":0,"source":"os","type":"t","payload":'), payload, F.lit("}"))
+    lines = w.select("event_id", F.when(n % 31 == 0, F.concat(F.lit("["), line, F.lit("]"))).when(n % 37 == 0, '"text"').otherwise(line).alias("line"))
+    return audit.validate_events(lines.withColumnRenamed("event_id", "id")).select("id", "violation")
 
 
 @query

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import exists
+
 #: all generations of events in one row; readers ignore what they don't know
 EVENT = (
     "schema_version string, event_id string, session_id string, seq long, created_at string, epoch_ms long, timestamp long, monotonic_ms double,"
@@ -44,10 +46,14 @@ def event_log_stream(spark: SparkSession, folder: str, files_per_trigger: int =
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """(session_id, last_flushed_seq): -1 where the file or a number is missing."""
-    raw = spark.read.text(path, wholetext=True)
-    c = F.from_json("value", "session_id string, last_flushed_seq string")
-    return raw.select(c["session_id"].alias("session_id"), F.coalesce(F.expr("try_cast(from_json(value, 'last_flushed_seq string').last_flushed_seq AS bigint)"), F.lit(-1)).alias("last_flushed_seq"))
+    """(session_id, last_flushed_seq): -1 where a number is missing or the file can't be
+    parsed; no row where there is no file."""
+    kinds = "session_id string, last_flushed_seq long"
+    if not exists(spark, path):
+        return spark.createDataFrame([], kinds)
+    v = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    seq = F.coalesce(F.try_variant_get("v", "$.last_flushed_seq", "bigint"), F.lit(-1).cast("long"))
+    return v.select(F.try_variant_get("v", "$.session_id", "string").alias("session_id"), seq.alias("last_flushed_seq"))
 
 
 def merge_streams(*parts: DataFrame) -> DataFrame:
@@ -62,11 +68,26 @@ def normalize_envelope(events: DataFrame) -> DataFrame:
     return events.withColumns({"timestamp_ms": F.coalesce("timestamp", F.lit(0)).cast("long"), "monotonic_ms": mono})
 
 
+#: columns that records of the first generation keep in their payload
+PAYLOAD = {
+    **dict.fromkeys(("app_name", "window_title", "trigger_reason", "bundle_id", "process_name", "active_window_id", "window_event_id", "normalized_window_title", "semantic_label"), "string"),
+    **dict.fromkeys(("key_count", "click_count", "mouse_distance", "scroll_delta", "idle_ms", "dwell_time_ms"), "bigint"),
+    **dict.fromkeys(("start_monotonic_ms", "end_monotonic_ms"), "double"),
+}
+
+
 def read_all_versions(events: DataFrame) -> DataFrame:
-    """Records of all generations with one clock and one type: flat records without
-    a type are summaries where they hold counters, windows otherwise."""
+    """Records of all generations in one shape: what the first one keeps in ``payload``
+    fills the flat columns that are null, ``epoch_ms`` fills ``timestamp``, and a flat
+    record without a type is a summary where it holds counters, a window otherwise.
+    A payload that is no JSON object gives nothing; one field of a wrong type is null.
+    """
+    payload = F.try_parse_json("payload")
+    inner = F.when(F.coalesce(F.schema_of_variant(payload), F.lit("")).startswith("OBJECT"), payload)
+    x = events.withColumn("_p", inner)
+    x = x.withColumns({c: F.coalesce(c, F.try_variant_get("_p", f"$.{c}", t)) for c, t in PAYLOAD.items() if c in events.columns}).drop("_p")
     kind = F.coalesce("type", F.when(F.col("key_count").isNotNull(), "input_summary").otherwise("active_window"))
-    return events.withColumns({"type": kind, "timestamp": F.coalesce("timestamp", "epoch_ms")})
+    return x.withColumns({"type": kind, "timestamp": F.coalesce("timestamp", "epoch_ms")})
 
 
 def route_by_type(events: DataFrame, kind: str) -> DataFrame:

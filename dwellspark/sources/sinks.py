@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import cut, drop, exists
 from .logs import normalize_envelope
 
 
@@ -16,16 +19,39 @@ def write_event_log(events: DataFrame, folder: str, max_records: int = 100_000)
 
 
 def insert_or_ignore(new: DataFrame, old: DataFrame | None, key_sets: list[list[str]], required: list[str] = (), arrival: list[str] = ("seq",)) -> DataFrame:
-    """Rows of ``new`` that an insert-or-ignore would add to ``old``: required columns
-    are there, and no earlier arrival or old row has the same value of any key set."""
+    """Rows of ``new`` that an insert-or-ignore, row by row in the order of ``arrival``,
+    would add to ``old``: required columns are there, and no stored row has the same
+    value of any key set. A row that is passed over holds no key; a key with a null
+    in it clashes with nothing. Rows that arrive at once come in some order.
+
+    A round stores the rows that come first in all their keys and passes over those
+    that clash with them; what neither befell goes to the next round, which few
+    rows ever see.
+    """
     for c in required:
         new = new.where(F.col(c).isNotNull())
-    for keys in key_sets:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*arrival))
-        new = new.withColumn("_n", rank).where("_n = 1").drop("_n")
-        if old is not None:
+    if old is not None:
+        for keys in key_sets:
             new = new.join(old.select(*keys).distinct(), list(keys), "left_anti").select(*new.columns)
-    return new
+    cols, stored = new.columns, None
+    left = cut(new.withColumn("_row", F.monotonically_increasing_id()))
+    while True:
+        x = left
+        for i, keys in enumerate(key_sets):
+            whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+            nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*arrival, "_row"))
+            x = x.withColumn(f"_first{i}", ~whole | (nth == 1))
+        first = reduce(lambda a, b: a & b, (F.col(f"_first{i}") for i in range(len(key_sets))))
+        here = x.where(first).select(*cols)
+        stored = here if stored is None else stored.unionByName(here)
+        if len(key_sets) == 1:
+            return stored
+        rest = x.where(~first).select(*left.columns)
+        for keys in key_sets:
+            rest = rest.join(here.select(*keys).distinct(), list(keys), "left_anti").select(*left.columns)
+        left = cut(rest)
+        if left.isEmpty():
+            return stored
 
 
 def events_raw(events: DataFrame) -> DataFrame:
@@ -45,11 +71,96 @@ def upsert(new: DataFrame, old: DataFrame | None, keys: list[str]) -> DataFrame:
     return new if old is None else new.unionByName(old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*new.columns))
 
 
-def fanout(batch: DataFrame, folder: str, batch_id: int = 0) -> None:
-    """One batch to raw events and the derived tables. Each batch has its own folder
-    and replaces it when it is run again."""
-    put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
-    put(events_raw(batch), "events_raw")
-    for kind in ("window_dwell", "input_summary"):
-        rows = batch.where(F.col("type") == kind).withColumnRenamed("event_id", "id").withColumnRenamed("timestamp", "timestamp_ms")
-        put(rows.dropDuplicates(["id"]), kind)
+#: columns of the derived tables, none of which may be null, beside ``id``
+DERIVED = {
+    "window_dwell": ["session_id", "seq", "created_at", "timezone_offset", "timestamp_ms", "window_event_id", "app_name", "normalized_window_title", "start_monotonic_ms", "end_monotonic_ms", "dwell_time_ms"],
+    "input_summary": ["session_id", "seq", "created_at", "timezone_offset", "timestamp_ms", "active_window_id", "key_count", "click_count", "mouse_distance", "scroll_delta", "idle_ms", "dwell_time_ms"],
+}
+RAW = ["session_id", "seq", "type", "created_at", "timezone_offset", "timestamp_ms", "monotonic_ms", "payload_json"]
+ARRIVAL = ["timestamp_ms", "seq", "id"]
+
+
+def derived_rows(events: DataFrame, kind: str) -> DataFrame:
+    """The derived table's columns of all events of one kind; columns that the events
+    don't have are null."""
+    x = events.where(F.col("type") == kind).withColumnsRenamed({"event_id": "id", "timestamp": "timestamp_ms"})
+    return x.select(*(F.col(c) if c in x.columns else F.lit(None).cast("string").alias(c) for c in ("id", *DERIVED[kind])))
+
+
+def _commits(spark: SparkSession, folder: str) -> DataFrame | None:
+    if not exists(spark, f"{folder}/commits"):
+        return None
+    return spark.read.schema("batch long").option("recursiveFileLookup", True).json(f"{folder}/commits")
+
+
+def stored_rows(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Rows of a keyed table, of whole batches only; None before the first."""
+    done = _commits(spark, folder)
+    if done is None:
+        return None
+    rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    return rows.join(F.broadcast(done), "batch", "left_semi").drop("batch")  # one number a batch
+
+
+def keyed_append(rows: DataFrame, folder: str, batch_id: int, key_sets: list[list[str]], required: list[str] = (), arrival: list[str] = ARRIVAL, buckets: int = 64) -> None:
+    """Insert-or-ignore of one batch into a stored table.
+
+    Each key set has a key table beside the rows, in folders by the keys' hash; a
+    batch reads those folders that its own keys fall in and nothing else of what is
+    stored. Rows, keys, and last of all the batch's number are written; a batch
+    whose number is missing counts as not written, and writes its folders over
+    when it is run again. One whose number is there does nothing.
+    """
+    spark = rows.sparkSession
+    done = _commits(spark, folder)
+    if done is not None and not done.where(F.col("batch") == batch_id).isEmpty():
+        return
+    bucket = lambda keys: F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    new = cut(rows)
+    fresh = new
+    for i, keys in enumerate(key_sets):
+        if done is None or not exists(spark, f"{folder}/keys{i}"):
+            continue
+        used = [r[0] for r in new.select(bucket(keys)).distinct().collect()]  # at most ``buckets`` numbers
+        kinds = new.select(*keys, F.lit(0).cast("long").alias("batch"), F.lit(0).alias("bucket")).schema
+        stored = spark.read.schema(kinds).option("basePath", f"{folder}/keys{i}").parquet(f"{folder}/keys{i}").where(F.col("bucket").isin(used))
+        stored = stored.join(F.broadcast(done), "batch", "left_semi").select(*keys)
+        fresh = fresh.join(stored, list(keys), "left_anti").select(*new.columns)
+    out = cut(insert_or_ignore(fresh, None, key_sets, required, arrival))
+    out.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+    for i, keys in enumerate(key_sets):
+        out.select(*keys, bucket(keys).alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/keys{i}/batch={batch_id}")
+    spark.range(1).select(F.lit(batch_id).alias("batch")).write.mode("overwrite").json(f"{folder}/commits/number={batch_id}")
+    drop(new, out)
+
+
+class SinkErrors(Exception):
+    """Sinks of one batch that failed, by name; the others have written it."""
+
+    def __init__(self, errors: dict[str, Exception]):
+        super().__init__("; ".join(f"{name}: {e}" for name, e in errors.items()))
+        self.errors = errors
+
+
+def fanout(batch: DataFrame, folder: str, batch_id: int = 0, log: bool = False) -> None:
+    """One batch to raw events (each id and each session's seq once), to the derived
+    tables (each id once), and with ``log`` to JSON lines.
+
+    An event that was stored by an earlier batch, or by this one when it is run again,
+    isn't stored twice. Each sink is tried even where another fails; then the
+    failures are raised together, so that the batch comes again and only what is
+    missing is written.
+    """
+    tasks = {"events_raw": lambda: keyed_append(events_raw(batch), f"{folder}/events_raw", batch_id, [["id"], ["session_id", "seq"]], RAW)}
+    for kind, needed in DERIVED.items():
+        tasks[kind] = lambda kind=kind, needed=needed: keyed_append(derived_rows(batch, kind), f"{folder}/{kind}", batch_id, [["id"]], needed)
+    if log:
+        tasks["log"] = lambda: batch.write.mode("overwrite").json(f"{folder}/log/batch={batch_id}")
+    failed = {}
+    for name, task in tasks.items():
+        try:
+            task()
+        except Exception as e:  # noqa: BLE001
+            failed[name] = e
+    if failed:
+        raise SinkErrors(failed)

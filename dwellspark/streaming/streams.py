@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.features import dwell_x_bucket
@@ -43,40 +44,104 @@ def stream_window_changes(polls: DataFrame) -> DataFrame:
     return cols.groupBy("session_id").applyInPandasWithState(step, schema, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_dwell(windows: DataFrame, heartbeat_ms: int | None = None, close_after_ms: int | None = None) -> DataFrame:
-    """A row for each window that was left; state: the open window, so memory is one
-    row a session. ``heartbeat_ms`` cuts long dwells; with ``close_after_ms`` (and a
-    watermark on ``ts``) a session without news is closed at its last window."""
-    schema = "session_id string, window_event_id string, app_name string, start_monotonic_ms long, end_monotonic_ms long, dwell_time_ms long"
-    names = ["event_id", "app_name", "monotonic_ms"]
-    waits = GroupStateTimeout.EventTimeTimeout if close_after_ms else GroupStateTimeout.NoTimeout
+_DWELL = "session_id string, window_event_id string, app_name string, start_monotonic_ms long, end_monotonic_ms long, dwell_time_ms long"
 
-    def step(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        x = _rows(batches)
+
+class _OpenWindow(StatefulProcessor):
+    """The window that a session has in front: ``opened`` and ``segment`` on its own
+    clock, ``shift`` from that clock to event time."""
+
+    def __init__(self, heartbeat_ms: int | None, close_after_ms: int | None):
+        self.pace, self.close_after = heartbeat_ms, close_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.front = handle.getValueState("front", "event_id string, app_name string, opened long, segment long, shift long")
+
+    def _pieces(self, key, front, until: int, closed: bool) -> tuple[list[tuple], int]:
+        """Rows from the segment's start to ``until``: whole beats, and where the window
+        is closed what is left of it, if anything or if nothing was written yet."""
+        event_id, app, opened, at, _ = front
+        rows = []
+        while self.pace and at + self.pace <= until:
+            rows.append((key[0], event_id, app, at, at + self.pace, self.pace))
+            at += self.pace
+        if closed and (at < until or at == opened):
+            end = max(at, until)
+            rows.append((key[0], event_id, app, at, end, end - at))
+        return rows, at
+
+    def _last(self, front) -> int:
+        """When the window is closed for want of news, on its own clock."""
+        return front[2] + self.close_after
+
+    def _wait(self, front) -> None:
+        """A timer for the next beat or the closing, whichever comes first."""
+        due = [front[3] + self.pace] if self.pace else []
+        due += [self._last(front)] if self.close_after else []
+        if due:
+            self.handle.registerTimer(min(due) + front[4])
+
+    def _forget_timers(self) -> None:
+        if self.pace or self.close_after:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        x = _rows(rows)
         if x.empty:
             return
-        x = x[names]
-        if state.exists:
-            x = pd.concat([pd.DataFrame([state.get], columns=names), x])
-        last = x.iloc[-1]
-        state.update((str(last.event_id), str(last.app_name), int(last.monotonic_ms)))
-        if close_after_ms:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(last.monotonic_ms)) + close_after_ms)
-        out = x.iloc[:-1].assign(end=x.monotonic_ms.shift(-1).iloc[:-1].astype("int64"))
-        rows = []
-        for r in out.itertuples(index=False):
-            end = max(int(r.end), int(r.monotonic_ms))
-            pace = heartbeat_ms or max(end - int(r.monotonic_ms), 1)
-            for at in range(int(r.monotonic_ms), max(end, int(r.monotonic_ms) + 1), pace):
-                stop = min(at + pace, end)
-                rows.append((key[0], r.event_id, r.app_name, at, stop, stop - at))
-        yield pd.DataFrame(rows, columns=["session_id", "window_event_id", "app_name", "start_monotonic_ms", "end_monotonic_ms", "dwell_time_ms"])
-
-    keep = ["session_id", "seq", *names, *(["ts"] if close_after_ms else [])]
-    return windows.select(*keep).groupBy("session_id").applyInPandasWithState(step, schema, "event_id string, app_name string, monotonic_ms long", "append", waits)
+        front = tuple(self.front.get()) if self.front.exists() else None
+        out = []
+        for event_id, app, at, ts in zip(x.event_id, x.app_name, x.monotonic_ms, x.ts_ms):
+            if front is not None:
+                until = min(int(at), self._last(front)) if self.close_after else int(at)
+                out += self._pieces(key, front, until, True)[0]
+            front = (str(event_id), None if pd.isna(app) else str(app), int(at), int(at), int(ts) - int(at))
+        self.front.update(front)
+        self._forget_timers()
+        self._wait(front)
+        yield pd.DataFrame(out, columns=_DWELL_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.front.exists():
+            return
+        front = tuple(self.front.get())
+        now = timerValues.getCurrentWatermarkInMs() - front[4]  # several timers may be due
+        done = bool(self.close_after) and now >= self._last(front)
+        out, at = self._pieces(key, front, min(now, self._last(front)) if done else now, done)
+        if done:
+            self.front.clear()
+        else:
+            front = (*front[:3], at, front[4])
+            self.front.update(front)
+            self._wait(front)
+        yield pd.DataFrame(out, columns=_DWELL_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+_DWELL_NAMES = [c.split()[0] for c in _DWELL.split(", ")]
+
+
+def stream_dwell(windows: DataFrame, heartbeat_ms: int | None = None, close_after_ms: int | None = None, late: str = "0 seconds") -> DataFrame:
+    """A row for each window that was left; state: the open window, one row a session.
+
+    With ``heartbeat_ms`` a window that stays in front gives a piece each time so much
+    event time (``ts``, ``late`` behind the newest) has passed, while it is still open.
+    With ``close_after_ms`` it is closed so long after it opened without another
+    one, its last piece is written and the session's state goes. Timers and later
+    windows give the same pieces, so results don't depend on how batches are cut.
+    A clock that runs backwards gives 0; a null app stays null. Needs the RocksDB
+    state store.
+    """
+    timed = bool(heartbeat_ms or close_after_ms)
+    ts = F.unix_millis("ts") if timed else F.lit(0).cast("long")
+    cols = ["session_id", "seq", "event_id", "app_name", F.col("monotonic_ms").cast("long").alias("monotonic_ms"), ts.alias("ts_ms")]
+    x = windows.withWatermark("ts", late).select(*cols, "ts") if timed else windows.select(*cols)
+    work = _OpenWindow(heartbeat_ms, close_after_ms)
+    return x.groupBy("session_id").transformWithStateInPandas(work, _DWELL, "Append", "EventTime" if timed else "None")
 
 
 def stream_input_summary(inputs: DataFrame, flush_ms: int = FLUSH_MS, late: str = "1 minute") -> DataFrame:
@@ -135,11 +200,28 @@ def stream_fanout(events: DataFrame, folder: str, checkpoint: str):
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
+#: state that Spark keeps on disk, as processors with timers need
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available(out: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and read back what it wrote."""
+    """Run a stream over what is there, from its checkpoint in ``folder`` if it has one,
+    and read back all that it wrote."""
     spark = out.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     query = out.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+def run_slices(slices: list[DataFrame], make: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """A stream that is stopped and started again: each slice is written to its input,
+    then the query that ``make`` builds runs from its checkpoint over what is new."""
+    spark = slices[0].sparkSession
+    out = None
+    for part in slices:
+        part.write.mode("append").parquet(f"{folder}/in")
+        out = run_available(make(spark.readStream.schema(part.schema).parquet(f"{folder}/in")), folder)
+    return out
