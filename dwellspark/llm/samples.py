@@ -22,27 +22,34 @@ def labelled_texts(
 
     Of the texts that may be learned from (not null, of ``most_chars`` at most; none
     is cut) those with the least hash of the id are taken, so a sample doesn't
-    depend on how rows are dealt out. With many labels each gets fewer texts, one
-    at least, so that all together have at most ``most_total`` characters.
+    depend on how rows are dealt out. With many labels each gets fewer texts, so
+    that all together have at most ``most_total`` characters; more labels than texts
+    of ``most_chars`` fit into that are an error.
+
+    Where ``labels`` is ``docs`` a row's label is its own, else that of its id: ids with
+    more than one label are left out. A text is chosen with its row, so rows that
+    share an id keep their own texts and labels; rows alike in all three are one.
     """
-    fit = docs.where(F.length(text_col) <= most_chars)
-    if labels is docs:
-        named = fit.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    else:
-        named = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).join(fit.select(F.col(id_col).alias("id")), "id", "left_semi")
-    named = named.where("id IS NOT NULL AND label IS NOT NULL")
+    fit = docs.where((F.length(text_col) <= most_chars) & F.col(id_col).isNotNull())
+    named = fit.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(label_col).alias("label")] if labels is docs else []))
+    if labels is not docs:
+        own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
+        own = own.agg(F.min(label_col).alias("label"), F.max(label_col).alias("most")).where("label = most").drop("most")
+        named = named.join(own, "id")
+    named = named.where("label IS NOT NULL").withColumn("t", F.xxhash64("text"))
     kinds = named.agg(F.count_distinct("label")).first()[0]
     if not kinds:
         return []
-    per_label = max(1, min(per_label, most_total // (kinds * most_chars)))
+    per_label = min(per_label, most_total // (kinds * most_chars))
+    if not per_label:
+        raise ValueError(f"{kinds} labels: {most_total} characters don't hold a text of {most_chars} for each")
     # a label's rows meet in parts first, so that a hot one is no single task's work
-    rows = named.select("id", "label", F.xxhash64("id").alias("h")).withColumn("part", F.pmod("h", F.lit(PARTS)))
+    rows = named.select("id", "t", "label").distinct().withColumn("h", F.xxhash64("id")).withColumn("part", F.pmod(F.xxhash64("id", "t"), F.lit(PARTS)))
     for by in (["label", "part"], ["label"]):
-        nth = F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy("h", "id", "t"))
         rows = rows.withColumn("nth", nth).where(F.col("nth") <= per_label).drop("nth")
-    wanted = [(r.id, r.label) for r in rows.select("id", "label").distinct().collect()]
-    small = docs.sparkSession.createDataFrame(wanted, named.select("id", "label").schema)
-    # bounded by per_label rows a label
-    texts = fit.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    got = texts.join(F.broadcast(small), "id").collect()
+    wanted = [tuple(r) for r in rows.select("id", "t", "label").collect()]
+    small = docs.sparkSession.createDataFrame(wanted, named.select("id", "t", "label").schema)
+    # bounded by per_label rows a label, in the broadcast and in what is collected
+    got = named.join(F.broadcast(small), ["id", "t", "label"]).groupBy("id", "t", "label").agg(F.min("text").alias("text")).collect()
     return sorted((r.id, r.text, r.label) for r in got)

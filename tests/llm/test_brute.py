@@ -159,7 +159,20 @@ def test_sample_bounds(spark):
     df = spark.createDataFrame(rows, "id long, text string, lang string")
     per = lambda *a: Counter(r[2] for r in labelled_texts(df, df, "id", "text", "lang", *a))
     assert per(50, 100) == {"l0": 50, "l1": 50, "l2": 50} and per(500, 100)["l1"] == 100
-    assert set(per(50, 100, 900).values()) == {3} and set(per(50, 100, 1).values()) == {1}
+    assert set(per(50, 100, 900).values()) == {3}
+    with pytest.raises(ValueError, match="3 labels"):
+        per(50, 100, 1)
     least = [r[0] for r in df.where("length(text) <= 100 AND lang = 'l1' AND id IS NOT NULL").select("id", F.xxhash64("id").alias("h")).orderBy("h").limit(5).collect()]
     assert {r[0] for r in labelled_texts(df, df, "id", "text", "lang", 5, 100) if r[2] == "l1"} == set(least)
     assert labelled_texts(df.limit(0), df, "id", "text", "lang", 5, 100) == []
+
+
+def test_sample_of_shared_ids(spark):
+    rows = [(1, "alpha beta", "en"), (1, "alpha beta", "en"), (1, "gamma", "de"), (2, "delta", "de"), (None, "x", "de")]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    assert labelled_texts(df, df, "id", "text", "lang", 9, 100) == [(1, "alpha beta", "en"), (1, "gamma", "de"), (2, "delta", "de")]
+    marks = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (2, 1), (3, 1), (None, 1)], "id long, lang int")
+    assert labelled_texts(df, marks, "id", "text", "lang", 9, 100) == [(1, "alpha beta", 0), (1, "gamma", 0)]
+    hot = spark.range(5000).select(F.lit(7).cast("long").alias("id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"))
+    got = labelled_texts(hot, hot, "id", "text", "lang", 20, 100)
+    assert len(got) == 20 and sum(len(r[1]) for r in got) <= 20 * 100

@@ -146,9 +146,9 @@ def test_near_copies_by_similarity(spark):
     rng = random.Random(8)
     grams = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
     rows, want = [], []
-    for k in range(150):
+    for k in range(300):
         words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(150, 500))]
-        edits = max(1, round(len(words) * (0.005, 0.01, 0.02)[k % 3]))
+        edits = max(1, round(len(words) * (0.005, 0.01, 0.015, 0.02, 0.035)[k % 5]))
         other = list(words)
         for j in rng.sample(range(len(words)), edits):
             other[j] = "new"
@@ -158,8 +158,10 @@ def test_near_copies_by_similarity(spark):
     rows += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "one two"), (10**6 + 3, "one two"), (10**6 + 4, "x " * 100_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int")
     got = {r.doc_id: r.component_id for r in near_copies(df).collect()}
-    assert len(got) == len(rows) and all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(150))
-    for least, share in ((0.95, 1.0), (0.9, 0.95), (0.8, 0.85)):
-        found = [got[2 * k + 1] == 2 * k for k in range(150) if want[k] >= least]
-        assert sum(found) >= share * len(found) and len(found) > 20
+    assert len(got) == len(rows) and all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(300))
+    for low, high, share in ((0.95, 1.1, 1.0), (0.9, 0.95, 0.98), (0.85, 0.9, 0.95), (0.8, 0.85, 0.9)):
+        found = [got[2 * k + 1] == 2 * k for k in range(300) if low <= want[k] < high]
+        assert sum(found) >= share * len(found) and len(found) > 15
+    apart = [got[2 * k + 1] == 2 * k for k in range(300) if want[k] < 0.72]
+    assert sum(apart) <= 0.1 * len(apart) and len(apart) > 15
     assert [got[10**6 + j] - 10**6 for j in range(5)] == [0, 0, 2, 2, 4] and near_copies(df.limit(0)).count() == 0
