@@ -1,7 +1,7 @@
 """Corpus pipeline: five operators, each working on what the one before kept.
 
-Rows are told apart by a hash of all their columns, not by doc_id, so rows with a
-null id or a shared one are rows like any other. Where a stage doesn't say
+Rows are told apart by 128-bit hashes of their columns, nulls marked, not by doc_id, so
+rows with a null id or a shared one are rows like any other. Where a stage doesn't say
 otherwise, equal rows fare alike, null and empty texts are texts without words,
 very long texts are handled whole, columns other than those of ``documents`` are
 left out, and an empty table gives no rows.
@@ -9,7 +9,7 @@ left out, and an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellspark.llm.decontaminate import contaminated
@@ -22,12 +22,17 @@ from dwellspark.llm.substring import drop_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits of the columns' values, with a mark where one is null."""
+    marked = [x for c in columns for x in (F.isnull(c), F.col(c))]
+    return F.struct(F.xxhash64(*marked).alias("a"), F.xxhash64(F.lit(1), *marked).alias("b"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep; texts of fewer than 50 words go, null and
     empty ones among them. A verdict depends on text, language and source, and
     comes back to rows by a 128-bit hash of these."""
-    of = ["text", "lang", "source"]
-    keyed = docs.select(*COLUMNS, F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(F.lit(1), *of).alias("b")).alias("row_key"))
+    keyed = docs.select(*COLUMNS, row_key("text", "lang", "source").alias("row_key"))
     kept = quality_rules(keyed, "row_key").where("kept").select("row_key")
     return keyed.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
@@ -36,11 +41,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each class of near copies (five-word shingles, similarity 0.8 or
     more): that of the least id, one without an id only where no other has one.
     Of equal rows one stays. Texts without words are one class."""
-    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_key"))
-    classes = near_copies(keyed, "row_key").join(keyed.select("row_key", "doc_id").distinct(), "row_key")
-    first = F.min_by("row_key", F.struct(F.isnull("doc_id"), "doc_id", "row_key")).alias("row_key")
-    kept = classes.groupBy("component_id").agg(first).select("row_key")
-    return keyed.join(kept, "row_key").dropDuplicates(["row_key"]).select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, F.struct(F.isnull("doc_id").alias("none"), "doc_id", row_key(*COLUMNS).alias("row")).alias("row_key"))
+    kept = near_copies(keyed, "row_key").where("row_key = component_id").select("row_key").distinct()
+    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +57,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in whose text no benchmark item is found."""
-    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("row_key"))
+    keyed = docs.select(*COLUMNS, row_key("text").alias("row_key"))
     hits = cut(contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_key").select("row_key").distinct())
     return keyed.join(hits, "row_key", "left_anti").select(*COLUMNS)
 
