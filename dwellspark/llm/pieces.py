@@ -17,6 +17,8 @@ SEED, DROPOUT = 20_240_501, 0.1
 LONG = 256
 #: occurrences with a skipped candidate that are segmented at once
 SLAB = 1 << 15
+#: bytes of text that are encoded at once
+PORTION = 1 << 18
 SPACE, MARK = 0x20, "▁"
 
 
@@ -329,7 +331,7 @@ def encode_pieces(
     def run(batches):
         model = load(path)
         for b in batches:
-            for i, n in pieces(b.column(1), 1 << 20):
+            for i, n in pieces(b.column(1), PORTION):
                 part = b.column(1).slice(i, n)
                 hashed = b.column(2).slice(i, n).to_numpy(zero_copy_only=False).view(np.uint64)
                 ids, bounds, _, _ = encode(model, part, hashed, seed, dropout)
