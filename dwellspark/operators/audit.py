@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.timefns import parses_as_time
 from ..functions.titles import rotation_index, trim_all
+from .ordering import Ranged, running_sum
 
 #: fields of the envelope in the order they are checked
 ENVELOPE = ["schema_version", "event_id", "session_id", "seq", "created_at", "epoch_ms", "monotonic_ms", "timezone_offset", "source", "type", "payload"]
@@ -81,7 +82,7 @@ def log_file_order(files: DataFrame, name_col: str = "file") -> DataFrame:
     """Log files, newest first: by date, then by rotation number; other names go."""
     f = files.where(F.col(name_col).rlike(r"events-[0-9]{8}(\.[0-9]+)?\.jsonl$"))
     f = f.withColumns({"log_date": F.regexp_extract(name_col, r"events-([0-9]{8})", 1), "rotation": rotation_index(name_col)})
-    return f.withColumn("newest", F.row_number().over(Window.orderBy(F.desc("log_date"), F.desc("rotation"), name_col)))
+    return running_sum(f, [F.desc("log_date"), F.desc("rotation"), F.col(name_col)], name="newest").withColumn("newest", F.col("newest").cast("int"))
 
 
 def latest_log_file(files: DataFrame, name_col: str = "file") -> DataFrame:
@@ -89,14 +90,25 @@ def latest_log_file(files: DataFrame, name_col: str = "file") -> DataFrame:
     return f.orderBy(F.desc(F.regexp_extract(name_col, r"events-([0-9]{8})", 1)), F.desc(rotation_index(name_col)), name_col).limit(1)
 
 
-def audit_sequence(events: DataFrame, session: str = "session_id", require_zero_start: bool = True) -> DataFrame:
+def audit_sequence(events: DataFrame, session: str = "session_id", require_zero_start: bool = True, hot: bool = False) -> DataFrame:
     """Per session: records, different seqs, first and last seq, and the first place
-    where the sorted seqs leave 0, 1, 2, … (or first, first + 1, …)."""
-    order = Window.partitionBy(session).orderBy("seq")
-    x = events.where("seq IS NOT NULL").withColumn("_n", F.row_number().over(order) - 1)
+    where the sorted seqs leave 0, 1, 2, … (or first, first + 1, …).
+
+    With ``hot`` sessions are numbered in ranges, for tables where one session may be
+    too large for a task.
+    """
+    x = events.where("seq IS NOT NULL")
+    if hot:
+        x = Ranged(x.select(session, "seq"), [session], ["seq"]).number("_n").done()
+    else:
+        x = x.withColumn("_n", F.row_number().over(Window.partitionBy(session).orderBy("seq")) - 1)
+    # from the first seq where that need not be 0: the least difference is that of the first row
+    shift = F.lit(0) if require_zero_start else F.col("_low")
     if not require_zero_start:
-        x = x.withColumn("_n", F.col("_n") + F.min("seq").over(Window.partitionBy(session)))
-    wrong = F.when(F.col("seq") != F.col("_n"), F.struct(F.col("_n").cast("long").alias("n"), "seq"))
+        low = x.where("_n = 0").select(F.col(session).alias("_s"), F.col("seq").alias("_low"))
+        x = x.join(low, F.col(session).eqNullSafe(F.col("_s")), "left").drop("_s")
+    n = (F.col("_n") + shift).cast("long")
+    wrong = F.when(F.col("seq") != n, F.struct(n.alias("n"), "seq"))
     return x.groupBy(session).agg(
         F.count("*").alias("records"), F.countDistinct("seq").alias("distinct_seqs"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
         F.min(wrong).alias("_w"),
@@ -122,7 +134,7 @@ def retention_purge(files: DataFrame, now_ms: int, most_days: int | None = None,
     out = F.lit(False)
     if most_days is not None:
         out = out | (F.col("log_day_ms") < now_ms - most_days * 86_400_000)
-    files = files.withColumn("_sum", F.sum("bytes").over(Window.orderBy(F.desc("log_day_ms"), F.desc("file"))))
+    files = running_sum(files, [F.desc("log_day_ms"), F.desc("file")], F.col("bytes"), "_sum")
     if most_bytes is not None:
         out = out | (F.col("_sum") > most_bytes)
     return files.withColumn("purge", out).drop("_sum")

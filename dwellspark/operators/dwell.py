@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.titles import event_id, resolve_app_name, sanitize_title
 from ..options import CONFIRM_MS, HEARTBEAT_MS
+from .ordering import Ranged
 
 
 def resolve_poll(polls: DataFrame) -> DataFrame:
@@ -23,28 +24,38 @@ def resolve_poll(polls: DataFrame) -> DataFrame:
     ).drop("owner", "title")
 
 
-def window_changes(polls: DataFrame, order: list[str] = ("timestamp",), session: str = "session_id") -> DataFrame:
+def window_changes(polls: DataFrame, order: list[str] = ("timestamp",), session: str = "session_id", hot: bool = False) -> DataFrame:
     """Polls whose app or title differs from the last poll's; null polls are left out
-    first and change nothing. The first poll of a session stays."""
+    first and change nothing. The first poll of a session stays. With ``hot`` sessions
+    are worked on in ranges, for tables where one may be too large for a task."""
     polls = polls.where("app_name IS NOT NULL OR window_title IS NOT NULL")
-    key = F.concat_ws("|", F.coalesce("app_name", F.lit("")), F.coalesce("window_title", F.lit("")))
-    before = F.lag(key).over(Window.partitionBy(session).orderBy(*order))
-    return polls.withColumn("_before", before).where(~key.eqNullSafe(F.col("_before"))).drop("_before")
-
-
-def assign_seq(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    polls = polls.withColumn("_key", F.concat_ws("|", F.coalesce("app_name", F.lit("")), F.coalesce("window_title", F.lit(""))))
+    if hot:
+        polls = Ranged(polls, [session], list(order)).neighbour({"_key": "_before"}, ahead=False).done()
+    else:
+        polls = polls.withColumn("_before", F.lag("_key").over(Window.partitionBy(session).orderBy(*order)))
+    return polls.where("NOT (_key <=> _before)").drop("_before", "_key")
+
+
+def assign_seq(df: DataFrame, keys: list[str], order: list[str], hot: bool = False) -> DataFrame:
+    """``df`` with ``seq``, each row's number within its keys; ``hot`` as in ``window_changes``."""
+    if hot:
+        return Ranged(df, keys, order).number("seq").done()
     return df.withColumn("seq", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
 
 
-def dwell_from_windows(windows: DataFrame, session_end: DataFrame | None = None) -> DataFrame:
+def dwell_from_windows(windows: DataFrame, session_end: DataFrame | None = None, hot: bool = False) -> DataFrame:
     """One row for each window that was left: its time in front, stamped at its end.
 
     ``session_end(session_id, end_monotonic_ms, end_timestamp)`` closes last
     windows; without it they are still open and left out. A clock that runs
-    backwards gives 0.
+    backwards gives 0. ``hot`` as in ``window_changes``.
     """
-    order = Window.partitionBy("session_id").orderBy("seq")
-    w = windows.withColumns({"end_monotonic_ms": F.lead("monotonic_ms").over(order), "end_timestamp": F.lead("timestamp").over(order)})
+    if hot:
+        w = Ranged(windows, ["session_id"], ["seq"]).neighbour({"monotonic_ms": "end_monotonic_ms", "timestamp": "end_timestamp"}, ahead=True).done()
+    else:
+        order = Window.partitionBy("session_id").orderBy("seq")
+        w = windows.withColumns({"end_monotonic_ms": F.lead("monotonic_ms").over(order), "end_timestamp": F.lead("timestamp").over(order)})
     if session_end is not None:
         ends = session_end.select("session_id", F.col("end_monotonic_ms").alias("_m"), F.col("end_timestamp").alias("_t"))
         w = w.join(ends, "session_id", "left").withColumns({"end_monotonic_ms": F.coalesce("end_monotonic_ms", "_m"), "end_timestamp": F.coalesce("end_timestamp", "_t")})
@@ -75,10 +86,18 @@ def heartbeat_split(dwells: DataFrame, every_ms: int = HEARTBEAT_MS) -> DataFram
     ).drop("_at", "_end")
 
 
-def confirm_labels(seen: DataFrame, confirm_ms: int = CONFIRM_MS, keys: list[str] = ("session_id", "window_event_id")) -> DataFrame:
+def confirm_labels(seen: DataFrame, confirm_ms: int = CONFIRM_MS, keys: list[str] = ("session_id", "window_event_id"), hot: bool = False) -> DataFrame:
     """``seen(keys, t, label)`` -> one row for each window with its last confirmed
     label: one seen again ``confirm_ms`` or more after it was first seen, with no
-    other between. Without one it is 'unknown'."""
+    other between. Without one it is 'unknown'. With ``hot`` windows are worked on in
+    ranges: a run of one label began where the last row with another one ended."""
+    if hot:
+        s = Ranged(seen, list(keys), ["t", "label"]).neighbour({"label": "_before", "t": "_at"}, ahead=False)
+        s.rows = s.rows.withColumn("_began", F.when(F.col("_at").isNull() | ~F.col("_before").eqNullSafe(F.col("label")), F.col("t")))
+        s = s.last({"_began": "_since"}).done()
+        ok = F.col("t") - F.col("_since") >= confirm_ms
+        label = F.max_by(F.when(ok, F.col("label")), F.when(ok, F.struct("t", "label")))
+        return s.groupBy(*keys).agg(F.coalesce(label, F.lit("unknown")).alias("semantic_label"))
     order = Window.partitionBy(*keys).orderBy("t", "label")
     s = seen.withColumn("_new", (~F.lag("label").over(order).eqNullSafe(F.col("label"))).cast("int"))
     s = s.withColumn("_run", F.sum("_new").over(order))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.timefns import DAY_MS, local_day_to_utc_ms, week_days
 from ..functions.titles import bar, fmt_duration
 from ..options import CATEGORIES
+from .ordering import running_sum
 
 _MS = [f"{c}_ms" for c in CATEGORIES]
 
@@ -41,7 +42,10 @@ def top_apps(dwells: DataFrame, keys: list[str], start_ms=None, end_ms=None, lim
     if end_ms is not None:
         d = d.where(F.col("timestamp_ms") < end_ms)
     total = d.groupBy(*keys, "app_name").agg(F.sum("dwell_time_ms").cast("long").alias("total_ms"))
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("total_ms"), "app_name")
+    if not keys:
+        # without keys the top is one sort of each task's own top
+        return running_sum(total.orderBy(F.desc("total_ms"), "app_name").limit(limit), [F.desc("total_ms"), F.col("app_name")], name="rank", parts=1).withColumn("rank", F.col("rank").cast("int"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("total_ms"), "app_name")
     return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
@@ -137,8 +141,11 @@ def weekly_text(weekly: DataFrame) -> DataFrame:
 def deep_work_blocks(features: DataFrame, keys: list[str], window_ms: int = 30_000) -> DataFrame:
     """Runs of neighbouring flagged windows: start, end, windows."""
     f = features.where("deep_work_candidate_flag = 1")
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("window_start")
-    f = f.withColumn("_run", F.col("window_start") - F.row_number().over(order) * window_ms)
+    if keys:
+        f = f.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("window_start")).cast("long"))
+    else:
+        f = running_sum(f, [F.col("window_start")], name="_n")
+    f = f.withColumn("_run", F.col("window_start") - F.col("_n") * window_ms).drop("_n")
     return f.groupBy(*keys, "_run").agg(
         F.min("window_start").alias("block_start"), (F.max("window_start") + window_ms).alias("block_end"), F.count("*").alias("windows")
     ).drop("_run")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.titles import app_boost, goal_display, normalize_goal
 from ..options import SemanticOptions
+from .ordering import nearest_ranks
 
 
 def _c(x) -> Column:
@@ -75,18 +76,13 @@ def calibrate(scores: DataFrame, options: SemanticOptions = SemanticOptions()) -
     """``scores(goal_id, day_utc, score)`` -> t_on, t_off, sample_count of each goal
     and day with enough scores and a high enough mean.
 
-    A percentile is the score at rank floor(p * n) from 0; ranks come from a
-    window sorted on disk, so a goal's scores never meet in one array.
+    A percentile is the score at rank floor(p * n) from 0, found by counts of bins, so a
+    goal's scores never meet in one task (see ``nearest_ranks``).
     """
     per = ["goal_id", "day_utc"]
-    sums = scores.groupBy(*per).agg(F.count("score").alias("n"), F.avg("score").alias("mean"))
-    sums = sums.where((F.col("n") >= options.min_samples) & (F.col("mean") >= options.min_mean))
-    rank = F.row_number().over(Window.partitionBy(*per).orderBy("score")) - 1
-    ranked = scores.where("score IS NOT NULL").withColumn("_rank", rank).join(sums, per)
-    at = lambda p: F.max(F.when(F.col("_rank") == F.least(F.floor(F.lit(float(p)) * F.col("n")), F.col("n") - 1), F.col("score")))
-    return ranked.groupBy(*per).agg(
-        F.greatest(at(options.p_on), F.lit(options.t_on_floor)).alias("t_on"), at(options.p_off).alias("t_off"), F.max("n").alias("sample_count")
-    )
+    at = nearest_ranks(scores, per, "score", {"on": options.p_on, "off": options.p_off})
+    out = at.where((F.col("n") >= options.min_samples) & (F.col("mean") >= options.min_mean))
+    return out.select(*per, F.greatest("on", F.lit(options.t_on_floor)).alias("t_on"), F.col("off").alias("t_off"), F.col("n").alias("sample_count"))
 
 
 def compare_models(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -23,6 +23,10 @@ _W = f"""w AS (
   SELECT event_id AS n, CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS session_id,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, epoch_us(ts) // 1000 AS t, {_APP} AS app_name,
     CASE user_id % 3 WHEN 0 THEN -300 WHEN 1 THEN 0 ELSE 540 END AS timezone_offset, event_type FROM events)"""
+_HOT = f"""{_W}, h0 AS (SELECT * EXCLUDE (session_id, seq), CASE WHEN n % 3 = 0 THEN 'hot' ELSE session_id END AS session_id FROM w),
+h AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t, n) - 1 AS seq FROM h0)"""
+_COUNTERS = ["key_count", "click_count", "mouse_distance", "scroll_delta", "idle_ms"]
+_CNT = ", ".join(_COUNTERS)
 _D = f"""{_W}, lead_w AS (SELECT *, lead(t) OVER (PARTITION BY session_id ORDER BY seq) AS nxt FROM w),
 d AS (SELECT lpad(event_id, 12, '0') AS id, session_id, event_id AS window_event_id, app_name, timezone_offset, t AS start_monotonic_ms,
     least(greatest(nxt - t, 0), {CAP_MS}) AS dwell_time_ms, t + least(greatest(nxt - t, 0), {CAP_MS}) AS timestamp_ms, seq FROM lead_w WHERE nxt IS NOT NULL)"""
@@ -228,6 +232,28 @@ SQL = {
     "stream_input_summary": f"""WITH {_W}, {_I}, {_ASOF.format(where='true')}, y AS (SELECT *, max(t) OVER () AS top FROM a WHERE active_window_id IS NOT NULL)
       SELECT session_id, active_window_id, t // 3600000 * 3600000 AS slot_ms, {_CSUM} FROM y WHERE t // 3600000 * 3600000 + 3600000 <= top GROUP BY ALL HAVING {_DIRTY}""",
     "stream_features": f"WITH {_D}, {_x()} SELECT session_id, window_start, {_SUMS}, count(*) AS context_switch_count FROM x WHERE window_start + 30000 <= (SELECT max(window_start) FROM x) GROUP BY ALL",
+    "hot_dwells": f"WITH {_HOT}, z AS (SELECT *, lead(t) OVER (PARTITION BY session_id ORDER BY seq) AS nxt FROM h) SELECT session_id, event_id AS window_event_id, app_name, timezone_offset, nxt AS timestamp_ms, t AS start_monotonic_ms, nxt - t AS dwell_time_ms, seq FROM z WHERE nxt IS NOT NULL",
+    "hot_changes": f"WITH {_HOT} SELECT session_id, event_id, app_name FROM h QUALIFY lag(app_name) OVER (PARTITION BY session_id ORDER BY seq) IS DISTINCT FROM app_name",
+    "hot_asof": f"""WITH {_HOT}, {_I}, x AS (SELECT CASE WHEN n % 2 = 0 THEN 'hot' ELSE session_id END AS session_id, t, 0 AS k, key_count, scroll_delta, NULL AS id, NULL::BIGINT AS opened FROM i UNION ALL SELECT session_id, t, 1, NULL, NULL, event_id, t FROM h),
+      a AS (SELECT *, last_value(id IGNORE NULLS) OVER o AS active_window_id, last_value(opened IGNORE NULLS) OVER o AS window_start_ms FROM x WINDOW o AS (PARTITION BY session_id ORDER BY t, k, id ROWS UNBOUNDED PRECEDING))
+      SELECT session_id, t AS monotonic_ms, key_count, scroll_delta, active_window_id, window_start_ms FROM a WHERE k = 0""",
+    "hot_audit": f"""WITH {_HOT}, q AS (SELECT session_id, CASE WHEN n % 101 = 0 THEN seq + 1 ELSE seq END AS s FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY s) - 1 AS r FROM q)
+      SELECT session_id, count(*) AS records, count(DISTINCT s) AS distinct_seqs, min(s) AS first_seq, max(s) AS last_seq, min(r) FILTER (r <> s) AS expected_seq, arg_min(s, r) FILTER (r <> s) AS found_seq FROM r GROUP BY session_id""",
+    "hot_labels": f"""WITH {_HOT}, l AS (SELECT session_id, t, CASE WHEN n % 3 <> 0 THEN 'related' WHEN seq // 5 % 2 = 0 THEN 'on_goal' ELSE 'off' END AS label FROM h),
+      a AS (SELECT *, CAST(lag(label) OVER (PARTITION BY session_id ORDER BY t, label) IS DISTINCT FROM label AS INT) AS new FROM l), b AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY t, label ROWS UNBOUNDED PRECEDING) AS run FROM a),
+      c AS (SELECT *, min(t) OVER (PARTITION BY session_id, run) AS since FROM b)
+      SELECT session_id, 'w' AS window_event_id, coalesce(arg_max(label, (t, run)) FILTER (t - since >= 20000000), 'unknown') AS semantic_label FROM c GROUP BY session_id""",
+    "input_summaries_carried": f"""WITH RECURSIVE {_W}, {_I}, j AS (SELECT n, id, session_id, t, scroll_delta, CASE WHEN n % 5 = 0 THEN key_count ELSE 0 END AS key_count, CASE WHEN n % 5 = 0 THEN click_count ELSE 0 END AS click_count,
+        CASE WHEN n % 5 = 0 THEN mouse_distance ELSE 0 END AS mouse_distance, CASE WHEN n % 5 = 0 THEN idle_ms ELSE 0 END AS idle_ms FROM i),
+      x AS (SELECT session_id, t, 0 AS k, {_CNT}, NULL::VARCHAR AS id, NULL::BIGINT AS opened FROM j UNION ALL SELECT session_id, t, 1, 0, 0, 0, 0, 0, event_id, t FROM w WHERE n % 4 = 0),
+      a AS (SELECT *, last_value(id IGNORE NULLS) OVER o AS win, last_value(opened IGNORE NULLS) OVER o AS since FROM x WINDOW o AS (PARTITION BY session_id ORDER BY t, k, id ROWS UNBOUNDED PRECEDING)),
+      cells AS (SELECT session_id, win, t // 3600000 * 3600000 AS slot, min(since) AS since, max(t - since) AS dwell, {", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}" for c in _COUNTERS)} FROM a WHERE k = 0 GROUP BY ALL),
+      nth AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY win IS NOT NULL, slot, since, win) AS r FROM cells),
+      f AS (SELECT session_id, win, slot, dwell, r, key_count AS k, click_count AS c, mouse_distance AS m, scroll_delta AS s, idle_ms AS i, win IS NOT NULL AND (key_count > 0 OR click_count > 0 OR mouse_distance > 0 OR scroll_delta > 0 OR idle_ms > 0) AS out FROM nth WHERE r = 1
+        UNION ALL SELECT n.session_id, n.win, n.slot, n.dwell, n.r, n.key_count + CASE WHEN out THEN 0 ELSE k END, n.click_count + CASE WHEN out THEN 0 ELSE c END, n.mouse_distance + CASE WHEN out THEN 0 ELSE m END, n.scroll_delta + CASE WHEN out THEN 0 ELSE s END,
+          n.idle_ms + CASE WHEN out THEN 0 ELSE i END, n.win IS NOT NULL AND (n.key_count + CASE WHEN out THEN 0 ELSE k END > 0 OR n.click_count + CASE WHEN out THEN 0 ELSE c END > 0 OR n.mouse_distance + CASE WHEN out THEN 0 ELSE m END > 0
+            OR n.scroll_delta + CASE WHEN out THEN 0 ELSE s END > 0 OR n.idle_ms + CASE WHEN out THEN 0 ELSE i END > 0) FROM f JOIN nth AS n ON n.session_id = f.session_id AND n.r = f.r + 1)
+      SELECT session_id, win AS active_window_id, slot AS slot_ms, k AS key_count, c AS click_count, m AS mouse_distance, s AS scroll_delta, i AS idle_ms, dwell AS dwell_time_ms FROM f WHERE out""",
     "stream_heartbeats": f"""WITH {_W}, z AS (SELECT *, least(coalesce(lead(t) OVER (PARTITION BY session_id ORDER BY seq), t + 36000000), t + 36000000) AS nxt FROM w),
       p AS (SELECT *, unnest(generate_series(t, greatest(t, nxt - 1), 7200000)) AS s FROM z)
       SELECT session_id, event_id AS window_event_id, app_name, s AS start_monotonic_ms, least(s + 7200000, nxt) AS end_monotonic_ms, least(s + 7200000, nxt) - s AS dwell_time_ms FROM p""",

@@ -127,6 +127,42 @@ def confirm_labels(s, d):
     return dwell.confirm_labels(seen, 20_000_000)
 
 
+# one session with a third of all events, worked on in ranges
+
+
+def _hot(s, d):
+    w = A.active_windows(s, d).drop("seq").withColumn("session_id", F.when(F.col("n") % 3 == 0, "hot").otherwise(F.col("session_id")))
+    return dwell.assign_seq(w, ["session_id"], ["monotonic_ms", "n"], hot=True)
+
+
+@query
+def hot_dwells(s, d):
+    return dwell.dwell_from_windows(_hot(s, d), hot=True).select(*_DW, "seq")
+
+
+@query
+def hot_changes(s, d):
+    return dwell.window_changes(_hot(s, d).withColumn("window_title", F.lit("")), ["seq"], hot=True).select("session_id", "event_id", "app_name")
+
+
+@query
+def hot_asof(s, d):
+    x = A.deltas(s, d).withColumn("session_id", F.when(F.col("id").cast("long") % 2 == 0, "hot").otherwise(F.col("session_id")))
+    return inputs.inputs_asof_window(x, _hot(s, d), hot=True).select("session_id", "monotonic_ms", "key_count", "scroll_delta", "active_window_id", "window_start_ms")
+
+
+@query
+def hot_audit(s, d):
+    return audit.audit_sequence(_hot(s, d).withColumn("seq", F.when(F.col("n") % 101 == 0, F.col("seq") + 1).otherwise(F.col("seq"))), hot=True)
+
+
+@query
+def hot_labels(s, d):
+    w = _hot(s, d)
+    label = F.when(F.col("n") % 3 == 0, F.when(F.floor(F.col("seq") / 5) % 2 == 0, "on_goal").otherwise("off")).otherwise("related")
+    return dwell.confirm_labels(w.select("session_id", F.lit("w").alias("window_event_id"), F.col("monotonic_ms").alias("t"), label.alias("label")), 20_000_000, hot=True)
+
+
 # categories and titles
 
 
@@ -178,6 +214,16 @@ def input_summaries(s, d):
     return inputs.input_summaries(A.deltas(s, d), A.active_windows(s, d).where("n % 4 = 0"), 3_600_000)
 
 
+@query
+def input_summaries_carried(s, d):
+    """Sums of slots that hold only scrolling backwards go on to later ones; most slots
+    here hold nothing else."""
+    x = A.deltas(s, d)
+    few = F.col("id").cast("long") % 5 == 0
+    x = x.withColumns({c: F.when(few, F.col(c)).otherwise(0) for c in inputs.COUNTERS if c != "scroll_delta"})
+    return inputs.input_summaries(x, A.active_windows(s, d).where("n % 4 = 0"), 3_600_000, carry=True)
+
+
 @query
 def accumulate_inputs(s, d):
     return inputs.accumulate(A.deltas(s, d), KEYS).where(inputs.is_dirty())
