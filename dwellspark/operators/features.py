@@ -22,27 +22,71 @@ def dwell_x_bucket(dwells: DataFrame, window_ms: int = 30_000, origin: int = 0)
     return out.withColumn("overlap_ms", F.greatest(overlap, F.lit(0)).cast("long"))
 
 
-def bucket_inputs(inputs: DataFrame, keys: list[str], window_ms: int = 30_000, origin: int = 0) -> DataFrame:
-    """Input sums of each window; scrolling counts in either direction."""
+def input_sums() -> list[F.Column]:
+    """Sums of a window's inputs; scrolling counts in either direction."""
     sums = {"keys_n": "key_count", "clicks_n": "click_count", "mouse_n": "mouse_distance", "idle_n": "idle_ms"}
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return (
-        inputs.withColumn("window_start", bucket_start("timestamp_ms", window_ms, origin))
-        .groupBy(*keys, "window_start")
-        .agg(*(F.sum(zero(c)).cast("long").alias(n) for n, c in sums.items()), F.sum(F.abs(zero("scroll_delta"))).cast("long").alias("scroll_n"))
-    )
+    return [*(F.sum(zero(c)).cast("long").alias(n) for n, c in sums.items()), F.sum(F.abs(zero("scroll_delta"))).cast("long").alias("scroll_n")]
 
 
-def app_ms(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Per window and app: overlap, rows, opened windows, and its first dwells."""
+def bucket_inputs(inputs: DataFrame, keys: list[str], window_ms: int = 30_000, origin: int = 0) -> DataFrame:
+    """Input sums of each window."""
+    return inputs.withColumn("window_start", bucket_start("timestamp_ms", window_ms, origin)).groupBy(*keys, "window_start").agg(*input_sums())
+
+
+def app_sums() -> list[F.Column]:
+    """Of a window's pieces of one app: overlap, rows, opened windows, its first dwells."""
     order = F.struct("timestamp_ms", "id")
-    return pieces.groupBy(*keys, "window_start", "app_name").agg(
+    return [
         F.sum("overlap_ms").cast("long").alias("ms"),
         F.count("*").alias("rows"),
         F.collect_set("window_event_id").alias("opened"),
         F.min(F.when(F.col("overlap_ms") > 0, order)).alias("first"),
         F.min(F.struct("timestamp_ms", "id", "timezone_offset")).alias("zone"),
-    )
+    ]
+
+
+def app_ms(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Per window and app: overlap, rows, opened windows, and its first dwells."""
+    return pieces.groupBy(*keys, "window_start", "app_name").agg(*app_sums())
+
+
+def window_sums(o: FeatureOptions) -> list[F.Column]:
+    """Of a window's apps with their category: time by category, switches, the top app."""
+    switches = F.sum("rows") if o.count_mode == "rows" else F.size(F.array_distinct(F.flatten(F.collect_list("opened"))))
+    rank = F.when(F.col("ms") > 0, F.struct((-F.col("ms")).alias("m"), F.col("first")))
+    return [
+        *(F.sum(F.when(F.col("category") == c, F.col("ms")).otherwise(0)).cast("long").alias(f"{c}_ms") for c in CATEGORIES),
+        switches.cast("long").alias("context_switch_count"),
+        F.coalesce(F.min_by("app_name", rank), F.lit("")).alias("top_app_name"),
+        F.min("zone")["timezone_offset"].alias("timezone_offset"),
+    ]
+
+
+def finished(out: DataFrame, o: FeatureOptions) -> DataFrame:
+    """Rates, flags and times of windows with their category and input sums (which may
+    be null)."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    seconds = o.window_ms / 1000
+    out = out.withColumn("top_category", top_category()).withColumns(
+        {
+            "key_rate": n("keys_n") / seconds, "click_rate": n("clicks_n") / seconds, "scroll_rate": n("scroll_n") / seconds,
+            "mouse_speed": n("mouse_n") / seconds, "idle_ratio": F.least(F.greatest(n("idle_n") / o.window_ms, F.lit(0.0)), F.lit(1.0)),
+            "window_start_utc": iso_utc("window_start"), "window_start_local": iso_local("window_start", "timezone_offset"),
+        }
+    ).drop("keys_n", "clicks_n", "scroll_n", "mouse_n", "idle_n")
+    out = out.withColumn("deep_work_candidate_flag", deep_work_flag(o))
+    if o.extra_flags:
+        local = F.to_timestamp("window_start_local")
+        hour = F.hour(local)
+        out = out.withColumns(
+            {
+                "video_like_flag": (F.col("video_ms") * 2 > o.window_ms).cast("int"),
+                "night_flag": ((hour >= o.night_from) | (hour < o.night_to)).cast("int"),
+                "weekday_flag": (F.weekday(local) < 5).cast("int"),
+            }
+        )
+    return out
 
 
 def top_category() -> F.Column:
@@ -74,37 +118,8 @@ def build_features(
     if end_ms is not None:
         pieces = pieces.where(F.col("window_start") < end_ms)
     apps = app_ms(pieces, keys).withColumn("category", categorize("app_name"))
-    switches = F.sum("rows") if options.count_mode == "rows" else F.size(F.array_distinct(F.flatten(F.collect_list("opened"))))
-    rank = F.when(F.col("ms") > 0, F.struct((-F.col("ms")).alias("m"), F.col("first")))
-    out = apps.groupBy(*keys, "window_start").agg(
-        *(F.sum(F.when(F.col("category") == c, F.col("ms")).otherwise(0)).cast("long").alias(f"{c}_ms") for c in CATEGORIES),
-        switches.cast("long").alias("context_switch_count"),
-        F.coalesce(F.min_by("app_name", rank), F.lit("")).alias("top_app_name"),
-        F.min("zone")["timezone_offset"].alias("timezone_offset"),
-    )
-    sums = bucket_inputs(inputs, keys, size, origin)
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = out.join(sums, [*keys, "window_start"], "left").withColumn("top_category", top_category())
-    seconds = size / 1000
-    out = out.withColumns(
-        {
-            "key_rate": n("keys_n") / seconds, "click_rate": n("clicks_n") / seconds, "scroll_rate": n("scroll_n") / seconds,
-            "mouse_speed": n("mouse_n") / seconds, "idle_ratio": F.least(F.greatest(n("idle_n") / size, F.lit(0.0)), F.lit(1.0)),
-            "window_start_utc": iso_utc("window_start"), "window_start_local": iso_local("window_start", "timezone_offset"),
-        }
-    ).drop("keys_n", "clicks_n", "scroll_n", "mouse_n", "idle_n")
-    out = out.withColumn("deep_work_candidate_flag", deep_work_flag(options))
-    if options.extra_flags:
-        local = F.to_timestamp("window_start_local")
-        hour = F.hour(local)
-        out = out.withColumns(
-            {
-                "video_like_flag": (F.col("video_ms") * 2 > size).cast("int"),
-                "night_flag": ((hour >= options.night_from) | (hour < options.night_to)).cast("int"),
-                "weekday_flag": (F.weekday(local) < 5).cast("int"),
-            }
-        )
-    return out
+    out = apps.groupBy(*keys, "window_start").agg(*window_sums(options))
+    return finished(out.join(bucket_inputs(inputs, keys, size, origin), [*keys, "window_start"], "left"), options)
 
 
 def features_in_local_range(features: DataFrame, low: str, high: str) -> DataFrame:

@@ -231,7 +231,6 @@ SQL = {
     "stream_confirm_label": f"WITH {_W}, {_LABELS.format(key="session_id || '-' || (seq // 6)")} SELECT k AS window_event_id, semantic_label FROM lab WHERE semantic_label <> 'unknown'",
     "stream_input_summary": f"""WITH {_W}, {_I}, {_ASOF.format(where='true')}, y AS (SELECT *, max(t) OVER () AS top FROM a WHERE active_window_id IS NOT NULL)
       SELECT session_id, active_window_id, t // 3600000 * 3600000 AS slot_ms, {_CSUM} FROM y WHERE t // 3600000 * 3600000 + 3600000 <= top GROUP BY ALL HAVING {_DIRTY}""",
-    "stream_features": f"WITH {_D}, {_x()} SELECT session_id, window_start, {_SUMS}, count(*) AS context_switch_count FROM x WHERE window_start + 30000 <= (SELECT max(window_start) FROM x) GROUP BY ALL",
     "hot_dwells": f"WITH {_HOT}, z AS (SELECT *, lead(t) OVER (PARTITION BY session_id ORDER BY seq) AS nxt FROM h) SELECT session_id, event_id AS window_event_id, app_name, timezone_offset, nxt AS timestamp_ms, t AS start_monotonic_ms, nxt - t AS dwell_time_ms, seq FROM z WHERE nxt IS NOT NULL",
     "hot_changes": f"WITH {_HOT} SELECT session_id, event_id, app_name FROM h QUALIFY lag(app_name) OVER (PARTITION BY session_id ORDER BY seq) IS DISTINCT FROM app_name",
     "hot_asof": f"""WITH {_HOT}, {_I}, x AS (SELECT CASE WHEN n % 2 = 0 THEN 'hot' ELSE session_id END AS session_id, t, 0 AS k, key_count, scroll_delta, NULL AS id, NULL::BIGINT AS opened FROM i UNION ALL SELECT session_id, t, 1, NULL, NULL, event_id, t FROM h),
@@ -273,3 +272,7 @@ SQL = {
     "event_ids": f"""WITH {_W}, h AS (SELECT *, 'myhost' || session_id || '-' || t AS hd, md5(session_id || '|' || seq) AS m FROM w)
       SELECT event_id, hd || '-' || sha256(hd)[1:8] AS made_session, m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] AS made_event FROM h""",
 }
+
+# streams end at what their batch twins give
+SQL["stream_asof_summaries"] = SQL["input_summaries_carried"]
+SQL["stream_features"] = SQL["build_features"]

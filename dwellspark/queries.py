@@ -564,10 +564,38 @@ def stream_input_summary(s, d):
     return streams.run_available(out, folder)
 
 
+def _by_time(df: DataFrame, ms: str) -> list[DataFrame]:
+    """Slices of a table by time, and after them three rows of a session of its own,
+    days behind, that move time on until all is written."""
+    t = F.col(ms)
+    slices = [df.where(t < 1704844800000), df.where((t >= 1704844800000) & (t < 1705708800000)), df.where(t >= 1705708800000)]
+    return [*slices, *(_end(df, k) for k in (2, 3, 4))]
+
+
+@query
+def stream_asof_summaries(s, d):
+    """Inputs and windows as two streams that are stopped between slices."""
+    x = A.deltas(s, d)
+    few = F.col("id").cast("long") % 5 == 0
+    x = x.withColumns({c: F.when(few, F.col(c)).otherwise(0) for c in inputs.COUNTERS if c != "scroll_delta"})
+    both = logs.merge_streams(
+        x.select("session_id", "monotonic_ms", F.lit("input").alias("type"), *inputs.COUNTERS),
+        A.active_windows(s, d).where("n % 4 = 0").select("session_id", "monotonic_ms", F.lit("window").alias("type"), "event_id"),
+    ).withColumn("ts", F.timestamp_millis("monotonic_ms"))
+    make = lambda e: streams.stream_asof_summary(e.where("type = 'input'"), e.where("type = 'window' OR session_id = 'end'"), 3_600_000, "0 seconds", carry=True)
+    return streams.run_slices(_by_time(both, "monotonic_ms"), make, _scratch(s)).where("session_id <> 'end'")
+
+
 @query
 def stream_features(s, d):
-    sdf, folder = _stream(s, A.dwells(s, d))
-    return streams.run_available(streams.stream_features(sdf, late="0 seconds"), folder)
+    """Dwells and inputs as two streams that are stopped between slices."""
+    both = logs.merge_streams(A.dwells(s, d).withColumn("type", F.lit("dwell")), A.deltas(s, d).withColumn("type", F.lit("input"))).withColumn("ts", F.timestamp_millis("timestamp_ms"))
+    ends = "session_id = 'end'"
+    stamped = lambda e: e.withColumn("timestamp_ms", F.unix_millis("ts")).withColumn("dwell_time_ms", F.coalesce("dwell_time_ms", F.lit(1)))
+    make = lambda e: streams.stream_features(stamped(e.where(f"type = 'dwell' OR {ends}")), stamped(e.where(f"type = 'input' OR {ends}")))
+    out = streams.run_slices(_by_time(both, "timestamp_ms"), make, _scratch(s)).where(f"NOT {ends}")
+    rounded = [F.round(c, 6).alias(c) for c in ("key_rate", "click_rate", "scroll_rate", "mouse_speed", "idle_ratio")]
+    return out.select("session_id", "window_start", "window_start_utc", "window_start_local", "timezone_offset", *_MS, "context_switch_count", "top_app_name", "top_category", "deep_work_candidate_flag", *rounded)
 
 
 def _events(s, d):

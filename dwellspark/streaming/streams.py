@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.features import dwell_x_bucket
+from ..operators.features import app_sums, dwell_x_bucket, finished, input_sums, window_sums
 from ..operators.inputs import COUNTERS, is_dirty
-from ..options import CATEGORIES, CONFIRM_MS, FLUSH_MS
+from ..options import CONFIRM_MS, FLUSH_MS, FeatureOptions
 from ..functions.categories import categorize
 from ..sources.sinks import fanout
 
@@ -152,6 +152,94 @@ def stream_input_summary(inputs: DataFrame, flush_ms: int = FLUSH_MS, late: str
     return out.select("session_id", "active_window_id", F.unix_millis("window.start").alias("slot_ms"), *COUNTERS)
 
 
+_SUMS = "session_id string, active_window_id string, slot_ms long, " + ", ".join(f"{c} long" for c in COUNTERS) + ", dwell_time_ms long"
+
+
+class _InputSums(StatefulProcessor):
+    """Events wait until their slot is over; ``front`` is the window that the last one
+    before left in front, ``pending`` the sums that were not flushed."""
+
+    def __init__(self, flush_ms: int, carry: bool):
+        self.flush, self.carry = flush_ms, carry
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        counts = ", ".join(f"{c} long" for c in COUNTERS)
+        self.waiting = handle.getListState("waiting", f"at long, is_window int, event_id string, ts long, {counts}")
+        self.front = handle.getValueState("front", "event_id string, opened long")
+        self.pending = handle.getValueState("pending", counts)
+
+    def _due(self, at: int, ts: int) -> int:
+        """Event time at which a row's slot is over."""
+        return (at // self.flush + 1) * self.flush + ts - at
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        due = set()
+        for x in rows:
+            cols = [x[c].fillna(0).astype("int64") for c in COUNTERS]
+            new = [(int(at), int(w), None if pd.isna(i) else str(i), int(ts), *map(int, counts)) for at, w, i, ts, *counts in zip(x["at"], x["is_window"], x["event_id"], x["ts_ms"], *cols)]
+            if new:
+                self.waiting.appendList(new)
+                due |= {self._due(r[0], r[3]) for r in new}
+        for t in due:
+            self.handle.registerTimer(t)
+        yield pd.DataFrame(columns=_SUM_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready = sorted((r for r in rows if self._due(r[0], r[3]) <= now), key=lambda r: (r[0], r[1], r[2] or ""))
+        if not ready:
+            return
+        left = [r for r in rows if self._due(r[0], r[3]) > now]
+        self.waiting.put(left) if left else self.waiting.clear()
+        window, opened = tuple(self.front.get()) if self.front.exists() else (None, None)
+        cells: dict[tuple, list] = {}
+        for at, is_window, event_id, _, *counts in ready:
+            if is_window:
+                window, opened = event_id, at
+                continue
+            cell = cells.setdefault((at // self.flush * self.flush, window), [0] * len(COUNTERS) + [0])
+            cell[:-1] = [a + b for a, b in zip(cell, counts)]
+            cell[-1] = max(cell[-1], at - opened) if window is not None else 0
+        if window is not None:
+            self.front.update((window, opened))
+        pending = list(self.pending.get()) if self.pending.exists() else [0] * len(COUNTERS)
+        out = []
+        for (slot, win), cell in cells.items():
+            sums = [a + b for a, b in zip(cell, pending)] if self.carry else cell[:-1]
+            if win is not None and max(sums) > 0:
+                out.append((key[0], win, slot, *sums, cell[-1]))
+                sums = [0] * len(COUNTERS)
+            pending = sums
+        if self.carry:
+            self.pending.update(tuple(pending))
+        yield pd.DataFrame(out, columns=_SUM_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+_SUM_NAMES = [c.split()[0] for c in _SUMS.split(", ")]
+
+
+def stream_asof_summary(deltas: DataFrame, windows: DataFrame, flush_ms: int = FLUSH_MS, late: str = "1 minute", carry: bool = False) -> DataFrame:
+    """``input_summaries`` of two streams, inputs and windows, each with event time ``ts``.
+
+    A session's events wait in state until time is ``late`` past their slot, then
+    inputs meet the last window opened before them and the slot's sums are
+    written; so results don't depend on how batches are cut or on which stream is
+    ahead. With ``carry`` sums of slots that aren't flushed go on, and inputs before
+    the first window wait for it. Needs the RocksDB state store.
+    """
+    at = F.col("monotonic_ms").cast("long").alias("at")
+    none = [F.lit(None).cast("long").alias(c) for c in COUNTERS]
+    x = deltas.select("session_id", at, F.lit(0).alias("is_window"), F.lit(None).cast("string").alias("event_id"), "ts", *(F.col(c).cast("long").alias(c) for c in COUNTERS))
+    x = x.unionByName(windows.select("session_id", at, F.lit(1).alias("is_window"), F.col("event_id").cast("string").alias("event_id"), "ts", *none))
+    x = x.withWatermark("ts", late).withColumn("ts_ms", F.unix_millis("ts"))
+    return x.groupBy("session_id").transformWithStateInPandas(_InputSums(flush_ms, carry), _SUMS, "Append", "EventTime")
+
+
 def stream_confirm_label(seen: DataFrame, confirm_ms: int = CONFIRM_MS) -> DataFrame:
     """Labels as they are confirmed: (window_event_id, t, label); state: the pending
     label, since when, and the confirmed one."""
@@ -177,13 +265,24 @@ def stream_dedup(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def stream_features(dwells: DataFrame, window_ms: int = 30_000, late: str = "10 minutes") -> DataFrame:
-    """Category times and switches of fixed windows, as dwells arrive."""
-    pieces = dwell_x_bucket(dwells, window_ms).withColumn("bucket_ts", F.timestamp_millis("window_start")).withColumn("category", categorize("app_name"))
-    out = pieces.withWatermark("bucket_ts", late).groupBy("session_id", F.window("bucket_ts", f"{window_ms} milliseconds"))
-    sums = [F.sum(F.when(F.col("category") == c, F.col("overlap_ms")).otherwise(0)).cast("long").alias(f"{c}_ms") for c in CATEGORIES]
-    out = out.agg(*sums, F.count("*").alias("context_switch_count"))
-    return out.select("session_id", F.unix_millis("window.start").alias("window_start"), *(f"{c}_ms" for c in CATEGORIES), "context_switch_count")
+def stream_features(dwells: DataFrame, inputs: DataFrame | None = None, options: FeatureOptions = FeatureOptions(), late: str = "10 minutes") -> DataFrame:
+    """The columns of ``build_features`` for each session and fixed window, once time is
+    ``late`` past its end: sums per app, sums per window, and a left join with the
+    window's input sums, all three keyed by the window, so that state goes as
+    windows end. Rows that come later than that are left out; building the day's
+    features in batch puts them right.
+    """
+    size = options.window_ms
+    slot = lambda ts: F.window(ts, f"{size} milliseconds")
+    pieces = dwell_x_bucket(dwells, size).withColumn("bucket_ts", F.timestamp_millis("window_start")).withWatermark("bucket_ts", late)
+    apps = pieces.groupBy("session_id", slot("bucket_ts"), "app_name").agg(*app_sums()).withColumn("category", categorize("app_name"))
+    out = apps.groupBy("session_id", "window").agg(*window_sums(options))
+    if inputs is not None:
+        sums = inputs.withColumn("input_ts", F.timestamp_millis("timestamp_ms")).withWatermark("input_ts", late)
+        out = out.join(sums.groupBy("session_id", slot("input_ts")).agg(*input_sums()), ["session_id", "window"], "left")
+    else:
+        out = out.withColumns({c: F.lit(None).cast("long") for c in ("keys_n", "clicks_n", "mouse_n", "idle_n", "scroll_n")})
+    return finished(out.withColumn("window_start", F.unix_millis("window.start")).drop("window"), options)
 
 
 def stream_fanout(events: DataFrame, folder: str, checkpoint: str):
