@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,12 +71,67 @@ def load_category_rules(spark: SparkSession, path: str | None) -> DataFrame:
     return custom.where("pattern IS NOT NULL AND category IS NOT NULL").unionByName(built_in)
 
 
+_FOLD = {c: c + 32 for c in range(0x41, 0x5B)}
+#: characters of the patterns that one automaton is made of
+AT_ONCE = 16_000_000
+#: a pattern of plain alternatives: no character that means something but | and \\. (a dot)
+_PLAIN = r"^(?:[^\\\[\](){}.*+?^$|]|\\[.\-+() ])+(?:\|(?:[^\\\[\](){}.*+?^$|]|\\[.\-+() ])+)*$"
+
+
+def _plain_matches(names: DataFrame, rules: list[tuple[int, str]]) -> DataFrame:
+    """(_app, rule_no): the first rule of each name, by one pass over it for all rules."""
+    first: dict[str, int] = {}
+    for no, pattern in rules:
+        for part in pattern.split("|"):
+            part = part.replace("\\", "").translate(_FOLD)
+            first[part] = min(no, first.get(part, no))
+    sent = names.sparkSession.sparkContext.broadcast(first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for word, no in sent.value.items():
+            automaton.add_word(word, no)
+        automaton.make_automaton()
+        for b in batches:
+            apps, hits = [], []
+            for app in b.column(0).to_pylist():
+                best = min((no for _, no in automaton.iter(app.translate(_FOLD))), default=None)
+                if best is not None:
+                    apps.append(app)
+                    hits.append(best)
+            yield pa.RecordBatch.from_arrays([pa.array(apps, pa.string()), pa.array(hits, pa.int64())], ["_app", "rule_no"])
+
+    return names.mapInArrow(run, "_app string, rule_no long")
+
+
+def first_rules(names: DataFrame, rules: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(_app, rule_no, category) of the first rule (in the order of rule_no) that each
+    name ``_app`` fits; names that fit none are left out.
+
+    Rules that are plain alternatives become one automaton, which looks at a name once
+    however many there are; tables of more than ``at_once`` characters become
+    several, one after the other. Other rules are regular expressions and are tried on
+    each name. Letters A-Z count as a-z. Names are not null.
+    """
+    plain = F.col("pattern").rlike(_PLAIN)
+    out = names.join(rules.where(~plain).select("rule_no", "pattern"), F.expr("_app rlike concat('(?i)', pattern)")).select("_app", "rule_no")
+    part, size = [], 0
+    for r in rules.where(plain).select(F.col("rule_no").cast("long"), "pattern").toLocalIterator():
+        part.append((r[0], r[1]))
+        size += len(r[1])
+        if size > at_once:
+            out, part, size = out.unionByName(_plain_matches(names, part)), [], 0
+    if part:
+        out = out.unionByName(_plain_matches(names, part))
+    best = out.groupBy("_app").agg(F.min("rule_no").alias("rule_no"))
+    return best.join(rules.groupBy("rule_no").agg(F.min("category").alias("category")), "rule_no")
+
+
 def with_category(df: DataFrame, app_col: str = "app_name", rules: DataFrame | None = None) -> DataFrame:
     """``df`` with ``category``. With a rule table, each different app name is
     matched once against it and joined back; otherwise it is one expression."""
     if rules is None:
         return df.withColumn("category", categorize(app_col))
     names = df.select(F.col(app_col).alias("_app")).where("_app <> ''").distinct()
-    hit = names.join(rules, F.expr("_app rlike concat('(?i)', pattern)"))
-    best = hit.groupBy("_app").agg(F.min_by("category", "rule_no").alias("category"))
+    best = first_rules(names, rules).drop("rule_no")
     return df.join(best, df[app_col] == best["_app"], "left").drop("_app").withColumn("category", F.coalesce("category", F.lit("other")))

@@ -82,14 +82,19 @@ def dense_days(daily: DataFrame, keys: list[str], end_day: str) -> DataFrame:
 
 
 def weekly_report(daily: DataFrame, keys: list[str], end_day: str) -> DataFrame:
-    """Sums of seven days, with ``trend_data``: one struct for each day, in order."""
+    """Sums of seven days, with ``trend_data``, one struct for each day, in order, and
+    ``days``, each day's whole row of ``daily`` (its ``top_apps`` too, where it comes
+    from ``daily_report``; empty on days without any)."""
     week = dense_days(daily, keys, end_day)
-    trend = F.struct("local_date", *_MS, "deep_work_ms", "context_switches")
+    if "top_apps" in week.columns:
+        week = week.withColumn("top_apps", F.coalesce("top_apps", F.array().cast(week.schema["top_apps"].dataType)))
+    trend = F.struct("local_date", *_MS, "deep_work_ms", "context_switches", F.col("windows").alias("window_count"))
+    whole = F.struct("local_date", *(c for c in week.columns if c not in (*keys, "local_date")))
     return week.groupBy(*keys).agg(
         F.min("local_date").alias("first_day"), F.max("local_date").alias("last_day"),
         *(F.sum(c).cast("long").alias(c) for c in _MS),
         F.sum("deep_work_ms").cast("long").alias("deep_work_ms"), F.sum("context_switches").cast("long").alias("context_switches"),
-        F.sort_array(F.collect_list(trend)).alias("trend_data"),
+        F.sort_array(F.collect_list(trend)).alias("trend_data"), F.sort_array(F.collect_list(whole)).alias("days"),
     )
 
 

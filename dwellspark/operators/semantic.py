@@ -85,10 +85,11 @@ def calibrate(scores: DataFrame, options: SemanticOptions = SemanticOptions()) -
     return out.select(*per, F.greatest("on", F.lit(options.t_on_floor)).alias("t_on"), F.col("off").alias("t_off"), F.col("n").alias("sample_count"))
 
 
-def compare_models(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+def compare_models(a: DataFrame, b: DataFrame, key: str | list[str]) -> DataFrame:
     """Scores of two models for the same windows: their difference, and whether labels agree."""
-    x = a.select(key, F.col("final_score").alias("score_a"), F.col("label").alias("label_a"))
-    y = b.select(key, F.col("final_score").alias("score_b"), F.col("label").alias("label_b"))
+    key = [key] if isinstance(key, str) else list(key)
+    x = a.select(*key, F.col("final_score").alias("score_a"), F.col("label").alias("label_a"))
+    y = b.select(*key, F.col("final_score").alias("score_b"), F.col("label").alias("label_b"))
     return x.join(y, key).withColumns({"delta": F.col("score_b") - F.col("score_a"), "label_same": F.col("label_a") == F.col("label_b")})
 
 

@@ -180,7 +180,7 @@ SQL = {
         '  code:   ' || {_FMT.format(x='code_ms')} || '   docs: ' || {_FMT.format(x='docs_ms')} || '   video: ' || {_FMT.format(x='video_ms')},
         '  social: ' || {_FMT.format(x='social_ms')} || '   game: ' || {_FMT.format(x='game_ms')} || '   other: ' || {_FMT.format(x='other_ms')}, '',
         'Daily Trend:', '  Date        Deep Work  Code       Ctx±', '  ──────────  ─────────  ─────────  ────', days, '') AS report FROM y""",
-    "weekly_trend": f"WITH {_DAILY}, {_WEEK} SELECT session_id, local_date, {', '.join(f'coalesce({m}, 0) AS {m}' for m in [*_MS, 'deep_work_ms', 'context_switches'])} FROM dense",
+    "weekly_trend": f"WITH {_DAILY}, {_WEEK} SELECT session_id, local_date, {', '.join(f'coalesce({m}, 0) AS {m}' for m in [*_MS, 'deep_work_ms', 'context_switches'])}, coalesce(windows, 0) AS window_count FROM dense",
     "report_json": f"""WITH {_DAILY} SELECT '{{"session_id":"' || session_id || '","local_date":"' || local_date || '","code_ms":' || code_ms || '}}' AS json FROM daily""",
     "fmt_duration": f"WITH {_D} SELECT window_event_id, {_FMT.format(x='(dwell_time_ms * 40)')} AS text FROM d",
     "time_functions": f"""WITH {_W} SELECT event_id, {_iso('t')} || 'Z' AS utc, {_iso('t + timezone_offset * 60000')} AS local, t // 30000 * 30000 AS bucket,
@@ -273,6 +273,32 @@ SQL = {
       SELECT event_id, hd || '-' || sha256(hd)[1:8] AS made_session, m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] AS made_event FROM h""",
 }
 
+SQL |= {
+    "boosts": """WITH x AS (SELECT page_id, ['google chrome', 'visual studio code', 'cmd', 'youtube', 'netflix app', 'mail'][page_id % 6 + 1] AS a, lower(url || ' ' || ['LeetCode 12', 'a Pull Request', 'shorts', 'MySQL and Netflix', 'nothing'][page_id % 5 + 1]) AS t FROM pages)
+      SELECT page_id, CASE WHEN contains(a, 'visual studio code') THEN 0.15 WHEN a = 'cmd' THEN 0.12 WHEN contains(a, 'chrome') AND contains(t, 'leetcode') THEN 0.2 WHEN a = 'youtube' THEN -0.3 WHEN contains(a, 'netflix') THEN -0.4 ELSE 0 END::DOUBLE AS app_boost,
+        CASE WHEN regexp_matches(t, 'leetcode|pull request|jira|design doc|sql') THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(t, 'youtube|shorts|netflix|tiktok|instagram') THEN -0.15 ELSE 0 END::DOUBLE AS keyword_boost FROM x""",
+    "boosts_by_table": """WITH k AS (SELECT CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN p_name ELSE split_part(p_name, ' ', -1) END AS term, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS app, (p_partkey % 41 - 20) / 100 AS boost FROM part),
+      kd AS (SELECT term, app, max(boost) AS boost, min(boost) AS low FROM k GROUP BY ALL), m AS (SELECT p_partkey, app IS NOT NULL AS own, unnest([boost, low]) AS b FROM part JOIN kd ON contains(' the ' || p_name || ' ', ' ' || term || ' ') AND (app IS NULL OR app = p_brand))
+      SELECT p_partkey, round(coalesce(arg_max(b, (own, abs(b), b)), 0), 2)::DOUBLE AS boost FROM part LEFT JOIN m USING (p_partkey) GROUP BY p_partkey""",
+    "categorize_many": """WITH x AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a' || page_id WHEN 1 THEN 'app q' || page_id || 'z' WHEN 2 THEN 'b z' || page_id || ' x 99' END AS a FROM pages),
+      r AS (SELECT p_partkey * 2 AS no, 'q' || p_partkey || 'z' AS p1, 'z' || p_partkey || ' x' AS p2, 'plain' || p_partkey % 5 AS c FROM part),
+      h AS (SELECT page_id, no, c FROM x JOIN r ON contains(a, p1) OR contains(a, p2) UNION ALL SELECT page_id, 101, 'seven' FROM x WHERE regexp_matches(a, '^a[0-9]+7$') UNION ALL SELECT page_id, 1000001, 'late' FROM x WHERE regexp_matches(a, 'b.*99'))
+      SELECT page_id, coalesce(arg_min(c, no), 'other') AS category FROM x LEFT JOIN h USING (page_id) GROUP BY page_id""",
+    "weekly_days": f"""WITH {_DAILY}, {_BOUNDS}, {_WEEK}, tops AS ({_TOPN.format(k='session_id, local_date', t='dd')})
+      SELECT session_id, local_date, coalesce(windows, 0) AS windows, coalesce(deep_work_ms, 0) AS deep_work_ms, rank, app_name FROM dense LEFT JOIN (SELECT * FROM tops WHERE rank <= 2) AS t USING (session_id, local_date)""",
+    "compare_models_all": f"""WITH {_v()}, {_SCORE}, s05 AS (SELECT * REPLACE (list_transform(a, lambda x: x + 0.05) AS a) FROM c),
+      q AS (SELECT vec_id, goal_id, day_utc, dwell_ms, least(greatest(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) + CASE WHEN goal_label % 2 = 0 THEN 0.15 ELSE 0.0 END, 0.0), 1.0) AS f FROM s05),
+      y AS (SELECT vec_id, goal_id, day_utc, CASE WHEN dwell_ms < 2000 THEN 0 ELSE f END AS f, CASE WHEN dwell_ms < 2000 THEN 'unknown' WHEN f >= 0.5 THEN 'on_goal' WHEN f >= 0.3 THEN 'related' ELSE 'off_goal' END AS lb FROM q)
+      SELECT vec_id, goal_id AS goal, day_utc, round(f - fin, 6) AS delta, lb = label AS label_same FROM m3 JOIN y USING (vec_id, goal_id, day_utc)""",
+    "score_forced": f"WITH {_v()}, {_SCORE} SELECT vec_id, goal_id AS goal, day_utc, 'fixed' AS threshold_mode, label FROM m3",
+    "features_calm": f"WITH {_features()} SELECT session_id, window_start, CAST(code_ms + docs_ms >= 5000 AND context_switch_count <= 3 AND video_ms + social_ms + game_ms <= 2000 AS INT) AS deep_work_candidate_flag FROM g",
+    "write_features": f"WITH {_features()} SELECT kind, session_id, window_start, code_ms, window_start_local[1:10] AS local_date FROM g, (VALUES ('parquet'), ('csv')) AS k(kind)",
+    "inputs_in_days": f"WITH {_I} SELECT id, session_id, t AS timestamp_ms FROM i WHERE t >= 1704412800000 AND t < 1704758400000",
+    "dwells_uncut": f"""WITH {_W}, z AS (SELECT *, lead(t) OVER (PARTITION BY session_id ORDER BY seq) AS nxt FROM w), p AS (SELECT *, unnest(generate_series(t, greatest(t, nxt - 1), 3600000)) AS s FROM z WHERE nxt IS NOT NULL)
+      SELECT session_id, event_id AS window_event_id, s AS start_monotonic_ms, least(s + 3600000, nxt) - s AS dwell_time_ms FROM p""",
+    "log_round_trip": f"WITH {_W} SELECT event_id, session_id, seq, t AS epoch_ms, app_name FROM w",
+}
+
 # streams end at what their batch twins give
 SQL["stream_asof_summaries"] = SQL["input_summaries_carried"]
 SQL["stream_features"] = SQL["build_features"]

@@ -30,9 +30,9 @@ def active_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_seq(e, ["session_id"], ["ts", "n"]).drop("ts")
 
 
-def dwells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dwells(spark: SparkSession, sf_dir: str, cap_ms: int = CAP_MS) -> DataFrame:
     d = dwell_from_windows(active_windows(spark, sf_dir))
-    cut = F.least("dwell_time_ms", F.lit(CAP_MS))
+    cut = F.least("dwell_time_ms", F.lit(cap_ms))
     d = d.withColumns({"timestamp_ms": F.col("start_monotonic_ms") + cut, "end_monotonic_ms": F.col("start_monotonic_ms") + cut, "dwell_time_ms": cut})
     # ids by number, as SQL writes them
     return d.withColumn("id", F.lpad("window_event_id", 12, "0"))

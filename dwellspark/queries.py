@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import boosts as B
 from .functions import timefns as T
 from .functions import titles as N
 from .functions.categories import RULES, categorize, with_category
@@ -105,6 +106,12 @@ def heartbeat_split(s, d):
     return dwell.heartbeat_split(A.dwells(s, d)).select(*_DW)
 
 
+@query
+def dwells_uncut(s, d):
+    """Dwells of their whole length, in pieces of an hour."""
+    return dwell.heartbeat_split(A.dwells(s, d, 1 << 50), 3_600_000).select("session_id", "window_event_id", "start_monotonic_ms", "dwell_time_ms")
+
+
 @query
 def dwell_time_range(s, d):
     return dwell.dwell_time_range(A.dwells(s, d))
@@ -193,6 +200,40 @@ def app_boost(s, d):
     return A.active_windows(s, d).select("event_id", N.app_boost("app_name", F.when(F.col("n") % 2 == 0, "tube").when(F.col("n") % 3 == 0, "my slack app")).alias("boost"))
 
 
+@query
+def boosts(s, d):
+    """Titles of pages, apps and keywords by the page's number, with the built-in boosts."""
+    p, n = A.table(s, d, "pages"), F.col("page_id")
+    word = F.element_at(F.array(*map(F.lit, ("LeetCode 12", "a Pull Request", "shorts", "MySQL and Netflix", "nothing"))), (n % 5 + 1).cast("int"))
+    app = F.element_at(F.array(*map(F.lit, ("Google Chrome", "Visual Studio Code", "CMD", "YouTube", "Netflix app", "Mail"))), (n % 6 + 1).cast("int"))
+    x = p.select("page_id", app.alias("app"), F.concat_ws(" ", "url", word).alias("text"))
+    return x.select("page_id", F.round(B.app_rule_boost("app", "text"), 2).alias("app_boost"), F.round(B.keyword_boost("text"), 2).alias("keyword_boost"))
+
+
+@query
+def boosts_by_table(s, d):
+    """Parts' names against a table of terms made of other parts: one word, two words, and
+    one word for one brand."""
+    p, k = A.table(s, d, "part"), F.col("p_partkey")
+    first = F.substring_index("p_name", " ", 1)
+    terms = p.select(F.when(k % 3 == 0, first).when(k % 3 == 1, F.upper("p_name")).otherwise(F.substring_index("p_name", " ", -1)).alias("term"), F.when(k % 2 == 0, F.col("p_brand")).alias("app_name"), ((k % 41 - 20) / 100).alias("boost"))
+    x = p.select("p_partkey", F.col("p_brand").alias("app_name"), F.concat_ws(" ", F.lit("The"), "p_name").alias("text"))
+    return B.with_table_boost(x, terms).select("p_partkey", F.round("boost", 2).alias("boost"))
+
+
+@query
+def categorize_many(s, d):
+    """Names against thousands of plain rules and some regular expressions."""
+    p = A.table(s, d, "part")
+    k = F.col("p_partkey")
+    plain = p.select((k * 2).alias("rule_no"), F.concat(F.lit("q"), k.cast("string"), F.lit("z|Z"), k.cast("string"), F.lit(" x")).alias("pattern"), F.concat(F.lit("plain"), (k % 5).cast("string")).alias("category"))
+    regex = s.createDataFrame([(101, "^a[0-9]+7$", "seven"), (1_000_001, "b.*99", "late")], "rule_no long, pattern string, category string")
+    n = F.col("page_id")
+    name = F.when(n % 4 == 0, F.concat(F.lit("A"), n.cast("string"))).when(n % 4 == 1, F.concat(F.lit("app Q"), n.cast("string"), F.lit("Z"))).when(n % 4 == 2, F.concat(F.lit("b z"), n.cast("string"), F.lit(" X 99")))
+    pages = A.table(s, d, "pages").select("page_id", name.alias("app_name"))
+    return with_category(pages, "app_name", plain.unionByName(regex)).select("page_id", "category")
+
+
 @query
 def goal_text(s, d):
     p = A.table(s, d, "part").select("p_partkey", F.concat(F.lit("  Read "), F.col("p_name"), F.lit("  ")).alias("todo"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("hint"))
@@ -229,6 +270,13 @@ def accumulate_inputs(s, d):
     return inputs.accumulate(A.deltas(s, d), KEYS).where(inputs.is_dirty())
 
 
+@query
+def inputs_in_days(s, d):
+    low, high = T.day_range_ms("a", "b")
+    days = s.range(1).select(F.lit("2024-01-05").alias("a"), F.lit("2024-01-08").alias("b")).select(low.alias("low"), high.alias("high")).first()
+    return inputs.inputs_in_range(A.deltas(s, d), days.low, days.high).select("id", "session_id", "timestamp_ms")
+
+
 @query
 def inputs_in_range(s, d):
     return inputs.inputs_in_range(A.deltas(s, d), 1_704_500_000_000, 1_705_000_000_000).select("id", "session_id", "timestamp_ms", "key_count")
@@ -270,6 +318,23 @@ def features_60s(s, d):
     return _features(s, d, window_ms=60_000, count_mode="windows", extra_flags=True).select("session_id", "window_start", "context_switch_count", "code_ms", "video_like_flag", "night_flag", "weekday_flag")
 
 
+@query
+def features_calm(s, d):
+    """Deep work only with little video, social and game time."""
+    return _features(s, d, deep_distraction_ms=2_000, deep_ms=5_000, deep_switches=3, deep_idle=1.0).select("session_id", "window_start", "deep_work_candidate_flag")
+
+
+@query
+def write_features(s, d):
+    """Features exported by local day, as Parquet and as CSV, and read back."""
+    folder, out = _scratch(s), []
+    for kind in ("parquet", "csv"):
+        features.write_features(_features(s, d).select("session_id", "window_start", "window_start_local", "code_ms"), f"{folder}/{kind}", kind)
+        x = s.read.option("header", True).format(kind).load(f"{folder}/{kind}")
+        out.append(x.select(F.lit(kind).alias("kind"), F.col("session_id").cast("string").alias("session_id"), F.col("window_start").cast("long").alias("window_start"), F.col("code_ms").cast("long").alias("code_ms"), F.col("local_date").cast("string").alias("local_date")))
+    return logs.merge_streams(*out)
+
+
 @query
 def features_on_local_day(s, d):
     return features.features_on_local_day(_features(s, d), "2024-01-05").select("session_id", "window_start_local", "other_ms", "code_ms")
@@ -345,6 +410,14 @@ def weekly_trend(s, d):
     return x.select("session_id", "t.*")
 
 
+@query
+def weekly_days(s, d):
+    """Each day's whole report inside the week's."""
+    daily = reports.daily_report(_features(s, d), A.dwells(s, d), KEYS, 2)
+    x = reports.weekly_report(daily, KEYS, "2024-01-10").select("session_id", F.explode("days").alias("t"))
+    return x.select("session_id", "t.local_date", "t.windows", "t.deep_work_ms", F.explode_outer("t.top_apps").alias("a")).select("session_id", "local_date", "windows", "deep_work_ms", "a.rank", "a.app_name")
+
+
 @query
 def report_json(s, d):
     return reports.report_json(_daily(s, d).select("session_id", "local_date", "code_ms"))
@@ -365,7 +438,7 @@ def time_functions(s, d):
 # semantic scores
 
 
-def _scored(s, d, shift=0.0, calibration=None):
+def _scored(s, d, shift=0.0, calibration=None, options=SemanticOptions()):
     w = A.windows_of_goals(s, d)
     if shift:
         w = w.withColumn("vector", F.transform("vector", lambda x: x + shift))
@@ -373,7 +446,7 @@ def _scored(s, d, shift=0.0, calibration=None):
     w = w.withColumnRenamed("goal_id", "key")
     g = g.withColumn("key", F.col("gid")).withColumnRenamed("gid", "goal_id")
     fixed = s.createDataFrame([], "goal_id string, day_utc string, t_on double, t_off double")
-    return semantic.score_windows(w, g, fixed if calibration is None else calibration, on=["key"])
+    return semantic.score_windows(w, g, fixed if calibration is None else calibration, options, on=["key"])
 
 
 @query
@@ -419,6 +492,20 @@ def compare_models(s, d):
     return semantic.compare_models(a, b, "vec_id").select("vec_id", F.round("delta", 6).alias("delta"), "label_same")
 
 
+@query
+def compare_models_all(s, d):
+    key = ["vec_id", "key", "day_utc"]
+    x = semantic.compare_models(_scored(s, d), _scored(s, d, 0.05), key)
+    return x.select("vec_id", F.col("key").alias("goal"), "day_utc", F.round("delta", 6).alias("delta"), "label_same")
+
+
+@query
+def score_forced(s, d):
+    """Calibrated pairs are there, but fixed thresholds are forced."""
+    x = _scored(s, d, calibration=_calibration(s, d), options=SemanticOptions(force_fixed=True))
+    return x.select("vec_id", F.col("key").alias("goal"), "day_utc", "threshold_mode", "label")
+
+
 @query
 def on_goal_time(s, d):
     return semantic.on_goal_time(_scored(s, d), []).withColumnRenamed("label", "label")
@@ -668,6 +755,16 @@ def read_event_log(s, d):
     return e.groupBy("session_id", "type").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"), F.count("_corrupt").alias("corrupt"))
 
 
+@query
+def log_round_trip(s, d):
+    """Events written as a log by date and read back as a stream."""
+    folder = _scratch(s)
+    e = A.active_windows(s, d).select("event_id", "session_id", "seq", F.col("timestamp").alias("epoch_ms"), "app_name")
+    sinks.write_event_log(e, f"{folder}/log", 1000)
+    back = logs.event_log_stream(s, f"{folder}/log", names="part-*.json")
+    return streams.run_available(back.select("event_id", "session_id", "seq", "epoch_ms", "app_name", "_corrupt"), folder).select("event_id", "session_id", "seq", "epoch_ms", "app_name")
+
+
 def _mixed(s, d):
     w = A.active_windows(s, d).select("session_id", "event_id", "timestamp", "monotonic_ms", F.lit("active_window").alias("type"))
     x = A.dwells(s, d).select("session_id", F.col("id").alias("event_id"), F.col("timestamp_ms").alias("timestamp"), "end_monotonic_ms", F.lit("window_dwell").alias("type"))

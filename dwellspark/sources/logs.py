@@ -40,8 +40,9 @@ def list_log_files(spark: SparkSession, folder: str) -> DataFrame:
     return names.join(sizes, "file", "left").select("file", F.coalesce("_bytes", F.lit(0).cast("long")).alias("bytes"))
 
 
-def event_log_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    stream = spark.readStream.schema(EVENT).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "events-*.jsonl")
+def event_log_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100, names: str = "events-*.jsonl") -> DataFrame:
+    """The log as a stream; with ``recursiveFileLookup`` in all of the folder's folders."""
+    stream = spark.readStream.schema(EVENT).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", names).option("recursiveFileLookup", True)
     return stream.option("maxFilesPerTrigger", files_per_trigger).json(folder)
 
 
