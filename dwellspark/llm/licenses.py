@@ -93,13 +93,18 @@ def _hashes(phrase: str) -> np.ndarray:
 @dataclass
 class LicenseIndex:
     """Positional postings of the licence words: ``words`` (sorted hashes), their
-    ``idf`` over the corpus, and for each template the word at each place, how
-    often it has each word (``times``, words by templates), and its key phrases."""
+    ``idf`` over the corpus, and for each template the word at each place and its key
+    phrases. Templates' rarest words are posted by word: from ``edge`` on the
+    ``template`` and how many ``times`` it has the word there; ``least`` of them
+    stand in each file that holds the template."""
 
     words: np.ndarray
     idf: np.ndarray
     texts: list[np.ndarray]
+    edge: np.ndarray
+    template: np.ndarray
     times: np.ndarray
+    least: np.ndarray
     keys: list[list[np.ndarray]]
 
 
@@ -152,8 +157,21 @@ def build_index(texts: int, frequency: dict[int, int]) -> LicenseIndex:
     words = vocabulary()
     df = np.array([frequency.get(int(x), 0) for x in words], float)
     places = [np.searchsorted(words, _hashes(t)) for *_, t in TEMPLATES]
-    times = np.stack([np.bincount(p, minlength=len(words)) for p in places], axis=1)
-    return LicenseIndex(words, np.log((texts + 1) / (df + 1)), places, times, [[_hashes(k) for k in keys] for _, keys, _ in TEMPLATES])
+    idf = np.log((texts + 1) / (df + 1))
+    posted, least = [], []
+    for k, text in enumerate(places):
+        rare = text[np.argsort(-idf[text], kind="stable")][: 2 * _miss(text) + 2]
+        word, times = np.unique(rare, return_counts=True)
+        posted.append(np.stack([word, np.full(len(word), k), times]))
+        least.append(len(rare) - _miss(text))
+    word, template, times = np.concatenate(posted, axis=1)[:, np.argsort(np.concatenate(posted, axis=1)[0], kind="stable")]
+    edge = np.searchsorted(word, np.arange(len(words) + 1))
+    return LicenseIndex(words, idf, places, edge, template, times, np.array(least), [[_hashes(k) for k in keys] for _, keys, _ in TEMPLATES])
+
+
+def _miss(text: np.ndarray) -> int:
+    """Words of a template that a file may lack."""
+    return len(text) - int(np.ceil(MATCH * len(text)))
 
 
 def _phrase_places(h: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -174,7 +192,7 @@ def _starts(text: np.ndarray, word: np.ndarray, place: np.ndarray, idf: np.ndarr
     it within the slack of its place in the template. So many words are looked up
     that a start of share MATCH can't miss the votes asked for.
     """
-    step, miss = slack(len(text)), len(text) - int(np.ceil(MATCH * len(text)))
+    step, miss = slack(len(text)), _miss(text)
     held = np.isin(text, word)
     spots = np.flatnonzero(held)
     spots = spots[np.argsort(-idf[text[spots]], kind="stable")][: 2 * miss + 2]
@@ -206,16 +224,22 @@ def _fit(own: np.ndarray, start: int, text: np.ndarray, keys: list[np.ndarray])
 
 
 def _template_hits(h: np.ndarray, first: np.ndarray, row: np.ndarray, index: LicenseIndex):
-    """(row, template, share of words matched) of verified templates. Only files that
-    hold enough of a template's words at all are looked at."""
+    """(row, template, share of words matched) of verified templates.
+
+    Each file's licence words are looked up in the postings of the templates' rarest
+    words. A file that holds MATCH of a template lacks few of these, so only
+    templates of which it holds as many go on to be intersected by place.
+    """
     at, ok = _look_up(index.words, h)
     spot = np.flatnonzero(ok)
     word, of = at[spot], row[spot]
-    held = np.zeros((len(first) - 1, len(index.words)), np.float32)
-    held[of, word] = 1
-    need = np.ceil(MATCH * np.array([len(t) for t in index.texts]))
+    own_words = np.unique(of * len(index.words) + word)
+    r, w = own_words // len(index.words), own_words % len(index.words)
+    many = index.edge[w + 1] - index.edge[w]
+    post = np.repeat(index.edge[w] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    held = np.bincount(np.repeat(r, many) * len(index.texts) + index.template[post], index.times[post], (len(first) - 1) * len(index.texts))
     out = []
-    for r, k in np.argwhere(held @ index.times.astype(np.float32) >= need).tolist():
+    for r, k in np.argwhere(held.reshape(-1, len(index.texts)) >= index.least).tolist():
         text, best = index.texts[k], 0.0
         lo, hi = np.searchsorted(of, [r, r + 1])
         own = h[first[r] : first[r + 1]]

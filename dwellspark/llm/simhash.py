@@ -105,24 +105,15 @@ def near(x: np.ndarray, radius: int = RADIUS, tile: int = TILE, sketch: np.ndarr
 
 
 def _links_of(keys: np.ndarray, x: np.ndarray, nodes: np.ndarray, radius: int, sketch: np.ndarray | None = None):
-    """Spanning links of all buckets in rows sorted by key."""
-    found_a, found_b = [], []
+    """Spanning links of all buckets in rows sorted by key, each compared in tiles."""
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     sizes = np.diff(edges)
-    small = np.repeat(sizes <= 48, sizes)
-    k, xs, ns, own_sketch = keys[small], x[small], nodes[small], None if sketch is None else sketch[small]
-    for d in range(1, int(sizes[sizes <= 48].max(initial=0))):
-        hit = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(xs[d:] ^ xs[:-d]) <= radius))
-        hit = hit[_alike(own_sketch, hit, hit + d)]
-        found_a.append(ns[hit])
-        found_b.append(ns[hit + d])
-    for e, size in zip(edges[:-1][sizes > 48], sizes[sizes > 48]):
+    for e, size in zip(edges[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist()):
         own = near(x[e : e + size], radius, sketch=None if sketch is None else sketch[e : e + size])
         hit = np.flatnonzero(own != np.arange(size))
         found_a.append(nodes[e + hit])
         found_b.append(nodes[e + own[hit]])
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
