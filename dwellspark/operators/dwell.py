@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.timefns import iso_utc
 from ..functions.titles import event_id, resolve_app_name, sanitize_title
 from ..options import CONFIRM_MS, HEARTBEAT_MS
 from .ordering import Ranged
@@ -37,6 +38,22 @@ def window_changes(polls: DataFrame, order: list[str] = ("timestamp",), session:
     return polls.where("NOT (_key <=> _before)").drop("_before", "_key")
 
 
+def window_records(polls: DataFrame, order: list[str] = ("timestamp",), hot: bool = False) -> DataFrame:
+    """Polls ``(session_id, timestamp, monotonic_ms, timezone_offset, title, owner)`` as
+    ``active_window`` records: one for each change, numbered within its session.
+
+    ``created_at`` is the poll's own time, and the id follows from session and number,
+    so a second run gives the same records. ``bundle_id`` and ``process_name`` are
+    null where the poll has none. Polls without an owner and a title change nothing.
+    """
+    known = polls.where("owner.name IS NOT NULL OR title IS NOT NULL")
+    changed = assign_seq(window_changes(resolve_poll(known), order, hot=hot), ["session_id"], list(order), hot)
+    return changed.select(
+        F.lit("1.1.0").alias("schema_version"), F.lit("active_window").alias("type"), event_id("session_id", "seq").alias("event_id"), "session_id", "seq",
+        iso_utc("timestamp").alias("created_at"), "timezone_offset", "timestamp", "monotonic_ms", "app_name", "window_title", F.lit("WINDOW_CHANGE").alias("trigger_reason"), "bundle_id", "process_name",
+    )
+
+
 def assign_seq(df: DataFrame, keys: list[str], order: list[str], hot: bool = False) -> DataFrame:
     """``df`` with ``seq``, each row's number within its keys; ``hot`` as in ``window_changes``."""
     if hot:

@@ -17,11 +17,20 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def cosine(a, b) -> Column:
-    """Cosine of two arrays in doubles; 0 where either has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(_c(x), _c(y), lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
+def _dot(x, y) -> Column:
+    return F.aggregate(F.zip_with(_c(x), _c(y), lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+
+
+def norm(a) -> Column:
+    """Length of an array in doubles."""
+    return F.sqrt(_dot(a, a))
+
+
+def cosine(a, b, norm_a=None, norm_b=None) -> Column:
+    """Cosine of two arrays in doubles; 0 where either has no length. Lengths that are
+    known may be given."""
+    both = (norm(a) if norm_a is None else _c(norm_a)) * (norm(b) if norm_b is None else _c(norm_b))
+    return F.when(both == 0, F.lit(0.0)).otherwise(_dot(a, b) / both)
 
 
 def clamp(x) -> Column:
@@ -58,9 +67,11 @@ def score_windows(windows: DataFrame, goals: DataFrame, calibration: DataFrame,
     Without a goal, or with a known dwell under the least, the label is
     'unknown' with scores 0 and low confidence, and no thresholds.
     """
+    # a goal's length is worked out once, not once a window
+    goals = goals.withColumn("_goal_norm", norm("goal_vector"))
     w = with_thresholds(windows.join(goals, list(on), "left"), calibration, options=options)
     known = F.col("goal_id").isNotNull() & ~F.coalesce(F.col("dwell_ms") < options.min_dwell_ms, F.lit(False))
-    w = w.withColumn("sim_score", F.when(known, cosine("vector", "goal_vector")).otherwise(0.0))
+    w = w.withColumn("sim_score", F.when(known, cosine("vector", "goal_vector", norm_b="_goal_norm")).otherwise(0.0)).drop("_goal_norm")
     w = w.withColumn("final_score", F.when(known, clamp(F.col("sim_score") + app_boost("app_name", "app_hint", options.boost))).otherwise(0.0))
     return w.withColumns(
         {

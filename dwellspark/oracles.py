@@ -274,6 +274,18 @@ SQL = {
 }
 
 SQL |= {
+    "window_records": f"""WITH {_W}, p AS (SELECT *, CASE WHEN n % 7 <> 0 THEN app_name END AS a, CASE WHEN n % 21 <> 0 THEN CASE WHEN n % 3 = 0 THEN event_type ELSE 'page' END END AS ti FROM w),
+      q AS (SELECT *, coalesce(a, ti) AS app, coalesce(ti, '') AS title FROM p WHERE a IS NOT NULL OR ti IS NOT NULL),
+      c AS (SELECT * FROM q QUALIFY lag(app || '|' || title) OVER (PARTITION BY session_id ORDER BY t, n) IS DISTINCT FROM app || '|' || title), z AS (SELECT * EXCLUDE (seq), row_number() OVER (PARTITION BY session_id ORDER BY t, n) - 1 AS seq FROM c),
+      h AS (SELECT *, md5(session_id || '|' || seq) AS m FROM z)
+      SELECT '1.1.0' AS schema_version, 'active_window' AS type, m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] AS event_id, session_id, seq, {_iso('t')} || 'Z' AS created_at, timezone_offset, t AS timestamp,
+        t AS monotonic_ms, app AS app_name, title AS window_title, 'WINDOW_CHANGE' AS trigger_reason, CASE WHEN n % 5 = 0 THEN 'com.x' END AS bundle_id, CASE WHEN n % 2 = 0 THEN 'p.exe' ELSE a END AS process_name FROM h""",
+    "log_folder": f"""WITH {_W}, l AS (SELECT n, n % 2 = 0 AS rot, strftime(make_timestamp(t * 1000), '%Y%m%d') AS log_date, '{{"session_id":"' || session_id || '","seq":' || n || '}}' AS text FROM w),
+      k AS (SELECT *, CASE WHEN n % 97 = 0 THEN text[1:20] ELSE text END AS line, n % 97 = 0 AS bad, row_number() OVER (PARTITION BY log_date, rot ORDER BY n) - 1 AS pos FROM l),
+      g AS (SELECT log_date, rot, CAST(sum(length(line) + 1) AS BIGINT) AS bytes, count(*) AS lines, count(*) FILTER (bad) AS parse_errors, CAST(min(pos) FILTER (bad) AS INT) AS first_bad_pos, coalesce(max(n) FILTER (NOT bad), -1) AS tail_seq,
+          coalesce(max(pos) FILTER (NOT bad), -1) AS good, max(pos) AS last FROM k GROUP BY ALL)
+      SELECT 'events-' || log_date || CASE WHEN rot THEN '.1' ELSE '' END || '.jsonl' AS file, log_date, CAST(rot AS INT) AS rotation, CAST(row_number() OVER (ORDER BY log_date DESC, rot DESC) AS INT) AS newest, bytes, lines, parse_errors, first_bad_pos, tail_seq,
+        CAST(last - good AS INT) AS truncated_lines FROM g""",
     "boosts": """WITH x AS (SELECT page_id, ['google chrome', 'visual studio code', 'cmd', 'youtube', 'netflix app', 'mail'][page_id % 6 + 1] AS a, lower(url || ' ' || ['LeetCode 12', 'a Pull Request', 'shorts', 'MySQL and Netflix', 'nothing'][page_id % 5 + 1]) AS t FROM pages)
       SELECT page_id, CASE WHEN contains(a, 'visual studio code') THEN 0.15 WHEN a = 'cmd' THEN 0.12 WHEN contains(a, 'chrome') AND contains(t, 'leetcode') THEN 0.2 WHEN a = 'youtube' THEN -0.3 WHEN contains(a, 'netflix') THEN -0.4 ELSE 0 END::DOUBLE AS app_boost,
         CASE WHEN regexp_matches(t, 'leetcode|pull request|jira|design doc|sql') THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(t, 'youtube|shorts|netflix|tiktok|instagram') THEN -0.15 ELSE 0 END::DOUBLE AS keyword_boost FROM x""",

@@ -93,6 +93,31 @@ def resolve_poll(s, d):
     return dwell.resolve_poll(p).select("page_id", "app_name", "window_title", "process_name")
 
 
+@query
+def window_records(s, d):
+    """Polls of windows as records: every event is a poll, some without an owner's name."""
+    w, n = A.active_windows(s, d), F.col("n")
+    owner = F.struct(F.when(n % 7 != 0, F.col("app_name")).alias("name"), F.when(n % 2 == 0, F.lit("p.exe")).otherwise("").alias("processName"), F.when(n % 5 == 0, F.lit("com.x")).alias("bundleId"))
+    title = F.when(n % 21 != 0, F.when(n % 3 == 0, F.col("event_type")).otherwise("page"))
+    polls = w.select("session_id", "timestamp", "monotonic_ms", "timezone_offset", "n", title.alias("title"), owner.alias("owner"))
+    return dwell.window_records(polls, ["timestamp", "n"])
+
+
+@query
+def log_folder(s, d):
+    """A folder of logs by day and rotation: order, lines, tail and gaps of each file."""
+    folder, name = _scratch(s), F.concat(F.lit("events-"), F.date_format(F.timestamp_millis("timestamp"), "yyyyMMdd"), F.when(F.col("n") % 2 == 0, ".1").otherwise(""), F.lit(".jsonl"))
+    w = A.active_windows(s, d)
+    text = F.concat(F.lit('{"session_id":"'), "session_id", F.lit('","seq":'), F.col("n").cast("string"), F.lit("}"))
+    lines = w.select(name.alias("file"), "n", F.when(F.col("n") % 97 == 0, F.substring(text, 1, 20)).otherwise(text).alias("value"))
+    lines.repartition("file").sortWithinPartitions("file", "n").select("file", "value").write.partitionBy("file").text(f"{folder}/written")
+    logs.as_log_files(s, f"{folder}/written", f"{folder}/log")
+    x = logs.read_log_lines(s, f"{folder}/log")
+    order = audit.log_file_order(logs.list_log_files(s, f"{folder}/log"))
+    per = audit.audit_log(x).join(audit.log_tail_seq(x), "file")
+    return order.join(per, "file").select("file", "log_date", "rotation", "newest", "bytes", "lines", "parse_errors", "first_bad_pos", "tail_seq", "truncated_lines")
+
+
 _DW = ["session_id", "window_event_id", "app_name", "timezone_offset", "timestamp_ms", "start_monotonic_ms", "dwell_time_ms"]
 
 

@@ -40,6 +40,20 @@ def list_log_files(spark: SparkSession, folder: str) -> DataFrame:
     return names.join(sizes, "file", "left").select("file", F.coalesce("_bytes", F.lit(0).cast("long")).alias("bytes"))
 
 
+def as_log_files(spark: SparkSession, written: str, folder: str) -> None:
+    """Give what was written by ``file=<log name>`` its names: each folder's one part
+    becomes that log in ``folder``. A rename a log; contents aren't read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(written), hadoop.Path(folder)
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target)
+    for part in fs.globStatus(hadoop.Path(source, "file=*/part-*")):
+        path = part.getPath()
+        name = path.getParent().getName().removeprefix("file=")
+        if not fs.rename(path, hadoop.Path(target, name)):
+            raise OSError(f"two parts, or none that can be moved, for {name}")
+
+
 def event_log_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100, names: str = "events-*.jsonl") -> DataFrame:
     """The log as a stream; with ``recursiveFileLookup`` in all of the folder's folders."""
     stream = spark.readStream.schema(EVENT).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", names).option("recursiveFileLookup", True)
