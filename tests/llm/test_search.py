@@ -1,5 +1,7 @@
 """Decontamination, licences, WARC audit, pipeline."""
 
+import hashlib
+import random
 import re
 
 import numpy as np
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dwellspark.llm import decontaminate as D
 from dwellspark.llm import queries as Q
+from dwellspark.llm import warc
 from dwellspark.llm.decontaminate import build_index, contaminated
 from dwellspark.llm.licenses import BASE, scan_licenses
 from dwellspark.llm.warc import audit, damaged, warc_records
@@ -150,3 +153,24 @@ def test_pipeline_rows(spark, sf):
     out = stage["benchmark decontamination"](spark, df, sf)
     assert len(out.collect()) == 9 and ids(out) == sorted((r[0] or 0, len((r[1] or "").split())) for r in rows[:-1])
     assert sorted(r.doc_id or 0 for r in stage["SentencePiece encoding"](spark, df, sf).collect()) == sorted(r[0] or 0 for r in rows)
+
+
+def test_leaves_of_hot_ids(spark, monkeypatch):
+    """One id and no id with a third of all records each, many of them alike."""
+    monkeypatch.setattr(warc, "TOGETHER", 8)
+    rng = random.Random(5)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else rng.randrange(3000), bytes([rng.randrange(3)]) * rng.choice([1, 5, 40])) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, record binary").withColumn("copy", F.lit("x"))
+    got = sorted((r.archive, r.id is not None, r.id or 0, r.copy, r.offset, r.length, r.hash) for r in warc.leaves(df).collect())
+    want = []
+    for a in {-1 if i is None else i // 1024 for i, _ in rows}:
+        at, last, copy = 0, None, 0
+        for known, i, h, n in sorted((i is not None, i or 0, hashlib.sha256(x).hexdigest(), len(x)) for i, x in rows if (-1 if i is None else i // 1024) == a):
+            copy = copy + 1 if last == (known, i) else 0
+            last = known, i
+            want.append((a, known, i, copy, at, n, h))
+            at += n
+    assert got == sorted(want)
+    assert audit(df, df).count() == 0
+    less = [r for r in rows if r != (7, b"\x01" * 40)]
+    assert {(r.id, r.kind) for r in audit(df, spark.createDataFrame(less, "id long, record binary")).collect()} >= {(7, "missing")}
