@@ -71,10 +71,12 @@ def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return labels
 
 
-def _alike(sketch: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+#: pairs of a pair of tiles whose sketches are compared at once
+PAIRS = 1 << 16
+
+
+def _alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which of the pairs have sketches within SKETCH_RADIUS bits."""
-    if sketch is None:
-        return np.ones(len(i), bool)
     return np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= SKETCH_RADIUS
 
 
@@ -97,8 +99,14 @@ def near(x: np.ndarray, radius: int = RADIUS, tile: int = TILE, sketch: np.ndarr
             i, j = np.nonzero(np.bitwise_count(y[s : s + tile, None] ^ y[None, t : t + tile]) <= radius)
             if s == t:
                 i, j = i[i < j], j[i < j]
-            ok = _alike(sketch, order[i + s], order[j + t])
-            labels = _merge(labels, i[ok] + s, j[ok] + t)
+            for c in range(0, len(i), PAIRS):
+                a, b = i[c : c + PAIRS] + s, j[c : c + PAIRS] + t
+                if sketch is not None:  # of pairs that aren't in one class yet
+                    new = labels[a] != labels[b]
+                    a, b = a[new], b[new]
+                    ok = _alike(sketch, order[a], order[b])
+                    a, b = a[ok], b[ok]
+                labels = _merge(labels, a, b)
     back = np.empty(len(y), np.int64)
     back[order] = order[labels]
     return back
