@@ -31,12 +31,14 @@ def labelled_texts(
     share an id keep their own texts and labels; rows alike in all three are one.
     """
     fit = docs.where((F.length(text_col) <= most_chars) & F.col(id_col).isNotNull())
-    named = fit.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(label_col).alias("label")] if labels is docs else []))
+    own = [F.col(label_col).alias("label")] if labels is docs else []
+    texts = fit.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"), *own)
+    named = texts.drop("text")  # texts themselves are never shuffled
     if labels is not docs:
-        own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
-        own = own.agg(F.min(label_col).alias("label"), F.max(label_col).alias("most")).where("label = most").drop("most")
-        named = named.join(own, "id")
-    named = named.where("label IS NOT NULL").withColumn("t", F.xxhash64("text"))
+        of = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
+        of = of.agg(F.min(label_col).alias("label"), F.max(label_col).alias("most")).where("label = most").drop("most")
+        named = named.join(of, "id")
+    named = named.where("label IS NOT NULL")
     kinds = named.agg(F.count_distinct("label")).first()[0]
     if not kinds:
         return []
@@ -51,5 +53,6 @@ def labelled_texts(
     wanted = [tuple(r) for r in rows.select("id", "t", "label").collect()]
     small = docs.sparkSession.createDataFrame(wanted, named.select("id", "t", "label").schema)
     # bounded by per_label rows a label, in the broadcast and in what is collected
-    got = named.join(F.broadcast(small), ["id", "t", "label"]).groupBy("id", "t", "label").agg(F.min("text").alias("text")).collect()
+    on = ["id", "t", "label"] if labels is docs else ["id", "t"]
+    got = texts.join(F.broadcast(small), on).groupBy("id", "t", "label").agg(F.min("text").alias("text")).collect()
     return sorted((r.id, r.text, r.label) for r in got)
