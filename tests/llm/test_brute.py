@@ -12,9 +12,11 @@ from dwellspark.llm import decontaminate as D
 from dwellspark.llm import licenses as L
 from dwellspark.llm import queries as Q
 from dwellspark.llm.language import fit_language_model
+from dwellspark.llm.pieces import decode_pieces
 from dwellspark.llm.quality_rank import fit_quality_ranker
 from dwellspark.llm.samples import labelled_texts, remainder
 
+BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -65,7 +67,7 @@ def test_quality_scores(spark, sf):
         assert abs(r.score - model.score(f[None])[0]) < 1e-6 and r.predicted == int(r.score >= 0.3)
 
 
-def test_contaminated_documents(spark, sf):
+def contaminated_pairs(spark, sf, docs):
     parts, runs = [], {}
     for item in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
         low = item.text.lower()
@@ -90,7 +92,7 @@ def test_contaminated_documents(spark, sf):
         return len(grams(part) & grams(words)) / len(grams(part)) if part else 1.0
 
     want = {}
-    for i, text in texts(spark, sf).items():
+    for i, text in docs.items():
         words, best = WORD.findall(text.lower()), {}
         for at in range(0, len(words), D.STRIDE):
             score = Counter()
@@ -103,6 +105,11 @@ def test_contaminated_documents(spark, sf):
         for item, s in best.items():
             if all(share(p, words) >= D.OVERLAP for p in runs[item]):
                 want[i, item] = s
+    return want
+
+
+def test_contaminated_documents(spark, sf):
+    want = contaminated_pairs(spark, sf, texts(spark, sf))
     got = {(r.doc_id, r.item_id): r.score for r in Q.op8_decontaminate(spark, sf).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
 
@@ -176,3 +183,61 @@ def test_sample_of_shared_ids(spark):
     hot = spark.range(5000).select(F.lit(7).cast("long").alias("id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"))
     got = labelled_texts(hot, hot, "id", "text", "lang", 20, 100)
     assert len(got) == 20 and sum(len(r[1]) for r in got) <= 20 * 100
+
+
+def test_pipeline_stage_by_stage(spark, sf):
+    """Every stage's rows against plain loops over what the stage before kept."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stage = [f for _, f in pipeline.STAGES]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = pipeline.cut(stage[0](spark, docs, sf))
+    kept = {r.doc_id for r in Q.op1_quality_rules(spark, sf).collect() if r.kept}
+    first = {r.doc_id: r for r in one.collect()}
+    assert first.keys() == kept and all(len(BLANK.findall(r.text)) >= 50 for r in first.values())
+
+    two = pipeline.cut(stage[1](spark, one, sf))
+    second = {r.doc_id: r for r in two.collect()}
+    assert all(second[i] == first[i] for i in second)
+    grams = {}
+    for i, r in first.items():
+        w = BLANK.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text))
+        grams[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    ids, near, far = sorted(first), {}, {i: i for i in first}
+
+    def root(up, i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            s = len(grams[i] & grams[j]) / len(grams[i] | grams[j])
+            for up, least in ((near, 0.88), (far, 0.7)):
+                if s >= least:
+                    a, b = sorted((root(up, i), root(up, j)))
+                    up[b] = a
+    # one row of each class at least, none of whose likes at 0.88 stand before it
+    assert {i for i in ids if root(far, i) == i} <= second.keys() <= {i for i in ids if root(near, i) == i}
+
+    three = pipeline.cut(stage[2](spark, two, sf))
+    seen, want = set(), {}
+    for i in sorted(second):
+        w = BLANK.findall(second[i].text)
+        gone = set()
+        for j in range(len(w) - 19):
+            key = tuple(w[j : j + 20])
+            if key in seen:
+                gone |= set(range(j, j + 20))
+            seen.add(key)
+        if len(gone) < len(w):
+            want[i] = " ".join(x for j, x in enumerate(w) if j not in gone) if gone else second[i].text
+    third = {r.doc_id: r.text for r in three.collect()}
+    assert third == want
+
+    four = pipeline.cut(stage[3](spark, three, sf))
+    hits = {i for i, _ in contaminated_pairs(spark, sf, third)}
+    fourth = {r.doc_id: r.text for r in four.collect()}
+    assert fourth == {i: t for i, t in third.items() if i not in hits}
+
+    out = pipeline.cut(stage[4](spark, four, sf))
+    assert {r.doc_id: r.text for r in decode_pieces(out).collect()} == fourth and all(r.lossless for r in out.collect())
