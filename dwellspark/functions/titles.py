@@ -32,6 +32,7 @@ def sanitize_title(title, max_len: int = 512) -> Column:
     last part (those that end in a separator stay), long titles are cut. Null is ''."""
     seg, unix = rf'[^\\<>:"/|?*\r\n{S}]', rf'[^{S}/\\:*?"<>|]'
     t = F.coalesce(_c(title), F.lit(""))
+    # fixed values: what is private in a title, and what is left of it
     t = F.regexp_replace(t, rf'(?i)https?://([^/{S}?#"<>]+)[^{S}"<>]*', "$1")
     t = F.regexp_replace(t, r"[a-zA-Z0-9._%+\-]+@([a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})", "***@$1")
     t = F.regexp_replace(t, rf"[A-Za-z]:\\(?:{seg}+\\)*+({seg}+)", "$1")
@@ -41,6 +42,7 @@ def sanitize_title(title, max_len: int = 512) -> Column:
 
 def clean_noise(t: Column) -> Column:
     """Drop counters, bullets, tags, clock times, view counts and long ids."""
+    # fixed values: the patterns of noise
     t = F.regexp_replace(t, rf"^[(\[][0-9]+[)\]][{S}]*", "")
     t = F.regexp_replace(t, rf"^[•●·{S}]+|[•●·{S}]+$", "")
     t = F.regexp_replace(t, rf"[(\[][{S}]*[0-9]+[{S}]*[)\]]", " ")

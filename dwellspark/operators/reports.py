@@ -116,6 +116,7 @@ def report_text(daily: DataFrame) -> DataFrame:
     """``daily`` with ``report``: the day as text, a bar for each category with time;
     where there is a column ``top_apps`` (of ``daily_report``), these at the end."""
     total = F.col("total_tracked_ms")
+    # fixed values: the report's lines and widths
     lines = [F.when(F.col(m) != 0, F.concat(F.lit(f"  {c:7} "), bar(m, total), F.lit(" "), _padded(fmt_duration(m), 8, left=True))) for c, m in zip(CATEGORIES, _MS)]
     sums = (("\n  Total tracked:   ", fmt_duration(total)), ("  Deep work:       ", fmt_duration("deep_work_ms")), ("  Context switches: ", F.col("context_switches").cast("string")))
     apps = F.lit(None).cast("string")
@@ -128,6 +129,7 @@ def report_text(daily: DataFrame) -> DataFrame:
 
 def weekly_text(weekly: DataFrame) -> DataFrame:
     """``weekly`` (of ``weekly_report``) with ``report``: the week as text, a line a day."""
+    # fixed values: the report's lines and widths
     head = _boxed(46, F.lit("  Weekly Report — "), F.col("first_day"), F.lit(" to "), F.col("last_day"), F.lit("  "))
     of = lambda c: fmt_duration(f"{c}_ms")
     day = lambda d: F.concat(

@@ -133,9 +133,13 @@ SQL = {
     "sanitize_title": f"SELECT page_id, {_SAN.format(t=_PAGE_TITLE)} AS clean FROM pages",
     "resolve_poll": f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Chrome' ELSE {_SAN.format(t='url')} END AS app_name, {_SAN.format(t='url')} AS window_title,
       CASE WHEN page_id % 3 = 0 THEN '  Chrome ' WHEN page_id % 3 = 1 THEN '  ' END AS process_name FROM pages""",
-    "normalize_title": f"""WITH p AS (SELECT page_id, lower({_HOST}) AS h FROM pages)
-      SELECT page_id, trim(regexp_replace(array_to_string(list_filter(regexp_split_to_array(h || ' follow-up', '\\s*-\\s*'), lambda y: y <> '' AND trim(y) NOT IN ('chrome', 'edge', 'firefox', 'safari', 'brave', 'opera')), ' '), '\\s+', ' ', 'g'))[1:180] AS normalized,
-        nullif(regexp_extract(h, '\\b([a-z0-9-]+\\.(com|org|net|io|dev|ai|app|co|edu|gov))\\b', 1), '') AS hint FROM p""",
+    "normalize_title": f"""WITH p AS (SELECT page_id, lower('(' || page_id || ') Watch Later - ' || {_HOST} || ' [HD] 12:30 ' || page_id || ' views follow-up 0123456789abcdef012 - YouTube - Google Chrome') AS raw FROM pages),
+      a AS (SELECT *, regexp_replace(regexp_replace(raw, '^[(\\[]\\d+[)\\]]\\s*', ''), '[(\\[]\\s*(4k|8k|hd|uhd|live|new)\\s*[)\\]]', ' ', 'g') AS t FROM p),
+      b AS (SELECT *, regexp_replace(regexp_replace(t, '\\b\\d{{1,2}}:\\d{{2}}(:\\d{{2}})?\\b', ' ', 'g'), '\\b\\d+([.,]\\d+)?\\s*[kmb]?\\s*(views?|watching|watchers?)\\b', ' ', 'g') AS u FROM a),
+      c AS (SELECT *, trim(regexp_replace(regexp_replace(u, '\\b([0-9a-f]{{16,}}|\\d{{10,}})\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS v FROM b),
+      d AS (SELECT *, trim(regexp_replace(trim(regexp_replace(v, '(\\s*-\\s*(google chrome|youtube)\\s*)+$', '')), '^watch later\\s*-\\s*', '')) AS h FROM c)
+      SELECT page_id, trim(regexp_replace(array_to_string(list_filter(regexp_split_to_array(h, '\\s*-\\s*'), lambda y: y <> '' AND trim(y) NOT IN ('chrome', 'edge', 'firefox', 'safari', 'brave', 'opera')), ' '), '\\s+', ' ', 'g'))[1:180] AS normalized,
+        nullif(regexp_extract(raw, '\\b([a-z0-9-]+\\.(com|org|net|io|dev|ai|app|co|edu|gov))\\b', 1), '') AS hint FROM d""",
     "app_boost": f"""WITH {_W} SELECT event_id, CASE WHEN n % 2 = 0 AND contains(lower(app_name), 'tube') THEN 0.15 WHEN n % 2 <> 0 AND n % 3 = 0 AND contains('my slack app', lower(app_name)) THEN 0.15 ELSE 0.0 END::DOUBLE AS boost FROM w""",
     "goal_text": """SELECT p_partkey, lower(regexp_replace(trim('  Read ' || p_name || '  '), '\\s+', ' ', 'g')) AS goal,
       '  Read ' || p_name || '  ' || CASE WHEN p_partkey % 2 = 0 THEN ' [app: ' || p_brand || ']' ELSE '' END AS shown FROM part""",
