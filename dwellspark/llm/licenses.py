@@ -260,7 +260,8 @@ def scan_licenses(docs: DataFrame, index: LicenseIndex | None = None, id_col: st
     label, else the best template's share of matched words, else 0. Null and
     empty texts have no words, empty labels and null places. Very long texts are
     scanned whole; repeated rows each give theirs; other columns are not read;
-    an empty table gives no rows.
+    an empty table gives no rows. Templates and starts that match a file equally
+    well all give their labels, sorted by name, and one score.
     """
     if index is None:
         index = build_index(*document_frequencies(docs, text_col))

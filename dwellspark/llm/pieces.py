@@ -61,6 +61,7 @@ class PieceModel:
                 a, b = ids.get(name[:cut]), ids.get(name[cut:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = i
+        self.pairs, self.scores = pairs, self.score.tolist()
         keys, merged = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32)
         self.tables = []
         for k in range(6):
@@ -113,19 +114,36 @@ def skipped(key: np.ndarray, start, middle, end, dropout: float) -> np.ndarray:
     return (mix(mix(key ^ place * np.uint64(0xD6E8FEB86659FD93)) + place) >> np.uint64(11)).astype(np.float64) < dropout * 2.0**53
 
 
+_WORD = 2**64 - 1
+
+
+def _mixed(h: int) -> int:
+    """``mix`` of one Python int."""
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & _WORD
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & _WORD
+    return h ^ h >> 31
+
+
 def segment_one(model: PieceModel, symbols: list[int], key: int, dropout: float) -> list[tuple[int, int]]:
     """(piece, end) of one unit by an agenda: candidates leave it by score, then
-    place; a skipped candidate does not come back."""
-    n = len(symbols)
+    place; a skipped candidate does not come back. Plain ints, as numpy calls on
+    single values would take most of the time."""
+    n, least = len(symbols), dropout * 2.0**53
     piece, end = list(symbols), list(range(1, n + 1))
     left, alive, agenda = list(range(-1, n - 1)), [True] * n, []
+    pairs, scores, size = model.pairs, model.scores, model.size
 
     def offer(i: int):
         j = end[i]
-        if j < n:
-            m = int(model.merge(np.array([piece[i]]), np.array([piece[j]]))[0])
-            if m >= 0 and not skipped(np.array([key], np.uint64), [i], [j], [end[j]], dropout)[0]:
-                heapq.heappush(agenda, (-model.score[m], i, j, end[j], m))
+        if j < n and piece[i] >= 0 and piece[j] >= 0:
+            m = pairs.get(piece[i] * size + piece[j])
+            if m is None:
+                return
+            if least > 0:  # as in ``skipped``
+                place = i << 42 ^ j << 21 ^ end[j]
+                if _mixed(_mixed(key ^ place * 0xD6E8FEB86659FD93 & _WORD) + place & _WORD) >> 11 < least:
+                    return
+            heapq.heappush(agenda, (-scores[m], i, j, end[j], m))
 
     for i in range(n - 1):
         offer(i)
@@ -322,8 +340,11 @@ def encode_pieces(
 
     A null text gives null ids and a null ``lossless``, an empty one no ids. Rows
     that repeat (same id and text) get the same ids; the same text under
-    another id gets other segmentations unless ``dropout`` is 0. The model is
-    read on each executor from ``model_path``.
+    another id gets other segmentations unless ``dropout`` is 0. Rows with a null id
+    share one key, as rows with any one id do. Very long texts are encoded whole, in
+    memory of some 100 bytes a character; other columns are not read, whatever
+    their names; an empty table gives no rows. Of merges with one score the first in
+    the text comes first. The model is read on each executor from ``model_path``.
     """
     path = model_path or default_model()
     kind = docs.schema[id_col].dataType.simpleString()
@@ -354,7 +375,9 @@ def encode_pieces(
 
 
 def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_path: str | None = None) -> DataFrame:
-    """``(id, text)`` from piece ids; null ids give a null text."""
+    """``(id, text)`` from piece ids; a null list gives a null text, an empty one an empty
+    text. Rows are independent: repeated and null ids stay, long lists are decoded
+    whole, other columns are not read, an empty table gives no rows."""
     path = model_path or default_model()
     kind = encoded.schema[id_col].dataType.simpleString()
 

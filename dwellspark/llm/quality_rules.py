@@ -94,7 +94,8 @@ def outlier_distances(rows: DataFrame, keys: list[str], fit: F.Column) -> DataFr
     are the values of ``keys`` (null is a value); one with under LEAST_ROWS rows
     borrows. Starting from medians and quartiles, each concentration step takes
     the SHARE of rows nearest to the estimate and re-estimates centre and
-    covariance from them, until no group's determinant shrinks further. A step
+    covariance from them, until no group's determinant shrinks further, STEPS times
+    at most: a group that hasn't settled by then keeps its last estimate. A step
     sums by group, salt and bin of distance (a group has a salt for SALT_ROWS
     rows), then by group and bin, so a hot group's rows never meet and its bins
     are 1001 at most.

@@ -112,8 +112,9 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT, archive: int
     Roots of both trees are compared first; each level then looks only at children
     of nodes whose records or ranges differ, so equal branches are never opened
     and two equal replicas end at their roots. Empty replicas have no root and
-    differ in all rows. Equal ids are matched in the order of their hashes; columns
-    other than ``id`` and ``record`` are not read.
+    differ in all rows. Equal ids are matched in the order of their hashes, so ties are
+    records alike; long records are hashed whole, inside their row; columns other than
+    ``id`` and ``record`` are not read, whatever their names.
     """
     a, b = cut(leaves(left, archive)), cut(leaves(right, archive))
     ta, tb = merkle_levels(a, fanout, archive), merkle_levels(b, fanout, archive)
