@@ -83,3 +83,13 @@ def test_stopped_stream_goes_on_without_loss(spark, tmp_path):
     stored = sinks.stored_rows(spark, f"{folder}/out/events_raw")
     audit = audit_sequence(stored).collect()
     assert [(r.records, r.distinct_seqs, r.first_seq, r.last_seq, r.expected_seq) for r in audit] == [(40, 40, 0, 39, None)] * 3
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_sessions_that_go_on_at_a_tail(spark, hot):
+    """After a recovery a new session starts at the old one's last number."""
+    rows = [("a", k) for k in range(8)] + [("b", k) for k in (7, 8, 9)] + [("c", k) for k in (7, 9)] + [(None, 4), (None, 5), ("d", None)]
+    df = spark.createDataFrame(rows, "session_id string, seq long")
+    of = lambda zero: {r.session_id: (r.records, r.first_seq, r.last_seq, r.expected_seq, r.found_seq) for r in audit_sequence(df, require_zero_start=zero, hot=hot).collect()}
+    assert of(False) == {"a": (8, 0, 7, None, None), "b": (3, 7, 9, None, None), "c": (2, 7, 9, 8, 9), None: (2, 4, 5, None, None)}
+    assert of(True)["b"] == (3, 7, 9, 0, 7) and of(True)["a"] == (8, 0, 7, None, None)
