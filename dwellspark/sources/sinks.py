@@ -26,7 +26,7 @@ def insert_or_ignore(new: DataFrame, old: DataFrame | None, key_sets: list[list[
 
     A round stores the rows that come first in all their keys and passes over those
     that clash with them; what neither befell goes to the next round, which few
-    rows ever see.
+    rows ever see. The result reads written tables, which it has as ``scratch``.
     """
     for c in required:
         new = new.where(F.col(c).isNotNull())
@@ -35,6 +35,7 @@ def insert_or_ignore(new: DataFrame, old: DataFrame | None, key_sets: list[list[
             new = new.join(old.select(*keys).distinct(), list(keys), "left_anti").select(*new.columns)
     cols, stored = new.columns, None
     left = cut(new.withColumn("_row", F.monotonically_increasing_id()))
+    scratch = [left]
     while True:
         x = left
         for i, keys in enumerate(key_sets):
@@ -44,12 +45,14 @@ def insert_or_ignore(new: DataFrame, old: DataFrame | None, key_sets: list[list[
         first = reduce(lambda a, b: a & b, (F.col(f"_first{i}") for i in range(len(key_sets))))
         here = x.where(first).select(*cols)
         stored = here if stored is None else stored.unionByName(here)
+        stored.scratch = scratch
         if len(key_sets) == 1:
             return stored
         rest = x.where(~first).select(*left.columns)
         for keys in key_sets:
             rest = rest.join(here.select(*keys).distinct(), list(keys), "left_anti").select(*left.columns)
         left = cut(rest)
+        scratch.append(left)
         if left.isEmpty():
             return stored
 
@@ -126,12 +129,13 @@ def keyed_append(rows: DataFrame, folder: str, batch_id: int, key_sets: list[lis
         stored = spark.read.schema(kinds).option("basePath", f"{folder}/keys{i}").parquet(f"{folder}/keys{i}").where(F.col("bucket").isin(used))
         stored = stored.join(F.broadcast(done), "batch", "left_semi").select(*keys)
         fresh = fresh.join(stored, list(keys), "left_anti").select(*new.columns)
-    out = cut(insert_or_ignore(fresh, None, key_sets, required, arrival))
+    picked = insert_or_ignore(fresh, None, key_sets, required, arrival)
+    out = cut(picked)
     out.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
     for i, keys in enumerate(key_sets):
         out.select(*keys, bucket(keys).alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/keys{i}/batch={batch_id}")
     spark.range(1).select(F.lit(batch_id).alias("batch")).write.mode("overwrite").json(f"{folder}/commits/number={batch_id}")
-    drop(new, out)
+    drop(new, out, *picked.scratch)
 
 
 class SinkErrors(Exception):
