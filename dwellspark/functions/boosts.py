@@ -49,6 +49,22 @@ def keyword_boost(text) -> Column:
     return out
 
 
+def _strongest(boost: Column) -> Column:
+    """The boost furthest from 0, of equal ones the positive; null where there is none."""
+    return F.when(F.max(boost) >= -F.min(boost), F.max(boost)).otherwise(F.min(boost))
+
+
+def _words(c) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(c), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"))
+
+
+def strongest_terms(table: DataFrame) -> DataFrame:
+    """(_term, _n, _for, boost): of a boost table's rows with the same words and app the
+    one that counts; rows without a word or a boost are left out."""
+    term = table.select(F.array_join(_words("term"), " ").alias("_term"), F.size(_words("term")).alias("_n"), F.lower("app_name").alias("_for"), F.col("boost").cast("double").alias("boost"))
+    return term.where("_n > 0 AND boost IS NOT NULL").groupBy("_term", "_n", "_for").agg(_strongest(F.col("boost")).alias("boost"))
+
+
 def with_table_boost(df: DataFrame, table: DataFrame, app_col: str = "app_name", text_col: str = "text") -> DataFrame:
     """``df`` with ``boost`` by a table ``(term, app_name, boost)`` of any size.
 
@@ -57,21 +73,21 @@ def with_table_boost(df: DataFrame, table: DataFrame, app_col: str = "app_name",
     counts for that app only. Of the rows that fit, those with the text's app come
     before those for every app; the strongest of them counts, of equal ones the
     positive. Different (app, text) pairs are cut into runs of words once and
-    joined with the terms by equality, so neither side is broadcast unless small.
+    joined by term and app with the strongest row of each, so a run meets two rows
+    at most, however often a term stands in the table.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(_c(c), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"))
-    term = table.select(F.array_join(words("term"), " ").alias("_term"), F.size(words("term")).alias("_n"), F.lower("app_name").alias("_for"), F.col("boost").cast("double").alias("boost"))
-    term = term.where("_n > 0 AND boost IS NOT NULL")
+    term = strongest_terms(table)
     sizes = [r[0] for r in term.select("_n").distinct().orderBy("_n").collect()]  # lengths of terms: a handful
-    pairs = df.select(F.col(app_col).alias("_app"), F.col(text_col).alias("_text")).distinct().withColumn("_w", words("_text"))
+    pairs = df.select(F.col(app_col).alias("_app"), F.col(text_col).alias("_text")).distinct().withColumn("_w", _words("_text"))
     size, none = F.size("_w"), F.array().cast("array<int>")
     runs = [F.transform(F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(none), _run_of(n)) for n in sizes]
     if not runs:
         return df.withColumn("boost", F.lit(0.0))
-    found = pairs.select("_app", "_text", F.explode(F.array_distinct(F.concat(*runs))).alias("_term")).join(term, "_term")
-    fits = found.where("_for IS NULL OR _for = lower(_app)")
-    rank = F.struct(F.col("_for").isNotNull().alias("own"), F.abs("boost").alias("much"), F.col("boost").alias("value"))
-    best = fits.groupBy("_app", "_text").agg(F.max(rank)["value"].alias("boost"))
+    found = pairs.select("_app", "_text", F.explode(F.array_distinct(F.concat(*runs))).alias("_run"))
+    found = found.withColumn("_own", F.explode(F.array_distinct(F.array(F.lit(None).cast("string"), F.lower("_app")))))
+    fits = found.join(term, (F.col("_run") == F.col("_term")) & F.col("_own").eqNullSafe(F.col("_for")))
+    own, every = (_strongest(F.when(which, F.col("boost"))) for which in (F.col("_for").isNotNull(), F.col("_for").isNull()))
+    best = fits.groupBy("_app", "_text").agg(F.coalesce(own, every).alias("boost"))
     on = df[app_col].eqNullSafe(best["_app"]) & df[text_col].eqNullSafe(best["_text"])
     return df.join(best, on, "left").drop("_app", "_text").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
 

@@ -74,3 +74,13 @@ def test_scrolling_back_is_carried(spark):
     w = spark.createDataFrame([("s", "w", 0)], "session_id string, event_id string, monotonic_ms long")
     sums = lambda **o: [(r.slot_ms, r.key_count, r.scroll_delta) for r in inputs.input_summaries(x, w, **o).collect()]
     assert sums() == [(10_000, 1, 0)] and sums(carry=True) == [(10_000, 1, -5)] and sums(carry=True, hot=True) == [(10_000, 1, -5)]
+
+
+def test_a_term_that_stands_often_in_a_boost_table_is_one_row_an_app(spark):
+    n = F.col("id")
+    table = spark.range(3000).select(F.when(n % 2 == 0, "Red").otherwise("red!").alias("term"), F.when(n % 3 == 0, "Mail").alias("app_name"), ((n % 41 - 20) / 100).alias("boost"))
+    assert sorted((r._term, r._for or "", r.boost) for r in B.strongest_terms(table).collect()) == [("red", "", 0.2), ("red", "mail", 0.2)]
+    df = spark.createDataFrame([("Mail", "a red one"), ("Web", "Red"), (None, "red"), ("Mail", "blue")], "app_name string, text string")
+    weak = spark.createDataFrame([("red", "mail", -0.1), ("red", "mail", 0.05), ("red", None, 0.3), ("red", None, -0.3)], "term string, app_name string, boost double")
+    got = {(r.app_name, r.text): r.boost for r in B.with_table_boost(df, weak).collect()}
+    assert got == {("Mail", "a red one"): -0.1, ("Web", "Red"): 0.3, (None, "red"): 0.3, ("Mail", "blue"): 0.0}
