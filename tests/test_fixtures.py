@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dwellspark.functions import titles as N
 from dwellspark.functions.categories import categorize, load_category_rules, with_category
+from dwellspark.plans import activity
 from dwellspark.operators import audit, dwell, features, inputs, semantic
 from dwellspark.options import FeatureOptions
 from dwellspark.sources import logs, sinks
@@ -151,3 +152,18 @@ def test_log_round_trip(spark, tmp_path):
     sinks.write_event_log(e, str(tmp_path / "log"), 1)
     back = spark.read.json(str(tmp_path / "log"))
     assert back.count() == 5 and back.select("event_date").distinct().count() == 2
+
+
+def test_features_in_so_many_parts_are_the_same(spark, sf):
+    d, i = activity.dwells(spark, sf), activity.deltas(spark, sf)
+    of = lambda parts: features.build_features(d, i, ["session_id"], parts=parts)
+    dealt = of(7)
+    assert dealt.rdd.getNumPartitions() == 7
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, of(None).collect()))
+    assert features.app_ms(features.dwell_x_bucket(d), ["session_id"], 5).rdd.getNumPartitions() == 5
+
+
+def test_parts_grow_with_the_events(spark, sf, monkeypatch):
+    monkeypatch.setattr(activity, "PER_TASK", 100)
+    n = activity.table(spark, sf, "events").count()
+    assert activity.active_windows(spark, sf).rdd.getNumPartitions() == activity.parts(spark, sf) == 1 + n // 100
