@@ -1,5 +1,6 @@
 """Streams with state and timers: heartbeats, idle sessions, restarts."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,84 @@ def test_sessions_that_go_on_at_a_tail(spark, hot):
     of = lambda zero: {r.session_id: (r.records, r.first_seq, r.last_seq, r.expected_seq, r.found_seq) for r in audit_sequence(df, require_zero_start=zero, hot=hot).collect()}
     assert of(False) == {"a": (8, 0, 7, None, None), "b": (3, 7, 9, None, None), "c": (2, 7, 9, 8, 9), None: (2, 4, 5, None, None)}
     assert of(True)["b"] == (3, 7, 9, 0, 7) and of(True)["a"] == (8, 0, 7, None, None)
+
+
+class Handle:
+    """Timers and values of one session, as a state store would hold them."""
+
+    def __init__(self):
+        self.timers = []
+
+    def getListState(self, name, schema):
+        return List()
+
+    def getValueState(self, name, schema):
+        return Value()
+
+    def registerTimer(self, t):
+        self.timers.append(t)
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+
+class Value:
+    value = None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def exists(self):
+        return self.value is not None
+
+    def clear(self):
+        self.value = None
+
+
+class List(Value):
+    def get(self):
+        return iter(self.value or [])
+
+    def appendList(self, rows):
+        self.value = [*(self.value or []), *rows]
+
+    put = Value.update
+
+
+def test_a_session_has_one_timer(spark):
+    n = 50
+    work, handle = streams._InputSums(10, True), Handle()
+    work.init(handle)
+    rows = pd.DataFrame({"at": range(0, n * 10, 10), "is_window": [1] + [0] * (n - 1), "event_id": ["w"] + [None] * (n - 1), "ts_ms": range(0, n * 10, 10), **{c: [None] + [1] * (n - 1) for c in streams.COUNTERS}})
+    list(work.handleInputRows(("s",), iter([rows]), None))
+    assert handle.timers == [10]
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 255})()
+    (out,) = list(work.handleExpiredTimer(("s",), clock, None))
+    assert len(out) == 24 and handle.timers == [10, 260]
+    beat, handle = streams._OpenWindow(30, 1000), Handle()
+    beat.init(handle)
+    for k in range(3):
+        x = pd.DataFrame({"monotonic_ms": [k * 50], "seq": [k], "event_id": [f"w{k}"], "app_name": [None], "ts_ms": [k * 50]})
+        list(beat.handleInputRows(("s",), iter([x]), None))
+        assert handle.timers == [k * 50 + 30]
+
+
+def test_rows_of_a_key_keep_their_order():
+    a = pd.DataFrame({"t": [3.0, None, 1.0], "label": ["c", "d", "a"]})
+    b = pd.DataFrame({"t": [3.0, 2.0], "label": ["b", None]})
+    assert [r[1] for r in streams._sorted_rows(iter([a, b]), ["t", "label"], 1)] == ["a", None, "c", "b", "d"]
+
+
+def test_state_has_few_partitions(spark, tmp_path):
+    make = lambda x: streams.stream_dwell(x)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        streams.run_slices([windows(spark, [("s", 0, "w0", "Code", 50)])], make, f"file://{tmp_path}/x")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len([p for p in (tmp_path / "x/state/state/0").iterdir() if p.name.isdigit()]) == 2 * spark.sparkContext.defaultParallelism
