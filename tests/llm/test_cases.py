@@ -59,3 +59,12 @@ def test_long_units_as_short_ones(monkeypatch):
     one = [P.encode(model, pa.array([t]), np.array([9], np.uint64))[0] for t in texts]
     monkeypatch.setattr(P, "LONG", 10**9)
     assert all(np.array_equal(a, P.encode(model, pa.array([t]), np.array([9], np.uint64))[0]) for a, t in zip(one, texts))
+
+
+def test_ranker_learns_from_texts_of_any_length(spark):
+    """Label 1 has only texts that a bounded sample would leave out."""
+    rows = [(k, "Plain words stand here. " * 2500 if k % 2 else f"## {k} $$ CLICK now !!", k % 2) for k in range(20)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    score = {r.doc_id: r.score for r in rank_quality(docs, fit_quality_ranker(docs, labels)).collect()}
+    assert min(s for i, s in score.items() if i % 2) > max(s for i, s in score.items() if not i % 2)
