@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 from ..scratch import cut, drop, exists
 from .logs import normalize_envelope
 
+#: of stored and intermediate tables, whose JSON is long
+CODEC = "zstd"
+
 
 def write_event_log(events: DataFrame, folder: str, max_records: int = 100_000) -> None:
     """Append as JSON lines, a folder for each date, a new file past a size."""
@@ -24,18 +27,35 @@ def insert_or_ignore(new: DataFrame, old: DataFrame | None, key_sets: list[list[
     value of any key set. A row that is passed over holds no key; a key with a null
     in it clashes with nothing. Rows that arrive at once come in some order.
 
-    A round stores the rows that come first in all their keys and passes over those
-    that clash with them; what neither befell goes to the next round, which few
-    rows ever see. The result reads written tables, which it has as ``scratch``.
+    Only keys and order are compared; whole rows are written once and meet the numbers
+    of those that are stored. The result reads written tables, which it has as ``scratch``.
     """
     for c in required:
         new = new.where(F.col(c).isNotNull())
+    cols, whole = new.columns, cut(new.withColumn("_row", F.monotonically_increasing_id()), CODEC)
+    left = _slim(whole, key_sets, arrival)
     if old is not None:
         for keys in key_sets:
-            new = new.join(old.select(*keys).distinct(), list(keys), "left_anti").select(*new.columns)
-    cols, stored = new.columns, None
-    left = cut(new.withColumn("_row", F.monotonically_increasing_id()))
-    scratch = [left]
+            left = left.join(old.select(*keys).distinct(), list(keys), "left_anti").select(*left.columns)
+    kept, scratch = _first_rows(left, key_sets, arrival)
+    stored = whole.join(kept.select("_row"), "_row", "left_semi").select(*cols)
+    stored.scratch = [whole, *scratch]
+    return stored
+
+
+def _slim(rows: DataFrame, key_sets: list[list[str]], arrival: list[str]) -> DataFrame:
+    """The columns that say which rows are stored, and the row's number."""
+    return rows.select(*dict.fromkeys([*(k for keys in key_sets for k in keys), *arrival]), "_row")
+
+
+def _first_rows(left: DataFrame, key_sets: list[list[str]], arrival: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """Of the slim rows of a batch those that are stored, and the tables they are read from.
+
+    A round stores the rows that come first in all their keys and passes over those
+    that clash with them; what neither befell goes to the next round, which few
+    rows ever see.
+    """
+    kept, scratch, cols = None, [], left.columns
     while True:
         x = left
         for i, keys in enumerate(key_sets):
@@ -43,18 +63,19 @@ def insert_or_ignore(new: DataFrame, old: DataFrame | None, key_sets: list[list[
             nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*arrival, "_row"))
             x = x.withColumn(f"_first{i}", ~whole | (nth == 1))
         first = reduce(lambda a, b: a & b, (F.col(f"_first{i}") for i in range(len(key_sets))))
-        here = x.where(first).select(*cols)
-        stored = here if stored is None else stored.unionByName(here)
-        stored.scratch = scratch
-        if len(key_sets) == 1:
-            return stored
-        rest = x.where(~first).select(*left.columns)
+        x = cut(x.select(*cols, first.alias("_first")), CODEC)
+        scratch.append(x)
+        here = x.where("_first").select(*cols)
+        kept = here if kept is None else kept.unionByName(here)
+        rest = x.where("NOT _first").select(*cols)
+        if len(key_sets) == 1 or rest.isEmpty():
+            return kept, scratch
         for keys in key_sets:
-            rest = rest.join(here.select(*keys).distinct(), list(keys), "left_anti").select(*left.columns)
-        left = cut(rest)
+            rest = rest.join(here.select(*keys).distinct(), list(keys), "left_anti").select(*cols)
+        left = cut(rest, CODEC)
         scratch.append(left)
         if left.isEmpty():
-            return stored
+            return kept, scratch
 
 
 def events_raw(events: DataFrame) -> DataFrame:
@@ -119,8 +140,11 @@ def keyed_append(rows: DataFrame, folder: str, batch_id: int, key_sets: list[lis
     if done is not None and not done.where(F.col("batch") == batch_id).isEmpty():
         return
     bucket = lambda keys: F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    new = cut(rows)
-    fresh = new
+    for c in required:
+        rows = rows.where(F.col(c).isNotNull())
+    # the whole rows are written, and dealt out once when the numbers of those to be stored are known
+    new = cut(rows.withColumn("_row", F.monotonically_increasing_id()), CODEC)
+    fresh = _slim(new, key_sets, arrival)
     for i, keys in enumerate(key_sets):
         if done is None or not exists(spark, f"{folder}/keys{i}"):
             continue
@@ -128,14 +152,13 @@ def keyed_append(rows: DataFrame, folder: str, batch_id: int, key_sets: list[lis
         kinds = new.select(*keys, F.lit(0).cast("long").alias("batch"), F.lit(0).alias("bucket")).schema
         stored = spark.read.schema(kinds).option("basePath", f"{folder}/keys{i}").parquet(f"{folder}/keys{i}").where(F.col("bucket").isin(used))
         stored = stored.join(F.broadcast(done), "batch", "left_semi").select(*keys)
-        fresh = fresh.join(stored, list(keys), "left_anti").select(*new.columns)
-    picked = insert_or_ignore(fresh, None, key_sets, required, arrival)
-    out = cut(picked)
-    out.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        fresh = fresh.join(stored, list(keys), "left_anti").select(*fresh.columns)
+    kept, scratch = _first_rows(fresh, key_sets, arrival)
+    new.join(kept.select("_row"), "_row", "left_semi").drop("_row").write.mode("overwrite").option("compression", CODEC).parquet(f"{folder}/rows/batch={batch_id}")
     for i, keys in enumerate(key_sets):
-        out.select(*keys, bucket(keys).alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/keys{i}/batch={batch_id}")
+        kept.select(*keys, bucket(keys).alias("bucket")).write.mode("overwrite").option("compression", CODEC).partitionBy("bucket").parquet(f"{folder}/keys{i}/batch={batch_id}")
     spark.range(1).select(F.lit(batch_id).alias("batch")).write.mode("overwrite").json(f"{folder}/commits/number={batch_id}")
-    drop(new, out, *picked.scratch)
+    drop(new, *scratch)
 
 
 class SinkErrors(Exception):
