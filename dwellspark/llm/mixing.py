@@ -20,8 +20,8 @@ MOST_BITS, LEAST_BITS = (15, 20, 22, 23, 23, 23), 15
 #: a byte is coded in groups of DIGIT bits: the most frequent MORE bytes by their
 #: rank in the first group, the next MORE by MORE and their rank in the second, ...
 DIGIT, MORE = 4, 15
-#: values of one row of counts, and bytes of the tables that a task counts into at once
-CHUNK, COUNT_ROOM = 1 << 16, 160 << 20
+#: values of one row of counts; the least table has as many
+CHUNK = 1 << LEAST_BITS
 #: bytes over which weights adapt before they start anew, and between two moves of them
 SEGMENT, STEP = 1 << 13, 32
 RATE = 0.004
@@ -31,6 +31,9 @@ DEVELOP, ROUNDS, RIDGE, START = 32, 5, 20.0, 0.3
 END = 0xFF
 #: bytes of text handled at once when counting, when scoring, and in a block of words
 COUNT_PIECE, SCORE_PIECE, BLOCK_PIECE = 2 << 20, 2 << 20, 8 << 20
+#: bytes whose contexts are hashed at once and segments that are mixed side by side:
+#: what they need stays in a core's cache
+HASH_PIECE, LANES = 1 << 17, 96
 #: units of a predictor's log-odds, the bias's input, and visits that make a context known
 UNIT, BIAS, KNOWN = 16, 0.3, 3
 #: contexts whose being known picks the weights, and sets of weights
@@ -39,9 +42,11 @@ _N = len(ORDERS) + 1
 _HASH = np.uint32(0x9E3779B1)
 _WORD_HASH, _WORD_BACK = 0x01000193, pow(0x01000193, -1, 1 << 32)
 #: by value of a group and place: the node that leads to the bit there, and the
-#: bit's sign turned round
+#: bit's sign turned round, or 0 where the value is none
 _PATH = np.array([[1 << t | v >> DIGIT - t for t in range(DIGIT)] for v in range(1 << DIGIT)])
-_AGAINST = np.array([[1 - 2 * (v >> DIGIT - 1 - t & 1) for t in range(DIGIT)] for v in range(1 << DIGIT)], np.float32)
+_AGAINST = np.array([[(1 - 2 * (v >> DIGIT - 1 - t & 1)) * (v >> DIGIT == 0) for t in range(DIGIT)] for v in range(2 << DIGIT)], np.float32)
+#: what an input is multiplied by before it is mixed: predictions, then the bias
+_SCALE = np.array([1 / UNIT] * len(ORDERS) + [BIAS], np.float32)[:, None]
 #: adds up what the inputs give at each place
 _SUM = np.tile(np.eye(DIGIT, dtype=np.float32), (_N, 1))
 _STOP = np.uint64(mix_int(0x5AFE))
@@ -72,22 +77,23 @@ def _so_far(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (total[:-1] - total[at]) * _powers[1][at]
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, which=range(len(ORDERS))):
+def contexts(data: np.ndarray, offsets: np.ndarray):
     """Context hashes at each byte, of what stands before it in its text; one
     context after the other, as each is as large as four times the text."""
     starts, h, order = offsets[:-1], np.full(len(data), 0x7F4A7C15, np.uint32), 0
-    for k in which:
-        while order < ORDERS[k]:
+    wide = data.astype(np.uint32)
+    for want in ORDERS:
+        while order < want:
             order += 1
-            back = np.zeros(len(data), np.uint8)
-            back[order:] = data[:-order]
+            h[order:] ^= wide[:-order]
             for j in range(order):
+                # what stands before the text is taken out again
                 at = starts + j
-                back[at[at < offsets[1:]]] = 0
-            h ^= back
+                at = at[(at < offsets[1:]) & (at >= order)]
+                h[at] ^= wide[at - order]
             h *= np.uint32(0x01000193)
             h += np.uint32(order)
-        own = h * _HASH if ORDERS[k] else _so_far(data, starts) * _HASH
+        own = h * _HASH if want else _so_far(data, starts) * _HASH
         own ^= own >> np.uint32(15)
         own *= np.uint32(0x846CA68B)
         own ^= own >> np.uint32(13)
@@ -95,32 +101,45 @@ def contexts(data: np.ndarray, offsets: np.ndarray, which=range(len(ORDERS))):
         yield own
 
 
-def _rows(context: np.ndarray, group: np.ndarray, bits: int | np.ndarray) -> np.ndarray:
+def _rows(context: np.ndarray, group: np.ndarray, bits: int, later: np.ndarray | None = None) -> np.ndarray:
     """First of the slots that a context's predictors have for one group of bits.
-    The slot of a node (1 and the group's bits so far) lies behind it."""
-    h, later = context.copy(), np.flatnonzero(group)
-    own, turn = context[later], (group[later] * 0x2C1B3C6D).astype(np.uint32)
-    h[later] = (own ^ own >> np.uint32(16) ^ (turn if own.ndim == 1 else turn[:, None])) * _HASH
-    h >>= np.uint32(32 + DIGIT - bits) if isinstance(bits, int) else (32 + DIGIT - bits).astype(np.uint32)
-    out = h.astype(np.int64)
-    out <<= DIGIT
-    return out
+    The slot of a node (1 and the group's bits so far) lies behind it. ``later``:
+    where ``group`` isn't the first one, if known."""
+    later = np.flatnonzero(group) if later is None else later
+    h, own = context.copy(), context[later]
+    h[later] = (own ^ own >> np.uint32(16) ^ (group[later] * 0x2C1B3C6D).astype(np.uint32)) * _HASH
+    h >>= np.uint32(32 + DIGIT - bits)
+    h <<= np.uint32(DIGIT)
+    return h
 
 
 class Code:
-    """Ranks of the bytes by frequency."""
+    """Ranks of the bytes by frequency, and how many groups of bits they have."""
 
     def __init__(self, counts: np.ndarray):
         self.rank = np.empty(256, np.uint8)
         self.rank[np.argsort(-counts, kind="stable")] = np.arange(256)
+        self.many = self.rank.astype(np.int64) // MORE + 1
 
     def events(self, byte: np.ndarray):
         """Groups of bits that code the bytes, in order: byte's place, group, value."""
-        rank = self.rank[byte].astype(np.int64)
-        many = rank // MORE + 1
+        many = self.many.take(byte)
         own = np.repeat(np.arange(len(byte)), many)
-        group = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-        return own, group, np.minimum(rank[own] - MORE * group, MORE)
+        value, group = self.rank.take(byte).take(own), np.zeros(len(own), np.int64)
+        place = np.flatnonzero(many > 1)
+        more = many[place] - 1
+        which = np.arange(1, more.sum() + 1) - np.repeat(np.cumsum(more) - more, more)
+        later = np.repeat(np.cumsum(many)[place] - many[place], more) + which
+        group[later] = which
+        value[later] -= (MORE * which).astype(np.uint8)
+        return own, group, np.minimum(value, np.uint8(MORE), out=value)
+
+
+def _hashed(column: pa.Array, data: np.ndarray, offsets: np.ndarray):
+    """Spans of whole texts of about HASH_PIECE bytes, and their contexts in turn."""
+    for i, n in pieces(column, HASH_PIECE):
+        a, b = offsets[i], offsets[i + n]
+        yield a, b, contexts(data[a:b], offsets[i : i + n + 1] - a)
 
 
 def byte_counts(docs: DataFrame, learn: F.Column, text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -153,40 +172,36 @@ def predictors(docs: DataFrame, code: Code, bits: tuple[int, ...], text_col: str
     behind the other. A row's slot 1 is even, or odd where the row was visited KNOWN
     times; its slot 0 has no use.
 
-    Each task counts whole texts into its own tables and gives their rows of
-    CHUNK values, compressed; rows of one chunk are summed where they meet, one at
-    a time. Contexts whose tables don't fit COUNT_ROOM together are counted in
-    turn. The driver sees one byte a slot.
+    Each task counts whole texts into its own tables, by the value that a context's
+    group of bits takes, and gives their rows of CHUNK values, compressed; rows of
+    one chunk are summed where they meet, one at a time, and the bits' counts are
+    sums of the values'. The driver sees one byte a slot.
     """
     out, first = np.zeros(sum(1 << b for b in bits), np.int8), np.cumsum((0, *(1 << b for b in bits)))
-    turns: list[list[int]] = [[]]
-    for k, b in enumerate(bits):
-        if turns[-1] and sum(8 << bits[j] for j in turns[-1]) + (8 << b) > COUNT_ROOM:
-            turns.append([])
-        turns[-1].append(k)
-
-    def count_of(which):
-        def count(batches):
-            tables = {k: np.zeros(2 << bits[k], np.uint32) for k in which}
-            for b in batches:
-                for i, n in pieces(b.column(0), COUNT_PIECE):
-                    data, offsets = _ended(b.column(0).slice(i, n))
-                    for k, context in zip(which, contexts(data, offsets, which)):
-                        # each pair of context and byte once, then its bits
-                        pair = np.sort(context.astype(np.uint64) << np.uint64(8) | data)
-                        new = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-                        times, pair = np.diff(np.r_[new, len(pair)]).astype(np.uint32), pair[new]
-                        own, group, value = code.events((pair & np.uint64(0xFF)).astype(np.uint8))
-                        row, times = _rows((pair >> np.uint64(8)).astype(np.uint32)[own], group, bits[k]), times[own]
-                        for t in range(DIGIT):
-                            np.add.at(tables[k], (row + _PATH[value, t]) * 2 + (value >> DIGIT - 1 - t & 1), times)
-            for k, table in tables.items():
-                rows = table.reshape(-1, CHUNK) if len(table) >= CHUNK else table[None]
-                full = [j for j, r in enumerate(rows) if r.any()]
-                blobs = [pa.compress(rows[j].tobytes(), "zstd", asbytes=True) for j in full]
-                yield pa.RecordBatch.from_arrays([pa.array([(k << 16) + j for j in full], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "counts"])
-
-        return count
+
+    def count(batches):
+        tables = [np.zeros(1 << b, np.uint32) for b in bits]
+        for b in batches:
+            for i, n in pieces(b.column(0), COUNT_PIECE):
+                column = b.column(0).slice(i, n)
+                data, offsets = _ended(column)
+                slots: list[list[np.ndarray]] = [[] for _ in bits]
+                for s, e, hashes in _hashed(column, data, offsets):
+                    own, group, value = code.events(data[s:e])
+                    later = np.flatnonzero(group)
+                    for k, context in enumerate(hashes):
+                        slots[k].append(_rows(context.take(own), group, bits[k], later) | value)
+                for k, table in enumerate(tables):
+                    # each slot once, in order
+                    slot, slots[k] = np.concatenate(slots[k]), []
+                    slot.sort()
+                    new = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+                    table[slot[new]] += np.diff(np.r_[new, len(slot)]).astype(np.uint32)
+        for k, table in enumerate(tables):
+            rows = table.reshape(-1, CHUNK)
+            full = [j for j, r in enumerate(rows) if r.any()]
+            blobs = [pa.compress(rows[j].tobytes(), "zstd", asbytes=True) for j in full]
+            yield pa.RecordBatch.from_arrays([pa.array([(k << 16) + j for j in full], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "counts"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -198,17 +213,19 @@ def predictors(docs: DataFrame, code: Code, bits: tuple[int, ...], text_col: str
                 else:
                     total[c] = own.astype(np.uint64)
         for c, counts in total.items():
-            zero, one = counts[0::2].astype(np.float64), counts[1::2].astype(np.float64)
-            odds = np.clip(np.rint(UNIT * np.log((one + 0.3) / (zero + 0.3))), -127, 127).astype(np.int8).reshape(-1, 1 << DIGIT)
-            odds[:, 1] = odds[:, 1] & -2 | ((zero + one).reshape(-1, 1 << DIGIT)[:, 1] >= KNOWN)
+            n, both = counts.reshape(-1, 1 << DIGIT).astype(np.float64), np.zeros((CHUNK >> DIGIT, 1 << DIGIT, 2))
+            for t in reversed(range(DIGIT)):
+                both[:, 1 << t : 2 << t] = n.reshape(-1, 1 << t, 2)
+                n = n[:, 0::2] + n[:, 1::2]
+            odds = np.clip(np.rint(UNIT * np.log((both[:, :, 1] + 0.3) / (both[:, :, 0] + 0.3))), -127, 127).astype(np.int8)
+            odds[:, 1] = odds[:, 1] & -2 | (n[:, 0] >= KNOWN)
             blob = pa.compress(odds.tobytes(), "zstd", asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "odds"])
 
-    for which in turns:
-        parts = docs.select(text_col).mapInArrow(count_of(which), "chunk int, counts binary")
-        for r in parts.repartition(192, "chunk").mapInArrow(add, "chunk int, odds binary").toLocalIterator():
-            at = first[r.chunk >> 16] + (r.chunk & 0xFFFF) * (CHUNK // 2)
-            out[at : at + CHUNK // 2] = np.frombuffer(pa.decompress(r.odds, CHUNK // 2, "zstd"), np.int8)
+    parts = docs.select(text_col).mapInArrow(count, "chunk int, counts binary")
+    for r in parts.repartition(192, "chunk").mapInArrow(add, "chunk int, odds binary").toLocalIterator():
+        at = first[r.chunk >> 16] + (r.chunk & 0xFFFF) * CHUNK
+        out[at : at + CHUNK] = np.frombuffer(pa.decompress(r.odds, CHUNK, "zstd"), np.int8)
     return out
 
 
@@ -235,19 +252,28 @@ class Mixer:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "packed"}
 
+    def found(self, byte: np.ndarray, hashes, out: np.ndarray | None = None):
+        """The groups of bits of some bytes, in order: byte's place, value, set of
+        weights, and the packed predictions, a row of ``out`` for each context."""
+        own, group, value = self.code.events(byte)
+        gate, later = (group > 0).astype(np.uint8), np.flatnonzero(group)
+        out = np.empty((len(ORDERS), len(own)), np.uint32) if out is None else out
+        for k, (context, bits) in enumerate(zip(hashes, self.bits.tolist())):
+            row = _rows(context.take(own, mode="clip"), group, bits, later)
+            row |= value
+            self.packed[self.first[k] : self.first[k] + (1 << bits)].take(row, mode="clip", out=out[k])
+        for k in reversed(GATES):
+            gate = gate << np.uint8(1) | (out[k] & np.uint32(1)).astype(np.uint8)
+        return own, value, gate, out
+
     def inputs(self, byte: np.ndarray, context: np.ndarray):
         """What the groups of bits of some bytes are predicted from: byte's place,
         value, set of weights, and the inputs, laid out like a set."""
-        own, group, value = self.code.events(byte)
-        row = _rows(context.take(own, 0), group, self.bits)
-        row += self.first
-        row += value[:, None]
-        found = self.packed.take(row)
-        gate = (found[:, GATES] & np.uint32(1)) @ np.array([1, 2, 4], np.uint32)
+        own, value, gate, found = self.found(byte, context.T)
         x = np.empty((len(own), _N * DIGIT), np.float32)
-        np.multiply(found.view(np.int8), np.float32(1 / UNIT), out=x[:, : -DIGIT])
+        np.multiply(np.ascontiguousarray(found.T).view(np.int8), np.float32(1 / UNIT), out=x[:, :-DIGIT])
         x[:, -DIGIT:] = BIAS
-        return own, value, gate + 8 * (group > 0), x
+        return own, value, gate, x
 
     @staticmethod
     def chances(z: np.ndarray, against: np.ndarray) -> np.ndarray:
@@ -259,13 +285,6 @@ class Mixer:
         z += 1
         return np.reciprocal(z, out=z)
 
-    def _contexts(self, column: pa.Array):
-        data, offsets = _ended(column)
-        ctx = np.empty((len(data), len(ORDERS)), np.uint32)
-        for k, context in enumerate(contexts(data, offsets)):
-            ctx[:, k] = context
-        return data, offsets, ctx
-
     def log2_losses(self, column: pa.Array) -> np.ndarray:
         """Bits that each text (and its end) costs.
 
@@ -273,49 +292,72 @@ class Mixer:
         time. The gate's weights, and what the segment has added to them, mix the
         log-odds; after each step the segment's weights move along the gradient
         of the step's cost.
+
+        Inputs stay in UNITs, weights are scaled instead. A step is a grid of groups
+        of bits by segments for each input; places behind a segment's groups of this
+        step have no sign: their bits cost one each, which is taken off, and move nothing.
         """
-        data, offsets, ctx = self._contexts(column)
+        data, offsets = _ended(column)
+        edge = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(self.code.many.take(data), out=edge[1:])
+        found, value, gate = np.empty((len(ORDERS), edge[-1]), np.uint32), np.empty(edge[-1], np.uint8), np.empty(edge[-1], np.uint8)
+        for s, e, hashes in _hashed(column, data, offsets):
+            own = slice(edge[s], edge[e])
+            _, value[own], gate[own], _ = self.found(data[s:e], hashes, found[:, own])
         size = np.diff(offsets)
         many = -(-size // SEGMENT)
         text = np.repeat(np.arange(len(size)), many)
         begin = offsets[:-1][text] + SEGMENT * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
         length = np.minimum(begin + SEGMENT, offsets[1:][text]) - begin
-        order = np.argsort(-length, kind="stable")
+        # alike in groups of bits a byte, so that grids are full, then in length
+        order = np.lexsort((-length, (edge[begin + length] - edge[begin]) * 8 // np.maximum(length, 1)))
+        order = np.concatenate([g[np.argsort(-length[g], kind="stable")] for g in np.split(order, range(LANES, len(order), LANES))])
         text, begin, length = text[order], begin[order], length[order]
-        added = np.zeros((len(order), _N * DIGIT), np.float32)
-        cost, step = np.zeros(len(order)), np.arange(STEP)
-        for j in range(-(-int(length.max(initial=0)) // STEP)):
-            a = int(np.searchsorted(-length, -j * STEP, "left"))
-            inside = step < (length[:a] - j * STEP)[:, None]
-            at = ((begin[:a] + j * STEP)[:, None] + step)[inside]
-            own, value, gate, x = self.inputs(data[at], ctx.take(at, 0))
-            lane = np.repeat(np.arange(a), inside.sum(axis=1))[own]
-            w = self.weights.take(gate, 0)
-            w += added.take(lane, 0)
-            against = _AGAINST.take(value, 0)
-            w *= x
-            chance = self.chances(w @ _SUM, against)
-            cost[:a] -= np.bincount(lane, np.log2(chance[:, 0] * chance[:, 1] * chance[:, 2] * chance[:, 3]), a)
-            np.subtract(1, chance, out=chance)
-            chance *= against
-            chance *= np.float32(-RATE)
-            x *= chance @ _SUM.T
-            added[:a] += np.add.reduceat(x, np.flatnonzero(np.r_[True, lane[1:] != lane[:-1]]), axis=0)
+        # an input's weights at the places of a group, as one number of 16 bytes
+        sets = np.ascontiguousarray((self.weights.reshape(SETS, _N, DIGIT) * _SCALE).transpose(1, 0, 2)).view(np.complex128)[:, :, 0]
+        rate = np.float32(-RATE) * _SCALE * _SCALE
+        cost = np.zeros(len(order))
+        for low in range(0, len(order), LANES):
+            start, end, own_cost = begin[low : low + LANES], (begin + length)[low : low + LANES], cost[low : low + LANES]
+            added = np.zeros((_N, len(start) * DIGIT), np.float32)
+            for j in range(0, int(length[low]), STEP):
+                a = int(np.searchsorted(-length[low : low + LANES], -j, "left"))
+                here, next_ = edge.take(start[:a] + j), edge.take(np.minimum(start[:a] + j + STEP, end[:a]))
+                deep = int((next_ - here).max())
+                at = here + np.arange(deep)[:, None]
+                outside = at >= next_
+                at = at.ravel()
+                x = found.take(at, 1, mode="clip").view(np.int8).astype(np.float32).reshape(_N - 1, deep, -1)
+                w = sets.take(gate.take(at, mode="clip"), 1, mode="clip").view(np.float32).reshape(_N, deep, -1)
+                w += added[:, None, : a * DIGIT]
+                against = _AGAINST.take(value.take(at, mode="clip") | outside.ravel().view(np.uint8) << np.uint8(DIGIT), 0, mode="clip").reshape(deep, -1)
+                z = np.einsum("ksl,ksl->sl", w[:-1], x)
+                z += w[-1]
+                chance = self.chances(z, against)
+                both = chance[:, 0::2] * chance[:, 1::2]
+                own_cost[:a] -= np.log2(both[:, 0::2] * both[:, 1::2]).sum(0, np.float64) + DIGIT * outside.sum(0)
+                np.subtract(1, chance, out=chance)
+                chance *= against
+                added[:-1, : a * DIGIT] += np.einsum("ksl,sl->kl", x, chance) * rate[:-1]
+                added[-1, : a * DIGIT] += chance.sum(0) * rate[-1]
         return np.bincount(text, cost, len(size))
 
     def sums(self, column: pa.Array) -> np.ndarray:
         """Slope and curvature of the cost by the weights, over all bits of the texts."""
         out = np.zeros((SETS, DIGIT, _N, _N + 1))
-        data, _, ctx = self._contexts(column)
-        for s in range(0, len(data), 1 << 16):
-            _, value, gate, x = self.inputs(data[s : s + (1 << 16)], ctx[s : s + (1 << 16)])
-            for g in np.unique(gate):
-                own, against = x[gate == g], _AGAINST[value[gate == g]]
+        data, offsets = _ended(column)
+        for s, e, hashes in _hashed(column, data, offsets):
+            _, value, gate, x = self.inputs(data[s:e], np.stack(list(hashes), 1))
+            order = np.argsort(gate, kind="stable")
+            edge = np.searchsorted(gate[order], np.arange(SETS + 1))
+            for g, i, j in zip(range(SETS), edge[:-1], edge[1:]):
+                own, against = x.take(order[i:j], 0), _AGAINST.take(value[order[i:j]], 0)
                 chance = self.chances(own * self.weights[g] @ _SUM, against)
+                slope = own.T @ (against * (1 - chance))
+                curve = own.T @ (own * (chance * (1 - chance) @ _SUM.T))
                 for t in range(DIGIT):
-                    v, p = own[:, t::DIGIT].astype(np.float64), chance[:, t].astype(np.float64)
-                    out[g, t, :, 0] += v.T @ (against[:, t] * (1 - p))
-                    out[g, t, :, 1:] += v.T @ (v * (p * (1 - p))[:, None])
+                    out[g, t, :, 0] += slope[t::DIGIT, t]
+                    out[g, t, :, 1:] += curve[t::DIGIT, t::DIGIT]
         return out
 
     def move(self, sums: np.ndarray) -> None:
@@ -337,13 +379,13 @@ def fit_mixer(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col
     apart = F.pmod(F.xxhash64(id_col), F.lit(DEVELOP)) == 0
     model = Mixer(code, bits, predictors(docs.where(learn & ~apart), code, bits, text_col))
     develop = cut(docs.where(learn & apart).select(F.col(text_col).alias("text")))
-    table = docs.sparkSession.sparkContext.broadcast(model.table)  # of the tables' bounded size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of the tables' bounded size; a worker unfolds it once
     for _ in range(ROUNDS):
         weights, shape = model.weights, (SETS, DIGIT, _N, _N + 1)
 
         def run(batches):
-            own = Mixer(code, bits, table.value)
-            own.weights, out = weights, np.zeros(shape)
+            own, out = shared.value, np.zeros(shape)
+            own.weights = weights
             for b in batches:
                 for i, n in pieces(b.column(0), SCORE_PIECE):
                     out += own.sums(b.column(0).slice(i, n))
@@ -353,7 +395,7 @@ def fit_mixer(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col
         for r in develop.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
             sums.flat[r["at"]] = r.x
         model.move(sums)
-    table.unpersist()
+    shared.unpersist()
     drop(develop)
     return model
 

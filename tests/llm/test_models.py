@@ -269,3 +269,34 @@ def test_lm_edges(spark):
     got = {r.doc_id: r for r in lm_scores(df, remainder("doc_id", 10) >= 0).collect()}
     assert got[1].n_tokens == got[2].n_tokens == 1 and got[1].score == got[2].score and got[3].n_known == 8001
     assert lm_scores(df.limit(0), remainder("doc_id", 10) >= 0).count() == 0
+
+
+def test_mixer_counts_in_one_pass(spark, tmp_path):
+    """The largest tables are counted from one pass over the texts, and log-odds are
+    those of each bit's counts."""
+    texts = ["The cat. Qué 中!", "", None, "a cat", "zzz 123 " * 40]
+    log = tmp_path / "rows"
+
+    def note(batches):
+        for b in batches:
+            with open(log, "ab") as f:
+                f.write(b"x" * b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").mapInArrow(note, "text string")
+    data, offsets = mixing._ended(pa.array(texts))
+    code, bits = mixing.Code(np.bincount(data, minlength=256)), mixing.table_bits(1 << 30)
+    got = mixing.predictors(docs, code, bits)
+    assert log.stat().st_size == len(texts)
+    own, group, value = code.events(data)
+    want, base = np.zeros(len(got), np.int8), 0
+    for k, context in enumerate(mixing.contexts(data, offsets)):
+        counts = {}
+        for row, v in zip(mixing._rows(context[own], group, bits[k]).tolist(), value.tolist()):
+            for t in range(4):
+                counts.setdefault(base + row + (1 << t | v >> 4 - t), [0, 0])[v >> 3 - t & 1] += 1
+        for slot, (zero, one) in counts.items():
+            x = int(np.clip(np.rint(16 * math.log((one + 0.3) / (zero + 0.3))), -127, 127))
+            want[slot] = x & -2 | (zero + one >= mixing.KNOWN) if slot % 16 == 1 else x
+        base += 1 << bits[k]
+    assert (got == want).all()
