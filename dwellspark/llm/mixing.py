@@ -31,9 +31,9 @@ DEVELOP, ROUNDS, RIDGE, START = 32, 5, 20.0, 0.3
 END = 0xFF
 #: bytes of text handled at once when counting, when scoring, and in a block of words
 COUNT_PIECE, SCORE_PIECE, BLOCK_PIECE = 2 << 20, 2 << 20, 8 << 20
-#: bytes whose contexts are hashed at once and segments that are mixed side by side:
-#: what they need stays in a core's cache
-HASH_PIECE, LANES = 1 << 17, 96
+#: bytes whose contexts are hashed at once, segments that are mixed side by side, and
+#: groups of bits summed at once: what they need stays in a core's cache
+HASH_PIECE, LANES, SUM_PIECE = 1 << 17, 128, 1 << 12
 #: units of a predictor's log-odds, the bias's input, and visits that make a context known
 UNIT, BIAS, KNOWN = 16, 0.3, 3
 #: contexts whose being known picks the weights, and sets of weights
@@ -270,10 +270,14 @@ class Mixer:
         """What the groups of bits of some bytes are predicted from: byte's place,
         value, set of weights, and the inputs, laid out like a set."""
         own, value, gate, found = self.found(byte, context.T)
-        x = np.empty((len(own), _N * DIGIT), np.float32)
+        return own, value, gate, self._laid_out(found)
+
+    @staticmethod
+    def _laid_out(found: np.ndarray) -> np.ndarray:
+        x = np.empty((found.shape[1], _N * DIGIT), np.float32)
         np.multiply(np.ascontiguousarray(found.T).view(np.int8), np.float32(1 / UNIT), out=x[:, :-DIGIT])
         x[:, -DIGIT:] = BIAS
-        return own, value, gate, x
+        return x
 
     @staticmethod
     def chances(z: np.ndarray, against: np.ndarray) -> np.ndarray:
@@ -347,11 +351,11 @@ class Mixer:
         out = np.zeros((SETS, DIGIT, _N, _N + 1))
         data, offsets = _ended(column)
         for s, e, hashes in _hashed(column, data, offsets):
-            _, value, gate, x = self.inputs(data[s:e], np.stack(list(hashes), 1))
+            _, value, gate, found = self.found(data[s:e], hashes)
             order = np.argsort(gate, kind="stable")
             edge = np.searchsorted(gate[order], np.arange(SETS + 1))
-            for g, i, j in zip(range(SETS), edge[:-1], edge[1:]):
-                own, against = x.take(order[i:j], 0), _AGAINST.take(value[order[i:j]], 0)
+            for g, i, j in ((g, i, min(i + SUM_PIECE, edge[g + 1])) for g in range(SETS) for i in range(edge[g], edge[g + 1], SUM_PIECE)):
+                own, against = self._laid_out(found.take(order[i:j], 1)), _AGAINST.take(value.take(order[i:j]), 0)
                 chance = self.chances(own * self.weights[g] @ _SUM, against)
                 slope = own.T @ (against * (1 - chance))
                 curve = own.T @ (own * (chance * (1 - chance) @ _SUM.T))
